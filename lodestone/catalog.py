@@ -1,0 +1,4 @@
+"""Queries over the reference tables and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
