@@ -20,5 +20,21 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op7_ngram_join)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as tox
+    from .common import crc_mod
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = tox.learn(docs, tox.train_rows(table(spark, sf_dir, "labels")))
+    return tox.score(docs, grammar).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "clauses")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op7_ngram_join, op8_toxicity, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
