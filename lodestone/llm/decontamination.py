@@ -177,3 +177,11 @@ def contamination(
     if parts == 1:
         return out
     return out.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("word_starts")).alias("word_starts"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no item, all columns kept (a null id is judged by its own text, as every row)."""
+    names = docs.columns
+    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(text_col)))
+    found = contamination(keyed.select("_row", F.col(text_col)), items, "_row", text_col, **options).where(F.size("item_ids") > 0)
+    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*names)

@@ -36,5 +36,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op7_ngram_join, op8_toxicity, op9_decontamination)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, labelled_table
+
+    found = find_pii(table(spark, sf_dir, "documents"), labelled_table(spark))
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), "n_secret")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as domains: the labelled table has the language of the documents that `labels` names."""
+    from .mixing import mix_to_targets
+
+    docs = table(spark, sf_dir, "documents")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+    mixed, names = mix_to_targets(docs, known, MIX_TARGETS)
+    return mixed.select("doc_id", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(names)], "rate")
+
+
+MIX_TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_pii, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
