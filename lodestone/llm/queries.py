@@ -36,6 +36,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii, labelled_table
 
@@ -56,5 +62,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MIX_TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op3_pii, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_suffix_tree, op3_pii, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
