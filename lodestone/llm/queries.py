@@ -14,6 +14,25 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that the labelled table marks as of quality 1."""
+    from .kneser_ney import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
@@ -62,5 +81,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MIX_TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_suffix_tree, op3_pii, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_suffix_tree, op3_pii, op4_token_counts, op5_kneser_ney, op6_url_templates, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
