@@ -216,7 +216,8 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 
 def mark(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs, all columns kept, with score, predicted and clauses (see score); in one pass, without a join."""
+    """docs with score, predicted and clauses (see score) in place of columns of these names; in one pass, without a join."""
+    docs = docs.drop("score", "predicted", "clauses")
     names = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
