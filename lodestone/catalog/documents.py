@@ -113,7 +113,7 @@ def find_across_groups(spark, d):
 def text_length_limit(spark, d):
     limits = spark.createDataFrame([("en", 3000), ("fr", 500)], "lang string, most int")
     rows = T.load(spark, d, "documents").join(F.broadcast(limits), "lang", "left")
-    return rows.where(P.text_fits(F.coalesce("most", F.lit(50_000)))).select("doc_id", F.length("text").alias("n"))
+    return rows.where(P.text_fits(F.coalesce("most", F.lit(50_000)))).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
@@ -179,14 +179,14 @@ def new_documents(spark, d):
     return J.not_registered(m.where("id % 2 = 1"), m.where("id % 2 = 0")).select("id", "group_id", "hash_sha256")
 
 
-@query(_m("SELECT id, id % 6 <> 0 OR id % 4 <> 0 AS is_relevant, CASE WHEN id % 4 = 0 THEN 0.25 ELSE 0.5 END AS relevance FROM meta"))
+@query(_m("SELECT id, id % 6 <> 0 OR id % 4 <> 0 AS is_relevant, CASE WHEN id % 4 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS relevance FROM meta"))
 def chunk_verdicts(spark, d):
     m = meta(spark, d).select("id")
     verdicts = m.where("id % 4 = 0").select("id", (F.col("id") % 6 != 0).alias("is_relevant"), F.lit(0.25).alias("relevance"))
     return J.with_verdicts(m, verdicts, ["id"])
 
 
-_TREE = "WITH RECURSIVE c AS (SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey >= 4 THEN n_nationkey // 4 END AS parent_id FROM nation)"
+_TREE = "WITH RECURSIVE c AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, CASE WHEN n_nationkey >= 4 THEN n_nationkey::BIGINT // 4 END AS parent_id FROM nation)"
 
 
 def _tree(spark, d):
@@ -298,7 +298,7 @@ def delete_preview_rows(spark, d):
     return A.delete_preview(meta(spark, d), "status = 'failed'")[1].select("id", "title")
 
 
-@query(_m("SELECT 'meta' AS \"table\", count(*) AS deleted FROM meta WHERE id % 6 = 0 UNION ALL SELECT 'vector', count(*) FROM embeddings WHERE vec_id % 6 = 0"))
+@query(_m("SELECT 'meta' AS \"table\", count(*) AS deleted FROM meta WHERE id % 6 = 0 UNION ALL SELECT 'vector', count(*) FROM embeddings WHERE vec_id % 6 = 0 AND vec_id IN (SELECT id FROM meta)"))
 def delete_counts(spark, d):
     m = meta(spark, d)
     return T.affected({"meta": m.select("id"), "vector": T.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"))}, m.where("id % 6 = 0").select("id"))
@@ -322,7 +322,7 @@ def patch_rows(spark, d):
 
 @query(_m("SELECT category, id, start_date, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY start_date DESC, id) AS rank FROM meta) WHERE rank <= 3"))
 def recent_by_category(spark, d):
-    return W.recent_documents(meta(spark, d)).select("category", "id", "start_date", "rank")
+    return W.recent_documents(meta(spark, d)).select("category", "id", "start_date", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_m("SELECT id, start_date FROM meta ORDER BY start_date DESC, id LIMIT 3"))

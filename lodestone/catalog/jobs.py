@@ -28,7 +28,7 @@ _CH = """ch AS (SELECT hash_sha256, text, unnest(range(CAST(ceil(length(text) /
 
 
 @query(_m(f"""SELECT id, group_id, title, status, start_date FROM (SELECT min(id) AS id, group_id, hash_sha256 FROM meta WHERE id % 2 = 1 GROUP BY 2, 3) f
- JOIN (SELECT id, title, 'registered' AS status, {NOW} AS start_date FROM meta) USING (id)
+ JOIN (SELECT id, title, 'registered' AS status, {NOW}::BIGINT AS start_date FROM meta) USING (id)
  WHERE NOT EXISTS (SELECT 1 FROM meta o WHERE o.id % 2 = 0 AND o.group_id = f.group_id AND o.hash_sha256 = f.hash_sha256)"""))
 def register_documents(spark, d):
     m = meta(spark, d)
@@ -88,7 +88,7 @@ def delete_documents(spark, d):
     return jobs.delete_documents(m, ck, ck, m.where("id % 10 = 3"), (1, 3))[1].select("hash_sha256", "chunk_index")
 
 
-@query(f"WITH {_CH} SELECT hash_sha256 || chunk_index AS chunk_id, CASE WHEN chunk_index = 0 THEN 'edited' ELSE parsed_text END AS parsed_text, CASE WHEN chunk_index = 0 THEN 0 ELSE 7 END AS token FROM ck")
+@query(f"WITH {_CH} SELECT hash_sha256 || chunk_index AS chunk_id, CASE WHEN chunk_index = 0 THEN 'edited' ELSE parsed_text END AS parsed_text, CASE WHEN chunk_index = 0 THEN 0::BIGINT ELSE 7 END AS token FROM ck")
 def edit_chunks(spark, d):
     ck = _chunks(spark, d).select(F.concat("hash_sha256", F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "parsed_text", F.lit(7).cast("bigint").alias("token"), F.lit(0.0).alias("cost"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
     edits = ck.where("chunk_index = 0").select("chunk_id", F.lit("edited").alias("parsed_text"))

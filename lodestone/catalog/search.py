@@ -32,7 +32,7 @@ _NORM = """z AS (SELECT *, ln(1 + score) AS s, count(*) OVER p AS n, max(ln(1 +
 
 @query(f"WITH {_HITS} SELECT query_id, id, rank, round(score, 6) AS score FROM h")
 def dense_top_k(spark, d):
-    return vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_HITS} SELECT query_id, count(*) AS total, count(DISTINCT label) AS documents, round(avg(score), 4) AS avg_score, round(max(score), 4) AS max_score, round(min(score), 4) AS min_score
@@ -77,7 +77,8 @@ def dense_top_k_restricted(spark, d):
 @query()
 def clustered_top_k(spark, d):
     e = load(spark, d, "embeddings")
-    return vectors.clustered_top_k(query_vectors(spark, d), e, 10, vectors.fit_clusters(e, 128), 16)
+    centroids = vectors.fit_clusters(e, 128)
+    return vectors.clustered_top_k(query_vectors(spark, d), e, 10, centroids, vectors.probes_for(e, centroids))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'null' WHEN vec_id % 5 = 1 THEN 'empty' ELSE 'dimension' END AS reason FROM embeddings WHERE vec_id % 5 < 3")
@@ -117,7 +118,7 @@ def _bm25(spark, d):
 
 @query(f"WITH {_BM25} SELECT query_id, doc_key, rank, round(score, 6) AS score FROM top")
 def bm25_top_k(spark, d):
-    return _bm25(spark, d).select("query_id", "doc_key", "rank", F.round("score", 6).alias("score"))
+    return _bm25(spark, d).select("query_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM25}, {_NORM} SELECT query_id, doc_key, round(norm, 6) AS norm FROM nm")
@@ -154,7 +155,7 @@ _FUSED = f"""{_CHUNKS}, {_ASK}, dn AS (SELECT query_id, chunk_id, score FROM (SE
  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, parsed_text) AS rank FROM f WHERE score >= 0.1) WHERE rank <= 10""")
 def hybrid_search(spark, d):
     out = plans.hybrid_search(_asked(spark, d), _chunks(spark, d), 10, threshold=0.1)
-    return out.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("dense_score", "keyword_score", "score")], "rank")
+    return out.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("dense_score", "keyword_score", "score")], F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_HITS} SELECT query_id, id, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)), 9) AS rrf FROM h")
@@ -176,7 +177,7 @@ def weighted_rerank(spark, d):
 def external_rerank(spark, d):
     hits = vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 10).select("query_id", "id", "score")
     scores = hits.where("query_id % 50 = 0 and id % 2 = 0").select("query_id", "id", ((F.col("id") * 37 % 101) / 101.0).alias("rerank"))
-    return hybrid.reranked(hits, scores, 3, ["query_id", "id"], "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return hybrid.reranked(hits, scores, 3, ["query_id", "id"], "id").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {_HITS}, l AS (SELECT 'a' AS source, query_id, id, score FROM h UNION ALL SELECT 'b', query_id, id, score * (id % 7) FROM h WHERE id % 2 = 0),

@@ -133,18 +133,18 @@ def ocr_needed(spark, d):
     return A.needs_ocr(_pages(spark, d))
 
 
-@query("SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS INT) AS page_number, string_agg(l_returnflag, chr(10) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS INT) AS page_number, string_agg(l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1, 2")
 def page_elements(spark, d):
     li = load(spark, d, "lineitem")
     return A.page_elements(li.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).cast("int").alias("page_number"), F.col("l_linenumber").alias("element"), F.col("l_returnflag").alias("text")))
 
 
-@query("""SELECT l_orderkey AS doc, CASE WHEN avg(l_discount) * 10 < 0.3 THEN '' ELSE trim(string_agg(l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN chr(10) ELSE ' ' END, '' ORDER BY l_linenumber), E' \n') END AS text
+@query("""SELECT l_orderkey AS doc, CASE WHEN avg(round(l_discount * 100)) < 4.51 THEN '' ELSE trim(string_agg(l_returnflag || CASE WHEN l_linenumber % 3 = 0 THEN chr(10) ELSE ' ' END, '' ORDER BY l_linenumber, l_returnflag), E' \n') END AS text
  FROM lineitem GROUP BY 1""")
 def confident_text(spark, d):
     li = load(spark, d, "lineitem")
-    rows = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("field"), F.col("l_returnflag").alias("text"), (F.col("l_linenumber") % 3 == 0).alias("line_break"), (F.col("l_discount") * 10).alias("confidence"))
-    return A.gated_text(rows).select("doc", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    rows = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("field"), F.col("l_returnflag").alias("text"), (F.col("l_linenumber") % 3 == 0).alias("line_break"), F.round(F.col("l_discount") * 100).alias("confidence"))
+    return A.gated_text(rows, 4.51).select("doc", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 # ---- names, dates, cells --------------------------------------------------------------------------------------------

@@ -157,6 +157,20 @@ def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 100_00
     return c
 
 
+def probes_for(vectors: DataFrame, centroids: np.ndarray, k: int = 10, recall: float = 0.97, least: int = 16, sample: int = 20_000, asked: int = 200, vec_col: str = "embedding") -> int:
+    """The fewest clusters to probe with which a bounded sample's own neighbours, found by brute force, reach the recall."""
+    rows = vectors.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col), vec_col).limit(sample).toPandas()[vec_col]
+    x = _matrix([list(v) for v in rows if len(v) == centroids.shape[1]])
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:asked]
+    best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+    own = (x @ centroids.T).argmax(axis=1)
+    needed = np.sort(np.take_along_axis(place, own[best], axis=1).ravel()) + 1
+    return int(min(len(centroids), max(least, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))) if len(needed) else least
+
+
 def assign_clusters(vectors: DataFrame, centroids: np.ndarray, n: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, vector, cluster): the n nearest clusters of every vector."""
 
