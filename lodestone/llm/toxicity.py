@@ -3,7 +3,7 @@
 Insults are word patterns (whole words or word beginnings) learned from labelled texts by a likelihood-ratio test that
 allows for the number of patterns tried. A clause with a match is read by a transducer composed of insult, threat,
 target, negation and reported-speech parts; its states carry what was read before, its arcs scale the weight of a match.
-A document's score is a logistic curve, fitted on the same labelled texts, of the sum over its matched clauses.
+A document's score is a logistic curve, fitted on the same labelled texts, of the sum over its matched clauses and its length.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, strings
+from .common import crc_mod, slices, strings
+from .ngram_join import shingles
+from .tokens import mix, words
 
 # Function words of the transducers, whole words in four languages.
 TARGET = frozenset("you your yours yourself du dich dir dein deine ihr euch tu toi ton ta vous votre usted tú ti te".split())
@@ -31,15 +33,16 @@ THREAT = frozenset("kill murder destroy hurt töten umbringen tuer assassiner ma
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
 _WORD = re.compile(r"\w+(?:'\w+)*")
 _MIN, _MAX = 3, 8
+MOST_EVIDENCE = 30.0
+DEFAULT_CURVE = (-3.0, 1.0, 0.0, 0.0)
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """patterns: word beginnings to weights (a final blank asks for the whole word); score = sigmoid(bias + slope * evidence)."""
+    """patterns: word beginnings to weights (a final blank asks for the whole word); curve: weights of _features."""
 
     patterns: dict[str, float] = field(default_factory=dict)
-    bias: float = -3.0
-    slope: float = 1.0
+    curve: tuple[float, ...] = DEFAULT_CURVE
 
 
 class _Reader:
@@ -118,6 +121,17 @@ def _patterns_of(text: str) -> set[str]:
     return out
 
 
+def _with_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch, "text"):
+            sh, first = shingles(words(b.column(0)), 5)
+            least = np.zeros(b.num_rows, np.uint64)
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                least[some] = np.minimum.reduceat(mix(sh), first[some])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least.view(np.int64))], ["text", "label", "least"])
+
+
 def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     docs = [0, 0]
@@ -146,33 +160,48 @@ def _llr(pos: int, neg: int, base: float) -> float:
 
 
 def choose_patterns(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int, tried: int, margin: float = 2.0) -> dict[str, float]:
-    """The patterns with a significant surplus in toxic texts, the most general of those that extend each other."""
+    """The patterns with a significant surplus in toxic texts; of those that extend each other the one with the greatest
+    likelihood ratio, of equal ones the most specific."""
     if not n_pos or not n_neg:
         return {}
     base = n_pos / (n_pos + n_neg)
     need = math.log(max(tried, 2)) + margin
-    good = {p: (pos, neg) for p, pos, neg in rows if pos / (pos + neg) >= 0.8 and _llr(pos, neg, base) >= need}
+    rated = [(_llr(pos, neg, base), p, pos, neg) for p, pos, neg in rows if pos / (pos + neg) >= max(0.3, 2 * base)]
     kept: dict[str, tuple[int, int]] = {}
-    for p in sorted(good, key=lambda p: (len(p.rstrip()), p.endswith(" "), p)):
+    for llr, p, pos, neg in sorted(rated, key=lambda r: (-round(r[0], 6), -len(r[1]), r[1])):
+        if llr < need:
+            break
         stem = p.rstrip()
-        if not any(stem[:k] in kept for k in range(_MIN, len(stem) + 1)) and p not in kept:
-            kept[p] = good[p]
+        if not any(stem.startswith(k.rstrip()) or k.startswith(stem) for k in kept):
+            kept[p] = pos, neg
     return {p: math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1)) for p, (pos, neg) in kept.items()}
 
 
-def _fit(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Bias and slope of a logistic curve, by Newton's steps with a small ridge; the slope is not negative."""
+def _features(evidence: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Per document: one, the evidence, the length, the evidence for its length (chance matches grow with it)."""
+    e, kilo = np.minimum(evidence, MOST_EVIDENCE), np.asarray(chars, float) / 1000
+    return np.c_[np.ones(len(e)), e, np.log1p(kilo), np.minimum(e / (1 + kilo), MOST_EVIDENCE)]
+
+
+def _fit(evidence: np.ndarray, chars: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic curve, by Newton's steps with a small ridge."""
     if not len(label) or label.min() == label.max():
-        return -3.0, 1.0
-    x = np.c_[np.ones(len(evidence)), np.minimum(evidence, 8.0)]
-    b = np.zeros(2)
+        return DEFAULT_CURVE
+    x = _features(evidence, chars)
+    b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (label - p) - 0.05 * b)
-        b = b + step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b)), x.T @ (label - p) - 0.05 * b)
+        b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(b[0]), max(0.05, float(b[1]))
+    return tuple(float(v) for v in b)
+
+
+def _curve(curve: tuple[float, ...], evidence: list[float], texts: list[str]) -> np.ndarray:
+    """Scores; a text without any evidence has that of an empty one at most."""
+    z = _features(np.array(evidence, float), np.array([len(t) for t in texts], float)) @ np.array(curve)
+    return 1 / (1 + np.exp(-np.clip(np.where(np.array(evidence) > 0, z, np.minimum(z, curve[0])), -30, 30)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_patterns: int = 5_000) -> Grammar:
@@ -184,28 +213,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
     sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"))
+    # copies and near-copies of one text are one witness: those whose least shingle hash is the same count once for a label
+    sample = sample.mapInArrow(_with_shingle, "text string, label int, least long").groupBy("least", "label").agg(F.min("text").alias("text")).select("text", "label")
     counted = sample.mapInArrow(_count_patterns, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counted = counted.where("pos + neg >= 4 or pattern = ''")
     counted = counted.persist()
     try:
         total = counted.where("pattern = ''").collect()
         tried = counted.count()
-        rows = counted.where("pattern != '' and pos >= 3 and pos >= 4 * neg").orderBy(F.desc("pos"), "pattern").limit(most_patterns).collect()
+        rows = counted.where("pattern != '' and pos >= 3 and pos >= 0.3 * (pos + neg)").orderBy(F.desc("pos"), "pattern").limit(most_patterns).collect()
     finally:
         counted.unpersist()
     n_pos, n_neg = (total[0].pos, total[0].neg) if total else (0, 0)
     patterns = choose_patterns([(r.pattern, r.pos, r.neg) for r in rows], n_pos, n_neg, tried)
-    seen = sample.mapInArrow(_evidence(patterns, ["label"]), "label int, evidence double, clauses int").select("label", "evidence").toPandas()  # at most most_rows
-    bias, slope = _fit(seen["evidence"].to_numpy(), seen["label"].to_numpy())
-    return Grammar(patterns, bias, slope)
+    seen = sample.mapInArrow(_evidence(patterns), "label int, evidence double, chars long").toPandas()  # at most most_rows
+    return Grammar(patterns, _fit(seen["evidence"].to_numpy(), seen["chars"].to_numpy(), seen["label"].to_numpy()))
 
 
-def _evidence(patterns: dict[str, float], keep: list[str]):
+def _evidence(patterns: dict[str, float]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(patterns)
         for b in batches:
-            got = [reader.evidence(t) for t in strings(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int32())], [*keep, "evidence", "clauses"])
+            texts = strings(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([reader.evidence(t)[0] for t in texts], pa.float64()), pa.array([len(t) for t in texts], pa.int64())], ["label", "evidence", "chars"])
 
     return go
 
@@ -223,8 +253,9 @@ def mark(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: f
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(grammar.patterns)
         for b in batches:
-            got = [reader.evidence(t) for t in strings(b.column(text_col))]
-            s = [1 / (1 + math.exp(-(grammar.bias + grammar.slope * min(e, 8.0)))) for e, _ in got]
+            texts = strings(b.column(text_col))
+            got = [reader.evidence(t) for t in texts]
+            s = _curve(grammar.curve, [e for e, _ in got], texts) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([g[1] for g in got], pa.int32())], [*names, "score", "predicted", "clauses"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
