@@ -150,3 +150,15 @@ def chart_regions(elements: DataFrame, cell: int = 100, least: int = 5, side: in
     gx, gy = F.floor(F.col("x0") / cell), F.floor(F.col("y0") / cell)
     box = elements.groupBy("doc", "page_number", gx.alias("gx"), gy.alias("gy")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return box.where((F.col("n") >= least) & (F.col("x1") - F.col("x0") > side) & (F.col("y1") - F.col("y0") > side))
+
+
+def register_splitter(spark, name: str = "split_chunks") -> None:
+    """Makes the recursive splitter a table function for SQL: SELECT ... FROM t, LATERAL split_chunks(text, 500, 50)."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_index: int, chunk: string")
+    class SplitChunks:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from enumerate(split_text(text or "", size, overlap)) if text else ()
+
+    spark.udtf.register(name, SplitChunks)

@@ -107,3 +107,10 @@ def write_counted(df: DataFrame, path: str, expected: int | None = None, **optio
     if expected is not None and n != expected:
         raise ValueError(f"{n} of {expected} rows were written to {path}")
     return n
+
+
+def write_evaluation(header: DataFrame, details: DataFrame, path: str, expected: int | None = None) -> int:
+    """Details first, then the header, so that a header is only seen with its details; returns the number of details."""
+    n = write_counted(details, f"{path}/evaluation_details", expected, mode="append")
+    header.withColumn("item_count", F.lit(n)).write.mode("append").parquet(f"{path}/evaluations")
+    return n
