@@ -40,33 +40,35 @@ def shaped(path: Column, depth: int) -> Column:
 
 
 def _level(t: DataFrame, k: int, most_branches: int, z: float, alike: float) -> DataFrame:
-    """The tree's k-th segment decided: t (host, prefix, segs, n, labelled, blocked), prefix one segment longer."""
+    """The tree's k-th segment decided: t (host, prefix, key, segs, n, labelled, blocked), prefix one segment longer.
+
+    The branches of a position meet in one row only where they are few; the others become the wildcard.
+    """
     seg = F.coalesce(F.try_element_at("segs", F.lit(k)), F.lit(""))
-    t = t.withColumn("seg", seg).withColumn("follow", F.coalesce(F.try_element_at("segs", F.lit(k + 1)), F.lit("")))
-    child = t.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    parent = child.groupBy("host", "prefix").agg(F.count("*").alias("branches"))
-    child = cut(child.join(parent, ["host", "prefix"]))
-    few = child.where(F.col("branches") <= most_branches)
-    # what follows a branch, as shares; two branches are alike if these differ by little and their labels by chance
-    follow = t.groupBy("host", "prefix", "seg", "follow").agg(F.sum("n").alias("m"))
-    follow = follow.join(few.where("labelled > 0").select("host", "prefix", "seg", F.col("n").alias("all")), ["host", "prefix", "seg"])
-    share = follow.select("host", "prefix", "seg", "follow", (F.col("m") / F.col("all")).alias("q"))
-    other = share.select("host", "prefix", F.col("seg").alias("seg2"), "follow", F.col("q").alias("q2"))
-    common = share.join(other, ["host", "prefix", "follow"]).groupBy("host", "prefix", "seg", "seg2").agg(F.sum(F.least("q", "q2")).alias("overlap"))
-    lab = few.where("labelled > 0").select("host", "prefix", "seg", "labelled", "blocked")
-    lab2 = lab.select("host", "prefix", F.col("seg").alias("seg2"), F.col("labelled").alias("l2"), F.col("blocked").alias("b2"))
-    pair = common.where(F.col("overlap") >= alike).join(lab, ["host", "prefix", "seg"]).join(lab2, ["host", "prefix", "seg2"])
-    pooled = (F.col("blocked") + F.col("b2") + 1) / (F.col("labelled") + F.col("l2") + 2)
-    gap = F.abs(F.col("blocked") / F.col("labelled") - F.col("b2") / F.col("l2"))
-    near = gap <= z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("l2")))
-    merged = pair.where(near).groupBy("host", "prefix", "seg").agg(F.min("seg2").alias("into"))
-    names = few.join(merged, ["host", "prefix", "seg"], "left").select("host", "prefix", "seg", F.coalesce("into", "seg").alias("into"))
-    group = names.groupBy("host", "prefix", "into").agg(F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("name"))  # at most most_branches
-    few_named = names.join(group, ["host", "prefix", "into"]).select("host", "prefix", "seg", "name")
-    many = child.where(F.col("branches") > most_branches).select("host", "prefix", "seg", F.lit("*").alias("name"))
-    grown = t.join(few_named.union(many), ["host", "prefix", "seg"])
-    name = F.when(F.size("segs") >= k, F.concat("prefix", F.lit("/"), "name")).otherwise(F.col("prefix"))
-    return grown.select("host", name.alias("prefix"), "key", "segs", "n", "labelled", "blocked")
+    after = F.coalesce(F.try_element_at("segs", F.lit(k + 1)), F.lit(""))
+    t = t.withColumn("seg", seg)
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    shapes = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x) for x, c in (("ends", after == ""), ("varies", after.contains("{")))]
+    child = t.groupBy("host", "prefix", "seg").agg(*sums, *shapes)
+    parent = child.groupBy("host", "prefix").agg(F.count("*").alias("branches")).where(F.col("branches") <= most_branches).select("host", "prefix")
+    few = child.join(parent, ["host", "prefix"]).groupBy("host", "prefix").agg(F.collect_list(F.struct("seg", "n", "labelled", "blocked", "ends", "varies")).alias("c"))
+
+    def similar(x: Column, y: Column) -> Column:
+        """Branches alike in what follows them (end, variable, word) and in the share of blocked urls, up to chance."""
+        words = lambda v: v["n"] - v["ends"] - v["varies"]
+        overlap = F.least(x["ends"] / x["n"], y["ends"] / y["n"]) + F.least(x["varies"] / x["n"], y["varies"] / y["n"]) + F.least(words(x) / x["n"], words(y) / y["n"])
+        pooled = (x["blocked"] + y["blocked"] + 1) / (x["labelled"] + y["labelled"] + 2)
+        gap = F.abs(F.try_divide(x["blocked"], x["labelled"]) - F.try_divide(y["blocked"], y["labelled"]))
+        chance = z * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), x["labelled"]) + F.try_divide(F.lit(1.0), y["labelled"])))
+        return (x["seg"] == y["seg"]) | ((x["labelled"] > 0) & (y["labelled"] > 0) & (overlap >= alike) & (gap <= chance))
+
+    into = F.transform("c", lambda x: F.struct(x["seg"].alias("seg"), F.array_min(F.transform(F.filter("c", lambda y: similar(x, y)), lambda y: y["seg"])).alias("into")))
+    few = few.select("host", "prefix", into.alias("c"))
+    name = F.transform("c", lambda x: F.struct(x["seg"].alias("seg"), F.array_join(F.array_sort(F.transform(F.filter("c", lambda y: y["into"] == x["into"]), lambda y: y["seg"])), "|").alias("name")))
+    names = few.select("host", "prefix", F.explode(name).alias("x")).select("host", "prefix", "x.seg", "x.name")
+    grown = t.join(names, ["host", "prefix", "seg"], "left")
+    longer = F.concat("prefix", F.lit("/"), F.coalesce("name", F.lit("*")))
+    return grown.select("host", F.when(F.size("segs") >= k, longer).otherwise(F.col("prefix")).alias("prefix"), "key", "segs", "n", "labelled", "blocked")
 
 
 def judge_urls(
