@@ -139,10 +139,10 @@ def split_authorised(spark, d):
 _MODELS = [("small", "acme", 2e-8), ("large", "acme", 1.3e-7), ("other", "zen", 5e-8)]
 
 
-@query(_m("SELECT id, model_name, round(token * price, 9) AS model_cost FROM meta, (VALUES ('small', 2e-8), ('large', 1.3e-7), ('other', 5e-8)) AS p(model_name, price) WHERE group_id = 0"))
+@query(_m("SELECT id, model_name, round(token * price, 9) AS model_cost FROM meta, (VALUES ('small', 2e-8), ('large', 1.3e-7), ('other', 5e-8)) AS p(model_name, price)"))
 def price_matrix(spark, d):
     models = spark.createDataFrame(_MODELS, "model_name string, provider string, input_cost_per_token double")
-    return J.price_matrix(meta(spark, d).where("group_id = 0"), models).select("id", "model_name", F.round("model_cost", 9).alias("model_cost"))
+    return J.price_matrix(meta(spark, d), models).select("id", "model_name", F.round("model_cost", 9).alias("model_cost"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2e-8 WHEN doc_id % 4 = 1 THEN 1.3e-7 WHEN doc_id % 4 = 2 THEN 5e-8 END AS price FROM documents""")

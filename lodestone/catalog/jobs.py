@@ -38,7 +38,7 @@ def register_documents(spark, d):
 @query()
 def generate_embeddings(spark, d):
     pages = load(spark, d, "documents").select(F.sha2("text", 256).alias("hash_sha256"), F.lit(1).alias("page_number"), "text").dropDuplicates(["hash_sha256"])
-    ready = meta(spark, d).where("group_id = 0").groupBy("hash_sha256").agg(F.min_by(F.struct("group_id", "role_ids", "category", "title", "filename", "status"), "id").alias("r")).select("hash_sha256", "r.*")
+    ready = meta(spark, d).where("status = 'registered'").groupBy("hash_sha256").agg(F.min_by(F.struct("group_id", "role_ids", "category", "title", "filename", "status"), "id").alias("r")).select("hash_sha256", "r.*")
     return jobs.make_chunks(ready, pages, "run-1", 500, 50).select("chunk_id", "hash_sha256", "chunk_index", "parsed_text", "token")
 
 

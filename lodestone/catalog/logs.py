@@ -85,9 +85,9 @@ def schedule_counters(spark, d):
     return A.schedule_counters(h)
 
 
-@query(_l("SELECT session_id AS schedule_id, count(*) AS processed, count(*) FILTER (success = 'SUCCESS') AS success, count(*) FILTER (success <> 'SUCCESS') AS failed, CASE WHEN bool_and(success = 'SUCCESS') THEN 'success' ELSE 'failed' END AS status FROM logs WHERE id % 97 < 2 GROUP BY 1"))
+@query(_l("SELECT id // 5 AS schedule_id, count(*) AS processed, count(*) FILTER (success = 'SUCCESS') AS success, count(*) FILTER (success <> 'SUCCESS') AS failed, CASE WHEN bool_and(success = 'SUCCESS') THEN 'success' ELSE 'failed' END AS status FROM logs GROUP BY 1"))
 def run_outcomes(spark, d):
-    rows = action_logs(spark, d).where("id % 97 < 2").select(F.col("session_id").alias("schedule_id"), (F.col("success") == "SUCCESS").alias("ok"))
+    rows = action_logs(spark, d).select(F.expr("id div 5").alias("schedule_id"), (F.col("success") == "SUCCESS").alias("ok"))
     return A.run_outcome(rows)
 
 
@@ -120,11 +120,19 @@ def chunk_reduction(spark, d):
     return A.reduction(action_logs(spark, d).select((F.col("id") % 5 < 2).alias("is_relevant")))
 
 
-@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'filled' END AS label, count(*) AS n, sum(event_id)::BIGINT AS total FROM events WHERE event_id < 2000 GROUP BY 1""")
-def response_fill(spark, d):
+def _responses(spark, d):
     i = F.col("id")
-    rows = action_logs(spark, d).where("id < 2000").select("id", F.when(i % 3 == 0, "r").alias("response"), F.when(i % 5 == 0, " ").otherwise("a").alias("answer"))
-    return A.fill_statistics(rows).select("label", "n", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    return action_logs(spark, d).select("id", F.when(i % 3 == 0, "r").alias("response"), F.when(i % 5 == 0, " ").otherwise("a").alias("answer"))
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'filled' END AS label, count(*) AS n FROM events GROUP BY 1")
+def response_fill(spark, d):
+    return A.fill_statistics(_responses(spark, d))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 = 0")
+def response_failures(spark, d):
+    return A.fill_failures(_responses(spark, d))
 
 
 @query(_l("SELECT id, CASE WHEN pending OR running THEN 'failed' ELSE status END AS status, CASE WHEN pending THEN 'not started in time' WHEN running THEN 'not completed in time' END AS error_message FROM (SELECT id, ['pending','running','completed'][id % 3 + 1] AS status, id % 3 = 0 AND id % 2 = 0 AND processing_time_ms < 300 AS pending, id % 3 = 1 AND processing_time_ms < 500 AS running FROM logs)"))

@@ -195,22 +195,22 @@ def multi_query_union(spark, d):
     return hybrid.union_variants(variants, _bm25(spark, d).select("query_id", "doc_key", "score"), "doc_key").select("query_id", "doc_key", F.round("score", 6).alias("score"))
 
 
-_EDGES = """e0 AS (SELECT DISTINCT 'c' || o_custkey % 97 AS a, 'p' || o_orderkey % 89 AS b FROM orders WHERE o_orderkey % 40 = 1), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"""
+_EDGES = """e0 AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0)"""
 
 
 def _edges(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey % 40 = 1")
-    return o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 97).cast("string")).alias("source_entity"), F.lit("bought").alias("relation_type"), F.concat(F.lit("p"), (F.col("o_orderkey") % 89).cast("string")).alias("target_entity"))
+    """Suppliers and their parts."""
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    return load(spark, d, "lineitem").select(name("s", "l_suppkey").alias("source_entity"), F.lit("supplies").alias("relation_type"), name("p", "l_partkey").alias("target_entity"))
 
 
-@query(f"""WITH {_EDGES}, s AS (SELECT DISTINCT 1 AS query_id, a AS entity FROM e0 WHERE a IN ('c1', 'c2', 'c5')),
+@query(f"""WITH {_EDGES}, s AS (SELECT 1 AS query_id, 's1' AS entity UNION SELECT 2, 'p7'),
  h1 AS (SELECT DISTINCT query_id, b AS entity FROM s JOIN e ON entity = a EXCEPT SELECT * FROM s),
  h2 AS (SELECT DISTINCT query_id, b AS entity FROM h1 JOIN e ON entity = a EXCEPT (SELECT * FROM s UNION SELECT * FROM h1))
  SELECT *, 0 AS hop FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2""")
 def graph_expansion(spark, d):
-    e = _edges(spark, d)
-    start = e.where(F.col("source_entity").isin("c1", "c2", "c5")).select(F.lit(1).alias("query_id"), F.col("source_entity").alias("entity")).distinct()
-    return graph.expand(start, e, 2).select("query_id", "entity", "hop")
+    start = spark.createDataFrame([(1, "s1"), (2, "p7")], "query_id int, entity string")
+    return graph.expand(start, _edges(spark, d), 2).select("query_id", "entity", "hop")
 
 
 @query("""WITH h AS (SELECT c_nationkey AS query_id, c_name AS entity_name, c_acctbal AS score, [c_custkey % 50, c_custkey % 31] AS hashes FROM customer),

@@ -267,8 +267,7 @@ def _cells(spark, d):
 @query("SELECT DISTINCT l_returnflag AS sheet, CAST(1 AS BIGINT) AS \"row\", 2 AS width FROM lineitem")
 def header_rows(spark, d):
     cells = _cells(spark, d)
-    near = cells.join(cells.groupBy("sheet").agg(F.min(F.when(F.col("row") > 1, F.col("row"))).alias("_lo")), "sheet").where("row < _lo + 200").drop("_lo")
-    return W.header_row(near).join(W.used_width(cells, 1), "sheet").select("sheet", "row", "width")
+    return W.header_row(cells).join(W.used_width(cells, 1), "sheet").select("sheet", "row", "width")
 
 
 @query()

@@ -142,10 +142,20 @@ def delete_preview(df: DataFrame, predicate: Column | str, key: str = "id", most
     return hit.agg(F.count("*").alias("affected")), hit.orderBy(key).limit(most)
 
 
+def fill_label() -> Column:
+    """What became of an item's response: it was there (skipped), it was filled, or that failed."""
+    given = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
+    return F.when(given("response"), "skipped").when(given("answer"), "filled").otherwise("failed")
+
+
 def fill_statistics(items: DataFrame) -> DataFrame:
-    """(label, n, ids): items whose response was there, was filled, or failed."""
-    label = F.when(F.length(F.trim(F.coalesce("response", F.lit("")))) > 0, "skipped").when(F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0, "filled").otherwise("failed")
-    return items.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """(label, n) of items (id, response, answer)."""
+    return items.groupBy(fill_label().alias("label")).agg(F.count("*").alias("n"))
+
+
+def fill_failures(items: DataFrame) -> DataFrame:
+    """(id) of the items that could not be filled, as rows."""
+    return items.where(fill_label() == "failed").select("id")
 
 
 def pii_counts(matches: DataFrame) -> DataFrame:
