@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,11 @@ def passes_for(n: int, threshold: float, window: int, recall: float) -> int:
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(once, 0.999999))))
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of equal length as unit vectors, in double precision."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -64,13 +68,13 @@ def sorted_passes(reps: DataFrame, n_passes: int, seed: int) -> DataFrame:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in batches:
-            ids, vecs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            dims = np.array([len(v) for v in vecs], int)
+            ids, vecs = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            dims = pa.compute.list_value_length(vecs).to_numpy(zero_copy_only=False).astype(np.int64)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, n_passes * BITS))
-                bits = (_unit([vecs[i] for i in at]) @ planes[dim] >= 0).reshape(len(at), n_passes, BITS)
+                bits = (_unit(vecs.take(pa.array(at))) @ planes[dim] >= 0).reshape(len(at), n_passes, BITS)
                 keys = (bits @ weights).ravel()
                 grp = np.tile(dim * 4096 + np.arange(n_passes, dtype=np.int64), len(at))
                 yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(keys), pa.array(np.repeat(ids[at], n_passes))], ["grp", "key", "id"])
@@ -106,13 +110,13 @@ def _window_edges(threshold: float, window: int):
             grp, ids, vecs = t.column("grp").to_numpy(), t.column("id").to_numpy(), t.column("vector")
             a, b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                rows = vecs.slice(lo, hi - lo).to_pylist()
+                rows = vecs.slice(lo, hi - lo)
                 g, own = grp[lo:hi], ids[lo:hi]
                 for one in np.unique(g):
                     i = np.flatnonzero(g == one)
                     if len(i) < 2:
                         continue
-                    x = _unit([rows[k] for k in i])
+                    x = _unit(rows.take(pa.array(i)))
                     place = np.arange(len(i))
                     linked = (x @ x.T >= threshold) & (np.abs(place[:, None] - place[None, :]) <= window)
                     np.fill_diagonal(linked, False)
@@ -133,7 +137,7 @@ def _exact_counts(threshold: float):
             out_id, out_n = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 bi, bj, blk, ids, w = (c[lo:hi] for c in cols)
-                x = _unit(t.column("vector").slice(lo, hi - lo).to_pylist())
+                x = _unit(t.column("vector").slice(lo, hi - lo))
                 left = np.flatnonzero(blk == bi[0])
                 right = np.flatnonzero(blk == bj[0])
                 linked = x[left] @ x[right].T >= threshold
@@ -151,7 +155,7 @@ def _exact_counts(threshold: float):
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, window: int = 64, block: int = 512,
-    recall: float = 0.995, n_passes: int | None = None, count_block: int = 512, seed: int = 7,
+    recall: float = 0.995, n_passes: int | None = None, count_block: int = 256, seed: int = 7,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, linkable.
 
@@ -168,7 +172,7 @@ def near_vectors(
     n = reps.count()
     passes = n_passes or passes_for(n, threshold, window, recall)
     parts = max(1, math.ceil(n * passes / 200_000))
-    win = windows(sorted_passes(reps, passes, seed), block, window, parts)
+    win = windows(cut(sorted_passes(reps, passes, seed)), block, window, parts)
     dealt = win.join(reps.select("id", "vector"), "id").repartition("block").sortWithinPartitions("block", "grp", "rank")
     edges = dealt.select("block", "grp", "id", "vector").mapInArrow(_window_edges(threshold, window), "a long, b long")
     comp = components(edges)
