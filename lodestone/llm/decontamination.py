@@ -1,8 +1,9 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH, verified by edit distance on words.
 
-Windows of an item's size are taken where the count of shared word trigrams allows the item within the permitted edits
+Windows of an item's size are taken where the count of shared word n-grams allows the item within the permitted edits
 (the q-gram lemma, so none is lost). Random walks map window and item to sequences whose Hamming distance follows their
-edit distance; pairs that agree on a sample of places in one of the repetitions are verified exactly.
+edit distance; pairs that agree on a sample of places in one of the repetitions are verified first, all others after
+them. Verification is exact and leaves no window out, so neither an item's length nor its edits cost recall.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ GRAM = 3
 
 
 def allowed_edits(m: int, share: float) -> int:
-    """Edits on words within which an item of m words counts as found: a share of m, and few enough for the trigram lemma."""
-    return max(0, min(math.floor(share * m), (m - GRAM - 1) // (2 * GRAM)))
+    """Edits on words within which an item of m words counts as found: a share of m, but never all of them."""
+    return max(0, min(math.floor(share * m + 1e-9), m - 1))
+
+
+def gram_size(m: int, edits: int) -> int:
+    """The longest n-grams, up to trigrams, of which an item of m words keeps at least one after so many edits."""
+    return next((q for q in range(GRAM, 1, -1) if m - q + 1 - q * edits >= 1), 1)
 
 
 def cgk(seqs: np.ndarray, length: np.ndarray, steps: int, seed: int) -> np.ndarray:
@@ -55,45 +61,55 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
+class _Grams:
+    """Sorted n-grams of one size, with the items that have them and their places there."""
+
+    def __init__(self, grams: list[np.ndarray], owner: list[int]):
+        count = [len(g) for g in grams]
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        self.grams = flat[order]
+        self.owner = np.repeat(owner, count)[order]
+        self.offset = np.concatenate([np.arange(n) for n in count])[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
+
+
 class _Items:
-    """The items in arrays: words, trigrams with their places, and the walks of each repetition."""
+    """The items in arrays: words, permitted edits, and by size the n-grams that name their windows."""
 
     def __init__(self, ids: list[int], texts: list[str], share: float, min_words: int, walks: int, seed: int):
         w = words(pa.array(texts, pa.string()))
         self.ids, self.seqs, self.edits = [], [], []
-        grams, owner, offset = [], [], []
+        by_size: dict[int, tuple[list[np.ndarray], list[int]]] = {}
         for i, key in enumerate(ids):
             seq = w.hash[w.first[i] : w.first[i + 1]]
             m = len(seq)
-            if m < min_words:
+            if m < max(1, min_words):
                 continue
-            g = spans_hash(seq, np.arange(m - GRAM + 1), np.arange(GRAM, m + 1))
-            grams.append(g)
-            owner.append(np.full(len(g), len(self.ids)))
-            offset.append(np.arange(len(g)))
+            e = allowed_edits(m, share)
+            q = gram_size(m, e)
+            grams, owner = by_size.setdefault(q, ([], []))
+            grams.append(spans_hash(seq, np.arange(m - q + 1), np.arange(q, m + 1)))
+            owner.append(len(self.ids))
             self.ids.append(key)
             self.seqs.append(seq)
-            self.edits.append(allowed_edits(m, share))
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(self.grams, kind="stable")
-        self.grams = self.grams[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, int))[order]
-        self.offset = (np.concatenate(offset) if offset else np.zeros(0, int))[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
+            self.edits.append(e)
+        self.by_size = {q: _Grams(*x) for q, x in sorted(by_size.items())}
         self.walks, self.seed = walks, seed
 
 
-def _starts(items: _Items, grams: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
-    """Places in the text where a window of an item's size should begin, by (text, item)."""
-    at = np.flatnonzero(items.maybe[grams & np.uint64((1 << 22) - 1)])
-    lo, hi = np.searchsorted(items.grams, grams[at], "left"), np.searchsorted(items.grams, grams[at], "right")
+def _starts(items: _Items, size: int, grams: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Places in the text where a window of an item's size should begin, in order, by (text, item); items named by n-grams of this size."""
+    table = items.by_size[size]
+    at = np.flatnonzero(table.maybe[grams & np.uint64((1 << 22) - 1)])
+    lo, hi = np.searchsorted(table.grams, grams[at], "left"), np.searchsorted(table.grams, grams[at], "right")
     n = hi - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
     pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     pos = np.repeat(at, n)
     doc = np.searchsorted(first, pos, "right") - 1
-    owner, start = items.owner[pick], pos - first[doc] - items.offset[pick]
+    owner, start = table.owner[pick], pos - first[doc] - table.offset[pick]
     order = np.lexsort((start, owner, doc))
     doc, owner, start = doc[order], owner[order], start[order]
     out: dict[tuple[int, int], list[int]] = {}
@@ -102,7 +118,7 @@ def _starts(items: _Items, grams: np.ndarray, first: np.ndarray) -> dict[tuple[i
         m, e = len(items.seqs[owner[a]]), items.edits[owner[a]]
         s = start[a:b]
         near = np.searchsorted(s, s + e, "right") - np.searchsorted(s, s - e, "left")
-        good = s[near >= max(1, m - GRAM + 1 - GRAM * e)]
+        good = s[near >= max(1, m - size + 1 - size * e)]
         if len(good):
             firsts = good[np.r_[True, np.diff(good) > 0]]
             out[int(doc[a]), int(owner[a])] = [int(x) for x in firsts]
@@ -129,22 +145,45 @@ def _agree(items: _Items, item: int, text: np.ndarray, starts: list[int], sample
     return [s for s, good in zip(starts, ok, strict=True) if good]
 
 
+def _begin(item: np.ndarray, text: np.ndarray, starts: list[int], e: int) -> int | None:
+    """The first of the starts whose window holds the item, None if none does: one pass over the span of all, then over halves."""
+    m = len(item)
+    if edit_distance(item, text[max(0, starts[0] - e) : max(0, starts[-1] + m + e)], e) > e:
+        return None
+    if len(starts) == 1:
+        return starts[0]
+    half = len(starts) // 2
+    found = _begin(item, text, starts[:half], e)
+    return found if found is not None else _begin(item, text, starts[half:], e)
+
+
+def _place(items: _Items, item: int, text: np.ndarray, starts: list[int], samples: int, places: int) -> int | None:
+    """Where the text holds the item: starts on which the walks agree are tried first, then every other, near ones together."""
+    seq, e = items.seqs[item], items.edits[item]
+    likely = _agree(items, item, text, starts, samples, places)
+    near = np.split(starts, np.flatnonzero(np.diff(starts) > len(seq) + 2 * e) + 1)
+    for group in [[s] for s in likely] + [g.tolist() for g in near]:
+        found = _begin(seq, text, group, e)
+        if found is not None:
+            return found
+    return None
+
+
 def _search(items: _Items, samples: int, places: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 w = words(b.column(1))
                 n = np.diff(w.first)
-                count = np.maximum(n - GRAM + 1, 0)
-                first = np.r_[0, np.cumsum(count)]
-                lo = np.repeat(w.first[:-1], count) + np.arange(first[-1]) - np.repeat(first[:-1], count)
                 found: dict[int, dict[int, int]] = {}
-                for (doc, item), starts in _starts(items, spans_hash(w.hash, lo, lo + GRAM), first).items():
-                    text, m, e = w.hash[w.first[doc] : w.first[doc + 1]], len(items.seqs[item]), items.edits[item]
-                    for s in _agree(items, item, text, starts, samples, places):
-                        if edit_distance(items.seqs[item], text[max(0, s - e) : max(0, s + m + e)], e) <= e:
+                for size in items.by_size:
+                    count = np.maximum(n - size + 1, 0)
+                    first = np.r_[0, np.cumsum(count)]
+                    lo = np.repeat(w.first[:-1], count) + np.arange(first[-1]) - np.repeat(first[:-1], count)
+                    for (doc, item), starts in _starts(items, size, spans_hash(w.hash, lo, lo + size), first).items():
+                        s = _place(items, item, w.hash[w.first[doc] : w.first[doc + 1]], starts, samples, places)
+                        if s is not None:
                             found.setdefault(doc, {}).setdefault(items.ids[item], s)
-                            break
                 hits = [sorted(found.get(i, {}).items()) for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[k for k, _ in h] for h in hits], pa.list_(pa.int64())), pa.array([[max(0, s) for _, s in h] for h in hits], pa.list_(pa.int64()))], ["doc_id", "item_ids", "word_starts"])
 

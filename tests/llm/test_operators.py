@@ -407,6 +407,46 @@ def test_planted_passages(spark):
     assert {r.doc_id: sorted(r.item_ids) for r in parts.collect()} == {i: sorted(x) for i, x in got.items()}
 
 
+def _edited(rng, part, edits):
+    """The words after so many random substitutions, insertions and deletions."""
+    part = list(part)
+    for k in range(edits):
+        at, kind = int(rng.integers(len(part))), rng.integers(3)
+        if kind == 0:
+            part[at] = f"sub{k}"
+        elif kind == 1:
+            part.insert(at, f"ins{k}")
+        else:
+            del part[at]
+    return part
+
+
+def test_passages_with_all_allowed_edits(spark):
+    rng = np.random.default_rng(16)
+    sizes = [7, 8, 9, 13, 20, 40, 60, 100, 200, 400]
+    items = [(k, m, list(rng.choice([f"v{i}" for i in range(500)], m))) for k, m in enumerate(m for m in sizes for _ in range(3))]
+    rows, want = [], {}
+    for i in range(8 * len(items)):
+        k, m, part = items[i % len(items)]
+        edits = math.floor(0.15 * m + 1e-9)
+        body = [f"w{x}" for x in rng.integers(0, 500, 120)]
+        body[50:50] = _edited(rng, part, edits)
+        rows.append((i, " ".join(body)))
+        want[i] = k
+    table = spark.createDataFrame([(k, " ".join(part)) for k, _, part in items], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert [(items[want[i]][1], got[i]) for i in want if got[i] != [want[i]]] == []
+
+
+def test_short_items_and_large_shares(spark):
+    docs = spark.createDataFrame([(1, "p q a x b y c r s"), (2, "p q a b r s"), (3, "p q r s t u v w")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c"), (2, "a b")], "item_id long, text string")
+    got = decontamination.contamination(docs, items, share=0.67, min_words=3)
+    assert {r.doc_id: r.item_ids for r in got.collect()} == {1: [1], 2: [1], 3: []}
+    got = decontamination.contamination(docs, items, min_words=2)
+    assert {r.doc_id: r.item_ids for r in got.collect()} == {1: [], 2: [2], 3: []}
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert decontamination.edit_distance(a, np.array([9, 1, 2, 3, 4, 9], np.uint64), 3) == 0
