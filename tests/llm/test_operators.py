@@ -496,6 +496,29 @@ def test_rates_match_plain_projected_gradient(spark):
     assert np.allclose(got, r, atol=1e-9)
 
 
+TALK = {"en": "the other thing then", "fr": "été qu où déjà là", "de": "für ich über schön", "es": "año aquí más según"}
+
+
+@pytest.mark.parametrize("counts", [(900, 50, 30, 20), (970, 15, 10, 5)])
+def test_rates_reach_targets_beside_a_dominant_domain(spark, counts):
+    rng = np.random.default_rng(12)
+    rows = [(lang, " ".join(rng.choice(text.split(), 20))) for (lang, text), n in zip(TALK.items(), counts, strict=True) for _ in range(n)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, domain string")
+    aims = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+    mixed, names = mixing.mix_to_targets(docs, docs.select("doc_id", "domain"), aims)
+    pdf = mixed.toPandas()
+    totals = (pdf.rate * pdf.n_tokens).to_numpy() @ pdf[[f"p{k}" for k in range(len(names))]].to_numpy() / pdf.n_tokens.sum()
+    assert len(pdf) == sum(counts) and (pdf.rate >= 0).all()
+    assert np.allclose(totals, [aims[d] for d in names], atol=1e-4)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(i, "the same words", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, domain string")
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        mixed, _ = mixing.mix_to_targets(docs, docs.select("doc_id", "domain"), {"a": 0.9, "b": 0.1})
+    assert np.allclose(mixed.toPandas().rate, 1.0, atol=1e-3)  # least squares: both domains at a half
+
+
 def test_mixing_awkward(spark):
     df = awkward(spark)
     known = df.select("doc_id", F.col("lang").alias("domain"))
