@@ -1,9 +1,11 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH, verified by edit distance on words.
 
-Windows of an item's size are taken where the count of shared word n-grams allows the item within the permitted edits
-(the q-gram lemma, so none is lost). Random walks map window and item to sequences whose Hamming distance follows their
-edit distance; pairs that agree on a sample of places in one of the repetitions are verified first, all others after
-them. Verification is exact and leaves no window out, so neither an item's length nor its edits cost recall.
+The walk of a window notes a word at each step and moves on by a random bit that the step and the word decide, so that
+near sequences have walks that agree in most places (edit distance becomes Hamming distance). A walk's first steps are
+the same whatever the length of its window; one walk from each place of a text therefore serves items of every size. A
+hash table samples a few early steps of one walk; an item's own places enter it with theirs. How many tables an item
+needs follows from its length and permitted edits, for the recall asked for. Every pair of places that a table names is
+verified exactly.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import mix, spans_hash, words
+from .tokens import mix, words
 
-GRAM = 3
+#: (steps of the walk, sampled steps, least words passed): items take the longest that reaches the recall in MOST_TABLES.
+FAMILIES = ((8, 7, 2), (5, 4, 1), (3, 3, 0), (1, 1, 0))
+MOST_TABLES = 4
 
 
 def allowed_edits(m: int, share: float) -> int:
@@ -27,23 +31,53 @@ def allowed_edits(m: int, share: float) -> int:
     return max(0, min(math.floor(share * m + 1e-9), m - 1))
 
 
-def gram_size(m: int, edits: int) -> int:
-    """The longest n-grams, up to trigrams, of which an item of m words keeps at least one after so many edits."""
-    return next((q for q in range(GRAM, 1, -1) if m - q + 1 - q * edits >= 1), 1)
+def sampled_steps(family: int, table: int, seed: int) -> np.ndarray:
+    """The steps of the walk that a table looks at, in order."""
+    steps, sample, _ = FAMILIES[family]
+    return np.sort(np.random.default_rng([seed, family, table]).choice(steps, sample, replace=False))
 
 
-def cgk(seqs: np.ndarray, length: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """The walk of each padded row of hashes: at step j it notes its symbol and advances by a bit that (j, symbol) decide."""
-    n = len(seqs)
-    out = np.zeros((n, steps), np.uint64)
-    at = np.zeros(n, np.int64)
-    rows = np.arange(n)
-    wide = seqs.shape[1]
-    for j in range(steps):
-        sym = np.where(at < length, seqs[rows, np.minimum(at, wide - 1)], np.uint64(0))
-        out[:, j] = sym
-        at += (mix(sym ^ np.uint64((seed * 1_000_003 + j * 7919 + 1) & (2**64 - 1))) >> np.uint64(63)).astype(np.int64)
-    return out
+def meeting(run: int, last: int, least: int) -> float:
+    """Chance that a table names a pair of places inside `run` words without an edit.
+
+    A walk has passed k words at step `last` with the binomial probability of k bits; from the i-th word of the run it
+    stays inside if k < run - i. Walks over fewer than `least` words are left out of the tables.
+    """
+    pmf = [math.comb(last, k) / 2**last for k in range(last + 1)]
+    miss = 1.0
+    for i in range(run):
+        miss *= 1 - sum(pmf[least : max(least, run - i)])
+    return 1 - miss
+
+
+def tables_for(m: int, edits: int, recall: float, seed: int) -> tuple[int, int]:
+    """(family, tables) with which an item is named with at least the given probability, its edits spread evenly (the worst case)."""
+    short, longer = divmod(m - edits, edits + 1)
+    for family, (_, _, least) in enumerate(FAMILIES):
+        miss = 1.0
+        for table in range(MOST_TABLES if family < len(FAMILIES) - 1 else 1):
+            last = int(sampled_steps(family, table, seed)[-1])
+            miss *= (1 - meeting(short, last, least)) ** (edits + 1 - longer) * (1 - meeting(short + 1, last, least)) ** longer
+            if miss <= 1 - recall:
+                return family, table + 1
+    return len(FAMILIES) - 1, 1  # single words: certain to meet where any word of the item is left
+
+
+def walk_keys(sym: np.ndarray, end: np.ndarray, family: int, table: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A table's key for the walk from each place, and whether the walk stays before `end` and passes enough words."""
+    steps, _, least = FAMILIES[family]
+    bits = mix(sym ^ np.uint64((seed * 1_000_003 + family * 7919 + table * 104_729 + 1) & (2**64 - 1)))
+    wanted = sampled_steps(family, table, seed)
+    start = np.arange(len(sym))
+    at, top = start.copy(), max(len(sym) - 1, 0)
+    key = np.zeros(len(sym), np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    for j in range(int(wanted[-1]) + 1):
+        if j in wanted:
+            key = key * odd + sym[at]
+        if j < wanted[-1]:
+            at = np.minimum(at + ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), top)
+    return mix(key), (at < end) & (at - start >= least)
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
@@ -61,88 +95,98 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
-class _Grams:
-    """Sorted n-grams of one size, with the items that have them and their places there."""
+class _Table:
+    """Sorted keys of the items' walks, with the items that have them and the places there."""
 
-    def __init__(self, grams: list[np.ndarray], owner: list[int]):
-        count = [len(g) for g in grams]
-        flat = np.concatenate(grams)
-        order = np.argsort(flat, kind="stable")
-        self.grams = flat[order]
-        self.owner = np.repeat(owner, count)[order]
-        self.offset = np.concatenate([np.arange(n) for n in count])[order]
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, offset: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner, self.offset = keys[order], owner[order], offset[order]
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
+        self.maybe[self.keys & np.uint64((1 << 22) - 1)] = True
+
+    def pairs(self, keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, place in the item) of the walks that meet."""
+        at = np.flatnonzero(good & self.maybe[keys & np.uint64((1 << 22) - 1)])
+        lo, hi = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
+        n = hi - lo
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.owner[pick], self.offset[pick]
 
 
 class _Items:
-    """The items in arrays: words, permitted edits, and by size the n-grams that name their windows."""
+    """The items in arrays: words, permitted edits, and the hash tables of their walks."""
 
-    def __init__(self, ids: list[int], texts: list[str], share: float, min_words: int, walks: int, seed: int):
+    def __init__(self, ids: list[int], texts: list[str], share: float, recall: float, seed: int):
         w = words(pa.array(texts, pa.string()))
-        self.ids, self.seqs, self.edits = [], [], []
-        by_size: dict[int, tuple[list[np.ndarray], list[int]]] = {}
+        self.ids, self.seqs, self.sorted, self.edits, self.seed = [], [], [], [], seed
+        want: dict[tuple[int, int], list[int]] = {}
         for i, key in enumerate(ids):
             seq = w.hash[w.first[i] : w.first[i + 1]]
-            m = len(seq)
-            if m < max(1, min_words):
+            if not len(seq):
                 continue
-            e = allowed_edits(m, share)
-            q = gram_size(m, e)
-            grams, owner = by_size.setdefault(q, ([], []))
-            grams.append(spans_hash(seq, np.arange(m - q + 1), np.arange(q, m + 1)))
-            owner.append(len(self.ids))
+            e = allowed_edits(len(seq), share)
+            family, tables = tables_for(len(seq), e, recall, seed)
+            for t in range(tables):
+                want.setdefault((family, t), []).append(len(self.ids))
             self.ids.append(key)
             self.seqs.append(seq)
+            self.sorted.append(np.unique(seq))
             self.edits.append(e)
-        self.by_size = {q: _Grams(*x) for q, x in sorted(by_size.items())}
-        self.walks, self.seed = walks, seed
-
-
-def _starts(items: _Items, size: int, grams: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
-    """Places in the text where a window of an item's size should begin, in order, by (text, item); items named by n-grams of this size."""
-    table = items.by_size[size]
-    at = np.flatnonzero(table.maybe[grams & np.uint64((1 << 22) - 1)])
-    lo, hi = np.searchsorted(table.grams, grams[at], "left"), np.searchsorted(table.grams, grams[at], "right")
-    n = hi - lo
-    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-    pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos = np.repeat(at, n)
-    doc = np.searchsorted(first, pos, "right") - 1
-    owner, start = table.owner[pick], pos - first[doc] - table.offset[pick]
-    order = np.lexsort((start, owner, doc))
-    doc, owner, start = doc[order], owner[order], start[order]
-    out: dict[tuple[int, int], list[int]] = {}
-    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]), True]) if len(doc) else [0]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        m, e = len(items.seqs[owner[a]]), items.edits[owner[a]]
-        s = start[a:b]
-        near = np.searchsorted(s, s + e, "right") - np.searchsorted(s, s - e, "left")
-        good = s[near >= max(1, m - size + 1 - size * e)]
-        if len(good):
-            firsts = good[np.r_[True, np.diff(good) > 0]]
-            out[int(doc[a]), int(owner[a])] = [int(x) for x in firsts]
-    return out
-
+        rows: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {k: [self._entries(owners, *k)] for k, owners in sorted(want.items())}
+        named = {int(o) for parts in rows.values() for _, owner, _ in parts for o in owner}
+        rest = [o for o in range(len(self.ids)) if o not in named]  # short items all of whose walks leave them
+        if rest:
+            rows.setdefault((len(FAMILIES) - 1, 0), []).append(self._entries(rest, len(FAMILIES) - 1, 0))
+        self.tables = {k: _Table(*(np.concatenate(x) for x in zip(*parts, strict=True))) for k, parts in rows.items()}
+
+    def _entries(self, owners: list[int], family: int, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, item, place in the item) of the walks that stay inside their item."""
+        seqs = [self.seqs[o] for o in owners]
+        size = np.array([len(s) for s in seqs])
+        first = np.cumsum(size) - size
+        key, good = walk_keys(np.concatenate(seqs), np.repeat(first + size, size), family, table, self.seed)
+        offset = np.arange(len(key)) - np.repeat(first, size)
+        return key[good], np.repeat(owners, size)[good], offset[good]
+
+    def starts(self, sym: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """Places, in order, where a window with the item should begin, by (text, item)."""
+        end = np.repeat(first[1:], np.diff(first))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for (family, t), table in self.tables.items():
+            found.append(table.pairs(*walk_keys(sym, end, family, t, self.seed)))
+        if not found:
+            return {}
+        pos, owner, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = np.searchsorted(first, pos, "right") - 1
+        rows = np.unique(np.stack([doc, owner, pos - first[doc] - offset], axis=1), axis=0)
+        new = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]) if len(rows) else [0]
+        return {(int(rows[a, 0]), int(rows[a, 1])): rows[a:b, 2] for a, b in zip(new[:-1], new[1:], strict=True)}
+
+    def place(self, item: int, text: np.ndarray, starts: np.ndarray) -> int | None:
+        """Where the text holds the item, None if no run near the starts is within the permitted edits."""
+        seq, e = self.seqs[item], self.edits[item]
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > len(seq) + 2 * e) + 1):
+            near = text[max(0, group[0] - e) : max(0, group[-1] + len(seq) + e)]
+            # an item within e edits leaves all but e of its words: a cheap test without loss
+            own = self.sorted[item]
+            there = own[np.isin(own, near)]
+            if np.isin(seq, there).sum() >= len(seq) - e:
+                found = _begin(seq, text, group.tolist(), e)
+                if found is not None:
+                    return max(0, found)
+        return None
 
-def _agree(items: _Items, item: int, text: np.ndarray, starts: list[int], samples: int, places: int) -> list[int]:
-    """Starts whose window and the item agree on a sample of places in one of the repetitions."""
-    seq = items.seqs[item]
-    m = len(seq)
-    wide = np.zeros((len(starts) + 1, m), np.uint64)
-    length = np.zeros(len(starts) + 1, np.int64)
-    wide[0], length[0] = seq, m
-    for k, s in enumerate(starts, 1):
-        part = text[max(0, s) : max(0, s + m)]
-        wide[k, : len(part)], length[k] = part, len(part)
-    ok = np.zeros(len(starts), bool)
-    rng = np.random.default_rng([items.seed, item])
-    for r in range(items.walks):
-        walk = cgk(wide, length, 2 * m, items.seed + r)
-        same = walk[1:] == walk[0]
-        for _ in range(samples):
-            ok |= same[:, rng.integers(0, 2 * m, places)].all(axis=1)
-    return [s for s, good in zip(starts, ok, strict=True) if good]
+    def search(self, column: pa.Array) -> list[list[tuple[int, int]]]:
+        """For each text its (item, word where it begins), by item."""
+        w = words(column)
+        out: list[dict[int, int]] = [{} for _ in range(len(column))]
+        for (doc, item), starts in self.starts(w.hash, w.first).items():
+            s = self.place(item, w.hash[w.first[doc] : w.first[doc + 1]], starts)
+            if s is not None:
+                key = self.ids[item]
+                out[doc][key] = min(s, out[doc].get(key, s))
+        return [sorted(x.items()) for x in out]
 
 
 def _begin(item: np.ndarray, text: np.ndarray, starts: list[int], e: int) -> int | None:
@@ -157,70 +201,90 @@ def _begin(item: np.ndarray, text: np.ndarray, starts: list[int], e: int) -> int
     return found if found is not None else _begin(item, text, starts[half:], e)
 
 
-def _place(items: _Items, item: int, text: np.ndarray, starts: list[int], samples: int, places: int) -> int | None:
-    """Where the text holds the item: starts on which the walks agree are tried first, then every other, near ones together."""
-    seq, e = items.seqs[item], items.edits[item]
-    likely = _agree(items, item, text, starts, samples, places)
-    near = np.split(starts, np.flatnonzero(np.diff(starts) > len(seq) + 2 * e) + 1)
-    for group in [[s] for s in likely] + [g.tolist() for g in near]:
-        found = _begin(seq, text, group, e)
-        if found is not None:
-            return found
-    return None
+def _search(items: _Items, hits_only: bool):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                hits = items.search(b.column("text"))
+                lists = [pa.array([[x[k] for x in h] for h in hits], pa.list_(pa.int64())) for k in (0, 1)]
+                got = pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c != "text"], *lists], [*[c for c in b.schema.names if c != "text"], "item_ids", "word_starts"])
+                yield got.filter(pa.array([bool(h) for h in hits])) if hits_only else got
+
+    return go
 
 
-def _search(items: _Items, samples: int, places: int):
+def _drop(items: _Items, text_col: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
-                w = words(b.column(1))
-                n = np.diff(w.first)
-                found: dict[int, dict[int, int]] = {}
-                for size in items.by_size:
-                    count = np.maximum(n - size + 1, 0)
-                    first = np.r_[0, np.cumsum(count)]
-                    lo = np.repeat(w.first[:-1], count) + np.arange(first[-1]) - np.repeat(first[:-1], count)
-                    for (doc, item), starts in _starts(items, size, spans_hash(w.hash, lo, lo + size), first).items():
-                        s = _place(items, item, w.hash[w.first[doc] : w.first[doc + 1]], starts, samples, places)
-                        if s is not None:
-                            found.setdefault(doc, {}).setdefault(items.ids[item], s)
-                hits = [sorted(found.get(i, {}).items()) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[k for k, _ in h] for h in hits], pa.list_(pa.int64())), pa.array([[max(0, s) for _, s in h] for h in hits], pa.list_(pa.int64()))], ["doc_id", "item_ids", "word_starts"])
+            for b in slices(batch, text_col):
+                yield b.filter(pa.array([not h for h in items.search(b.column(text_col))], pa.bool_()))
 
     return go
 
 
+def _parts(items: DataFrame, item_id: str, item_text: str, share: float, recall: float, part_chars: int, seed: int) -> list[_Items]:
+    """The items with their tables, in parts of about part_chars characters: what a task holds at a time."""
+    wanted = items.select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").distinct()
+    total = wanted.agg(F.sum(F.length("t")).alias("n")).first().n or 0
+    parts = max(1, math.ceil(total / part_chars))
+    out = []
+    for p in range(parts):
+        rows = wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == p).orderBy("k", "t").collect()  # about part_chars characters
+        out.append(_Items([r.k for r in rows], [r.t for r in rows], share, recall, seed))
+    return out
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with two hashes of the text: rows of equal texts have equal answers."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("_k1", F.xxhash64(whole)).withColumn("_k2", F.xxhash64(whole, F.lit(1)))
+
+
+def _hits(docs: DataFrame, text: str, models: list[_Items]) -> DataFrame:
+    """(_k1, _k2, item_ids, word_starts): one row for each different text that holds an item of any part. A reading of the texts for each part."""
+    src = _keyed(docs.select(F.col(text).alias("text")), "text")
+    schema = "_k1 long, _k2 long, item_ids array<bigint>, word_starts array<bigint>"
+    found = None
+    for model in models:
+        one = src.mapInArrow(_search(model, True), schema).dropDuplicates(["_k1", "_k2"])
+        found = one if found is None else found.union(one)
+    pairs = found.select("_k1", "_k2", F.explode(F.arrays_zip("item_ids", "word_starts")).alias("x"))
+    best = pairs.groupBy("_k1", "_k2", F.col("x.item_ids").alias("i")).agg(F.min("x.word_starts").alias("s"))
+    lists = best.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("x"))
+    return lists.select("_k1", "_k2", F.col("x.i").alias("item_ids"), F.col("x.s").alias("word_starts"))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    share: float = 0.15, min_words: int = 5, walks: int = 4, samples: int = 16, places: int = 6, part_chars: int = 16 << 20, seed: int = 5,
+    share: float = 0.15, recall: float = 0.99, part_chars: int = 4 << 20, seed: int = 5,
 ) -> DataFrame:
     """(doc_id, item_ids, word_starts): for each row of docs the items that it holds, and the word where each begins.
 
-    An item is held if a run of the text's words is within a share of its words of edits (word by word, A-Z lower-cased).
-    Items with a null id or fewer than min_words words are not searched for. Null and empty texts hold nothing. The items
-    travel to the tasks in parts of at most part_chars characters (one longer item is a part); with several parts the
-    documents are read once for each and the lists merged by row. Other columns are ignored.
+    An item is held if a run of the text's words is within a share of its words of edits (word by word, A-Z lower-cased);
+    items of fewer words than 1 / share have to be there as they are. An item with the most edits, evenly spread, is found
+    with probability `recall` at least, one with fewer edits or uneven ones more surely, one without edits always.
+    Items with a null id or no word are not searched for; of several texts under one id any counts. Null and empty texts
+    hold nothing. Repeated rows and null ids are rows of their own; other columns are ignored; no items: empty lists.
+    The items travel to the tasks in parts of about part_chars characters (a longer item is a part). With several parts
+    the texts are read once for each, and the lists are joined to the rows by a hash of the text.
     """
-    wanted = items.select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null").groupBy("k").agg(F.min("t").alias("t"))
-    sizes = wanted.agg(F.sum(F.length("t")).alias("n")).first().n or 0
-    parts = max(1, math.ceil(sizes / part_chars))
+    models = _parts(items, item_id, item_text, share, recall, part_chars, seed)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_ids array<bigint>, word_starts array<bigint>"
-    out = None
-    for p in range(parts):
-        rows = wanted.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == p).orderBy("k").collect()  # about part_chars characters
-        model = _Items([r.k for r in rows], [r.t for r in rows], share, min_words, walks, seed)
-        found = src.mapInArrow(_search(model, samples, places), schema)
-        out = found if out is None else out.union(found)
-    if parts == 1:
-        return out
-    return out.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("word_starts")).alias("word_starts"))
-
-
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item, all columns kept (a null id is judged by its own text, as every row)."""
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.length(text_col)))
-    found = contamination(keyed.select("_row", F.col(text_col)), items, "_row", text_col, **options).where(F.size("item_ids") > 0)
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*names)
+    if len(models) == 1:
+        return src.mapInArrow(_search(models[0], False), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, item_ids array<bigint>, word_starts array<bigint>")
+    none = F.array().cast("array<bigint>")
+    full = _keyed(src, "text").drop("text").join(_hits(src, "text", models), ["_k1", "_k2"], "left")
+    return full.select("doc_id", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("word_starts", none).alias("word_starts"))
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    share: float = 0.15, recall: float = 0.99, part_chars: int = 4 << 20, seed: int = 5,
+) -> DataFrame:
+    """The rows of docs that hold no item (see contamination), all columns kept; with one part of items in a single pass without a join."""
+    models = _parts(items, item_id, item_text, share, recall, part_chars, seed)
+    if len(models) == 1:
+        return docs.mapInArrow(_drop(models[0], text_col), docs.schema)
+    hits = _hits(docs, text_col, models)
+    k1, k2 = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))
+    return docs.join(hits.select("_k1", "_k2"), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
