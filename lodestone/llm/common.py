@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -14,13 +15,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where none is set (local runs, tests), a temporary one is set."""
+    """The checkpoint folder of the session. Where none is set a local session gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
+def filesystem(uri: str) -> tuple:
+    """The Arrow file system of a folder or file that Spark names, and the path in it; for tasks and driver alike."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def remove(uri: str) -> None:
+    """Deletes a folder that this library made in the shared folder."""
+    system, path = filesystem(uri)
+    system.delete_dir(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: later steps neither recompute it nor depend on executors."""
     shared_dir(df.sparkSession)

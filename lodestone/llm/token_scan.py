@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files without an index, by a scan for separators.
 
-A file is a run of little-endian token identifiers; an end-of-document identifier closes each document. Files are cut in
-blocks of bytes at any place that is a whole token. Each block is searched vectorised for the identifier; a prefix scan
+A file is a run of little-endian token identifiers; an end-of-document identifier closes each document. Tasks read blocks
+of bytes that begin at any whole token. Each block is searched vectorised for the identifier; a prefix scan
 over block summaries, in two levels so that no task reads more than a stretch of a file's blocks, then tells each block how many documents
 precede it and how many tokens of an open document it continues.
 """
@@ -9,7 +9,9 @@ precede it and how many tokens of an open document it continues.
 from __future__ import annotations
 
 import base64
+import math
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,46 +19,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import cut, filesystem, remove, shared_dir, slices, strings
 
 STRETCH = 1024  # blocks whose summaries are scanned together
 
 
-def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
-    """(file, block, data) of flat files that Spark can reach; a file's odd bytes at its end, less than a token, are left out."""
-    size = block_tokens * width
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    last = F.greatest(F.ceil(F.col("length") / size).cast("int"), F.lit(1)) - 1
-    cut = files.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+DTYPES = {1: "<u1", 2: "<u2", 4: "<u4"}
+
+
+def block_ranges(files: DataFrame, width: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
+    """(file, path, block, offset, size): byte ranges of files (file, path, length), whole tokens each; an empty file has one of size 0."""
+    size = F.lit(block_tokens * width).cast("bigint")
     whole = F.col("length") - F.col("length") % width
-    take = F.least(F.lit(size).cast("bigint"), whole - F.col("block") * F.lit(size).cast("bigint")).cast("int")
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.substring(F.col("content"), F.col("block") * size + 1, take).alias("data"))
+    last = F.greatest(F.ceil(whole / size).cast("bigint"), F.lit(1)) - 1
+    cut = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return cut.select("file", "path", "block", (F.col("block") * size).alias("offset"), F.greatest(F.least(size, whole - F.col("block") * size), F.lit(0)).alias("size"))
+
 
+def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = 1 << 20) -> DataFrame:
+    """(file, path, block, offset, size) of flat files of any length; a file's odd bytes at its end, less than a token, are left out.
 
-def _scan_arrays(data: bytes, width: int, eod: int) -> tuple[int, np.ndarray]:
-    """Tokens in a block, and the places of the separators."""
-    ids = np.frombuffer(data, {1: "<u1", 2: "<u2", 4: "<u4"}[width])
-    return len(ids), np.flatnonzero(ids == eod)
+    Only names and lengths are listed; tasks read their byte ranges, 32 blocks a task.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "path", "length")
+    blocks = files.agg(F.sum(F.ceil(F.col("length") / (block_tokens * width)))).first()[0] or 1
+    return block_ranges(files, width, block_tokens).repartition(max(1, math.ceil(int(blocks) / 32)), "file", "block")
 
 
 def _scan(width: int, eod: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple = (None, None)
         for b in batches:
             n, ends = [], []
-            for d in b.column(2).to_pylist():
-                k, at = _scan_arrays(d or b"", width, eod)
-                n.append(k)
-                ends.append(at)
+            for path, offset, size in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if opened[0] != path:
+                    if opened[1] is not None:
+                        opened[1].close()
+                    system, at = filesystem(path)
+                    opened = path, system.open_input_file(at)
+                ids = np.frombuffer(opened[1].read_at(size, offset), DTYPES[width])
+                n.append(len(ids))
+                ends.append(np.flatnonzero(ids == eod))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(e) for e in ends])].astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int64) if ends else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), lists], ["file", "block", "n_tokens", "ends"])
+        if opened[1] is not None:
+            opened[1].close()
 
     return go
 
 
 def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
-    """(file, block, n_tokens, ends): what the search finds in each block. A null block of data is empty."""
+    """(file, block, n_tokens, ends): each block's tokens, and the places of the separators that the search finds in it."""
     kind = blocks.schema["file"].dataType.simpleString()
-    return blocks.select("file", "block", "data").mapInArrow(_scan(width, eod), f"file {kind}, block long, n_tokens long, ends array<bigint>")
+    return blocks.select("file", "block", "path", "offset", "size").mapInArrow(_scan(width, eod), f"file {kind}, block long, n_tokens long, ends array<bigint>")
 
 
 def stitch(scanned: DataFrame, open_tail: bool = True) -> DataFrame:
@@ -108,94 +123,70 @@ class _Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str, piece: int = 1 << 16) -> np.ndarray:
-        """Token identifiers. Runs without a space are bounded before they reach the tokenizer, whose time grows with their square."""
-        if len(text) <= piece:
-            return np.asarray(self.encoding.encode_ordinary(text), np.uint32)
-        cuts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + piece)
-            if end < len(text):
-                space = text.rfind(" ", at + 1, end)
-                end = space if space > at and text[space - 1] != " " and not text[space - 1].isspace() else end
-            cuts.append(text[at:end])
-            at = end
-        return np.concatenate([np.asarray(self.encoding.encode_ordinary(c), np.uint32) for c in cuts])
-
-
-def _write(path: str, eod: int, width: int, block_tokens: int):
+    def ids(self, text: str) -> np.ndarray:
+        """Token identifiers of a whole text, whatever its length."""
+        return np.asarray(self.encoding.encode_ordinary(text), np.uint32)
+
+
+def _write(folder: str, vocabulary: str, eod: int, width: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, file = _Encoder(path), TaskContext.get().partitionId()
-        dtype = {2: "<u2", 4: "<u4"}[width]
-        left, block, ordinal = np.zeros(0, dtype), 0, 0
-
-        def rows(blocks: list[bytes], first: int, ids: pa.Array | None, at: int, id_type: pa.DataType):
-            n, m = len(blocks), 0 if ids is None else len(ids)
-            cols = [pa.array(np.full(n + m, file, np.int64)), pa.array([*range(first, first + n), *[None] * m], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *range(at, at + m)], pa.int64()), pa.concat_arrays([pa.nulls(n, id_type), ids if ids is not None else pa.nulls(0, id_type)])]
-            return pa.RecordBatch.from_arrays(cols, ["file", "block", "data", "ordinal", "doc_id"])
-
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for b in slices(batch, "text"):
-                parts = [left]
-                for text in strings(b.column(1)):
-                    parts += [enc.ids(text).astype(dtype), np.array([eod], dtype)]
-                left = np.concatenate(parts)
-                full = len(left) // block_tokens
-                out = [left[k * block_tokens : (k + 1) * block_tokens].tobytes() for k in range(full)]
-                yield rows(out, block, b.column(0), ordinal, id_type)
-                left, block, ordinal = left[full * block_tokens :], block + full, ordinal + b.num_rows
-        if len(left):
-            yield rows([left.tobytes()], block, None, ordinal, id_type)
+        enc, file, dtype = _Encoder(vocabulary), TaskContext.get().partitionId(), DTYPES[width]
+        system, root = filesystem(folder)
+        name = f"{file:06d}-{uuid.uuid4().hex}.bin"  # a task that runs again writes another file; only a finished one's is named
+        length, ordinal, id_type = 0, 0, None
+        names = ["file", "path", "length", "ordinal", "doc_ids"]
+        with system.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for b in slices(batch, "text"):
+                    parts = []
+                    for text in strings(b.column(1)):
+                        parts += [enc.ids(text).astype(dtype), np.array([eod], dtype)]
+                    data = np.concatenate(parts).tobytes()
+                    out.write(data)
+                    length += len(data)
+                    ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([ordinal], pa.int64()), ids], names)
+                    ordinal += b.num_rows
+        if id_type is not None:
+            last = [pa.array([file], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([length], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(id_type))]
+            yield pa.RecordBatch.from_arrays(last, names)
 
     return go
 
 
-def flat_stream(docs: DataFrame, vocabulary: str, eod: int, width: int = 2, block_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' tokens as flat streams, one for each input partition, in blocks that take no heed of documents.
+def write_flat(docs: DataFrame, folder: str, vocabulary: str, eod: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents' tokens as flat files in a shared folder, one for each input partition, a separator after each document.
 
-    Rows with data are blocks (file, block, data); the others say which document is the ordinal-th of its stream.
+    Returns what a list of the files holds, and nothing about lengths of documents: rows (file, path, length) name a
+    file, rows (file, ordinal, doc_ids) the documents from the ordinal-th of the file on. Cut from its lineage, so that
+    files and list come from one reading.
     """
+    system, root = filesystem(folder)
+    system.create_dir(root, recursive=True)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_write(vocabulary, eod, width, block_tokens), f"file long, block long, data binary, ordinal long, doc_id {kind}")
+    return cut(src.mapInArrow(_write(folder, vocabulary, eod, width), f"file long, path string, length long, ordinal long, doc_ids array<{kind}>"))
 
 
 def default_vocabulary() -> str:
     return os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def _scan_stream(width: int, eod: int):
-    """Searches the blocks in the task that made them; rows that name documents pass."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ends = [], []
-            for d in b.column(2).to_pylist():
-                k, at = (None, None) if d is None else _scan_arrays(d, width, eod)
-                n.append(k)
-                ends.append(None if at is None else at.tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64())), b.column(3), b.column(4)], ["file", "block", "n_tokens", "ends", "ordinal", "doc_id"])
-
-    return go
-
-
-def token_counts(docs: DataFrame, vocabulary: str | None = None, eod: int = 50256, width: int = 2, block_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens): the documents are written as flat token streams, and their lengths found by the separator scan.
+def token_counts(docs: DataFrame, vocabulary: str | None = None, eod: int = 50256, width: int = 2, block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens): the documents are written as flat token files, and their lengths found by the separator scan of those files.
 
-    Null and empty texts have 0 tokens. Rows that repeat an id are documents of their own, and null ids stay. Other
-    columns are ignored. An empty table gives an empty result. The scan's small result is cut from its lineage, so that
-    numbers of streams and the names of their documents come from one reading.
+    Whole texts are encoded, however long. Null and empty texts have 0 tokens. Rows that repeat an id are documents of
+    their own, and null ids stay. Other columns are ignored. An empty table gives an empty result. The files lie in the
+    session's checkpoint folder, which tasks reach by Arrow's file systems, and are deleted once the counts are written.
     """
-    from .common import cut
-
-    stream = flat_stream(docs, vocabulary or default_vocabulary(), eod, width, block_tokens, id_col, text_col)
-    kind = stream.schema["doc_id"].dataType.simpleString()
-    scanned = cut(stream.mapInArrow(_scan_stream(width, eod), f"file long, block long, n_tokens long, ends array<bigint>, ordinal long, doc_id {kind}"))
-    found = stitch(scanned.where("block is not null").select("file", "block", "n_tokens", "ends"), open_tail=False)
-    named = scanned.where("block is null").select("file", "ordinal", "doc_id")
-    return named.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    folder = f"{shared_dir(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
+    listed = write_flat(docs, folder, vocabulary or default_vocabulary(), eod, width, id_col, text_col)
+    blocks = block_ranges(listed.where("path is not null").select("file", "path", "length"), width, block_tokens)
+    found = stitch(cut(scan_blocks(blocks, eod, width)), open_tail=False)
+    named = listed.where("path is null").select("file", "ordinal", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "doc_id")
+    out = cut(named.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens"))
+    remove(folder)
+    return out
