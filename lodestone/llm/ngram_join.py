@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, runs, slices
@@ -46,7 +46,7 @@ def least_matches(threshold: float, tolerance: float, n: int) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, hashes: int, seed: int) -> DataFrame:
-    """(doc_id, cid, bands array<long>, sig binary): cid names the text's words, null for a text without words."""
+    """(doc_id, k1, k2, cid, bands array<long>, sig binary): k1, k2 name the row's id and text, cid the text's words (null without words)."""
     gen = np.random.default_rng(seed)
     mul = gen.integers(1, 2**63, hashes, dtype=np.uint64) | np.uint64(1)
     add = gen.integers(0, 2**63, hashes, dtype=np.uint64)
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                w = words(b.column(1))
+                w = words(b.column("text"))
                 cid = spans_hash(w.hash, w.first[:-1], w.first[1:]).view(np.int64)
                 sh, first = shingles(w, size)
                 some = np.flatnonzero(np.diff(first))
@@ -70,13 +70,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                 low = sig.astype(np.uint16)
                 empty = np.diff(w.first) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(cid, mask=empty), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))), pa.array([x.tobytes() for x in low], pa.binary())],
-                    ["doc_id", "cid", "bands", "sig"],
+                    [b.column(0), b.column(1), b.column(2), pa.array(cid, mask=empty), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))), pa.array([x.tobytes() for x in low], pa.binary())],
+                    ["doc_id", "k1", "k2", "cid", "bands", "sig"],
                 )
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(go, f"doc_id {kind}, cid long, bands array<long>, sig binary")
+    return src.mapInArrow(go, f"doc_id {kind}, k1 long, k2 long, cid long, bands array<long>, sig binary")
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text: rows that agree in both have both in common."""
+    i, t = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, i.isNull()).alias("k2")
 
 
 def _survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -93,8 +99,8 @@ def _survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, i
 
 def _bucket_edges(least: dict[int, int]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in runs(batches, ["key", "blk"]):
-            cid = t.column("cid").to_numpy()
+        for t, at in runs(batches, ["key", "bi", "bj"]):
+            cid, blk = t.column("cid").to_numpy(), t.column("blk").to_numpy()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(cid), -1)
             size = np.diff(at)
             two = at[:-1][size == 2]  # most buckets: all of a batch at once
@@ -102,6 +108,9 @@ def _bucket_edges(least: dict[int, int]):
             a, b = [cid[keep]], [cid[keep + 1]]
             for lo, n in zip(at[:-1][size > 2], size[size > 2], strict=True):
                 i, j = np.triu_indices(n, 1)
+                if t.column("bi")[lo].as_py() != t.column("bj")[lo].as_py():
+                    cross = blk[lo + i] != blk[lo + j]
+                    i, j = i[cross], j[cross]
                 on = _survivors(sig[lo : lo + n], i, j, least)
                 linked = np.zeros((n, n), bool)
                 linked[i[on], j[on]] = linked[j[on], i[on]] = True
@@ -115,32 +124,24 @@ def _bucket_edges(least: dict[int, int]):
 
 
 def _dealt(rows: DataFrame, bucket: int) -> DataFrame:
-    """(cid, key, next, blk, nb) for the buckets of more than one member; those with the same members are kept once.
+    """(cid, key, blk, bi, bj) for the buckets of more than one member; those with the same members are kept once.
 
-    A bucket of more than `bucket` members is dealt evenly into nb blocks, and its first member joins each of them.
+    A bucket of more than `bucket` members is dealt into blocks; each member goes to the pairs of its block with every
+    block, so that any two members meet, in groups of two blocks at most.
     """
     stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lead"), F.sum(F.shiftright(F.xxhash64("cid"), 16)).alias("mark")).where("n > 1")
     buckets = stats.groupBy("mark", "n", "lead").agg(F.min("key").alias("key"))
-    out = rows.join(buckets.select("key", "n", "lead"), "key").withColumn("nb", F.ceil(F.col("n") / bucket).cast("int"))
-    own = F.array(F.pmod(F.xxhash64("cid", "key"), F.col("nb")).cast("int"))
-    blk = F.when((F.col("nb") > 1) & (F.col("cid") == F.col("lead")), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(own)
-    return out.select("cid", "key", "next", "nb", F.explode(blk).alias("blk"))
+    out = rows.join(buckets.select("key", "n"), "key").withColumn("nb", F.ceil(F.col("n") / bucket).cast("int"))
+    out = out.withColumn("blk", F.pmod(F.xxhash64("cid", "key"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return out.select("cid", "key", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
 
 
 def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, bucket: int, hashes: int) -> DataFrame:
-    """(a, b): a spanning forest of the pairs that survive pruning, for each block of each bucket.
-
-    Members of a bucket that is dealt into blocks also meet in buckets of this band's key and the next one's together,
-    which near-copies tend to share.
-    """
-    rows = reps.select("cid", "bands", F.posexplode("bands").alias("pos", "key"))
-    rows = rows.select("cid", "key", F.element_at("bands", (F.col("pos") + 1) % F.size("bands") + 1).alias("next"))
-    once = cut(_dealt(rows, bucket))
-    hot = once.where("nb > 1").select("cid", F.xxhash64("key", "next").alias("key"), "next").distinct()
-    both = once.union(_dealt(hot, bucket).select(*once.columns)).select("cid", "key", "blk")
+    """(a, b): a spanning forest of the pairs that survive pruning, for each pair of blocks of each bucket."""
+    dealt = _dealt(reps.select("cid", F.explode("bands").alias("key")), bucket)
     least = {n: least_matches(threshold, tolerance, n) for n in {*range(STEP, hashes, STEP), hashes}}
-    full = both.join(reps.select("cid", "sig"), "cid").repartition("key", "blk").sortWithinPartitions("key", "blk")
-    return full.select("key", "blk", "cid", "sig").mapInArrow(_bucket_edges(least), "a long, b long")
+    full = dealt.join(reps.select("cid", "sig"), "cid").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return full.select("key", "bi", "bj", "blk", "cid", "sig").mapInArrow(_bucket_edges(least), "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -197,34 +198,57 @@ def _verified(threshold: float, size: int):
     return go
 
 
-def ngram_join(
+def _classified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, bands: int = 20, hashes: int = 128,
     tolerance: float = 1e-3, bucket: int = 256, block: int = 192, seed: int = 11,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id reachable over links), n_links (rows linked directly), kept.
-
-    Documents link where the sets of their five-word shingles have a Jaccard similarity of at least the threshold. Words
-    are split at white space, A-Z lower-cased. A text of fewer words than a shingle has one shingle, all its words. Null
-    and empty texts have none: they link with nothing and each is a class of its own. Rows repeated with one id are
-    copies of each other (kept holds for each of them); null ids form classes by text as others do. Other columns are
-    ignored. An empty table gives an empty result.
-    """
+    """(doc_id, k1, k2, cid, component, class_id, n_links) for each row of docs; component names the class."""
     sig = cut(signatures(docs, id_col, text_col, size, bands, hashes, seed))
-    classes = sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    picked = sig.where("cid is not null").join(classes, "cid").where("doc_id <=> rep")
+    classes = sig.where("cid is not null").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x"), F.count("*").alias("weight"))
+    classes = classes.select("cid", F.col("x.doc_id").alias("rep"), F.col("x.k1").alias("r1"), F.col("x.k2").alias("r2"), "weight")
+    picked = sig.where("cid is not null").join(classes, "cid").where("k1 = r1 and k2 = r2")
     reps = picked.dropDuplicates(["cid"]).select("cid", "bands", "sig")
     comp = components(candidate_edges(reps, threshold, tolerance, bucket, hashes))
     need = comp.withColumnRenamed("id", "cid").join(classes, "cid")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # an id may repeat with other texts: _verified keeps, once, the row whose words have the class's hash
-    members = need.join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select(F.col("cid").alias("id"), "component", "weight", "text")
+    texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
+    # rows may agree in id and text: _verified keeps one whose words have the class's hash
+    members = need.join(texts, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2"))).select(F.col("cid").alias("id"), "component", "weight", "text")
     pairs = block_pairs(members, block).repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     found = cut(pairs.select("component", "bi", "bj", "blk", "id", "weight", "text").mapInArrow(_verified(threshold, size), "a long, b long, n long"))
     links = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "cid")
     final = components(found.where("a != b")).withColumnRenamed("id", "cid")
     joined = classes.join(links, "cid", "left").join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = joined.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_class = joined.join(named, "component").select("cid", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    full = sig.select("doc_id", "cid").join(by_class, "cid", "left")
+    by_class = joined.join(named, "component").select("cid", "component", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    full = sig.select("doc_id", "k1", "k2", "cid").join(by_class, "cid", "left")
     class_id = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return full.select("doc_id", class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return full.select("doc_id", "k1", "k2", "cid", "component", class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id reachable over links), n_links (rows linked directly), kept.
+
+    Documents link where the sets of their five-word shingles have a Jaccard similarity of at least the threshold. Words
+    are split at white space, A-Z lower-cased. A text of fewer words than a shingle has one shingle, all its words. Null
+    and empty texts have none: they link with nothing and each is a class of its own. Rows repeated with one id are
+    copies of each other (kept holds for each of them); null ids form classes by text as others do. Other columns are
+    ignored. An empty table gives an empty result.
+    """
+    full = _classified(docs, id_col, text_col, **options)
+    return full.select("doc_id", "class_id", "n_links", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay when each class keeps one: that of the smallest id (null ids last), all columns kept.
+
+    Texts without words stay, every row. Different texts under one id are judged each by its own class; of rows with one
+    id and one text the least by all their columns stays, which must be of kinds that can be ordered.
+    """
+    names = docs.columns
+    full = _classified(docs, id_col, text_col, **options).where("cid is not null")
+    pick = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("x")).select(F.col("x.k1").alias("_k1"), F.col("x.k2").alias("_k2"))
+    k1, k2 = row_keys(id_col, text_col)
+    wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(wordy).select(k1.alias("_k1"), k2.alias("_k2"), *names)
+    one = keyed.join(pick, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.min(F.struct(*names)).alias("_r"))
+    return one.select("_r.*").union(docs.where(~wordy).select(*names))
