@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, mixing, ngram_join, pii, toxicity
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm.common import remove, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (nulls match nulls)."""
-    return docs.alias("d").join(ids.select(F.col("doc_id").alias("_k")).distinct(), F.expr("d.doc_id <=> _k"), "left_semi").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.7; the grammar is learned from labelled rows of the table."""
+    """Documents whose toxicity score is under 0.7; the grammar is learned from labelled rows of the table.
+
+    Every row is judged by its own text, whatever its id; null and empty texts stay.
+    """
     labels = toxicity.train_rows(table(spark, sf_dir, "labels"))
     grammar = toxicity.learn(docs.select("doc_id", "text"), labels)
     marked = toxicity.mark(docs.select(*COLUMNS), grammar)
@@ -26,18 +24,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id (one of its rows, if the id repeats)."""
-    kept = ngram_join.ngram_join(docs).where("kept").select("doc_id")
-    return _keep(docs, kept).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    """Of each class of near-duplicates the document with the smallest id.
+
+    Texts without words are no one's duplicates and stay, every row. Different texts under one id, or under none, are
+    judged apart; of rows that agree in id and text one stays.
+    """
+    return ngram_join.first_of_each_class(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows are judged each, null ids too."""
     return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind in angle brackets; n_chars is that of the new text."""
+    """Every document, personal data replaced by its kind in angle brackets; n_chars is that of the new text.
+
+    Null texts stay null, with null n_chars; repeated rows and null ids are rows as any other.
+    """
     found = pii.mask_rows(docs.select(*COLUMNS))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -65,14 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet to the shared folder and read again."""
+    """All stages over the documents, each written as Parquet to the shared folder and read again; of the written ones the last stays."""
     import uuid
 
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before:
+                remove(before)
+            before = f"{folder}/{k}-{name}"
     return docs

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,23 @@ def test_token_counts(spark):
     assert token_scan.token_counts(df.where("false")).count() == 0
 
 
+def test_tokens_of_long_texts(spark):
+    """Long runs of white space, of letters and of both, beyond any size at which a text might be cut."""
+    texts = ["a b  " * 20_000, "x" * 70_000, " " * 70_000 + "y", "a" * 65_535 + "  b" * 10, "ab" * 40_000 + " c\n\n" * 9_000]
+    enc = token_scan._Encoder(token_scan.default_vocabulary()).encoding
+    got = token_scan.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), block_tokens=1_000)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+
+
+def test_flat_files_are_what_is_scanned(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(50)], "doc_id long, text string").repartition(3)
+    listed = token_scan.write_flat(docs, f"file://{tmp_path}/flat", token_scan.default_vocabulary(), 50256)
+    sizes = {r.path.split("/")[-1]: r.length for r in listed.where("path is not null").collect()}
+    assert sizes == {f.name: f.stat().st_size for f in (tmp_path / "flat").iterdir()}
+    got = token_scan.stitch(token_scan.scan_blocks(token_scan.read_flat(spark, f"{tmp_path}/flat", block_tokens=9), 50256), open_tail=False)
+    assert sorted(r.n_tokens for r in got.collect()) == sorted(r.n_tokens for r in token_scan.token_counts(docs).collect())
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +425,19 @@ def test_planted_passages(spark):
     assert {r.doc_id: sorted(r.item_ids) for r in parts.collect()} == {i: sorted(x) for i, x in got.items()}
 
 
+def test_repeated_rows_meet_every_part_of_the_items(spark):
+    """Several parts of items: each row stays a row, whatever its id; null ids and equal rows too."""
+    rng = np.random.default_rng(61)
+    items = [(k, " ".join(rng.choice([f"v{i}" for i in range(500)], 20))) for k in range(6)]
+    rows = [(1, items[0][1]), (1, items[5][1]), (1, items[0][1]), (None, items[3][1]), (None, "clean"), (None, None)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((str(r.doc_id), r.item_ids) for r in decontamination.contamination(docs, table).collect())
+    assert whole == sorted([("1", [0]), ("1", [5]), ("1", [0]), ("None", [3]), ("None", []), ("None", [])])
+    assert sorted((str(r.doc_id), r.item_ids) for r in decontamination.contamination(docs, table, part_chars=50).collect()) == whole
+    for size in (50, 4 << 20):
+        assert sorted(str(r.text) for r in decontamination.clean(docs, table, part_chars=size).collect()) == ["None", "clean"]
+
+
 def _edited(rng, part, edits):
     """The words after so many random substitutions, insertions and deletions."""
     part = list(part)
@@ -441,12 +472,35 @@ def test_passages_with_all_allowed_edits(spark):
 def test_short_items_and_large_shares(spark):
     docs = spark.createDataFrame([(1, "p q a x b y c r s"), (2, "p q a b r s"), (3, "p q r s t u v w")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c"), (2, "a b")], "item_id long, text string")
-    got = decontamination.contamination(docs, items, share=0.67, min_words=3)
-    assert {r.doc_id: r.item_ids for r in got.collect()} == {1: [1], 2: [1], 3: []}
-    got = decontamination.contamination(docs, items, min_words=2)
+    got = decontamination.contamination(docs, items, share=0.67)
+    assert {r.doc_id: r.item_ids for r in got.collect()} == {1: [1, 2], 2: [1, 2], 3: []}
+    got = decontamination.contamination(docs, items)
     assert {r.doc_id: r.item_ids for r in got.collect()} == {1: [], 2: [2], 3: []}
 
 
+@pytest.mark.parametrize("m", [3, 7, 12, 20, 40, 80, 200])
+def test_recall_of_the_walks(m):
+    """All permitted edits of one kind: the tables name, and the distance confirms, the share that they promise."""
+    rng = np.random.default_rng(m)
+    e = decontamination.allowed_edits(m, 0.15)
+    for kind in range(3):
+        texts, items = [], []
+        for k in range(150):
+            item = [f"w{x}" for x in rng.integers(0, 3000, m)]
+            out = list(item)
+            for p in sorted(rng.choice(m, e, replace=False))[::-1]:
+                if kind == 0:
+                    out[p] = f"sub{p}"
+                elif kind == 1:
+                    out.insert(p, f"ins{p}")
+                else:
+                    del out[p]
+            items.append(" ".join(item))
+            texts.append(" ".join([f"p{x}" for x in rng.integers(0, 3000, 30)] + out + ["end"] * 30))
+        got = decontamination._Items(list(range(150)), items, 0.15, 0.99, 5).search(pa.array(texts))
+        assert np.mean([any(i == k for i, _ in got[k]) for k in range(150)]) >= 0.97
+
+
 def test_edit_distance():
     a = np.array([1, 2, 3, 4], np.uint64)
     assert decontamination.edit_distance(a, np.array([9, 1, 2, 3, 4, 9], np.uint64), 3) == 0

@@ -46,3 +46,11 @@ def test_stages_on_awkward_rows(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert name == "mixing" or docs.columns == P.COLUMNS
         assert docs.count() >= 5
+
+
+def test_different_texts_under_one_id_stay(spark, sf_dir):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red blue green black white brown"
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, c), (None, b), (None, ""), (None, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in P.one_of_each_class(spark, docs, sf_dir).collect())
+    assert got == Counter([(1, a), (1, b), (None, c), (None, ""), (None, ""), (3, None)])
