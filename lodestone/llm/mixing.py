@@ -1,6 +1,7 @@
 """Soft-membership mixing, in DataFrame operations only.
 
-A Gaussian naive Bayes classifier, fitted by aggregation over labelled rows, gives each document a posterior over domains.
+A naive Bayes classifier over words, learned by aggregation over labelled rows, gives each document a posterior over
+domains: its words' evidence by word, so that a document of two domains belongs to both, whatever its length.
 Projected-gradient least squares then finds a nonnegative rate for each document so that the expected tokens of each
 domain, summed over documents, come to the target shares of the token budget. Where a fixed number of gradient rounds
 does not get there (small domains beside a dominant one), Newton steps on the domains' multipliers finish the work.
@@ -9,6 +10,7 @@ does not get there (small domains beside a dominant one), Newton steps on the do
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,57 +18,102 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-# Features: occurrences of these patterns for each character.
-FEATURES = {
-    "acute": "[éèêàç]", "tilde": "[ñáíóú]", "umlaut": "[äöüß]", "th": "th", "qu": "qu", "ch": "ch", "e": "e", "o": "o",
-}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SCALES = tuple(2.0 ** (k / 2) for k in range(-4, 13))  # of the evidence, tried on the labelled rows
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, f_...): words separated by white space, and the rate of each feature; null texts are empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    cols = [(F.regexp_count(text, F.lit(p)) / size).alias(f"f_{k}") for k, p in FEATURES.items()]
-    return docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), *cols)
+@dataclass(frozen=True)
+class Domains:
+    """names and priors of the domains; words (word, l0, l1, ...): log-ratios of a word's rate in a domain and in all; scale of the evidence."""
 
+    names: list[str]
+    priors: list[float]
+    words: DataFrame | None
+    n_words: int
+    scale: float
 
-def fit_domains(feats: DataFrame, labelled: DataFrame, domain_col: str = "domain") -> list[tuple]:
-    """(domain, prior, means, variances) for each domain, by name: aggregates over all labelled rows, one row a domain.
 
-    labelled: (doc_id, domain). Domains are few by contract; rows with a null id or domain are left out.
+def tokens(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs without the text, a row for each word (A-Z lower-cased, closing punctuation off); a text without words has one empty word."""
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    rest = [c for c in docs.columns if c != text_col]
+    split = docs.select(*rest, F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("token"))
+    return split.select(*rest, "token", F.rtrim("token", F.lit(".,;:!?")).alias("word"))
+
+
+def evidence(docs: DataFrame, words: DataFrame | None, k: int, small: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_tokens, n_known, e0, e1, ...): words of each row, and the sums of their log-ratios. The words are added up before any shuffle."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
+    each = tokens(rows, "text")
+    if words is None:
+        each = each.withColumn("l0", F.lit(None).cast("double"))
+    else:
+        each = each.join(F.broadcast(words) if small else words, "word", "left")
+    sums = [F.coalesce(F.sum(f"l{d}"), F.lit(0.0)).alias(f"e{d}") for d in range(k)]
+    return each.groupBy("_row", "doc_id").agg(F.count_if(F.col("token") != "").alias("n_tokens"), F.count("l0").alias("n_known"), *sums).drop("_row")
+
+
+def learn_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", most_rows: int = 20_000, most_domains: int = 256, least_ratio: float = 16.0, most_broadcast: int = 500_000) -> Domains:
+    """A naive Bayes classifier over words, from at most most_rows labelled rows, by the hash of their id.
+
+    labelled: (doc_id, domain); rows with a null id or domain are left out, of several domains of one id the least holds.
+    Words are kept whose counts over the domains differ from chance (likelihood ratio least_ratio at least); the others
+    say nothing. The scale of the evidence is that of the least log-loss on the labelled rows. Raises ValueError for more
+    than most_domains domains.
     """
-    own = labelled.select("doc_id", F.col(domain_col).alias("domain")).where("doc_id is not null and domain is not null")
-    own = own.groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    names = [f"f_{k}" for k in FEATURES]
-    aggs = [g(c).alias(f"{n}_{c}") for c in names for n, g in (("m", F.avg), ("v", F.var_pop))]
-    rows = feats.join(own, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *aggs).orderBy("domain").collect()
-    total = sum(r.n for r in rows)
-    return [(r.domain, r.n / total, [r[f"m_{c}"] for c in names], [r[f"v_{c}"] for c in names]) for r in rows]
-
-
-def posteriors(feats: DataFrame, model: list[tuple], least_var: float = 1e-5) -> DataFrame:
-    """feats with p0, p1, ...: the domains' posteriors in the model's order. Without words the priors hold."""
-    logs: list[Column] = []
-    for _, prior, means, variances in model:
-        x = F.lit(float(np.log(prior)))
-        for name, m, v in zip(FEATURES, means, variances, strict=True):
-            v = (v or 0.0) + least_var
-            term = F.lit(-0.5 * float(np.log(v))) - (F.col(f"f_{name}") - F.lit(float(m))) ** 2 / F.lit(2 * v)
-            x = x + F.when(F.col("n_tokens") > 0, term).otherwise(F.lit(0.0))
-        logs.append(x)
-    scored = feats.select("doc_id", "n_tokens", *[x.alias(f"l{k}") for k, x in enumerate(logs)])
-    top = F.greatest(*[F.col(f"l{k}") for k in range(len(logs))]) if len(logs) > 1 else F.col("l0")
-    exps = scored.select("doc_id", "n_tokens", *[F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in range(len(logs))])
-    whole = sum((F.col(f"e{k}") for k in range(1, len(logs))), F.col("e0"))
-    return exps.select("doc_id", "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(logs))])
+    own = labelled.select(F.col("doc_id").alias("_id"), F.col(domain_col).cast("string").alias("_domain")).where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
+    own = own.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+    sample = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_domain").alias("domain")))
+    rows = sample.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").limit(most_domains + 1).collect()
+    if len(rows) > most_domains:
+        raise ValueError(f"mixing: more than {most_domains} domains")
+    names, total = [r.domain for r in rows], sum(r.n for r in rows)
+    if not names:
+        return Domains([], [], None, 0, 1.0)
+    k = len(names)
+    each = tokens(sample, "text").where("word != ''")
+    counts = cut(each.groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(names)]))
+    sums = counts.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    whole = sums.n or 1
+    share = [(sums[f"c{i}"] or 0) / whole for i in range(k)]
+    ratio = sum((F.when(F.col(f"c{i}") > 0, 2 * F.col(f"c{i}") * F.log(F.col(f"c{i}") / (F.col("n") * F.lit(max(share[i], 1e-300))))).otherwise(F.lit(0.0)) for i in range(k)), F.lit(0.0))
+    # a domain's rate of the word, drawn toward the rate in all by half an occurrence
+    logs = [F.log((F.col(f"c{i}") + 0.5 * F.lit(share[i])) / (F.col("n") * F.lit(share[i]) + 0.5 * F.lit(share[i]))).alias(f"l{i}") if share[i] else F.lit(0.0).alias(f"l{i}") for i in range(k)]
+    words = cut(counts.where(ratio >= least_ratio).select("word", *logs))
+    n_words = words.count()
+    priors = [r.n / total for r in rows]
+    seen = evidence(sample.select(F.concat_ws("\x1f", F.col("domain"), F.col("doc_id").cast("string")).alias("doc_id"), "text"), words, k, n_words <= most_broadcast, "doc_id", "text")
+    seen = cut(seen.withColumn("domain", F.element_at(F.split("doc_id", "\x1f"), 1)))
+    own_p = sum((F.when(F.col("domain") == d, p).otherwise(F.lit(0.0)) for d, p in zip(names, _softmax(priors, F.col("scale")), strict=True)), F.lit(0.0))
+    tried = seen.withColumn("scale", F.explode(F.array(*[F.lit(x) for x in SCALES]))).select("scale", (-F.log(F.greatest(own_p, F.lit(1e-12)))).alias("loss"))
+    losses = {r.scale: r.loss for r in tried.groupBy("scale").agg(F.sum("loss").alias("loss")).collect()}
+    return Domains(names, priors, words, n_words, min(losses, key=lambda x: (losses[x], x), default=1.0))
+
+
+def _softmax(priors: list[float], scale: Column) -> list[Column]:
+    """Posteriors from e0, e1, ...: evidence by known word, scaled; a row without known words has the priors."""
+    k = len(priors)
+    mean = [F.when(F.col("n_known") > 0, F.col(f"e{d}") / F.col("n_known")).otherwise(F.lit(0.0)) for d in range(k)]
+    logs = [F.lit(float(np.log(p))) + scale * m for p, m in zip(priors, mean, strict=True)]
+    top = F.greatest(*logs) if k > 1 else logs[0]
+    exps = [F.exp(x - top) for x in logs]
+    whole = sum(exps[1:], exps[0])
+    return [x / whole for x in exps]
+
+
+def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 500_000) -> DataFrame:
+    """(doc_id, n_tokens, p0, p1, ...): the domains' posteriors in the model's order. A row without known words has the priors."""
+    got = evidence(docs, model.words, len(model.names), model.n_words <= most_broadcast, id_col, text_col)
+    return got.select("doc_id", "n_tokens", *[p.alias(f"p{d}") for d, p in enumerate(_softmax(model.priors, F.lit(model.scale)))])
 
 
 def fit_rates(state: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 60, tolerance: float = 1e-4, cut_every: int = 10) -> DataFrame:
     """state (doc_id, n_tokens, p0, ...) with rate: minimises the squared distance of domain totals to targets * budget.
 
-    Step by step rate = max(0, rate - step * p . residual), the gradient in the metric that weighs a document by its
-    tokens; the step is the inverse of the largest eigenvalue of the domains' moment matrix (domains squared in size).
-    Only that matrix and a residual for each domain reach the driver. The budget is all tokens unless given.
+    Distances are weighed by the inverse of the domains' moment matrix, so that a small domain counts as a large one and
+    the gradient's Lipschitz constant is 1. Round by round rate = max(0, rate - p . weighted residual), the gradient in
+    the metric that weighs a document by its tokens. Only the matrix (domains squared in size) and a residual for each
+    domain reach the driver. The budget is all tokens unless given.
     """
     k = len(targets)
     p, n = [F.col(f"p{d}") for d in range(k)], F.col("n_tokens")
@@ -75,7 +122,7 @@ def fit_rates(state: DataFrame, targets: list[float], budget: float | None = Non
         return state.withColumn("rate", F.lit(1.0))
     whole = float(first["all"])
     moment = np.array([[first[f"h{min(a, b)}_{max(a, b)}"] / whole for b in range(k)] for a in range(k)])
-    step = 1.0 / max(np.linalg.eigvalsh(moment).max(), 1e-12)
+    weigh = np.linalg.pinv(moment, rcond=1e-9, hermitian=True)
     goal = np.array(targets) / sum(targets) * (budget or whole) / whole
     now = state.withColumn("rate", F.lit(1.0))
     for i in range(rounds):
@@ -83,7 +130,8 @@ def fit_rates(state: DataFrame, targets: list[float], budget: float | None = Non
         residual = np.array([got[f"t{d}"] for d in range(k)]) / whole - goal
         if np.abs(residual).max() <= tolerance:
             break
-        move = sum((p[d] * F.lit(float(step * residual[d])) for d in range(1, k)), p[0] * F.lit(float(step * residual[0])))
+        by = weigh @ residual
+        move = sum((p[d] * F.lit(float(by[d])) for d in range(1, k)), p[0] * F.lit(float(by[0])))
         now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
         if (i + 1) % cut_every == 0:
             now = cut(now)
@@ -147,18 +195,19 @@ def meet_targets(state: DataFrame, targets: list[float], budget: float | None =
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", budget: float | None = None) -> tuple[DataFrame, list[str]]:
     """(doc_id, n_tokens, p0, ..., rate) and the domains' names in the order of p0, p1, ...
 
-    labelled: (doc_id, domain) for some documents. Domains without a target aim at 0 tokens; targets of domains that no
-    labelled row has are left out, and without any labelled row every rate is 1 and there is no p column. Documents
-    without words have no tokens, the priors as posterior and a rate as any other. Rows that repeat an id are rows of
-    their own; null ids are kept. An empty table gives an empty result. Targets are met to 1e-4 of all tokens, or a
-    warning says that no rates meet them.
+    labelled: (doc_id, domain) for some documents. Domains without a target aim at 0 tokens; a warning names targets of
+    domains that no labelled row has, which are left out. Without any labelled row every rate is 1 and there is no p
+    column. Documents without words have no tokens, the priors as posterior and a rate as any other. Rows that repeat an
+    id are rows of their own; null ids are kept. Other columns are ignored. An empty table gives an empty result. Targets
+    are met to 1e-4 of all tokens, or a warning says that no rates meet them.
     """
-    feats = cut(features(docs, id_col, text_col))
-    model = fit_domains(feats, labelled)
-    if not model:
-        return feats.select("doc_id", "n_tokens").withColumn("rate", F.lit(1.0)), []
-    names = [m[0] for m in model]
-    aims = [float(targets.get(d, 0.0)) for d in names]
+    model = learn_domains(docs, labelled, id_col, text_col)
+    if not model.names:
+        return evidence(docs, None, 0, True, id_col, text_col).select("doc_id", "n_tokens").withColumn("rate", F.lit(1.0)), []
+    missing = sorted(d for d, t in targets.items() if t and d not in model.names)
+    if missing:
+        warnings.warn(f"mixing: no labelled row has the domains {missing}; their targets are left out", stacklevel=2)
+    aims = [float(targets.get(d, 0.0)) for d in model.names]
     if not any(aims):
-        aims = [m[1] for m in model]
-    return meet_targets(fit_rates(cut(posteriors(feats, model)), aims, budget), aims, budget), names
+        aims = model.priors
+    return meet_targets(fit_rates(cut(posteriors(docs, model, id_col, text_col)), aims, budget), aims, budget), model.names

@@ -544,9 +544,9 @@ def test_rates_match_plain_projected_gradient(spark):
     state = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(50)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     got = mixing.fit_rates(state, [0.7, 0.2, 0.1], rounds=40, tolerance=0.0, cut_every=7).orderBy("doc_id").toPandas().rate.to_numpy()
     r, whole = np.ones(50), n.sum()
-    step = 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p / whole).max()
+    weigh = np.linalg.inv((p * n[:, None]).T @ p / whole)
     for _ in range(40):
-        r = np.maximum(0, r - step * (p @ ((r * n) @ p / whole - [0.7, 0.2, 0.1])))
+        r = np.maximum(0, r - p @ weigh @ ((r * n) @ p / whole - [0.7, 0.2, 0.1]))
     assert np.allclose(got, r, atol=1e-9)
 
 
@@ -566,6 +566,26 @@ def test_rates_reach_targets_beside_a_dominant_domain(spark, counts):
     assert np.allclose(totals, [aims[d] for d in names], atol=1e-4)
 
 
+def test_posteriors_match_plain_naive_bayes(spark):
+    rng = np.random.default_rng(13)
+    rows = [(lang, " ".join(rng.choice((text + " shared common").split(), 15))) for lang, text in TALK.items() for _ in range(12)]
+    rows += [("en", ""), ("fr", None), ("de", "words never seen")]
+    docs = spark.createDataFrame([(i, t, d) for i, (d, t) in enumerate(rows)], "doc_id long, text string, domain string")
+    known = {i for i in range(len(rows) - 3) if i % 2 == 0}
+    model = mixing.learn_domains(docs, docs.where(F.col("doc_id").isin(*known)).select("doc_id", "domain"), least_ratio=1.0)
+    got = {r.doc_id: r for r in mixing.posteriors(docs, model).collect()}
+    count = {d: Counter(w for i in known if rows[i][0] == d for w in split(rows[i][1])) for d in model.names}
+    every = sum(count.values(), Counter())
+    share = {d: sum(c.values()) / sum(every.values()) for d, c in count.items()}
+    ratio = lambda w: sum(2 * c[w] * math.log(c[w] / (every[w] * share[d])) for d, c in count.items() if c[w])
+    for i, (_, text) in enumerate(rows):
+        seen = [w for w in split(text) if w in every and ratio(w) >= 1.0]
+        logs = [math.log(model.priors[k]) + model.scale * sum(math.log((count[d][w] + 0.5 * share[d]) / (every[w] * share[d] + 0.5 * share[d])) for w in seen) / max(len(seen), 1) for k, d in enumerate(model.names)]
+        want = np.exp(np.array(logs) - max(logs)) / np.exp(np.array(logs) - max(logs)).sum()
+        assert np.allclose([got[i][f"p{k}"] for k in range(len(model.names))], want, atol=1e-9)
+        assert got[i].n_tokens == len(split(text))
+
+
 def test_targets_out_of_reach_are_reported(spark):
     docs = spark.createDataFrame([(i, "the same words", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, domain string")
     with pytest.warns(UserWarning, match="no rates meet the targets"):
