@@ -112,7 +112,7 @@ def find_across_groups(spark, d):
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(trim(text)) > 0 AND length(text) <= CASE lang WHEN 'en' THEN 3000 WHEN 'fr' THEN 500 ELSE 50000 END")
 def text_length_limit(spark, d):
     limits = spark.createDataFrame([("en", 3000), ("fr", 500)], "lang string, most int")
-    rows = T.load(spark, d, "documents").join(F.broadcast(limits), "lang", "left")
+    rows = T.load(spark, d, "documents").join(J.small(limits), "lang", "left")
     return rows.where(P.text_fits(F.coalesce("most", F.lit(50_000)))).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
@@ -145,10 +145,11 @@ def price_matrix(spark, d):
     return J.price_matrix(meta(spark, d), models).select("id", "model_name", F.round("model_cost", 9).alias("model_cost"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2e-8 WHEN doc_id % 4 = 1 THEN 1.3e-7 WHEN doc_id % 4 = 2 THEN 5e-8 END AS price FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 2e-8 WHEN 1 THEN 1.3e-7 WHEN 2 THEN 1.3e-7 WHEN 3 THEN 5e-8 END AS price FROM documents""")
 def model_price_lookup(spark, d):
-    models = spark.createDataFrame(_MODELS, "model_name string, provider string, input_cost_per_token double")
-    name = F.element_at(F.array(*map(F.lit, ("small", "x/acme/large/1", "zen/other", "none"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    """Exact names; provider and part of a name; too much of a name, another provider, a longer path, an unknown name."""
+    models = spark.createDataFrame([("small", "acme", 2e-8), ("acme-large", "acme", 1.3e-7), ("large-old", "acme", 9e-8), ("zen/o", "zen", 5e-8)], "model_name string, provider string, input_cost_per_token double")
+    name = F.element_at(F.array(*map(F.lit, ("small", "acme/large", "acme/larg", "zen/zen/o", "zen/large", "x/acme/large/1", "none"))), (F.col("doc_id") % 7 + 1).cast("int"))
     return S.with_price(T.load(spark, d, "documents").select("doc_id", name.alias("model")), models).select("doc_id", "price")
 
 

@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import vectors
+from ..plans import jobs
 from ..sources.tables import load
 from ..sources.views import NOW, meta, progress, query_vectors
 from ..streaming import progress as R
@@ -63,7 +64,7 @@ def dimension_listing(spark, d):
     return rows.where(P.has_role([1, 2])).orderBy("s_suppkey").limit(100).select("s_suppkey", "s_name")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS score FROM embeddings, q WHERE vec_id % 4 IN (1, 3)),
  h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s)
  SELECT query_id, id, round(score, 6) AS score FROM h WHERE rank <= 5 AND score >= 0.3""")
@@ -98,6 +99,38 @@ def persona_prompts(spark, d):
     return J.with_persona(rows, personas).select("c_custkey", "prompt")
 
 
+@query("SELECT event_id AS id, ts AS created_at FROM events WHERE user_id % 7 = 3 AND event_type = 'view' AND event_id % 2 = 0 ORDER BY ts DESC, event_id LIMIT 40 OFFSET 20")
+def evaluation_listing(spark, d):
+    """A user's and group's evaluations, by status and mode where these are asked for, newest first, a page of them."""
+    rows = load(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("user_id"), F.lit(1).alias("group_id"), F.col("event_type").alias("status"), (F.col("event_id") % 2).alias("eval_mode"), F.col("ts").alias("created_at"))
+    found = rows.where(P.equals(user_id=3, group_id=1, status="view", eval_mode=0))
+    return found.orderBy(F.desc("created_at"), "id").offset(20).limit(40).select("id", "created_at")
+
+
+@query("SELECT c_custkey, s_suppkey % 3 > 0 AS active FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey % 200".replace("s_suppkey % 3 > 0", "coalesce(s_suppkey % 3 > 0, false)"))
+def active_models(spark, d):
+    """Whether the model that a row names is there and active."""
+    models = load(spark, d, "supplier").select(F.col("s_suppkey").alias("model"), (F.col("s_suppkey") % 3 > 0).alias("is_active"))
+    rows = load(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 200).alias("model"))
+    return rows.join(J.small(models), "model", "left").select("c_custkey", F.coalesce("is_active", F.lit(False)).alias("active"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS model_name FROM supplier WHERE s_suppkey % 3 > 0")
+def active_model_listing(spark, d):
+    models = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("model_name"), (F.col("s_suppkey") % 3 > 0).alias("is_active"))
+    return models.where("is_active").orderBy("id").select("id", "model_name")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 1718002800 WHEN c_custkey % 4 = 2 THEN 1718076600 ELSE 1718496000 END AS scheduled_at, c_custkey % 4 <> 0 AS is_active FROM customer WHERE c_custkey % 5 <> 0
+ UNION ALL SELECT c_custkey, 1718000001, true FROM customer WHERE c_custkey % 5 = 0""".replace("THEN NULL", f"THEN {NOW}"))
+def schedule_ticks(spark, d):
+    """Due schedules without a cron expression are switched off, hourly, daily and weekly ones get their next time; those not yet due stay."""
+    k = F.col("c_custkey")
+    cron = F.when(k % 4 == 1, "0 * * * *").when(k % 4 == 2, "30 3 * * *").when(k % 4 == 3, "0 0 * * 0")
+    rows = load(spark, d, "customer").select(k.alias("id"), cron.alias("cron_expression"), F.when(k % 5 == 0, F.lit(NOW + 1)).otherwise(F.lit(NOW)).cast("bigint").alias("scheduled_at"), F.lit(True).alias("is_active"), F.lit(None).cast("bigint").alias("deleted_at"))
+    return jobs.advance(rows, NOW).select("id", "scheduled_at", "is_active")
+
+
 @query(f"WITH {PROGRESS} SELECT user_id, task_id, arg_max(stage, (ts, event_id)) AS stage FROM progress GROUP BY 1, 2 HAVING arg_max(status, (ts, event_id)) = 'in_progress'")
 def running_snapshot(spark, d):
     """What a new listener is sent first: the state of every running task."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..plans import jobs
-from ..sources.tables import load
+from ..sources.tables import append, load, scan, shared_folder, write_counted, write_evaluation
 from ..sources.views import NOW, meta
 from .base import META, query
 
@@ -19,7 +21,7 @@ def _chunks(spark, d):
     """Slices of 1000 characters of each distinct text as chunk rows."""
     from ..functions.chunking import plain_chunks
 
-    docs = load(spark, d, "documents").select(F.sha2("text", 256).alias("hash_sha256"), "text").distinct()
+    docs = load(spark, d, "documents").select(F.sha2("text", 256).alias("hash_sha256"), "text").dropDuplicates(["hash_sha256"])
     return plain_chunks(docs, 1_000).select("hash_sha256", "chunk_index", F.col("text").alias("parsed_text"))
 
 
@@ -27,12 +29,62 @@ _CH = """ch AS (SELECT hash_sha256, text, unnest(range(CAST(ceil(length(text) /
  ck AS (SELECT hash_sha256, chunk_index, substring(text, chunk_index * 1000 + 1, 1000) AS parsed_text FROM ch)"""
 
 
-@query(_m(f"""SELECT id, group_id, title, status, start_date FROM (SELECT min(id) AS id, group_id, hash_sha256 FROM meta WHERE id % 2 = 1 GROUP BY 2, 3) f
- JOIN (SELECT id, title, 'registered' AS status, {NOW}::BIGINT AS start_date FROM meta) USING (id)
- WHERE NOT EXISTS (SELECT 1 FROM meta o WHERE o.id % 2 = 0 AND o.group_id = f.group_id AND o.hash_sha256 = f.hash_sha256)"""))
+@query(_m(f"""SELECT id, group_id, user_id, category, title, filename, hash_sha256, file_size, role_ids[1] AS role, start_date, {NOW}::BIGINT AS end_date, expiration_date, 'registered' AS status, 'txt' AS file_type, '' AS summary, 0 AS persona_id, 1536 AS zeros, 0 AS counters,
+ CASE WHEN id % 4 = 1 THEN 900 ELSE 500 END AS chunk_size, CASE WHEN id % 4 = 1 THEN 0 ELSE 50 END AS chunk_overlap, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS enable_pii_anonymization, CASE WHEN id % 3 = 0 THEN 'email,phone' END AS pii_types, CASE WHEN id % 3 = 0 THEN 'mask' END AS anonymization_strategy
+ FROM (SELECT min(id) AS id, group_id, hash_sha256 FROM meta WHERE id % 2 = 1 GROUP BY 2, 3) f JOIN meta USING (id, group_id, hash_sha256) WHERE NOT EXISTS (SELECT 1 FROM meta o WHERE o.id % 2 = 0 AND o.group_id = f.group_id AND o.hash_sha256 = f.hash_sha256)"""))
 def register_documents(spark, d):
     m = meta(spark, d)
-    return jobs.register(m.where("id % 2 = 1"), m.where("id % 2 = 0"), NOW).select("id", "group_id", "title", "status", "start_date")
+    files = m.where("id % 2 = 1").withColumns({
+        "chunking": F.when(F.col("id") % 4 == 1, "semantic").otherwise("fixed"), "max_chunk_size": F.lit(900), "enable_pii_anonymization": F.col("id") % 3 == 0,
+        "pii_types": F.array(F.lit("email"), F.lit("phone")), "pii_strategy": F.lit("mask"),
+    })
+    new = jobs.register(files, m.where("id % 2 = 0"), NOW)
+    counters = sum((F.col(c) for c in ("chunk_count", "token", "summary_token", "original_chunk_count", "filtered_chunk_count", "embedding_start_date", "embedding_end_date", "cost")), F.col("summary_cost"))
+    same = ("id", "group_id", "user_id", "category", "title", "filename", "hash_sha256", "file_size", "start_date", "end_date", "expiration_date", "status", "file_type", "summary", "persona_id", "chunk_size", "chunk_overlap", "enable_pii_anonymization", "pii_types", "anonymization_strategy")
+    return new.select(*same, F.element_at("role_ids", 1).alias("role"), F.size(F.filter("embedding_value", lambda x: x == 0)).alias("zeros"), counters.cast("bigint").alias("counters"))
+
+
+@query(_m(f"""SELECT id, CASE WHEN id % 5 = 0 THEN 'uploaded' WHEN id % 5 = 1 THEN 'failed' WHEN id % 5 = 2 THEN 'skipped' ELSE status END AS status, CASE WHEN id % 5 IN (0, 2) THEN id % 100 ELSE token END AS token, CASE WHEN id % 5 IN (0, 2) THEN {NOW} ELSE end_date END AS end_date,
+ CASE WHEN id % 5 IN (0, 2) AND id % 3 > 0 THEN id % 3 ELSE 9 END AS persona_id FROM meta"""))
+def final_status(spark, d):
+    """Runs that end as uploaded or skipped leave their counters; failed ones only their status."""
+    m = meta(spark, d).withColumn("hash_sha256", F.col("id").cast("string")).withColumn("persona_id", F.lit(9).cast("bigint"))
+    k = F.col("id") % 5
+    runs = m.where("id % 5 < 3").select("hash_sha256", F.when(k == 0, "uploaded").when(k == 1, "failed").otherwise("skipped").alias("status"), (F.col("id") % 100).alias("token"), (F.col("id") % 3).alias("persona_id"))
+    return jobs.final_status(m, runs, NOW).select("id", "status", "token", "end_date", "persona_id")
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'new' ELSE s_name END AS description, CASE WHEN s_suppkey % 4 = 1 THEN 'b' ELSE 'a' END AS synonyms, s_suppkey % 4 < 2 AS embedded FROM supplier""")
+def edit_relations(spark, d):
+    """New descriptions, new synonyms and edits that change neither: only the first two make a new vector."""
+    k = F.col("s_suppkey")
+    t = load(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("r"), k.cast("string")).alias("relation_type"), F.col("s_name").alias("description"), F.array(F.lit("a")).alias("synonyms"), F.lit(None).cast("array<float>").alias("embedding"))
+    edits = t.where("id % 4 < 3").select("id", F.when(F.col("id") % 4 == 0, "new").otherwise(F.col("description")).alias("description"), F.when(F.col("id") % 4 == 1, F.array(F.lit("b"))).otherwise(F.col("synonyms")).alias("synonyms"))
+    return jobs.edit_relations(t, edits).select("id", "description", F.element_at("synonyms", 1).alias("synonyms"), F.col("embedding").isNotNull().alias("embedded"))
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query(_m("SELECT group_id, status, count(*) AS n, (SELECT count(*) FROM meta WHERE id % 2 = 0) AS counted FROM meta GROUP BY 1, 2"))
+def appended_rows(spark, d):
+    """Two writes of a table, the first counted against what is expected, the second appended by group; then the table's counts."""
+    m, path = meta(spark, d), _folder(spark)
+    even = m.where("id % 2 = 0")
+    n = write_counted(even, path, even.count(), mode="append", partition_by=("group_id",))
+    append(m.where("id % 2 = 1"), path)
+    return scan(spark, path).groupBy(F.col("group_id").cast("bigint").alias("group_id"), "status").agg(F.count("*").alias("n")).withColumn("counted", F.lit(n).cast("bigint"))
+
+
+@query("SELECT o_orderstatus AS id, (SELECT count(*) FROM orders) AS item_count, count(*) AS n, sum(o_custkey) AS score FROM orders GROUP BY 1")
+def evaluation_sink(spark, d):
+    """An evaluation's details and its header with their number, written and read back."""
+    path = _folder(spark)
+    details = load(spark, d, "orders").select(F.col("o_orderstatus").alias("id"), "o_orderkey", F.col("o_custkey").alias("score"))
+    write_evaluation(details.select("id").distinct(), details, path)
+    found = scan(spark, f"{path}/evaluation_details").groupBy("id").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    return scan(spark, f"{path}/evaluations").join(found, "id").select("id", F.col("item_count").cast("bigint").alias("item_count"), "n", "score")
 
 
 @query()
@@ -60,7 +112,7 @@ _BACK = """good AS (SELECT hash_sha256 FROM meta WHERE list_has_any(role_ids, [1
  GROUP BY 1 HAVING bool_or(status IN ('uploaded','failed','running','ocr_required','skipped')))"""
 
 
-@query(_m(f"SELECT id, CASE WHEN g.hash_sha256 IS NULL THEN status ELSE 'registered' END AS status, CASE WHEN g.hash_sha256 IS NULL THEN token ELSE 0 END AS token, CASE WHEN g.hash_sha256 IS NULL THEN end_date END AS end_date FROM meta LEFT JOIN good g USING (hash_sha256)").replace(" SELECT id, CASE WHEN g.", f", {_BACK} SELECT id, CASE WHEN g.", 1))
+@query(_m(f"SELECT id, CASE WHEN g.hash_sha256 IS NULL THEN status ELSE 'registered' END AS status, CASE WHEN g.hash_sha256 IS NULL THEN token ELSE 0 END AS token, end_date FROM meta LEFT JOIN good g USING (hash_sha256)").replace(" SELECT id, CASE WHEN g.", f", {_BACK} SELECT id, CASE WHEN g.", 1))
 def rollback_meta(spark, d):
     m = meta(spark, d)
     return _roll(spark, d, m)[0].select("id", "status", "token", "end_date")

@@ -41,10 +41,18 @@ def log_export(spark, d):
     return export_logs(action_logs(spark, d), ["id", "user_id", "action_type", "endpoint", "http_method", "status_code", "success", "session_id"])
 
 
-@query(_l("""SELECT id, CASE WHEN contains(endpoint, '/retrieval') THEN 'SEARCH' WHEN http_method = 'POST' THEN 'CREATE' WHEN http_method = 'PUT' THEN 'UPDATE' WHEN http_method = 'DELETE' THEN 'DELETE' ELSE 'READ' END AS kind,
- CASE WHEN status_code BETWEEN 200 AND 399 THEN 'SUCCESS' ELSE 'FAILED' END AS outcome FROM logs"""))
+_PATHS = ("", "/Upload", "/a/DOWNLOAD", "/x/WebSocket", "/Search/upload", "/v1/notifications/7")
+
+
+@query(_l("""SELECT id, CASE WHEN contains(p, 'search') OR contains(p, 'retrieval') THEN 'SEARCH' WHEN contains(p, 'upload') THEN 'UPLOAD' WHEN contains(p, 'download') THEN 'DOWNLOAD' WHEN contains(p, 'websocket') OR starts_with(p, '/notifications/') THEN 'WEBSOCKET'
+ WHEN m = 'GET' THEN 'READ' WHEN m = 'POST' THEN 'CREATE' WHEN m IN ('PUT', 'PATCH') THEN 'UPDATE' WHEN m = 'DELETE' THEN 'DELETE' ELSE 'UNKNOWN' END AS kind, outcome FROM (SELECT id,
+ CASE WHEN id % 11 = 0 THEN '/notifications/' || id ELSE lower(endpoint || ['', '/Upload', '/a/DOWNLOAD', '/x/WebSocket', '/Search/upload', '/v1/notifications/7'][id % 6 + 1]) END AS p, CASE WHEN id % 7 = 0 THEN 'OPTIONS' WHEN id % 7 = 1 THEN 'PATCH' ELSE http_method END AS m,
+ CASE WHEN status_code BETWEEN 200 AND 399 THEN 'SUCCESS' ELSE 'FAILED' END AS outcome FROM logs)"""))
 def log_classes(spark, d):
-    return action_logs(spark, d).select("id", S.action_type("http_method", "endpoint").alias("kind"), S.outcome("status_code").alias("outcome"))
+    i = F.col("id")
+    path = F.when(i % 11 == 0, F.concat(F.lit("/notifications/"), i.cast("string"))).otherwise(F.concat("endpoint", F.element_at(F.array(*map(F.lit, _PATHS)), (i % 6 + 1).cast("int"))))
+    method = F.when(i % 7 == 0, "OPTIONS").when(i % 7 == 1, "PATCH").otherwise(F.col("http_method"))
+    return action_logs(spark, d).select("id", S.action_type(method, path).alias("kind"), S.outcome("status_code").alias("outcome"))
 
 
 @query(_l("SELECT id, CASE WHEN endpoint = '/v1/documents/12' THEN '/v1/documents/{id}' WHEN endpoint = '/v1/embeddings/retrieval' THEN '/v1/{area}/retrieval' END AS template FROM logs"))
@@ -169,6 +177,21 @@ def running_by_category(spark, d):
     return R.running_by_category(progress(spark, d)).select("user_id", "category", F.array_join("tasks", ",").alias("tasks"))
 
 
+_LATE = "SELECT user_id FROM progress GROUP BY 1 HAVING max(ts) >= 1706000000 - 864000"
+
+
+@query(_p(f"""SELECT user_id, string_agg(task_id, ',' ORDER BY task_id) AS tasks FROM (SELECT user_id, task_id, arg_max(status, (ts, event_id)) AS s FROM progress GROUP BY 1, 2) WHERE s = 'in_progress' AND user_id IN ({_LATE}) GROUP BY 1"""))
+def running_by_user_unexpired(spark, d):
+    """At a time, with a time to live that each event of the user renews."""
+    return R.running_by_user(progress(spark, d), 1_706_000_000, 864_000).select("user_id", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query(_p("""SELECT user_id, category, string_agg(task_id, ',' ORDER BY task_id) AS tasks FROM (SELECT user_id, category, task_id, arg_max(status, (ts, event_id)) AS s FROM progress WHERE category <> '' GROUP BY 1, 2, 3)
+ WHERE s = 'in_progress' AND (user_id, category) IN (SELECT (user_id, category) FROM progress WHERE category <> '' GROUP BY user_id, category HAVING max(ts) >= 1706000000 - 864000) GROUP BY 1, 2"""))
+def running_by_category_unexpired(spark, d):
+    return R.running_by_category(progress(spark, d), 1_706_000_000, 864_000).select("user_id", "category", F.array_join("tasks", ",").alias("tasks"))
+
+
 @query(_p("SELECT task_id, 1706000000 - max(ts) <= 30 OR arg_max(status, (ts, event_id)) = 'in_progress' AS active FROM progress GROUP BY 1"))
 def task_liveness(spark, d):
     return R.liveness(progress(spark, d), 1_706_000_000)
@@ -194,10 +217,9 @@ def upload_events(spark, d):
     return decoded.select("task_id", "category", "title", "file_type", "pipeline_separation", "valid", "user_id")
 
 
-@query("SELECT min(event_id) AS first, count(*) AS n FROM (SELECT min(event_id) AS event_id FROM events WHERE user_id % 5 <> 0 GROUP BY user_id)")
+@query("SELECT CAST(user_id AS VARCHAR) AS hash_sha256, count(*) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 <> 0) GROUP BY 1")
 def stream_duplicates(spark, d):
     rows = progress(spark, d).select(F.lit(1).alias("group_id"), F.col("user_id").cast("string").alias("hash_sha256"), "event_id")
     known = rows.where("cast(hash_sha256 as bigint) % 5 = 0")
     fresh = ingest.without_duplicates(rows, known)
-    firsts = rows.join(fresh.select("hash_sha256"), "hash_sha256", "left_semi").groupBy("hash_sha256").agg(F.min("event_id").alias("event_id"))
-    return firsts.agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
+    return fresh.groupBy("hash_sha256").agg(F.count("*").alias("n"))

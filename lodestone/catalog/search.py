@@ -9,17 +9,17 @@ from ..operators import windows as W
 from ..operators.aggregates import file_statistics
 from ..plans import search as plans
 from ..sources.tables import load
-from ..sources.views import query_texts, query_vectors
+from ..sources.views import NOW, meta, query_texts, query_vectors
 from .base import query
 
-_HITS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0),
+_HITS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS score FROM embeddings, q),
  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 10)"""
 
 _BM25 = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
  tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS dl FROM documents),
  n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
- a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 1, 5), ' ')), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+ a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
  sc AS (SELECT query_id, doc_id AS doc_key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM a JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), n GROUP BY 1, 2),
  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_key) AS rank FROM sc) WHERE rank <= 10)"""
@@ -50,7 +50,7 @@ def search_file_statistics(spark, d):
 
 
 def _metric_sql(expr: str, desc: str) -> str:
-    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 25 = 0),
+    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS id, {expr} AS score FROM embeddings, q)
  SELECT query_id, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) {desc}, id) AS rank FROM s) WHERE rank <= 5"""
 
@@ -65,12 +65,12 @@ def dense_top_k_distance(spark, d):
     return vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 5, "L2").select("query_id", "id", F.round("score", 5).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, label AS ql FROM embeddings WHERE vec_id % 25 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, label AS ql FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) AS score FROM embeddings, q WHERE label = ql)
  SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def dense_top_k_restricted(spark, d):
     e = load(spark, d, "embeddings")
-    pairs = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
+    pairs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
     return vectors.dense_top_k(query_vectors(spark, d), e, 10, within=pairs).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -94,15 +94,15 @@ def zero_vectors(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.aggregate(z, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(z).cast("bigint").alias("n"))
 
 
-_BITS = "WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS v FROM embeddings), q AS (SELECT v AS qv FROM b WHERE vec_id = 0)"
-
-
-@query(f"""{_BITS}, c AS (SELECT vec_id, list_dot_product(v, qv) AS common, list_sum(v) + list_sum(qv) - list_dot_product(v, qv) AS one FROM b, q)
- SELECT vec_id, one - common AS hamming, round(1 - common / one, 9) AS jaccard FROM c""")
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM b WHERE vec_id % 20 = 0),
+ c AS (SELECT query_id, vec_id, list_dot_product(v, qv) AS common, list_sum(v) + list_sum(qv) - list_dot_product(v, qv) AS one FROM b, q)
+ SELECT query_id, count(*) AS n, max(one - common) AS hamming, round(sum(CASE WHEN one = 0 THEN 0 ELSE 1 - common / one END), 6) AS jaccard FROM c GROUP BY 1""")
 def binary_metrics(spark, d):
-    b = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("v"))
-    q = F.broadcast(b.where("vec_id = 0").select(F.col("v").alias("q")))
-    return b.crossJoin(q).select("vec_id", vectors.metric("HAMMING", F.col("v"), F.col("q")).alias("hamming"), F.round(vectors.metric("JACCARD", F.col("v"), F.col("q")), 9).alias("jaccard"))
+    """Bits of every 20th vector against those of all: the stated query set travels to the rows in blocks."""
+    bits = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
+    b = load(spark, d, "embeddings").select("vec_id", bits.alias("v"))
+    return vectors.against_all(b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), b, lambda x: x.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.max(vectors.metric("HAMMING", F.col("v"), F.col("q"))).alias("hamming"), F.round(F.sum(vectors.metric("JACCARD", F.col("v"), F.col("q"))), 6).alias("jaccard")))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
@@ -158,6 +158,36 @@ def hybrid_search(spark, d):
     return out.select("query_id", "chunk_id", *[F.round(c, 6).alias(c) for c in ("dense_score", "keyword_score", "score")], F.col("rank").cast("bigint").alias("rank"))
 
 
+_STAGED = """docs AS (SELECT sha256(text) AS hash_sha256, min(doc_id) AS doc, min(doc_id) % 3 AS role FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1),
+ m AS (SELECT hash_sha256, doc, role, CAST(embedding AS DOUBLE[]) AS v FROM docs JOIN embeddings ON vec_id = doc), q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+ one AS (SELECT query_id, hash_sha256, doc FROM (SELECT query_id, hash_sha256, doc, list_cosine_similarity(v, qv) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v, qv), 12) DESC, doc) AS r FROM m, q WHERE role < 2) WHERE r <= 20 AND score >= 0.7),
+ c AS (SELECT vec_id AS id, sha256(text) AS hash_sha256, text, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN documents ON vec_id = doc_id),
+ two AS (SELECT query_id, id, hash_sha256, text, doc, list_cosine_similarity(v, qv) AS score FROM one JOIN c USING (hash_sha256) JOIN q USING (query_id)),
+ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS r FROM two),
+ seen AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY round(score, 12) DESC, id) AS k FROM top WHERE r <= 10)"""
+
+
+@query(f"WITH {_STAGED} SELECT query_id, id, round(score, 6) AS score, 't' || doc AS title FROM seen WHERE k = 1")
+def two_stage_search(spark, d):
+    """Documents first (twice the limit, at most 50, at 0.7 or more, under roles), then chunks of those; titles come from the document."""
+    c = _chunks(spark, d).select(F.col("chunk_id").alias("id"), "hash_sha256", "parsed_text", "embedding")
+    first = c.groupBy("hash_sha256").agg(F.min_by(F.struct("id", "embedding"), "id").alias("x")).select("hash_sha256", "x.*")
+    meta = first.select("id", "hash_sha256", "embedding", F.array(F.col("id") % 3).alias("role_ids"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
+    return plans.two_stage_search(query_vectors(spark, d), meta.withColumn("filename", F.col("title")), c, 10, (0, 1)).select("query_id", "id", F.round("score", 6).alias("score"), "title")
+
+
+_SEEN = _BM25.replace(" top AS", " ok AS (SELECT query_id, doc_key, score FROM sc WHERE list_has_any([doc_key % 5, doc_key % 11], [query_id % 5, 3]) AND 1704067200 + (doc_key % 400) * 86400 > 1718000000),\n top AS").replace("AS rank FROM sc)", "AS rank FROM ok)")
+
+
+@query(f"WITH {_SEEN} SELECT query_id, doc_key, rank, round(score, 6) AS score FROM top")
+def bm25_visible(spark, d):
+    """Keyword search under roles and expiry; the statistics are those of all documents."""
+    asked = query_texts(spark, d).withColumn("role_ids", F.array(F.col("query_id") % 5, F.lit(3).cast("bigint")))
+    docs = meta(spark, d).select(F.col("id").alias("doc_key"), "role_ids", "expiration_date").join(load(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text"), "doc_key")
+    top = plans.keyword_search(asked, docs, 10, NOW)
+    return top.select("query_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_HITS} SELECT query_id, id, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)), 9) AS rrf FROM h")
 def reciprocal_rank(spark, d):
     hits = vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 10)
@@ -172,11 +202,11 @@ def weighted_rerank(spark, d):
     return hybrid.weighted(hits).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query(f"""WITH {_HITS}, r AS (SELECT query_id, id, CASE WHEN query_id % 50 = 0 THEN (id * 37 % 101) / 101.0 ELSE score END AS s FROM h WHERE query_id % 50 <> 0 OR id % 2 = 0)
+@query(f"""WITH {_HITS}, r AS (SELECT query_id, id, CASE WHEN query_id % 40 = 0 THEN (id * 37 % 101) / 101.0 ELSE score END AS s FROM h WHERE query_id % 40 <> 0 OR id % 2 = 0)
  SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM r) WHERE rank <= 3""")
 def external_rerank(spark, d):
     hits = vectors.dense_top_k(query_vectors(spark, d), load(spark, d, "embeddings"), 10).select("query_id", "id", "score")
-    scores = hits.where("query_id % 50 = 0 and id % 2 = 0").select("query_id", "id", ((F.col("id") * 37 % 101) / 101.0).alias("rerank"))
+    scores = hits.where("query_id % 40 = 0 and id % 2 = 0").select("query_id", "id", ((F.col("id") * 37 % 101) / 101.0).alias("rerank"))
     return hybrid.reranked(hits, scores, 3, ["query_id", "id"], "id").select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -204,12 +234,13 @@ def _edges(spark, d):
     return load(spark, d, "lineitem").select(name("s", "l_suppkey").alias("source_entity"), F.lit("supplies").alias("relation_type"), name("p", "l_partkey").alias("target_entity"))
 
 
-@query(f"""WITH {_EDGES}, s AS (SELECT 1 AS query_id, 's1' AS entity UNION SELECT 2, 'p7'),
+@query(f"""WITH {_EDGES}, s AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS entity FROM supplier WHERE s_suppkey % 20 = 0),
  h1 AS (SELECT DISTINCT query_id, b AS entity FROM s JOIN e ON entity = a EXCEPT SELECT * FROM s),
  h2 AS (SELECT DISTINCT query_id, b AS entity FROM h1 JOIN e ON entity = a EXCEPT (SELECT * FROM s UNION SELECT * FROM h1))
  SELECT *, 0 AS hop FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2""")
 def graph_expansion(spark, d):
-    start = spark.createDataFrame([(1, "s1"), (2, "p7")], "query_id int, entity string")
+    """Every 20th supplier asks."""
+    start = load(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity"))
     return graph.expand(start, _edges(spark, d), 2).select("query_id", "entity", "hop")
 
 

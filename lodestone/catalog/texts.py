@@ -60,8 +60,19 @@ def pii_pseudonyms(spark, d):
 @query()
 def pii_generalised(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("file_type"))
-    config = spark.createDataFrame([("en", "generalize"), ("fr", "none")], "file_type string, strategy string")
-    return pii.anonymized(pii.with_strategy(docs, config), strategy_col="strategy").select("doc_id", "clean_text")
+    rows = [("en", "generalize", None), ("fr", "none", None), ("de", "risk", ["email", "phone"])]
+    config = spark.createDataFrame(rows, "file_type string, strategy string, kinds array<string>")
+    return pii.anonymized(pii.with_strategy(docs, config), strategy_col="strategy", kinds_col="kinds").select("doc_id", "clean_text")
+
+
+@query("""WITH n AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS b FROM customer)
+ SELECT c_custkey, CAST(substring(b, 3, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substring(b, 5, 2) AS INT) BETWEEN 1 AND 31 AND c_custkey % 9 <> 0 AS valid FROM n""")
+def resident_id_check(spark, d):
+    """Resident numbers made from keys; every ninth is a digit short."""
+    k = F.col("c_custkey")
+    birth = F.lpad((k * 7919 % 1_000_000).cast("string"), 6, "0")
+    number = F.concat(birth, F.lit("-"), F.when(k % 9 == 0, "123456").otherwise("1234567"))
+    return load(spark, d, "customer").select("c_custkey", S.resident_id_date_valid(number).alias("valid"))
 
 
 @query()
@@ -173,22 +184,37 @@ def markdown_rows(spark, d):
     return c.select("c_custkey", S.markdown_row(F.array("c_name", F.concat("c_mktsegment", F.lit("|x")))).alias("line"), F.element_at(head, 1).alias("first"))
 
 
-@query("SELECT c_custkey, 'a ' || CASE WHEN c_custkey % 2 = 0 THEN '**b c**' ELSE '**b** c' END AS text FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '**' || c_name || 'b**' WHEN 1 THEN 'a ' || c_name WHEN 2 THEN '**' || c_name || '** c' WHEN 3 THEN '**' || c_name || '**' WHEN 4 THEN '**' || c_name || ' d**' ELSE c_name END AS text FROM customer")
 def bold_repair(spark, d):
-    raw = F.when(F.col("c_custkey") % 2 == 0, "a **b** **c**").otherwise("a **b** c")
+    """Bold runs side by side, empty ones, blanks before closing marks, odd runs of stars, blanks alone."""
+    k = F.col("c_custkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit("**"), "c_name", F.lit("****b**"))).when(k == 1, F.concat(F.lit("a ** ** "), "c_name")).when(k == 2, F.concat(F.lit("**"), "c_name", F.lit("  ** c")))
+    raw = raw.when(k == 3, F.concat(F.lit("***"), "c_name", F.lit("***"))).when(k == 4, F.concat(F.lit("**"), "c_name", F.lit("**** d**"))).otherwise(F.concat(F.lit(" \n "), "c_name", F.lit("\t")))
     return load(spark, d, "customer").select("c_custkey", S.repair_bold(raw).alias("text"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE CAST(p_size + 0.5 AS VARCHAR) END AS shown FROM part" )
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE CAST(o_custkey + 0.5 AS VARCHAR) END WHEN 1 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d 00:00:00')
+ WHEN 2 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') WHEN 3 THEN CASE WHEN o_custkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END ELSE CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE '' END END AS shown FROM orders""")
 def cell_texts(spark, d):
-    v = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).otherwise(F.col("p_size") + 0.5)
-    return load(spark, d, "part").select("p_partkey", S.cell_text(v).alias("shown"))
+    k, n, day = F.col("o_orderkey") % 5, F.col("o_custkey"), F.col("o_orderdate").cast("date")
+    number = F.when(k == 0, F.when(n % 2 == 0, n.cast("double")).otherwise(n + 0.5))
+    text = F.when((k == 4) & (n % 2 == 0), F.concat(F.lit(" \n"), "o_orderstatus", F.lit("\t")))
+    shown = S.cell_text(number, F.when(k == 1, day.cast("timestamp_ntz")), F.when(k == 2, day), F.when(k == 3, n % 2 == 0), text)
+    return load(spark, d, "orders").select("o_orderkey", shown.alias("shown"))
+
 
+_NAME = "replace(p_name, '-', '\\-') || '\\- x\\|y'"
 
-@query("SELECT p_partkey, p_name || ',' || CAST(p_size AS VARCHAR) || ',' AS cells, false AS blank FROM part")
+
+@query(rf"""WITH r AS (SELECT p_partkey, p_partkey % 10 < 5 AS gone, p_partkey % 7 = 0 AS thin, CASE WHEN p_partkey % 10 >= 5 AND p_partkey % 20 >= 10 THEN 'k' ELSE '' END AS first, {_NAME} AS name, CAST(p_size AS VARCHAR) AS size FROM part)
+ SELECT p_partkey, CASE WHEN NOT gone THEN first || ',' ELSE '' END || CASE WHEN thin THEN '\-,' ELSE name || ',' || size END AS cells FROM r WHERE NOT thin OR first = 'k'""")
 def table_cells(spark, d):
-    row = F.array(F.lit(" "), F.col("p_name"), F.col("p_size").cast("string"))
-    return load(spark, d, "part").select("p_partkey", F.array_join(S.clean_cells(row, 3), ",").alias("cells"), S.blank_row(row).alias("blank"))
+    """Ten tables of parts: in five the first column is blank in every row, in the others in half of them; every seventh row holds dashes and blanks."""
+    k = F.col("p_partkey")
+    first = F.when(k % 10 < 5, " ").when(k % 20 >= 10, "k")
+    row = F.when(k % 7 == 0, F.array(first, F.lit(" - "), F.lit(""))).otherwise(F.array(first, F.concat("p_name", F.lit("-\nx|y")), F.col("p_size").cast("string")))
+    rows = load(spark, d, "part").select((k % 10).alias("sheet"), "p_partkey", row.alias("cells"))
+    return S.clean_tables(rows).select("p_partkey", F.array_join("cells", ",").alias("cells"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1500 ELSE 500 END AS chunk_size, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 50 END AS chunk_overlap FROM documents")
@@ -208,10 +234,31 @@ def dictionary_text(spark, d):
     return S.dictionary_text(load(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))
 
 
-@query("SELECT c_custkey, '[1] (p.' || c_custkey || ') ' || c_name || chr(10) || '[2] (p.2) z' AS text FROM customer")
+@query(f"SELECT '{S.DEFAULT_TYPES}' AS text")
+def dictionary_default(spark, d):
+    """What is shown where no entry is visible."""
+    return S.dictionary_text(load(spark, d, "nation").where("n_nationkey < 0").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))
+
+
+@query(f"""SELECT c_custkey, '{S.EVIDENCE}' || chr(10) || CASE WHEN c_custkey % 5 = 0 THEN '{S.NO_EVIDENCE}' ELSE '- ' || c_name || chr(10) || '- z' END || chr(10) || chr(10) || '{S.QUESTION}' || chr(10) || c_mktsegment AS text FROM customer""")
 def evidence_texts(spark, d):
-    ctx = F.array(F.struct(F.col("c_name").alias("text"), F.col("c_custkey").cast("bigint").alias("page_number")), F.struct(F.lit("z").alias("text"), F.lit(2).cast("bigint").alias("page_number")))
-    return load(spark, d, "customer").select("c_custkey", S.evidence_text(ctx).alias("text"))
+    blank, null = F.lit(" \n"), F.lit(None).cast("string")
+    full = F.array(F.concat(F.lit("\t"), "c_name", F.lit(" ")), blank, null, F.lit("z "))
+    ctx = F.when(F.col("c_custkey") % 10 == 0, F.array(blank, null)).when(F.col("c_custkey") % 5 != 0, full)
+    return load(spark, d, "customer").select("c_custkey", S.evidence_text(ctx, "c_mktsegment").alias("text"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'c' || o_custkey || ',' END || 'd' AS contexts, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '3,' END || CASE WHEN o_orderkey % 5 = 0 THEN '1' ELSE '4' END AS pages,
+ (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END) + (CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) AS errors FROM orders WHERE o_orderkey % 11 <> 0""")
+def golden_items(spark, d):
+    """Items with up to three pairs of context and page as arrays, blank ones left out; rows without an id are no items."""
+    i = F.col("o_orderkey")
+    rows = load(spark, d, "orders").select(
+        F.when(i % 11 != 0, i).alias("id"), F.when(i % 3 == 0, " ").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("c1"), F.when(i % 3 != 0, "3").alias("p1"), F.lit("d").alias("c2"),
+        F.when(i % 5 == 0, "1.5").otherwise("4").alias("p2"), F.lit(None).cast("string").alias("c3"), F.lit("").alias("p3"),
+    )
+    got = S.golden_items(rows, ["c1", "c2", "c3"], ["p1", "p2", "p3"])
+    return got.select("id", F.array_join("reference_contexts", ",").alias("contexts"), F.array_join(F.transform("reference_pages", lambda x: x.cast("string")), ",").alias("pages"), F.size("errors").alias("errors"))
 
 
 @query("""SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END) + (CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) AS errors FROM orders""")
@@ -240,17 +287,24 @@ def response_relations(spark, d):
     return S.graph_rows(_responses(spark, d), ["person"])[1]
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'in' WHEN 2 THEN 'ab' ELSE 'cd' END AS answer FROM orders")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 10 WHEN 0 THEN 'plain ' || o_custkey WHEN 1 THEN 'in' || o_custkey WHEN 2 THEN 'a' || chr(10) || o_custkey WHEN 3 THEN 'q ' || o_custkey WHEN 4 THEN '{\"text\":' || o_custkey END AS answer FROM orders")
 def answer_texts(spark, d):
-    i = F.col("o_orderkey")
-    body = F.when(i % 4 == 0, "plain").when(i % 4 == 1, '{"content":"in"}').when(i % 4 == 2, '[{"text":"a"},{"x":1},{"text":"b"}]').otherwise('{"content":[{"text":"c"},{"text":"d"}]}')
-    return load(spark, d, "orders").select(i.alias("id"), S.answer_text(body).alias("answer"))
+    """Plain and quoted strings, objects and lists with and without text, broken JSON, JSON's null, blanks."""
+    k, n = F.col("o_orderkey") % 10, F.col("o_custkey").cast("string")
+    made = {0: (" plain ", "\n"), 1: ('{"x":1,"text":" in', ' "}'), 2: ('[{"text":"a"},{"x":1},{"text":""},3,{"text":"', '"}]'), 3: ('"q ', '  "'), 4: ('{"text":', ""), 5: ('{"content":"', '"}'), 6: ('[{"content":"', '"}]'), 7: ('{"text":', "}")}
+    body = F.when(k == 8, "null").when(k == 9, " \t")
+    for m, (before, after) in made.items():
+        body = body.when(k == m, F.concat(F.lit(before), n, F.lit(after)))
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.answer_text(body).alias("answer"))
 
 
-@query("""SELECT o_orderkey AS id, '{"a":{"Token": "[FILTERED]","b":[{"password": "[FILTERED]"}]},"c":' || o_orderkey || '}' AS clean FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN '{"a":{"Token":"[FILTERED]","b":[{"password":"[FILTERED]","n":[1,2.5,null,true]}]},"PRIVATE_KEY":"[FILTERED]","passport":"p","c":' || o_orderkey || '}' END AS clean FROM orders""")
 def nested_redaction(spark, d):
-    body = F.concat(F.lit('{"a":{"Token":"t","b":[{"password" : 12}]},"c":'), F.col("o_orderkey").cast("string"), F.lit("}"))
-    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.redact_nested(body).alias("clean"))
+    """Secrets of every shape: scalars, objects, arrays; every seventh row is no object."""
+    i = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit('{"a":{"Token":["t",{"x":1}],"b":[{"password" : {"x":"p"}, "n":[1,2.5,null,true]}]},"PRIVATE_KEY":null,"passport":"p","c":'), i, F.lit("}"))
+    other = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), i, F.lit("]"))).otherwise("{broken")
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), S.redact_nested(F.when(F.col("o_orderkey") % 7 == 0, other).otherwise(body)).alias("clean"))
 
 
 def _cells(spark, d):
@@ -276,10 +330,12 @@ def table_chunks(spark, d):
     return chunking.table_chunks(li, ["quantity", "price"], 2_000)
 
 
-@query("""SELECT l_suppkey AS doc, 1 AS page_number, CAST(floor(l_partkey / 100) AS BIGINT) AS gx, CAST(floor(l_quantity / 100) AS BIGINT) AS gy, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4
- HAVING count(*) >= 5 AND max(l_partkey + 10) - min(l_partkey) > 50 AND max(l_quantity + 20) - min(l_quantity) > 50""")
+@query("""SELECT l_suppkey AS doc, 1 AS page_number, CAST(floor((l_partkey + 5) / 100) AS BIGINT) AS gx, CAST(floor((l_quantity * 4 + 10) / 100) AS BIGINT) AS gy, count(*) AS n FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2, 3, 4
+ HAVING count(*) >= 5 AND max(l_partkey + 10) - min(l_partkey) > 50 AND max(l_quantity * 4 + 20) - min(l_quantity * 4) > 50""")
 def chart_regions(spark, d):
+    """Line items as boxes; those of line 7 are of no width."""
     li = load(spark, d, "lineitem")
-    x, y = F.col("l_partkey").cast("double"), F.col("l_quantity").cast("double")
-    e = li.select(F.col("l_suppkey").alias("doc"), F.lit(1).alias("page_number"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 20).alias("y1"))
+    x, y = F.col("l_partkey").cast("double"), F.col("l_quantity").cast("double") * 4
+    wide = F.when(F.col("l_linenumber") == 7, 1.0).otherwise(10.0)
+    e = li.select(F.col("l_suppkey").alias("doc"), F.lit(1).alias("page_number"), x.alias("x0"), y.alias("y0"), (x + wide).alias("x1"), (y + 20).alias("y1"))
     return chunking.chart_regions(e).select("doc", "page_number", "gx", "gy", "n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,37 +18,33 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def split_text(text: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters: cut at the first separator that the text has, recursively for pieces that are
-    still too long; neighbours are joined again up to the size, and a piece begins with up to `overlap` characters of whole parts before it."""
+    """Pieces of at most `size` characters, stripped.
+
+    The text is cut before each place of the first separator that it has, which begins the part after it; parts of `size`
+    characters or more are cut by the separators that follow. Neighbours that are shorter are joined up to the size, and a
+    piece begins with as many whole parts before it as fit into `overlap` characters.
+    """
     if overlap >= size:
         raise ValueError("the overlap is not less than the size")
     sep, rest = next(((s, separators[k + 1 :]) for k, s in enumerate(separators) if s == "" or s in text), ("", ()))
-    parts = [p for p in (text.split(sep) if sep else list(text)) if p]
+    first, *others = text.split(sep) if sep else list(text) or [""]
+    parts = [p for p in (first, *(sep + o for o in others)) if p]
     out: list[str] = []
-    fit: list[str] = []
-
-    def pack() -> None:
-        held, total = [], 0
-        for p in fit:
-            more = len(p) + (len(sep) if held else 0)
-            if total + more > size and held:
-                out.append(sep.join(held))
-                while held and (total > overlap or total + more > size):
-                    total -= len(held.pop(0)) + (len(sep) if held else 0)
-                more = len(p) + (len(sep) if held else 0)
+    for short, run in groupby(parts, key=lambda p: len(p) < size or not rest):
+        if not short:
+            for p in run:
+                out += split_text(p, size, overlap, rest)
+            continue
+        held: deque[str] = deque()
+        total = 0
+        for p in run:
+            if held and total + len(p) > size:
+                out.append("".join(held))
+                while held and (total > overlap or total + len(p) > size):
+                    total -= len(held.popleft())
             held.append(p)
-            total += more
-        if held:
-            out.append(sep.join(held))
-        fit.clear()
-
-    for p in parts:
-        if len(p) <= size:
-            fit.append(p)
-        else:
-            pack()
-            out += split_text(p, size, overlap, rest) if rest else [p[k : k + size] for k in range(0, len(p), size)]
-    pack()
+            total += len(p)
+        out.append("".join(held))
     return [s for x in out if (s := x.strip())]
 
 
@@ -146,9 +144,13 @@ def table_chunks(rows: DataFrame, headers: list[str], size: int = 1_000, by: str
 
 
 def chart_regions(elements: DataFrame, cell: int = 100, least: int = 5, side: int = 50) -> DataFrame:
-    """(doc, page_number, gx, gy, n, x0, y0, x1, y1): grid cells of drawings that are numerous and large enough to be charts."""
-    gx, gy = F.floor(F.col("x0") / cell), F.floor(F.col("y0") / cell)
-    box = elements.groupBy("doc", "page_number", gx.alias("gx"), gy.alias("gy")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """(doc, page_number, gx, gy, n, x0, y0, x1, y1): grid cells, by the drawings' centres, that are numerous and large enough to be charts.
+
+    Drawings of at most one unit in width or height are lines or dots and do not count.
+    """
+    gx, gy = F.floor((F.col("x0") + F.col("x1")) / 2 / cell), F.floor((F.col("y0") + F.col("y1")) / 2 / cell)
+    drawn = elements.where((F.col("x1") - F.col("x0") > 1) & (F.col("y1") - F.col("y0") > 1))
+    box = drawn.groupBy("doc", "page_number", gx.alias("gx"), gy.alias("gy")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return box.where((F.col("n") >= least) & (F.col("x1") - F.col("x0") > side) & (F.col("y1") - F.col("y0") > side))
 
 

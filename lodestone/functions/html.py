@@ -101,6 +101,12 @@ def clean(root: _Node) -> None:
         n.kids = [k for k in n.kids if isinstance(k, str) or not _furniture(k)]
 
 
+def _likeliness(div: _Node, size: int) -> int:
+    """Two points for each content word in the class and in the id, and up to six for the text's length."""
+    marks = (" ".join(div.attrs.get("class", "").split()).lower(), div.attrs.get("id", "").lower())
+    return 2 * sum(word in mark for mark in marks for word in CONTENT) + sum(points for least, points in ((100, 1), (500, 2), (1000, 3)) if size > least)
+
+
 def main_content(root: _Node) -> _Node:
     """The longest article, main or section of more than 100 characters; a main role; the likeliest div; the body."""
     nodes = list(root.walk())
@@ -114,13 +120,9 @@ def main_content(root: _Node) -> _Node:
     if role is not None and size[id(role)] > 100:
         return role
     divs = [n for n in nodes if n.tag == "div"]
-    marked = [(sum(w in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower() for w in CONTENT), size[id(n)], -k, n) for k, n in enumerate(divs)]
-    scored = [m for m in marked if m[0] and m[1] > 50]
-    if scored:
-        return max(scored)[3]
-    longest = max(marked, key=lambda m: m[1:3], default=None)
-    if longest is not None and longest[1] > 50:
-        return longest[3]
+    best = max(divs, key=lambda n: (_likeliness(n, size[id(n)]), size[id(n)]), default=None)
+    if best is not None and (_likeliness(best, size[id(best)]) > 0 or size[id(best)] > 50):
+        return best
     return next((n for n in nodes if n.tag == "body"), root)
 
 

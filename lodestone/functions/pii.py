@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,76 +56,80 @@ def detect(text: str | None, kinds: tuple[str, ...] = KINDS) -> list[tuple[str,
     return sorted(taken, key=lambda x: x[1])
 
 
-def _stars(value: str) -> str:
-    return "*" * len(value)
-
-
-def _mask_email(v: str) -> str:
-    local, _, domain = v.partition("@")
-    name, dot, top = domain.rpartition(".")
-    return f"{local[:1]}{'*' * (len(local) - 1)}@{_stars(name)}.{top}" if dot else _stars(v)
+#: Masks by kind: patterns of a whole value, and what it becomes: a text, the n-th group as it is (n), or a star for each
+#: of its characters (-n). The first pattern that fits counts; without one every character becomes a star.
+MASKS: dict[str, tuple[tuple[str, tuple], ...]] = {
+    "resident_id": ((r".*-.*", ("******-*******",)), (r".*", ("*" * 13,))),
+    "business_id": ((r".*-.*", ("***-**-*****",)),),
+    "driver_license": ((r".*-.*", ("**-**-******-**",)),),
+    "phone": ((r"([^-\s]*)[-\s][^-\s]*[-\s][^-\s]*", (1, "-****-****")), (r"(.{3})(.{8,})", (1, -2))),
+    "credit_card": ((r"(?:[^-\s]*[-\s]){3}([^-\s]*)", ("****-****-****-", 1)), (r"(.{12,})(.{4})", (-1, 2))),
+    "account": ((r"(.{3})(.{5,})(.{2})", (1, -2, 3)),),
+    "email": ((r"([^@]?)([^@]*)@(.*)\.([^.]*)", (1, -2, "@", -3, ".", 4)),),
+    "passport": ((r"([^\W\d_])(.*)", (1, -2)),),
+    "ip_address": ((r"[^.]*(?:\.[^.]*){3}", ("***.***.***.***",)),),
+    "mac_address": ((r"[^:]*(?::[^:]*){5}", ("**:**:**:**:**:**",)), (r"[^-]*(?:-[^-]*){5}", ("**-**-**-**-**-**",))),
+}
+_MASKS = {k: tuple((re.compile(p, re.DOTALL), parts) for p, parts in rules) for k, rules in MASKS.items()}
 
 
-def _mask_phone(v: str) -> str:
-    parts = re.split(r"[-\s]", v)
-    return f"{parts[0]}-****-****" if len(parts) == 3 else v[:3] + "*" * (len(v) - 3) if len(v) >= 11 else _stars(v)
+def _filled(m: re.Match, parts: tuple) -> str:
+    return "".join(x if isinstance(x, str) else m[x] if x > 0 else "*" * len(m[-x]) for x in parts)
 
 
-def _mask_card(v: str) -> str:
-    parts = re.split(r"[-\s]", v)
-    return f"****-****-****-{parts[3]}" if len(parts) == 4 else "*" * (len(v) - 4) + v[-4:] if len(v) >= 16 else _stars(v)
+def mask(value: str, kind: str) -> str:
+    fits = ((m, parts) for pattern, parts in _MASKS.get(kind, ()) if (m := pattern.fullmatch(value)))
+    return next((_filled(m, parts) for m, parts in fits), "*" * len(value))
 
 
-MASKS: dict[str, Callable[[str], str]] = {
-    "resident_id": lambda v: "******-*******" if "-" in v else "*" * 13,
-    "phone": _mask_phone,
-    "email": _mask_email,
-    "credit_card": _mask_card,
-    "account": lambda v: v[:3] + "*" * (len(v) - 5) + v[-2:] if len(v) >= 10 else _stars(v),
-    "business_id": lambda v: "***-**-*****" if "-" in v else _stars(v),
-    "passport": lambda v: v[0] + _stars(v[1:]) if v[:1].isalpha() else _stars(v),
-    "driver_license": lambda v: "**-**-******-**" if "-" in v else _stars(v),
-    "ip_address": lambda v: "***.***.***.***" if v.count(".") == 3 else _stars(v),
-    "mac_address": lambda v: ":".join(["**"] * 6) if v.count(":") == 5 else "-".join(["**"] * 6) if v.count("-") == 5 else _stars(v),
+#: Broad classes by kind: patterns as above; a class for the first digit; the class of all else.
+_BROAD = {
+    "phone": (re.compile(r"(01[016789]).*", re.DOTALL), (1, "-****-****")),
+    "email": (re.compile(r"[^@]*@?(.*)", re.DOTALL), ("****@", 1)),
+    "ip_address": (re.compile(r"(.*)\.[^.]*", re.DOTALL), (1, ".***")),
 }
+_BY_DIGIT = {"postal_code": dict(zip("01234567", REGIONS, strict=True)), "credit_card": CARDS}
+_ELSE = GENERAL | {"phone": "휴대전화", "postal_code": "우편번호", "credit_card": "신용카드", "ip_address": ".***"}
 
 
-def mask(value: str, kind: str) -> str:
-    return MASKS.get(kind, _stars)(value)
+def _age_class(value: str, year: int) -> str:
+    """The decade of the age, from 10 to 70, of the holder of a resident number; its seventh digit tells the century."""
+    digits = [c for c in value if "0" <= c <= "9"]
+    century = 20 if len(digits) > 6 and digits[6] in "3478" else 19
+    decade = (year - century * 100 - int("".join(digits[:2]))) // 10 * 10
+    return "70대 이상" if decade >= 70 else f"{max(decade, 10)}대"
 
 
 def generalize(value: str, kind: str, year: int = 2025) -> str:
     """The value's broad class; the year is the one that ages are counted from."""
     if kind == "resident_id":
-        digits = re.sub("[^0-9]", "", value)
-        born = (2000 if digits[6:7] in tuple("3478") else 1900) + int(digits[:2])
-        decade = max(10, min(70, (year - born) // 10 * 10))
-        return f"{decade}대" if decade < 70 else "70대 이상"
-    if kind == "phone":
-        return f"{value[:3]}-****-****" if value[:3] in ("010", "011", "016", "017", "018", "019") else "휴대전화"
-    if kind == "email":
-        return f"****@{value.partition('@')[2]}"
-    if kind == "ip_address":
-        return f"{value.rpartition('.')[0]}.***"
-    if kind == "postal_code":
-        return REGIONS[int(value[0])] if value[0] < "8" else "우편번호"
-    if kind == "credit_card":
-        return CARDS.get(value[0], "신용카드")
-    return GENERAL.get(kind, "개인정보")
+        return _age_class(value, year)
+    if kind in _BROAD and (m := _BROAD[kind][0].fullmatch(value)):
+        return _filled(m, _BROAD[kind][1])
+    return _BY_DIGIT.get(kind, {}).get(value[:1]) or _ELSE.get(kind, "개인정보")
+
+
+#: The strategy for each risk, and the kinds that are looked for unless others are named.
+RISK_STRATEGY = {"high": "mask", "medium": "generalize", "low": "pseudonymize"}
+ENABLED = ("resident_id", "foreign_id", "phone", "telephone", "business_id", "driver_license", "passport", "credit_card", "email")
 
 
 def anonymize(text: str, spans: list[tuple[str, int, int]], strategy: str = "mask") -> tuple[str, list[str]]:
-    """The text with its spans replaced, and the replacements in order. Pseudonyms are numbered as values first appear."""
+    """The text with its spans replaced, and the replacements in order. Pseudonyms are numbered as values first appear.
+
+    The strategy 'risk' takes for each span that of its kind's risk.
+    """
     numbers: dict[tuple[str, str], int] = {}
     counts: dict[str, int] = {}
     made = []
     for kind, a, e in spans:
         value = text[a:e]
-        if strategy == "mask":
+        how = RISK_STRATEGY[RISK[kind]] if strategy == "risk" else strategy
+        if how == "mask":
             made.append(mask(value, kind))
-        elif strategy == "generalize":
+        elif how == "generalize":
             made.append(generalize(value, kind))
-        elif strategy == "pseudonymize":
+        elif how == "pseudonymize":
             if (kind, value) not in numbers:
                 counts[kind] = numbers[kind, value] = counts.get(kind, 0) + 1
             made.append(f"{PSEUDONYMS[kind]}_{numbers[kind, value]:03d}")
@@ -138,10 +142,11 @@ def anonymize(text: str, spans: list[tuple[str, int, int]], strategy: str = "mas
     return "".join([*out, text[at:]]), made
 
 
-def anonymized(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS, strategy: str = "mask", strategy_col: str | None = None) -> DataFrame:
+def anonymized(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS, strategy: str = "mask", strategy_col: str | None = None, kinds_col: str | None = None) -> DataFrame:
     """df with clean_text and matches array<struct<type, value, start, end, risk, replacement>>; all other columns stay.
 
-    With strategy_col the strategy is that column's (null: `strategy`; 'none': nothing is replaced).
+    With strategy_col the strategy is that column's (null: `strategy`; 'none': nothing is replaced), with kinds_col, an
+    array<string>, the kinds are that column's (null: `kinds`).
     """
     names = df.columns
     item = pa.struct([("type", pa.string()), ("value", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("risk", pa.string()), ("replacement", pa.string())])
@@ -150,8 +155,9 @@ def anonymized(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = K
         for b in batches:
             clean, found = [], []
             how = b.column(strategy_col).to_pylist() if strategy_col else [strategy] * b.num_rows
-            for text, s in zip(b.column(text_col).to_pylist(), how, strict=True):
-                spans = detect(text, kinds) if s != "none" else []
+            which = b.column(kinds_col).to_pylist() if kinds_col else [None] * b.num_rows
+            for text, s, own in zip(b.column(text_col).to_pylist(), how, which, strict=True):
+                spans = detect(text, kinds if own is None else tuple(own)) if s != "none" else []
                 new, made = anonymize(text, spans, s or strategy) if spans else (text, [])
                 clean.append(new)
                 found.append([{"type": k, "value": text[a:e], "start": a, "end": e, "risk": RISK[k], "replacement": r} for (k, a, e), r in zip(spans, made, strict=True)])
@@ -171,6 +177,9 @@ def count_kind(kind: str, text: Column | str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(dict((k, p) for k, p, _ in PATTERNS)[kind])).cast("bigint")
 
 
-def with_strategy(docs: DataFrame, config: DataFrame, default: str = "mask") -> DataFrame:
-    """docs with strategy by file_type; config (file_type, strategy) is a dimension of a few rows."""
-    return docs.join(F.broadcast(config), "file_type", "left").withColumn("strategy", F.coalesce("strategy", F.lit(default)))
+def with_strategy(docs: DataFrame, config: DataFrame, default: str = "mask", enabled: tuple[str, ...] = ENABLED) -> DataFrame:
+    """docs with strategy and, where config has them, kinds by file_type; config: (file_type, strategy[, kinds array<string>])."""
+    from ..operators.joins import small
+
+    out = docs.join(small(config), "file_type", "left").withColumn("strategy", F.coalesce("strategy", F.lit(default)))
+    return out.withColumn("kinds", F.coalesce("kinds", F.array(*map(F.lit, enabled)))) if "kinds" in config.columns else out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,12 @@ def match_templates(rows: DataFrame, templates: DataFrame, path: str = "endpoint
 
 
 def action_type(method: Column | str, path: Column | str) -> Column:
+    """The kind of a request: by words in its path, whatever their case, else by its method; UNKNOWN for other methods."""
     m, p = _c(method), _c(path)
-    return F.when(p.contains("/retrieval"), "SEARCH").when(m == "POST", "CREATE").when(m.isin("PUT", "PATCH"), "UPDATE").when(m == "DELETE", "DELETE").otherwise("READ")
+    low = F.lower(p)
+    out = F.when(low.contains("search") | low.contains("retrieval"), "SEARCH").when(low.contains("upload"), "UPLOAD").when(low.contains("download"), "DOWNLOAD")
+    out = out.when(low.contains("websocket") | p.startswith("/notifications/"), "WEBSOCKET")
+    return out.when(m == "GET", "READ").when(m == "POST", "CREATE").when(m.isin("PUT", "PATCH"), "UPDATE").when(m.isin("DELETE", "WEBSOCKET"), m).otherwise("UNKNOWN")
 
 
 def outcome(code: Column | str) -> Column:
@@ -96,6 +102,21 @@ def iso_epoch(text: Column | str) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(_c(text), "Z$", "+00:00")))
 
 
+def next_time(cron: Column | str, now: int) -> Column:
+    """Epoch seconds after `now` (UTC) at which a schedule of five fields is due: a minute, an hour or *, *, *, a weekday (0 Sunday) or *.
+
+    Null for other schedules, and for none.
+    """
+    f = F.split(F.trim(_c(cron)), r"\s+")
+    field = lambda k: F.try_element_at(f, F.lit(k))
+    m, h, d = (field(k).try_cast("bigint") for k in (1, 2, 5))
+    plain = (F.size(f) == 5) & m.between(0, 59) & (field(3) == "*") & (field(4) == "*")
+    period = F.when((field(2) == "*") & (field(5) == "*"), 3600).when(h.between(0, 23) & (field(5) == "*"), 86_400).when(h.between(0, 23) & d.between(0, 7), 604_800)
+    # the epoch began on a Thursday
+    shift = m * 60 + F.when(period > 3600, h * 3600).otherwise(0) + F.when(period == 604_800, F.pmod(d - 4, F.lit(7)) * 86_400).otherwise(0)
+    return F.when(plain, F.floor((F.lit(now) - shift) / period) * period + shift + period).cast("bigint")
+
+
 # ---- numbers -------------------------------------------------------------------------------------------------------
 
 
@@ -138,16 +159,20 @@ def resident_id_date_valid(value: Column | str) -> Column:
 
 
 def with_price(df: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
-    """df with the price of its model: the exact name, else the first model whose provider/name is within it.
+    """df with the price of its model: the exact name, else, for provider/name, the first model (by name) of this provider
+    in whose own name the part after the first slash occurs; null without either.
 
-    models: (model_name, provider, input_cost_per_token), a dimension of a few rows.
+    models: (model_name, provider, input_cost_per_token).
     """
-    exact = models.select(F.col("model_name").alias("_m"), F.col("input_cost_per_token").alias("_exact"))
-    distinct = df.select(model).distinct()
-    part = distinct.join(F.broadcast(models), F.col(model).contains(F.concat_ws("/", "provider", "model_name")))
+    from ..operators.joins import small
+
+    exact = models.groupBy(F.col("model_name").alias(model)).agg(F.min("input_cost_per_token").alias("_exact"))
+    names = df.select(model).distinct().where(F.col(model).contains("/"))
+    split = names.select(model, F.substring_index(model, "/", 1).alias("provider"), F.regexp_replace(model, r"^[^/]*/", "").alias("_base"))
+    part = split.join(small(models), "provider").where(F.col("model_name").contains(F.col("_base")))
     part = part.groupBy(model).agg(F.min_by("input_cost_per_token", "model_name").alias("_part"))
-    out = df.join(F.broadcast(exact), F.col(model) == F.col("_m"), "left").join(part, model, "left")
-    return out.withColumn("price", F.coalesce("_exact", "_part")).drop("_m", "_exact", "_part")
+    out = df.join(small(exact), model, "left").join(part, model, "left")
+    return out.withColumn("price", F.coalesce("_exact", "_part")).drop("_exact", "_part")
 
 
 # ---- arrays and text parts ------------------------------------------------------------------------------------------
@@ -169,42 +194,75 @@ def header_names(headers: Column | str, word: str = "컬럼") -> Column:
 
 
 def repair_bold(text: Column | str) -> Column:
-    """Bold marks that close and open again side by side are dropped; runs of more than two stars become two."""
-    once = F.regexp_replace(_c(text), r"\*{3,}", "**")
-    return F.regexp_replace(once, r"\*\*(\s*)\*\*", "$1")
+    """Bold runs side by side become one, empty ones a blank; blanks are single; marks touch their text; odd runs of stars become two."""
+    out = F.regexp_replace(_c(text), r"\*{4}", "")
+    steps = ((r"\*\*\s*\*\*", " "), (r"\s+", " "), (r"(\*\*[^*]+)\s+\*\*", "$1**"), (r"^\*\*\s+", ""), (r"\s+\*\*$", ""), (r"\*{3,}", "**"))
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return F.trim(out)
 
 
 def entity_text(kind: Column | str, description: Column | str, synonyms: Column | str) -> Column:
     return F.concat(_c(kind), F.lit(": "), _c(description), F.lit(". "), F.array_join(_c(synonyms), ", "))
 
 
-def evidence_text(contexts: Column | str) -> Column:
-    """Numbered evidence paragraphs of an array<struct<text, page_number>>."""
-    return F.array_join(F.transform(_c(contexts), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] (p."), x["page_number"].cast("string"), F.lit(") "), x["text"])), "\n")
+#: The headings of a question with its evidence, and the line where there is none.
+EVIDENCE, NO_EVIDENCE, QUESTION = "[근거]", "- (제공된 근거 없음)", "[질문]"
+
 
+def evidence_text(contexts: Column | str, question: Column | str) -> Column:
+    """A question under its evidence: a line for each text of an array<string>, blank ones left out."""
+    stripped = F.transform(_c(contexts), lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", ""))
+    lines = F.array_join(F.transform(F.filter(stripped, lambda x: x != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+    shown = F.when(F.coalesce(lines, F.lit("")) == "", NO_EVIDENCE).otherwise(lines)
+    return F.concat_ws("\n", F.lit(EVIDENCE), shown, F.lit(""), F.lit(QUESTION), _c(question))
 
-def dictionary_text(rows: DataFrame, key: str = "key", name: str = "name", default: str = "") -> DataFrame:
+
+#: Fixed value: the dictionary that is shown where none has been made.
+DEFAULT_TYPES = "person(인물), organization(조직), project(프로젝트), location(장소), event(이벤트), concept(개념), document(문서), date(날짜)"
+
+
+def dictionary_text(rows: DataFrame, key: str = "key", name: str = "name", default: str = DEFAULT_TYPES) -> DataFrame:
     """(text): `key(name), ...` by key; the default for an empty dictionary of a few rows."""
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, name))), lambda x: F.concat(x[key], F.lit("("), x[name], F.lit(")"))), ", ")
     return rows.agg(one.alias("t")).select(F.when(F.col("t") == "", default).otherwise(F.col("t")).alias("text"))
 
 
-def clean_cells(cells: Column | str, width: int) -> Column:
-    """A table row: an empty first cell dropped, blanks for nulls, pipes escaped, padded to the width."""
-    c = F.transform(_c(cells), lambda x: F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"\|", r"\\|"))
-    c = F.when((F.size(c) > 0) & (F.element_at(c, 1) == ""), F.slice(c, 2, F.size(c))).otherwise(c)
-    return F.slice(F.concat(c, F.array_repeat(F.lit(""), width)), 1, width)
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
 
 
-def blank_row(cells: Column | str) -> Column:
-    """Whether a table row has only dashes and blanks."""
-    return F.forall(_c(cells), lambda x: F.coalesce(x, F.lit("")).rlike(r"^[\s-]*$"))
+def clean_tables(rows: DataFrame, by: str = "sheet", cells: str = "cells") -> DataFrame:
+    """rows (by, ..., cells array<string>) of tables as they are shown.
 
-
-def cell_text(number: Column | str) -> Column:
-    """Whole numbers without a decimal point, others as they are."""
-    n = _c(number).cast("double")
-    return F.when(n == F.floor(n), n.cast("bigint").cast("string")).otherwise(n.cast("string"))
+    The first column goes where it is blank in every row of its table, then rows of nothing but blanks and single dashes.
+    Cells are stripped, nulls blank; pipes and dashes are escaped, line breaks blanks; rows are padded to the widest.
+    """
+    own = F.coalesce(_stripped(F.try_element_at(cells, F.lit(1))) == "", F.lit(True)) & (F.size(cells) > 0)
+    blank = rows.groupBy(by).agg(F.min(own).alias("_blank"))
+    out = rows.join(blank, by).withColumn(cells, F.when(F.col("_blank"), F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1)))).otherwise(F.col(cells))).drop("_blank")
+    out = out.where(F.exists(cells, lambda x: ~_stripped(x).isin("", "-")))
+    width = out.groupBy(by).agg(F.max(F.size(cells)).alias("_width"))
+    shown = F.transform(cells, lambda x: F.regexp_replace(F.translate(_stripped(x), "\n\r", "  "), r"([|-])", r"\\$1"))
+    padded = F.concat(shown, F.array_repeat(F.lit(""), F.col("_width") - F.size(cells)))
+    return out.join(width, by).select(*[padded.alias(cells) if c == cells else F.col(c) for c in rows.columns])
+
+
+def cell_text(number: Column | str | None = None, moment: Column | str | None = None, day: Column | str | None = None, flag: Column | str | None = None, text: Column | str | None = None) -> Column:
+    """A cell's value as text, by the first kind that it has: whole numbers without a decimal point, times, dates, TRUE or FALSE, texts stripped; else blank."""
+    parts = []
+    if number is not None:
+        n = _c(number).cast("double")
+        parts.append(F.when(n == F.floor(n), n.cast("bigint").cast("string")).otherwise(n.cast("string")))
+    if moment is not None:
+        parts.append(F.date_format(_c(moment), "yyyy-MM-dd HH:mm:ss"))
+    if day is not None:
+        parts.append(F.date_format(_c(day), "yyyy-MM-dd"))
+    if flag is not None:
+        parts.append(F.upper(_c(flag).cast("string")))
+    if text is not None:
+        parts.append(F.regexp_replace(_c(text), r"^\s+|\s+$", ""))
+    return F.coalesce(*parts, F.lit(""))
 
 
 def chunk_settings(kind: Column | str, size: Column | str, overlap: Column | str, max_size: Column | str) -> Column:
@@ -230,10 +288,21 @@ def context_errors(contexts: list[str], pages: list[str]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def golden_items(rows: DataFrame, contexts: list[str], pages: list[str], id_col: str = "id") -> DataFrame:
+    """rows whose id is not null with reference_contexts array<string>, reference_pages array<int> and errors array<string> in place of
+    the given columns: blank contexts and their pages are left out, in order; items with errors have them listed."""
+    kept = rows.where(F.col(id_col).isNotNull())
+    pairs = F.array(*[F.struct(F.col(c).alias("c"), F.col(p).cast("string").try_cast("double").cast("int").alias("p")) for c, p in zip(contexts, pages, strict=True)])
+    full = F.filter(pairs, lambda x: F.length(F.trim(F.coalesce(x["c"], F.lit("")))) > 0)
+    rest = [c for c in rows.columns if c not in (*contexts, *pages)]
+    return kept.select(*rest, F.transform(full, lambda x: x["c"]).alias("reference_contexts"), F.transform(full, lambda x: x["p"]).alias("reference_pages"), context_errors(contexts, pages).alias("errors"))
+
+
 # ---- JSON -----------------------------------------------------------------------------------------------------------
 
 REDACTED = "[FILTERED]"
-SECRET_KEYS = ("password", "token", "secret", "api_key", "authorization", "access_token", "refresh_token", "passport", "credential")
+#: Keys of secrets.
+SECRET_KEYS = ("password", "token", "secret", "api_key", "authorization", "refresh_token", "access_token", "private_key", "credential")
 
 
 def json_object(text: Column | str) -> Column:
@@ -255,19 +324,45 @@ def redact_flat(text: Column | str, keys: Iterable[str] = SECRET_KEYS) -> Column
 
 
 def redact_nested(text: Column | str, keys: Iterable[str] = SECRET_KEYS) -> Column:
-    """A JSON text with the scalar values of secret keys replaced at any depth. Text that is no JSON object is null."""
-    names = "|".join(keys)
-    value = r'(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)'
-    return F.regexp_replace(json_object(text), rf'(?i)"({names})"\s*:\s*{value}', f'"$1": "{REDACTED}"')
+    """A JSON object with whatever stands under a secret key, at any depth, replaced; compact. Text that is no JSON object is null.
+
+    Keys are compared without case. JSON of any depth has no fixed schema, so that a parser in Arrow batches does the work.
+    """
+    secret = frozenset(keys)
+
+    def clean(x: object) -> object:
+        if isinstance(x, dict):
+            return {k: REDACTED if k.lower() in secret else clean(v) for k, v in x.items()}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    def one(t: str | None) -> str | None:
+        try:
+            got = json.loads(t) if t is not None else None
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(clean(got), ensure_ascii=False, separators=(",", ":")) if isinstance(got, dict) else None
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return redacted(_c(text))
 
 
 def answer_text(text: Column | str) -> Column:
-    """The answer in a message: a plain string, {"content": ...}, or a list of parts with text, joined."""
-    v = F.try_parse_json(_c(text))
-    parts = F.array_join(F.filter(F.transform(F.from_json(_c(text), "array<struct<text:string>>"), lambda x: x["text"]), lambda x: x.isNotNull()), "")
-    nested = F.array_join(F.filter(F.transform(F.from_json(F.get_json_object(_c(text), "$.content"), "array<struct<text:string>>"), lambda x: x["text"]), lambda x: x.isNotNull()), "")
-    content = F.get_json_object(_c(text), "$.content")
-    return F.when(v.isNull(), _c(text)).when(_c(text).rlike(r"^\s*\["), parts).when(content.rlike(r"^\s*\["), nested).when(content.isNotNull(), content).otherwise(F.try_variant_get(v, "$", "string"))
+    """The answer in a message: a plain or JSON string, the text of an object, or those of a list of objects on lines of their own.
+
+    Stripped; null where nothing is left, where an object has no text that is a string, and for JSON's null.
+    """
+    t = _c(text)
+    v = F.try_parse_json(t)
+    kind = F.schema_of_variant(v)
+    parts = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")), lambda x: x.isNotNull() & (x != ""))
+    own = F.try_variant_get(v, "$.text", "variant")
+    got = F.when(kind.startswith("ARRAY"), F.array_join(parts, "\n")).when(kind.startswith("OBJECT"), F.when(F.schema_of_variant(own) == "STRING", F.try_variant_get(v, "$.text", "string")))
+    got = got.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "VOID", F.lit(None).cast("string")).otherwise(t)
+    stripped = F.regexp_replace(got, r"^\s+|\s+$", "")
+    return F.when(stripped != "", stripped)
 
 
 def graph_rows(responses: DataFrame, types: Iterable[str], id_col: str = "id", text_col: str = "response") -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has_role
+from ..sources.tables import shared_folder
 
 #: Dimensions joined by broadcast must stay under this many rows; larger ones are joined by key.
 MOST_BROADCAST_ROWS = 100_000
@@ -76,6 +78,17 @@ def with_persona(rows: DataFrame, personas: DataFrame) -> DataFrame:
     return rows.join(small(known), "persona_id", "left")
 
 
+def with_document(hits: DataFrame, documents: DataFrame, order: list) -> DataFrame:
+    """Search hits (query_id, hash_sha256, parsed_text, ...) with the title and file name of their document.
+
+    documents: (query_id, hash_sha256, title, filename) of the documents that a query may show; hits of others go. Of
+    equal texts of a query the first in the given order stays.
+    """
+    from .windows import first_per_text
+
+    return first_per_text(hits.drop("title", "filename").join(documents, ["query_id", "hash_sha256"]), ["query_id", "parsed_text"], order)
+
+
 def source_hash(items: DataFrame, titles: DataFrame, stem: Column) -> DataFrame:
     """Evaluation items with the hash of the document whose unique title is their source's stem."""
     return items.withColumn("_t", stem).join(titles.select(F.col("title").alias("_t"), "hash_sha256"), "_t", "left").drop("_t")
@@ -87,17 +100,22 @@ def evaluation_rows(items: DataFrame, results: DataFrame, scores: DataFrame) ->
     return items.join(got, "item_id", "left").join(scores, "item_id").withColumn("num_results", F.coalesce("num_results", F.lit(0)))
 
 
-def category_paths(categories: DataFrame, most_depth: int = 10) -> DataFrame:
-    """categories (id, name, parent_id) with depth (roots 0) and path, by one join a level until no row is left."""
+def category_paths(categories: DataFrame) -> DataFrame:
+    """categories (id, name, parent_id) with depth (roots 0) and path, by one join a level until no row is left.
+
+    Rows on a cycle have no root above them and no path. A level's rows are cut from their lineage every eighth level.
+    """
     done = categories.where("parent_id is null").select("id", "name", "parent_id", F.lit(0).alias("depth"), F.col("name").alias("path"))
     edge = done
-    for k in range(1, most_depth + 1):
+    for k in count(1):
         up = edge.select(F.col("id").alias("parent_id"), F.col("path").alias("_p"))
         edge = categories.select("id", "name", "parent_id").join(up, "parent_id").select("id", "name", "parent_id", F.lit(k).alias("depth"), F.concat_ws("/", "_p", "name").alias("path"))
-        if not edge.limit(1).count():
-            break
+        if k % 8 == 0:
+            shared_folder(categories.sparkSession)
+            edge = edge.checkpoint()
+        if edge.isEmpty():
+            return done
         done = done.union(edge)
-    return done
 
 
 def with_children(categories: DataFrame) -> DataFrame:

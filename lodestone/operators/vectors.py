@@ -140,6 +140,18 @@ def dense_top_k(
     return ranked.withColumn("score", -F.col("score")) if kind == "L2" else ranked
 
 
+def against_all(queries: DataFrame, rows: DataFrame, summary: Callable[[DataFrame], DataFrame], block: int = 1_000) -> DataFrame:
+    """The summaries, by query_id, of a stated query set (query_id, ...) held against all rows: `block` queries at a time
+    travel to the rows (their number is counted), and a summary is an aggregation, combined before the shuffle."""
+    parts = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    out = None
+    for p in range(parts):
+        one = summary(rows.join(F.broadcast(dealt.where(F.col("_b") == p).drop("_b")), F.lit(True)))  # about `block` queries
+        out = one if out is None else out.union(one)
+    return out
+
+
 def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 100_000, rounds: int = 12, vec_col: str = "embedding", seed: int = 1) -> np.ndarray:
     """Centroids of unit vectors (spherical k-means) on at most `sample` rows, by the hash of the vector."""
     rows = vectors.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col), vec_col).limit(sample).toPandas()[vec_col]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "chunk_index") -> DataFrame:
     """A running index from 0 within each group."""
@@ -52,14 +54,44 @@ def pseudonym_numbers(matches: DataFrame, doc: str = "doc", kind: str = "type",
     return first.withColumn("number", F.dense_rank().over(Window.partitionBy(doc, kind).orderBy("_f"))).drop("_f")
 
 
-def batch_numbers(df: DataFrame, by: list[str], order: list, size: int) -> DataFrame:
-    return numbered(df, by, order, "_i").withColumn("batch", F.expr(f"_i div {size}")).drop("_i")
+def dense_index(df: DataFrame, by: list[str], order: list[str], name: str, rows_per_task: int = 1_000_000) -> DataFrame:
+    """df with a running index from 0 within each group, however large: the order is cut into ranges of rows, numbered each
+    by itself; a group's rows in earlier ranges, of which there are as many as tasks, are added.
+
+    The ranges are cut from their lineage, so that they are numbered and counted from one sorting.
+    """
+    parts = max(1, -(-df.count() // rows_per_task))
+    ranges = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    at = ranges.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    shared_folder(df.sparkSession)
+    at = at.checkpoint()
+    runs = at.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_from"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    base = runs.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), (before - F.col("_from")).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return at.join(base, same).withColumn(name, F.col("_pos") + F.col("_base")).select(*df.columns, name)
+
+
+def batch_numbers(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
+    return dense_index(df, by, order, "_i").withColumn("batch", F.expr(f"_i div {size}")).drop("_i")
+
+
+def in_blocks(df: DataFrame, by: list[str], order: list[str], size: int, after: int = 0, before: int = 0) -> DataFrame:
+    """df with _i, the index in its group, and _block: rows of a group in blocks of `size`, each with copies of so many rows
+    after and before it; a row belongs to the block _i div size, in others it is a copy."""
+    i = dense_index(df, by, order, "_i").withColumn("_own", F.expr(f"_i div {size}"))
+    near = F.array(F.col("_own"), F.when((F.col("_i") % size < after) & (F.col("_own") > 0), F.col("_own") - 1), F.when(F.col("_i") % size >= size - before, F.col("_own") + 1))
+    return i.withColumn("_block", F.explode(F.array_compact(near)))
 
 
-def blank_repeats(rows: DataFrame, by: list[str], order: str, cols: list[str]) -> DataFrame:
-    """Cells equal to the one above become blank (the look of merged cells)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return rows.select(*[F.when(F.col(c) == F.lag(c).over(w), "").otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in rows.columns])
+def blank_repeats(rows: DataFrame, by: list[str], order: str, cols: list[str], block: int = 100_000) -> DataFrame:
+    """Cells equal to the one above become blank (the look of merged cells). A group's rows are compared in blocks."""
+    w = Window.partitionBy(*by, "_block").orderBy("_i")
+    dealt = in_blocks(rows, by, [order], block, before=1)
+    shown = dealt.withColumns({f"_s_{c}": F.when(F.col(c) == F.lag(c).over(w), "").otherwise(F.col(c)) for c in cols}).where("_block = _own")
+    return shown.select(*[F.col(f"_s_{c}").alias(c) if c in cols else F.col(c) for c in rows.columns])
 
 
 def neighbour_similarity(sentences: DataFrame, by: list[str], order: str, vector: str = "embedding") -> DataFrame:
@@ -76,7 +108,7 @@ def breakpoint_groups(sims: DataFrame, by: list[str], order: str, threshold: flo
     return sims.withColumn("group", F.coalesce(F.sum(cut).over(w), F.lit(0)))
 
 
-def header_row(cells: DataFrame) -> DataFrame:
+def header_row(cells: DataFrame, block: int = 100_000) -> DataFrame:
     """(sheet, row, score): the likeliest header row of each sheet; cells (sheet, row, col, value).
 
     0.4 density + 0.2 share of values that are no number + 0.3 agreement in width with the next three rows + 0.1 for
@@ -85,8 +117,8 @@ def header_row(cells: DataFrame) -> DataFrame:
     value = F.trim(F.coalesce("value", F.lit("")))
     filled = value != ""
     rows = cells.groupBy("sheet", "row").agg(F.count_if(filled).alias("full"), F.count("*").alias("width"), F.count_if(filled & ~value.rlike("^[0-9.,]+$")).alias("words"))
-    nxt = Window.partitionBy("sheet").orderBy("row").rowsBetween(1, 3)
-    near = rows.withColumn("next", F.avg(F.least("full", F.lit(10**6))).over(nxt)).withColumn("at", F.row_number().over(Window.partitionBy("sheet").orderBy("row")) - 1)
+    nxt = Window.partitionBy("sheet", "_block").orderBy("_i").rowsBetween(1, 3)
+    near = in_blocks(rows, ["sheet"], ["row"], block, after=3).withColumn("next", F.avg(F.least("full", F.lit(10**6))).over(nxt)).where("_block = _own").withColumnRenamed("_i", "at")
     agree = F.when(F.col("next").isNull() | (F.greatest("next", "full") == 0), 0.0).otherwise(F.least("next", "full") / F.greatest("next", "full"))
     words = F.when(F.col("full") > 0, F.col("words") / F.col("full")).otherwise(0.0)
     scored = near.withColumn("agreement", agree).withColumn("score", 0.4 * F.col("full") / F.col("width") + 0.2 * words + 0.3 * F.col("agreement") + 0.1 / (F.col("at") + 1))

@@ -4,27 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import fixed_chunks
 from ..functions.predicates import has_role, stale
-from ..functions.scalars import embedding_cost, n_words
+from ..functions.scalars import chunk_settings, embedding_cost, entity_text, n_words, next_time, suffix
 from ..operators import joins, keyword
-from ..operators.vectors import embed, hashed_embedding, invalid_vectors
+from ..operators.vectors import embed, hashed_embedding, zero_vector
 from ..sources.tables import delete_keys, patch, row_key, upsert
 
-META_RESET = {"token": 0, "cost": 0.0, "summary_cost": 0.0, "status": "registered", "end_date": None}
+DIM = 1_536
+#: What a document's row is set back to; a vector becomes a zero vector.
+META_RESET = {
+    "status": "registered", "summary": "", "summary_token": 0, "summary_cost": 0.0, "chunk_count": 0, "token": 0, "cost": 0.0, "embedding_start_date": 0, "embedding_end_date": 0,
+    "original_chunk_count": 0, "filtered_chunk_count": 0, "chunk_size": 0, "chunk_overlap": 0, "anonymization_strategy": "", "enable_pii_anonymization": 0, "pii_types": "", "embedding_value": "zero",
+}
+_COUNTERS = ("token", "cost", "chunk_count", "chunk_size", "chunk_overlap", "enable_pii_anonymization", "pii_types", "original_chunk_count", "filtered_chunk_count", "embedding_start_date", "embedding_end_date")
 
 
-def register(files: DataFrame, meta: DataFrame, now: int) -> DataFrame:
-    """New rows of meta for files (id, group_id, user_id, filename, category, file_size, hash_sha256, role_ids, expiration_date)
-    whose content their group has not; status registered, counters zero, the title from the file's name."""
+def _given(df: DataFrame, name: str, kind: str, default=None) -> Column:
+    got = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return got if default is None else F.coalesce(got, F.lit(default).cast(kind))
+
+
+def _settings(df: DataFrame) -> tuple[Column, Column]:
+    """Chunk size and overlap of rows that may have chunking, chunk_size, chunk_overlap, max_chunk_size."""
+    s = chunk_settings(_given(df, "chunking", "string", "fixed"), _given(df, "chunk_size", "bigint"), _given(df, "chunk_overlap", "bigint"), _given(df, "max_chunk_size", "bigint"))
+    return s["chunk_size"].cast("bigint"), s["chunk_overlap"].cast("bigint")
+
+
+def register(files: DataFrame, meta: DataFrame, now: int, dim: int = DIM) -> DataFrame:
+    """New rows of meta for files whose content their group has not: every column of a document's row.
+
+    files: (id, group_id, user_id, filename, category, file_size, hash_sha256, role_ids, expiration_date) and, where they
+    have them, title, file_type, file_path, download_url, persona_id, start_date, the settings of chunking and of
+    personal data. The row is registered, its counters zero, its vector a zero vector.
+    """
     new = joins.not_registered(files, meta)
+    size, overlap = _settings(new)
+    private = _given(new, "enable_pii_anonymization", "boolean", False)
+    types = F.array_join(_given(new, "pii_types", "array<string>"), ",")
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("chunk_count", "token", "summary_token", "original_chunk_count", "filtered_chunk_count", "embedding_start_date", "embedding_end_date")]
     return new.select(
-        "id", "group_id", "user_id", F.coalesce("category", F.lit("general")).alias("category"), F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "").alias("title"), "filename", "hash_sha256",
-        "file_size", F.lit("registered").alias("status"), "role_ids", F.lit(now).cast("bigint").alias("start_date"), F.lit(None).cast("bigint").alias("end_date"), "expiration_date",
-        F.lit(0).cast("bigint").alias("token"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("summary_cost"),
+        "id", F.coalesce("category", F.lit("general")).alias("category"), F.coalesce(_given(new, "title", "string"), F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")).alias("title"), "filename",
+        F.lit("").alias("summary"), F.coalesce(_given(new, "file_type", "string"), suffix("filename")).alias("file_type"), "file_size", F.lit("registered").alias("status"), "role_ids",
+        _given(new, "persona_id", "bigint", 0).alias("persona_id"), _given(new, "file_path", "string").alias("file_path"), _given(new, "download_url", "string").alias("download_url"), *zero,
+        F.lit(0.0).alias("cost"), F.lit(0.0).alias("summary_cost"), "group_id", "user_id", "hash_sha256", _given(new, "start_date", "bigint", now).alias("start_date"), F.lit(now).cast("bigint").alias("end_date"),
+        "expiration_date", zero_vector(dim).alias("embedding_value"), F.when(private, _given(new, "pii_strategy", "string")).alias("anonymization_strategy"), size.alias("chunk_size"),
+        overlap.alias("chunk_overlap"), private.cast("bigint").alias("enable_pii_anonymization"), F.when(private & (types != ""), types).alias("pii_types"),
     )
 
 
@@ -42,18 +70,26 @@ def make_chunks(meta: DataFrame, pages: DataFrame, run_id: str, size: int = 500,
 
 def index_postings(chunks: DataFrame) -> DataFrame:
     """(doc_key, hash_sha256, chunk_index, term, tf): the keyword rows of chunks."""
-    keyed = chunks.withColumn("doc_key", keyword.chunk_key())
-    return keyword.postings(keyed, "doc_key", "parsed_text").join(keyed.select("doc_key", "hash_sha256", "chunk_index"), "doc_key")
+    words = chunks.select(keyword.chunk_key().alias("doc_key"), "hash_sha256", "chunk_index", F.explode(keyword.terms("parsed_text")).alias("term"))
+    return words.groupBy("doc_key", "hash_sha256", "chunk_index", "term").agg(F.count("*").alias("tf"))
 
 
-def finish_embedding(meta: DataFrame, chunks: DataFrame, now: int) -> DataFrame:
-    """meta with the totals of its chunks and status uploaded; documents without a chunk stay as they are."""
-    t = chunks.groupBy("hash_sha256").agg(F.sum("token").alias("token"), F.sum("cost").alias("cost"))
-    return patch(meta, t.withColumn("status", F.lit("uploaded")).withColumn("end_date", F.lit(now).cast("bigint")), ["hash_sha256"])
+def final_status(meta: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
+    """meta after a run: outcomes (hash_sha256, status and what the run counted and used) sets the status.
 
-
-def check_chunks(chunks: DataFrame, dim: int) -> DataFrame:
-    return invalid_vectors(chunks, dim)
+    Documents that are uploaded or skipped also take the run's counters and settings (0 or null where it has none), the
+    end date, and its persona where that is not 0; of others only the status changes.
+    """
+    size, overlap = _settings(outcomes)
+    values: dict[str, Column] = {c: _given(outcomes, c, meta.schema[c].dataType.simpleString(), None if c == "pii_types" else 0) for c in _COUNTERS if c in meta.columns}
+    values |= {c: v for c, v in (("chunk_size", size), ("chunk_overlap", overlap), ("end_date", F.lit(now).cast("bigint"))) if c in meta.columns}
+    done = F.col("_status").isin("uploaded", "skipped")
+    new = outcomes.select("hash_sha256", F.col("status").alias("_status"), _given(outcomes, "persona_id", "bigint", 0).alias("_persona"), *[v.alias(f"_new_{c}") for c, v in values.items()])
+    both = meta.join(new, "hash_sha256", "left")
+    changed = {c: F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in values} | {"status": F.coalesce("_status", "status")}
+    if "persona_id" in meta.columns:
+        changed["persona_id"] = F.when(done & (F.col("_persona") != 0), F.col("_persona")).otherwise(F.col("persona_id"))
+    return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in meta.columns])
 
 
 def roll_back(meta: DataFrame, chunks: DataFrame, postings: DataFrame, requested: DataFrame, roles: Iterable[int]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -62,7 +98,8 @@ def roll_back(meta: DataFrame, chunks: DataFrame, postings: DataFrame, requested
     good = verdicts.where("reason is null").select("hash_sha256")
     hit = good.withColumn("_hit", F.lit(True))
     marked = meta.join(hit, "hash_sha256", "left")
-    reset = {c: F.when(F.col("_hit"), F.lit(v).cast(meta.schema[c].dataType)).otherwise(F.col(c)) for c, v in META_RESET.items() if c in meta.columns}
+    blank = {c: F.transform(c, lambda x: F.lit(0).cast("float")) if v == "zero" else F.lit(v).cast(meta.schema[c].dataType) for c, v in META_RESET.items() if c in meta.columns}
+    reset = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in blank.items()}
     return marked.withColumns(reset).select(*meta.columns), delete_keys(chunks, good), delete_keys(postings, good), verdicts
 
 
@@ -135,8 +172,17 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def edit_relations(table: DataFrame, edits: DataFrame, function: Callable = hashed_embedding) -> DataFrame:
-    """Relation types with new description or synonyms; only rows in which one of them changes get a new vector."""
-    return edit_meta(table, edits, ("description",) if "synonyms" not in edits.columns else ("description", "synonyms_text"), "relation_type", function)
+    """Relation types (id, relation_type, description, synonyms array<string>, embedding, ...) with edited columns.
+
+    Only rows in which the description or the synonyms change get a new vector, of kind, description and synonyms.
+    """
+    cols = [c for c in edits.columns if c != "id"]
+    both = table.join(edits.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols]), "id", "left")
+    moved = [~F.col(f"_n_{c}").eqNullSafe(F.col(c)) for c in ("description", "synonyms") if c in cols]
+    again = F.coalesce(F.col("_hit"), F.lit(False)) & (moved[0] | moved[-1] if moved else F.lit(False))
+    new = both.withColumn("_again", again).withColumns({c: F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in cols}).select(*table.columns, "_again")
+    fresh = embed(new.where("_again").drop("embedding").withColumn("_t", entity_text("relation_type", "description", "synonyms")), "_t", function)
+    return new.where("not _again").select(*table.columns).unionByName(fresh.select(*table.columns))
 
 
 def guarded(requested: DataFrame, violations: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
@@ -188,3 +234,17 @@ def due_work(schedules: DataFrame, meta: DataFrame, now: int) -> tuple[DataFrame
     return work.where("ok").select("schedule_id", "hash_sha256"), run_outcome(work)
 
 
+def advance(schedules: DataFrame, now: int) -> DataFrame:
+    """schedules after a tick: those due without a cron_expression are switched off, the others have their next time.
+
+    A cron_expression that next_time does not know leaves its schedule as it is.
+    """
+    from ..functions.predicates import due
+
+    hit = F.coalesce(due(now), F.lit(False))
+    once = F.coalesce(F.trim("cron_expression"), F.lit("")) == ""
+    changed = {
+        "is_active": F.when(hit & once, F.lit(False)).otherwise(F.col("is_active")),
+        "scheduled_at": F.when(hit & ~once, F.coalesce(next_time("cron_expression", now), F.col("scheduled_at"))).otherwise(F.col("scheduled_at")),
+    }
+    return schedules.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in schedules.columns])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import has_role
 from ..operators import hybrid, keyword, vectors
 from ..operators.aggregates import search_statistics
+from ..operators.joins import with_document
 from ..operators.windows import normalised_keyword
 
 
@@ -17,6 +21,31 @@ def dense_top_k_statistics(queries: DataFrame, vecs: DataFrame, k: int = 10, nam
     return search_statistics(named, queries)
 
 
+def two_stage_search(queries: DataFrame, meta: DataFrame, chunks: DataFrame, limit: int, roles: Iterable[int], threshold: float = 0.7) -> DataFrame:
+    """(query_id, id, hash_sha256, parsed_text, score, rank, title, filename): chunks of the documents that a first search finds.
+
+    meta: (id, hash_sha256, embedding, role_ids, title, filename); chunks: (id, hash_sha256, parsed_text, embedding). Of
+    the visible documents min(2 * limit, 50) are taken for each query, those at the threshold or above stay, and the
+    best `limit` of their chunks are shown, each text once.
+    """
+    seen = meta.where(has_role(roles))
+    first = vectors.dense_top_k(queries, seen, hybrid.stage_one_limit(limit), id_col="id").where(F.col("score") >= threshold)
+    found = first.select("query_id", "id").join(seen.select("id", "hash_sha256", "title", "filename"), "id").select("query_id", "hash_sha256", "title", "filename")
+    pairs = hybrid.restrict(chunks.select("id", "hash_sha256"), found).select("query_id", "id")
+    top = vectors.dense_top_k(queries, chunks, limit, id_col="id", within=pairs).select("query_id", "id", "score", "rank")
+    return with_document(top.join(chunks.select("id", "hash_sha256", "parsed_text"), "id"), found, [F.desc(F.round("score", 12)), F.asc("id")])
+
+
+def keyword_search(queries: DataFrame, docs: DataFrame, limit: int, now: int) -> DataFrame:
+    """(query_id, doc_key, score, rank): BM25 over docs (doc_key, text, role_ids, expiration_date) for queries (query_id, query, role_ids).
+
+    A query sees documents that share a role with it and have not expired; term statistics are those of all documents.
+    """
+    scores = keyword.bm25_scores(keyword.query_terms(queries), docs, "doc_key", "text")
+    own = scores.join(queries.select("query_id", F.col("role_ids").alias("_q")), "query_id").join(docs.select("doc_key", "role_ids", "expiration_date"), "doc_key")
+    return keyword.bm25_top_k(own.where(F.arrays_overlap("_q", "role_ids") & (F.col("expiration_date") > now)).select("query_id", "doc_key", "score"), limit)
+
+
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, limit: int = 10, dense_weight: float = 0.7, keyword_weight: float = 0.3, threshold: float = 0.0, keyword_limit: int | None = None,
     documents: DataFrame | None = None,

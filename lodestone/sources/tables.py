@@ -6,6 +6,7 @@ no transactions. Keys are compared with equality; rows with a null key match not
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, shared by all executors. A local session without one gets a temporary one; a cluster must name it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
 def row_key(*cols: str) -> Column:
     """A deterministic 64-bit key of the columns, for tables whose store would number rows itself."""
     return F.xxhash64(*cols)
@@ -97,12 +109,12 @@ def export_logs(logs: DataFrame, columns: list[str], most_rows: int = 10_000) ->
     return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(most_rows).select(*columns)
 
 
-def write_counted(df: DataFrame, path: str, expected: int | None = None, **options) -> int:
+def write_counted(df: DataFrame, path: str, expected: int | None = None, partition_by: tuple[str, ...] = (), **options) -> int:
     """Writes df and returns how many rows went out, counted by the write itself; a different expectation is an error."""
     from pyspark.sql import Observation
 
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(options.pop("mode", "errorifexists")).options(**options).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(options.pop("mode", "errorifexists")).options(**options).partitionBy(*partition_by).parquet(path)
     n = int(seen.get["n"])
     if expected is not None and n != expected:
         raise ValueError(f"{n} of {expected} rows were written to {path}")

@@ -18,16 +18,28 @@ def latest(events: DataFrame, by: list[str], order: str = "event_id") -> DataFra
     return events.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("ts", order)).alias("s")).select(*by, "s.*")
 
 
-def running_by_user(events: DataFrame) -> DataFrame:
-    """(user_id, tasks): tasks of each user whose last state is not terminal."""
-    last = latest(events, ["user_id", "task_id"]).where(~F.col("status").isin(*TERMINAL))
+def _running(events: DataFrame, by: list[str], now: int | None, ttl: int) -> DataFrame:
+    """The last events of tasks whose state is not terminal; at `now`, those of groups heard of within the ttl.
+
+    Any event of a group, a terminal one too, keeps all its running tasks for another ttl.
+    """
+    last = latest(events, [*by, "task_id"]).where(~F.col("status").isin(*TERMINAL))
+    if now is None:
+        return last
+    alive = events.groupBy(*by).agg(F.max("ts").alias("_seen")).where(F.col("_seen") >= now - ttl)
+    return last.join(alive, by, "left_semi")
+
+
+def running_by_user(events: DataFrame, now: int | None = None, ttl: int = STATE_TTL_S) -> DataFrame:
+    """(user_id, tasks): tasks of each user whose last state is not terminal; at `now`, of users heard of within the ttl."""
+    last = _running(events, ["user_id"], now, ttl)
     return last.groupBy("user_id").agg(F.array_sort(F.collect_set("task_id")).alias("tasks"))
 
 
-def running_by_category(events: DataFrame) -> DataFrame:
-    """(user_id, category, tasks); events with an empty category do not count."""
+def running_by_category(events: DataFrame, now: int | None = None, ttl: int = STATE_TTL_S) -> DataFrame:
+    """(user_id, category, tasks); events with an empty category do not count. At `now`, of pairs heard of within the ttl."""
     some = events.where("category is not null and category != ''")
-    last = latest(some, ["user_id", "category", "task_id"]).where(~F.col("status").isin(*TERMINAL))
+    last = _running(some, ["user_id", "category"], now, ttl)
     return last.groupBy("user_id", "category").agg(F.array_sort(F.collect_set("task_id")).alias("tasks"))
 
 
@@ -39,7 +51,9 @@ def liveness(events: DataFrame, now: int, ttl: int = HEARTBEAT_TTL_S) -> DataFra
 
 def described(events: DataFrame, names: DataFrame) -> DataFrame:
     """events with the description of their stage and status; names (stage, status, description) has a row for each pair."""
-    out = events.join(F.broadcast(names), ["stage", "status"], "left")
+    from ..operators.joins import small
+
+    out = events.join(small(names), ["stage", "status"], "left")
     return out.withColumn("description", F.coalesce("description", F.concat_ws(" ", "stage", "status")))
 
 
@@ -75,6 +89,44 @@ def latest_stream(events: DataFrame, by: str = "task_id", ttl_s: int = STATE_TTL
     return events.groupBy(by).transformWithStateInPandas(Latest(), f"{by} string, status string, ts long, event_id long", "Update", "ProcessingTime")
 
 
+def running_stream(events: DataFrame, by: list[str], ttl_s: int = STATE_TTL_S) -> DataFrame:
+    """A stream of the running tasks of each group (by: user_id, or user_id and category), as (by..., tasks array<string>).
+
+    A task enters with an event and leaves with a terminal one; events older than the last of their task are passed over.
+    Each event keeps a group's tasks for another ttl_s seconds of processing time. With category in by, events without one
+    do not count. Emits a group's set whenever it changes. Needs the RocksDB state store provider.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    class Running(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getMapState("tasks", "task_id string", "status string, ts long, event_id long", ttl_s * 1000)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            tasks = {k[0]: tuple(v) for k, v in self.state.iterator()}
+            was = sorted(t for t, v in tasks.items() if v[0] not in TERMINAL)
+            for pdf in rows:
+                for task, status, ts, event in zip(pdf.task_id, pdf.status, pdf.ts, pdf.event_id, strict=True):
+                    if task not in tasks or (int(ts), int(event)) > tasks[task][1:]:
+                        tasks[task] = (status, int(ts), int(event))
+            for task, value in tasks.items():  # every event renews the whole group
+                self.state.updateValue((task,), value)
+            now = sorted(t for t, v in tasks.items() if v[0] not in TERMINAL)
+            if now != was:
+                yield pd.DataFrame({**{c: [k] for c, k in zip(by, key, strict=True)}, "tasks": [now]})
+
+        def close(self) -> None:
+            pass
+
+    some = events.where("category is not null and category != ''") if "category" in by else events
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", tasks array<string>"
+    return some.groupBy(*by).transformWithStateInPandas(Running(), schema, "Update", "ProcessingTime")
+
+
 def write_latest(events: DataFrame, path: str, checkpoint: str, by: list[str]):
     """Starts a stream that appends the latest state of each key of a micro-batch under its batch id, written at most once."""
 

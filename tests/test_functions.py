@@ -158,3 +158,62 @@ def test_expansion_stops_at_hops(spark):
     assert {(r.entity, r.hop) for r in graph.expand(s, e, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     with pytest.raises(ValueError):
         graph.expand(s, e, 3)
+
+
+def test_redaction_hides_whatever_a_secret_holds(spark):
+    rows = [('{"password":{"x":"p"},"private_key":"k","token":["a"],"n":{"Secret":1,"ok":[{"api_key":null},2]}}',), ("[1]",), ("null",), (None,), ("{bad",), ('{"a":"한"}',)]
+    got = [r.c for r in spark.createDataFrame(rows, "t string").select(S.redact_nested("t").alias("c")).collect()]
+    hidden = '"[FILTERED]"'
+    assert got == [f'{{"password":{hidden},"private_key":{hidden},"token":{hidden},"n":{{"Secret":{hidden},"ok":[{{"api_key":{hidden}}},2]}}}}', None, None, None, None, '{"a":"한"}']
+
+
+def test_likeliest_div():
+    small, large = "x" * 120, "y" * 600
+    page = f'<body><div class="story">{small}</div><div id="a">{large}</div><div class="post text" id="main">{"z" * 60}</div></body>'
+    # 2 + 1, 1 + 2, and 4 + 2 points
+    assert html.main_content(html.parse(page)).attrs == {"class": "post text", "id": "main"}
+    assert html.main_content(html.parse(f"<body><div>{'a' * 40}</div><p>b</p></body>")).tag == "body"
+    assert html.main_content(html.parse(f"<body><div>{'a' * 51}</div><div>{'b' * 60}</div></body>")).text() == "b" * 60
+
+
+def test_split_keeps_separators_at_the_beginning():
+    assert chunking.split_text("aa bb cc dd", 5, 0) == ["aa bb", "cc", "dd"]
+    assert chunking.split_text("one two\n\nthree", 8, 0) == ["one two", "three"]
+    assert chunking.split_text("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert chunking.split_text("", 4, 1) == []
+
+
+def test_next_times(spark):
+    now = 1_718_000_000  # Monday, 06:13:20 UTC
+    crons = ["0 * * * *", "14 * * * *", "30 3 * * *", "0 7 * * *", "0 0 * * 0", "13 6 * * 1", "*/5 * * * *", None, "bad"]
+    got = [r.t for r in spark.createDataFrame([(c,) for c in crons], "c string").select(S.next_time("c", now).alias("t")).collect()]
+    day = now - now % 86_400
+    assert got == [day + 7 * 3600, day + 6 * 3600 + 14 * 60, day + 27 * 3600 + 1800, day + 7 * 3600, day + 6 * 86_400, day + 7 * 86_400 + 6 * 3600 + 13 * 60, None, None, None]
+
+
+def test_strategy_by_risk_and_kinds(spark):
+    docs = spark.createDataFrame([("de", "a@x.io 010-1234-5678"), ("fr", "a@x.io"), ("xx", "a@x.io 10.0.0.1")], "file_type string, text string")
+    config = spark.createDataFrame([("de", "risk", ["email", "phone"]), ("fr", "none", None)], "file_type string, strategy string, kinds array<string>")
+    got = {r.file_type: r.clean_text for r in pii.anonymized(pii.with_strategy(docs, config), strategy_col="strategy", kinds_col="kinds").collect()}
+    assert got == {"de": "EMAIL_001 010-****-****", "fr": "a@x.io", "xx": "a@*.io 10.0.0.1"}
+
+
+def test_index_within_groups_of_any_size(spark):
+    rows = spark.createDataFrame([(k % 2 if k % 10 else None, k, "x" if k % 4 < 2 else "y") for k in range(1000)], "g long, k long, v string")
+    got = W.dense_index(rows, ["g"], ["k"], "i", rows_per_task=70).collect()
+    for g in (0, 1, None):
+        assert [r.k for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)] == sorted(r.k for r in got if r.g == g)
+        assert sorted(r.i for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
+    shown = {r.k: r.v for r in W.blank_repeats(rows, ["g"], "k", ["v"], block=7).collect()}
+    last = {}
+    for r in sorted(rows.collect(), key=lambda r: r.k):
+        assert shown[r.k] == ("" if last.get(r.g) == r.v else r.v)
+        last[r.g] = r.v
+
+
+def test_categories_of_any_depth(spark):
+    from lodestone.operators import joins as J
+
+    tree = spark.createDataFrame([(0, "r", None)] + [(k, f"n{k}", k - 1) for k in range(1, 20)] + [(50, "loop", 51), (51, "loop", 50)], "id long, name string, parent_id long")
+    got = {r.id: r.depth for r in J.category_paths(tree).collect()}
+    assert got == {k: k for k in range(20)}

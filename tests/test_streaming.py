@@ -63,3 +63,21 @@ def test_counted_writes_and_raw_files(spark, tmp_path):
     assert (r.filename, r.extension, r.file_size, r.hash_sha256[:8]) == ("A.TXT", "txt", 3, "ba7816bf")
     T.append(df, str(tmp_path / "p"))
     assert T.scan(spark, str(tmp_path / "p"), "group_id = 1", ["id"]).count() == 5
+
+
+def test_running_sets_by_state(spark, sf_dir, tmp_path):
+    rows, stream = _source(spark, sf_dir, tmp_path)
+    q = R.running_stream(stream, ["user_id", "category"]).writeStream.outputMode("update").format("memory").queryName("running_state").option("checkpointLocation", str(tmp_path / "cp")).start()
+    want = {(r.user_id, r.category): r.tasks for r in R.running_by_category(rows).collect()}
+    try:
+        for _ in range(90):
+            seen = {}
+            for r in spark.sql("select * from running_state").collect():
+                seen[r.user_id, r.category] = r.tasks  # in the order of the batches
+            if {k: v for k, v in seen.items() if v} == want:
+                break
+            time.sleep(1)
+        else:
+            raise AssertionError("the stream did not come to the batch result")
+    finally:
+        q.stop()
