@@ -222,26 +222,58 @@ def test_flat_files_are_what_is_scanned(spark, tmp_path):
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 
 
-def test_model_is_a_distribution(spark):
-    docs = spark.createDataFrame([("the cat sat on the mat.",), ("a cat and a hat",), ("",), (None,)], "text string")
-    p = 10.0 ** kneser_ney.lay_out(kneser_ney.train(docs)).astype(float)
-    assert np.allclose(p.reshape(-1, kneser_ney.A).sum(axis=1), 1.0, atol=1e-4)
-
-
-def test_codes_match_plain_windows():
-    texts = ["Ab 1!", "", "é.", "x" * 9]
-    gram, first = kneser_ney.codes(texts)
-    for k, t in enumerate(texts):
-        cls = [0] * 3 + [int(kneser_ney._CLASS[min(ord(c), 0x2FFF)]) for c in t] + [0]
-        want = [((cls[i - 3] * kneser_ney.A + cls[i - 2]) * kneser_ney.A + cls[i - 1]) * kneser_ney.A + cls[i] for i in range(3, len(cls))]
-        assert list(gram[first[k] : first[k + 1]]) == want
+def brute_kneser_ney(texts):
+    """A function that gives P(word | two words before) of the interpolated modified model of the texts."""
+    triples = Counter()
+    for t in texts:
+        w = ["<", "<", *split(t), ">"]
+        triples.update(zip(w, w[1:], w[2:]))
+    levels = [None, None, dict(triples)]
+    levels[1] = Counter((v, x) for _, v, x in triples)
+    levels[0] = Counter((x,) for _, x in levels[1])
+
+    def discounts(counts):
+        n = [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i) if n[i] and n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+    cuts = [discounts(c) for c in levels]
+    cut = lambda k, c: cuts[k][min(c, 3) - 1]
+
+    def p(gram):
+        k = len(gram) - 1
+        below = 1 / (len(levels[0]) + 1) if k == 0 else p(gram[1:])
+        same = {g: c for g, c in levels[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return below
+        total, c = sum(same.values()), same.get(gram, 0)
+        return (c - cut(k, c) if c else 0) / total + sum(cut(k, x) for x in same.values()) / total * below
+
+    return p, {g[0] for g in levels[0]}
+
+
+def test_model_matches_brute_force(spark):
+    trusted = ["the cat sat on the mat", "the cat ran on", "a cat and a hat on the mat", "", None, "the the the", "on the mat the cat sat"]
+    p, words = brute_kneser_ney(trusted)
+    for context in (("<", "<"), ("the", "cat"), ("never", "the"), ("never", "seen")):
+        assert sum(p((*context, w)) for w in [*words, "unknown"]) == pytest.approx(1.0)
+    texts = ["The cat sat on a hat", "mat unknown the", "", None, "the the the cat", "new words alone"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, lang string, text string")
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    for rows in (1_000, 12):
+        got = {r.doc_id: r for r in kneser_ney.document_scores(docs, *model, "doc_id", "text", "lang", rows).collect()}
+        assert len(got) == len(texts) + 1
+        for i, t in enumerate([*texts, texts[0]]):
+            w = ["<", "<", *split(t), ">"]
+            assert got[i].n == len(w) - 2
+            assert got[i].logp == pytest.approx(sum(math.log10(p(g)) for g in zip(w, w[1:], w[2:])), rel=1e-5)
 
 
 def test_quality_separates_and_shards_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     one = kneser_ney.quality(docs, labels.where("quality = 1"))
-    many = kneser_ney.quality(docs, labels.where("quality = 1"), shard_bytes=3 << 20)
+    many = kneser_ney.quality(docs, labels.where("quality = 1"), shard_rows=40_000)
     a, b = ({r.doc_id: r for r in x.collect()} for x in (one, many))
     assert all(a[i].perplexity == pytest.approx(b[i].perplexity, rel=1e-5) for i in a)
     q = {r.doc_id: r.quality for r in labels.collect()}
