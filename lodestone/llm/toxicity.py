@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Insults are word patterns (whole words or word beginnings) learned from labelled texts by a likelihood-ratio test that
-allows for the number of patterns tried. A clause with a match is read by a transducer composed of insult, threat,
-target, negation and reported-speech parts; its states carry what was read before, its arcs scale the weight of a match.
-A document's score is a logistic curve, fitted on the same labelled texts, of the sum over its matched clauses and its length.
+allows for the number of patterns tried. Negation, reported speech, target and threat are transducers over classes of
+words; their composition reads each clause with a match and says in which contexts its matches stand. The weights of the
+contexts are those of a logistic curve, fitted on the same labelled texts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, strings
+from .common import crc_mod, cut, slices, strings
 from .ngram_join import shingles
 from .tokens import mix, words
 
@@ -32,9 +33,47 @@ THREAT = frozenset("kill murder destroy hurt töten umbringen tuer assassiner ma
 
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
 _WORD = re.compile(r"\w+(?:'\w+)*")
-_MIN, _MAX = 3, 8
-MOST_EVIDENCE = 30.0
-DEFAULT_CURVE = (-3.0, 1.0, 0.0, 0.0)
+OTHER, INSULT, MENACE, AIM, NOT, SAID = range(6)  # classes of words
+CLASSES = 6
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """move[state][class of word]: the next state; the first state is the one before a clause."""
+
+    move: np.ndarray
+
+
+def scope(opened_by: int, words: int) -> Transducer:
+    """Its state counts down the words that a word of the class still governs."""
+    move = np.maximum(np.arange(words + 1) - 1, 0)[:, None].repeat(CLASSES, 1)
+    move[:, opened_by] = words
+    return Transducer(move)
+
+
+def seen(of: int) -> Transducer:
+    """Its state says whether a word of the class has been read."""
+    move = np.array([0, 1])[:, None].repeat(CLASSES, 1)
+    move[0, of] = 1
+    return Transducer(move)
+
+
+def compose(*parts: Transducer) -> tuple[Transducer, np.ndarray]:
+    """The transducer that runs all parts at once, and the parts' states in each of its states."""
+    states = np.array(list(product(*(range(len(p.move)) for p in parts))))
+    place = {tuple(x): k for k, x in enumerate(states.tolist())}
+    move = [[place[tuple(int(p.move[x, c]) for p, x in zip(parts, own, strict=True))] for c in range(CLASSES)] for own in states.tolist()]
+    return Transducer(np.array(move)), states
+
+
+_WHOLE, _STATES = compose(scope(NOT, 3), scope(SAID, 7), seen(AIM), seen(MENACE))
+_MOVE = _WHOLE.move.tolist()
+#: What a match adds to: plain, negated, reported matches; all those of a clause with a target; threats with a target.
+CONTEXTS = 5
+_CONTEXT = [1 if n > 0 else 2 if r > 0 else 0 for n, r, _, _ in _STATES.tolist()]
+_FINAL = [(aim == 1, aim == 1 and menace == 1) for _, _, aim, menace in _STATES.tolist()]
+_CLASS = {**dict.fromkeys(THREAT, MENACE), **dict.fromkeys(TARGET, AIM), **dict.fromkeys(REPORTED, SAID), **dict.fromkeys(NEGATION, NOT)}
+DEFAULT_CURVE = (-3.0, 1.0, 0.0, 0.0, 0.3, 1.0, 0.0, 0.0)
 
 
 @dataclass(frozen=True)
@@ -46,7 +85,7 @@ class Grammar:
 
 
 class _Reader:
-    """The composed transducer. Its state: words since a negation, since reported speech, and whether a target was read."""
+    """Runs the composed transducer over the clauses with a match."""
 
     def __init__(self, patterns: dict[str, float]):
         self.find = ahocorasick.Automaton()
@@ -56,9 +95,9 @@ class _Reader:
             self.find.add_word(p, (p + " ", 0.0)) if p not in self.find else None
         self.find.make_automaton()
 
-    def hits(self, low: str) -> dict[int, tuple[float, bool]]:
-        """Weights and threats by the place where their word begins."""
-        out: dict[int, tuple[float, bool]] = {}
+    def hits(self, low: str) -> dict[int, float]:
+        """Weights by the place where their word begins; 0 for a threat that is no insult."""
+        out: dict[int, float] = {}
         n = len(low)
         for end, (p, w) in self.find.iter(low):
             size = len(p.rstrip())
@@ -67,57 +106,51 @@ class _Reader:
                 continue
             if p.endswith(" ") and end + 1 < n and (low[end + 1].isalnum() or low[end + 1] == "_"):
                 continue
-            weight, threat = out.get(at, (0.0, False))
-            out[at] = (max(weight, w), threat or w == 0.0)
+            out[at] = max(out.get(at, 0.0), w)
         return out
 
-    def evidence(self, text: str) -> tuple[float, int]:
-        """Sum over matched clauses, and their number."""
+    def evidence(self, text: str) -> tuple[list[float], int]:
+        """Sums of the matches by context, and the number of clauses with a match of some weight."""
         low = text.lower()
         hits = self.hits(low)
-        total, clauses = 0.0, 0
-        if not hits:
-            return total, clauses
-        done = -1
+        total, clauses, done = [0.0] * CONTEXTS, 0, -1
         for at in sorted(hits):
             if at < done:
                 continue
             lo = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1
             done = m.end() if (m := _CLAUSE.match(low, lo)) else at + 1
-            weight = self.clause(low, lo, done, hits)
-            total += weight
-            clauses += weight > 0
+            got = self.clause(low, lo, done, hits)
+            clauses += any(got)
+            total = [a + b for a, b in zip(total, got, strict=True)]
         return total, clauses
 
     @staticmethod
-    def clause(low: str, lo: int, hi: int, hits: dict[int, tuple[float, bool]]) -> float:
-        negated = reported = 99
-        target, threats, total = False, 0, 0.0
+    def clause(low: str, lo: int, hi: int, hits: dict[int, float]) -> list[float]:
+        """What one clause adds to each context."""
+        out, state, threats = [0.0] * CONTEXTS, 0, 0
         for m in _WORD.finditer(low, lo, hi):
-            word = m.group()
-            negated, reported = negated + 1, reported + 1
-            if m.start() in hits:
-                weight, threat = hits[m.start()]
-                threats += threat
-                scale = (0.4 if negated <= 2 else 1.0) * (0.5 if reported <= 6 else 1.0)
-                total += weight * scale
-            if word in NEGATION:
-                negated = 0
-            elif word in REPORTED:
-                reported = 0
-            elif word in TARGET:
-                target = True
-        if threats and target:  # a threat counts with its target only
-            total += 2.0 * threats * (0.5 if reported <= 12 else 1.0)
-        return total * (1.25 if target else 1.0)
+            kind, weight = _CLASS.get(m.group(), OTHER), hits.get(m.start(), 0.0)
+            if weight:
+                out[_CONTEXT[state]] += weight
+                kind = INSULT if kind == OTHER else kind
+            threats += kind == MENACE and _CONTEXT[state] == 0
+            state = _MOVE[state][kind]
+        targeted, threatened = _FINAL[state]
+        out[3] = sum(out[:3]) if targeted else 0.0
+        out[4] = float(threats) if threatened else 0.0
+        return out
 
 
 def _patterns_of(text: str) -> set[str]:
+    """Whole words, and their beginnings of 3 to 8 characters, then of lengths that grow by half, to the word's end."""
     out = set()
     for w in set(_WORD.findall(text.lower())):
-        if _MIN <= len(w) and not w.isdigit():
+        if len(w) >= 3 and not w.isdigit():
             out.add(w + " ")
-            out.update(w[:k] for k in range(_MIN, min(_MAX, len(w)) + 1))
+            k = 3
+            while k <= len(w):
+                out.add(w[:k])
+                k = k + 1 if k < 8 else k * 3 // 2
     return out
 
 
@@ -178,9 +211,9 @@ def choose_patterns(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int, tr
 
 
 def _features(evidence: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Per document: one, the evidence, the length, the evidence for its length (chance matches grow with it)."""
-    e, kilo = np.minimum(evidence, MOST_EVIDENCE), np.asarray(chars, float) / 1000
-    return np.c_[np.ones(len(e)), e, np.log1p(kilo), np.minimum(e / (1 + kilo), MOST_EVIDENCE)]
+    """Per document: one, the evidence of each context, the length, all evidence for the length (chance matches grow with it)."""
+    e, kilo = np.asarray(evidence, float).reshape(-1, CONTEXTS), np.asarray(chars, float) / 1000
+    return np.c_[np.ones(len(e)), np.log1p(e), np.log1p(kilo), np.log1p(e[:, :3].sum(axis=1) / (1 + kilo))]
 
 
 def _fit(evidence: np.ndarray, chars: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
@@ -198,36 +231,55 @@ def _fit(evidence: np.ndarray, chars: np.ndarray, label: np.ndarray) -> tuple[fl
     return tuple(float(v) for v in b)
 
 
-def _curve(curve: tuple[float, ...], evidence: list[float], texts: list[str]) -> np.ndarray:
+def _curve(curve: tuple[float, ...], evidence: list[list[float]], texts: list[str]) -> np.ndarray:
     """Scores; a text without any evidence has that of an empty one at most."""
-    z = _features(np.array(evidence, float), np.array([len(t) for t in texts], float)) @ np.array(curve)
-    return 1 / (1 + np.exp(-np.clip(np.where(np.array(evidence) > 0, z, np.minimum(z, curve[0])), -30, 30)))
+    e = np.array(evidence, float).reshape(-1, CONTEXTS)
+    z = _features(e, np.array([len(t) for t in texts], float)) @ np.array(curve)
+    return 1 / (1 + np.exp(-np.clip(np.where(e.any(axis=1), z, np.minimum(z, curve[0])), -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_patterns: int = 5_000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_rounds: int = 4) -> Grammar:
     """A grammar from the labelled texts; at most `most_rows` of them, by the hash of their id.
 
-    Rows with a null id or label are left out; of several labels of one id the greatest holds. Without both labels
-    present the grammar has no learned pattern.
+    Patterns are chosen round by round: each round looks at the toxic texts that the patterns found so far do not explain,
+    beside all clean ones, until a round finds none. Rows with a null id or label are left out; of several labels of one
+    id the greatest holds; null texts are empty. Texts that repeat, even nearly, count once for a label. Without both
+    labels present the grammar has no learned pattern. Ties go by the pattern's length, then the pattern. Other columns
+    are ignored, whatever their names.
     """
-    picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
-    sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"))
+    picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    picked = picked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select(F.col("_text").alias("text"), F.col("_label").alias("label"))
     # copies and near-copies of one text are one witness: those whose least shingle hash is the same count once for a label
     sample = sample.mapInArrow(_with_shingle, "text string, label int, least long").groupBy("least", "label").agg(F.min("text").alias("text")).select("text", "label")
-    counted = sample.mapInArrow(_count_patterns, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counted = counted.where("pos + neg >= 4 or pattern = ''")
-    counted = counted.persist()
-    try:
+    sample = cut(sample)  # at most most_rows texts
+    patterns: dict[str, float] = {}
+    for _ in range(most_rounds):
+        rest = sample.mapInArrow(_unexplained(patterns), "text string, label int") if patterns else sample
+        counted = rest.mapInArrow(_count_patterns, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = cut(counted.where("pos + neg >= 4 or pattern = ''"))
         total = counted.where("pattern = ''").collect()
-        tried = counted.count()
-        rows = counted.where("pattern != '' and pos >= 3 and pos >= 0.3 * (pos + neg)").orderBy(F.desc("pos"), "pattern").limit(most_patterns).collect()
-    finally:
-        counted.unpersist()
-    n_pos, n_neg = (total[0].pos, total[0].neg) if total else (0, 0)
-    patterns = choose_patterns([(r.pattern, r.pos, r.neg) for r in rows], n_pos, n_neg, tried)
-    seen = sample.mapInArrow(_evidence(patterns), "label int, evidence double, chars long").toPandas()  # at most most_rows
-    return Grammar(patterns, _fit(seen["evidence"].to_numpy(), seen["chars"].to_numpy(), seen["label"].to_numpy()))
+        n_pos, n_neg = (total[0].pos, total[0].neg) if total else (0, 0)
+        rows = counted.where("pattern != '' and pos >= 3 and pos >= 0.3 * (pos + neg)").collect()  # patterns of at most most_rows texts
+        new = choose_patterns([(r.pattern, r.pos, r.neg) for r in rows], n_pos, n_neg, counted.count())
+        new = {p: w for p, w in new.items() if p not in patterns}
+        if not new:
+            break
+        patterns |= new
+    got = sample.mapInArrow(_evidence(patterns), "label int, evidence array<double>, chars long").toPandas()  # at most most_rows
+    return Grammar(patterns, _fit(np.array([list(e) for e in got["evidence"]]), got["chars"].to_numpy(), got["label"].to_numpy()))
+
+
+def _unexplained(patterns: dict[str, float]):
+    """Texts without a match of a pattern, and all clean ones."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(patterns)
+        for b in batches:
+            keep = [not label or not any(reader.hits(t.lower()).values()) for t, label in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return go
 
 
 def _evidence(patterns: dict[str, float]):
@@ -235,7 +287,7 @@ def _evidence(patterns: dict[str, float]):
         reader = _Reader(patterns)
         for b in batches:
             texts = strings(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([reader.evidence(t)[0] for t in texts], pa.float64()), pa.array([len(t) for t in texts], pa.int64())], ["label", "evidence", "chars"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([reader.evidence(t)[0] for t in texts], pa.list_(pa.float64())), pa.array([len(t) for t in texts], pa.int64())], ["label", "evidence", "chars"])
 
     return go
 
@@ -246,7 +298,10 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 
 def mark(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with score, predicted and clauses (see score) in place of columns of these names; in one pass, without a join."""
+    """docs with score, predicted and clauses (see score) in place of columns of these names; in one pass, without a join.
+
+    Every row is judged by its own text, whatever its id; repeated rows alike. Scores at the threshold count as toxic.
+    """
     docs = docs.drop("score", "predicted", "clauses")
     names = docs.columns
 

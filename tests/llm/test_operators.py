@@ -465,21 +465,40 @@ def test_pruning_table():
 # ---- 8 --------------------------------------------------------------------------------------------------------------
 
 
-def test_clauses_weigh_their_context():
+def test_composed_transducer_runs_its_parts():
+    """Over random words the composition is in the parts' states, and a match adds to the context that they say."""
+    parts = [toxicity.scope(toxicity.NOT, 3), toxicity.scope(toxicity.SAID, 7), toxicity.seen(toxicity.AIM), toxicity.seen(toxicity.MENACE)]
+    whole, states = toxicity.compose(*parts)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        state, own = 0, [0, 0, 0, 0]
+        for c in rng.integers(0, toxicity.CLASSES, 30):
+            state = int(whole.move[state, c])
+            own = [int(p.move[x, c]) for p, x in zip(parts, own)]
+            assert states[state].tolist() == own
+
+
+def test_clauses_say_their_contexts():
     r = toxicity._Reader({"idiot": 5.0})
-    plain, negated, aimed, said = (r.evidence(t)[0] for t in ("an idiot walks", "not an idiot walks", "you are an idiot", "he said an idiot walks"))
-    assert negated < plain < aimed and said < plain
-    assert r.evidence("Clean words. More of them.") == (0.0, 0)
-    assert r.evidence("IDIOTIC plan; fine.")[1] == 1
-    assert r.evidence("unidiot")[0] == 0.0
-    assert r.evidence("I will kill time")[0] == 0.0 and r.evidence("I will kill you")[0] > 0
+    # plain, negated, reported, with a target, threats with a target
+    assert r.evidence("an idiot walks") == ([5.0, 0, 0, 0, 0], 1)
+    assert r.evidence("not an idiot walks")[0] == [0, 5.0, 0, 0, 0]
+    assert r.evidence("not that long ago an idiot walks")[0] == [5.0, 0, 0, 0, 0]
+    assert r.evidence("he said an idiot walks")[0] == [0, 0, 5.0, 0, 0]
+    assert r.evidence("you are an idiot; he said")[0] == r.evidence("an idiot, you")[0] == [5.0, 0, 0, 5.0, 0]
+    assert r.evidence("an idiot. idiots")[0][0] == 10.0 and r.evidence("an idiot. idiots")[1] == 2
+    assert r.evidence("Clean words. More of them.") == ([0.0] * 5, 0)
+    assert r.evidence("IDIOTIC plan; fine.")[1] == 1 and not any(r.evidence("unidiot")[0])
+    assert not any(r.evidence("I will kill time")[0]) and r.evidence("I will kill you")[0] == [0, 0, 0, 0, 1.0]
+    assert not any(r.evidence("never kill you")[0])
 
 
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(4)
     words = [f"word{c}{d}" for c in "abcdef" for d in "ghijkl"]
     rows = [(i, " ".join([*rng.choice(words, 20), *(["zonker" + str(rng.integers(9))] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(400)]
-    docs = spark.createDataFrame([(i, t, 1.0, 1) for i, t, _ in rows], "doc_id long, text string, score double, predicted int")
+    clash = "doc_id long, text string, score double, predicted int, label int, least long, _label int"
+    docs = spark.createDataFrame([(i, t, 1.0, 1, 1, 1, 1) for i, t, _ in rows], clash)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows[:300]] + [(0, 1), (0, 0), (None, 1), (1, None)], "doc_id long, toxic int")
     g = toxicity.learn(docs, labels)
     assert any("zonker".startswith(p.strip()) for p in g.patterns)
