@@ -125,15 +125,16 @@ def _pair_hash(context: int, symbol: int) -> int:
 def grow(train: DataFrame, counts: DataFrame, depth: int, least_share: float, least: int) -> Tree:
     """The tree of the training texts; counts: (key, n) of their symbols.
 
-    Strings that are followed often enough (a share least_share of all symbols, and `least` times) can be contexts, so
-    that at most 1 / least_share contexts and pairs of each length reach the driver, whatever the size of the input.
+    Strings that are followed often enough can be contexts: `least` times, and a share least_share of all symbols or an
+    eighth of the square root of their number, whichever is less. So the contexts and pairs of each length, at most
+    8 * sqrt(symbols) beyond 1 / least_share, grow with the input while they fit in the driver.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
     total, types = int(row.n or 0), int(row.v)
     if not total:
         return Tree(0, 0, 1.0, [])
     unseen = max(int(row.one), 1) / (total + 1)
-    need = max(least, math.ceil(least_share * total))
+    need = max(least, math.ceil(min(least_share * total, total**0.5 / 8)))
     common = {r.key % 2**64: r.n for r in counts.where(F.col("n") >= need).collect()}
     word = np.array(sorted(common), np.uint64)
     uni = {w: n / total * (1 - unseen) for w, n in common.items()}
