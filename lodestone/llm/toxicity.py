@@ -181,7 +181,7 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             label = int(bool(label))
             docs[label] += 1
             counts[label].update(_patterns_of(text))
-            if len(counts[0]) > 1_000_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield flush()
     yield flush()
     yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([docs[1]]), pa.array([docs[0]])], ["pattern", "pos", "neg"])
