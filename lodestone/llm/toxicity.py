@@ -165,26 +165,34 @@ def _with_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least.view(np.int64))], ["text", "label", "least"])
 
 
-def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    docs = [0, 0]
-
-    def flush():
-        keys = list(counts[0].keys() | counts[1].keys())
-        arrays = [pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())]
-        counts[0].clear()
-        counts[1].clear()
-        return pa.RecordBatch.from_arrays(arrays, ["pattern", "pos", "neg"])
-
-    for b in batches:
-        for text, label in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True):
-            label = int(bool(label))
-            docs[label] += 1
-            counts[label].update(_patterns_of(text))
-            if len(counts[0]) + len(counts[1]) > 150_000:
-                yield flush()
-    yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([docs[1]]), pa.array([docs[0]])], ["pattern", "pos", "neg"])
+def _count_patterns(known: dict[str, float]):
+    """Texts of each label that have a pattern, by pattern, and all of them under the empty one; toxic texts that a known pattern explains are left out."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(known)
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        docs = [0, 0]
+
+        def flush():
+            keys = list(counts[0].keys() | counts[1].keys())
+            arrays = [pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())]
+            counts[0].clear()
+            counts[1].clear()
+            return pa.RecordBatch.from_arrays(arrays, ["pattern", "pos", "neg"])
+
+        for b in batches:
+            for text, label in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True):
+                label = int(bool(label))
+                if label and known and any(reader.hits(text.lower()).values()):
+                    continue
+                docs[label] += 1
+                counts[label].update(_patterns_of(text))
+                if len(counts[0]) + len(counts[1]) > 150_000:
+                    yield flush()
+        yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([docs[1]]), pa.array([docs[0]])], ["pattern", "pos", "neg"])
+
+    return go
 
 
 def _llr(pos: int, neg: int, base: float) -> float:
@@ -255,8 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = cut(sample)  # at most most_rows texts
     patterns: dict[str, float] = {}
     for _ in range(most_rounds):
-        rest = sample.mapInArrow(_unexplained(patterns), "text string, label int") if patterns else sample
-        counted = rest.mapInArrow(_count_patterns, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = sample.mapInArrow(_count_patterns(patterns), "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         counted = cut(counted.where("pos + neg >= 4 or pattern = ''"))
         total = counted.where("pattern = ''").collect()
         n_pos, n_neg = (total[0].pos, total[0].neg) if total else (0, 0)
@@ -270,18 +277,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Grammar(patterns, _fit(np.array([list(e) for e in got["evidence"]]), got["chars"].to_numpy(), got["label"].to_numpy()))
 
 
-def _unexplained(patterns: dict[str, float]):
-    """Texts without a match of a pattern, and all clean ones."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(patterns)
-        for b in batches:
-            keep = [not label or not any(reader.hits(t.lower()).values()) for t, label in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return go
-
-
 def _evidence(patterns: dict[str, float]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(patterns)
