@@ -324,7 +324,15 @@ def header_rows(spark, d):
     return W.header_row(cells).join(W.used_width(cells, 1), "sheet").select("sheet", "row", "width")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_returnflag AS sheet, l_orderkey * 8 + l_linenumber AS o, '| ' || CAST(l_quantity AS VARCHAR) || ' | ' || CAST(l_extendedprice AS VARCHAR) || ' |' AS line FROM lineitem),
+ r AS (SELECT sheet, line, length(line) + 1 AS n, row_number() OVER (PARTITION BY sheet ORDER BY o, line) - 1 AS i FROM l),
+ c AS (SELECT sheet, line, n, i, CAST(sum(n) OVER (PARTITION BY sheet ORDER BY i) AS BIGINT) AS total FROM r),
+ h AS (SELECT chr(10) || chr(10) || '| quantity | price |' || chr(10) || '| --- | --- |' || chr(10) AS head),
+ w AS (SELECT c.*, 2000 - length('# ' || sheet || head) AS room FROM c, h),
+ e AS (SELECT sheet, i, max(i) OVER (PARTITION BY sheet ORDER BY total RANGE BETWEEN CURRENT ROW AND room - n FOLLOWING) AS last FROM w),
+ s AS (SELECT sheet, CAST(0 AS BIGINT) AS k, i, last FROM e WHERE i = 0 UNION ALL SELECT e.sheet, k + 1, e.i, e.last FROM s JOIN e ON e.sheet = s.sheet AND e.i = s.last + 1)
+ SELECT s.sheet, k AS chunk_index, '# ' || s.sheet || CASE WHEN k > 0 THEN ' (Part ' || (k + 1) || ')' ELSE '' END || any_value(head) || string_agg(line, chr(10) ORDER BY c.i) AS text,
+ count(*) AS row_count, 'markdown_table' AS type FROM s JOIN c ON c.sheet = s.sheet AND c.i BETWEEN s.i AND s.last CROSS JOIN h GROUP BY s.sheet, k""")
 def table_chunks(spark, d):
     li = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"), F.array(F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")).alias("cells"))
     return chunking.table_chunks(li, ["quantity", "price"], 2_000)

@@ -6,12 +6,15 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.vectors import embed
-from ..operators.windows import breakpoint_groups, neighbour_similarity, numbered
+from ..operators.windows import breakpoint_groups, in_blocks, neighbour_similarity, numbered
 from .text import sentences, slices_of
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -98,49 +101,117 @@ def semantic_chunks(pages: DataFrame, threshold: float = 0.5, most: int = 1_500,
     return numbered(out, [by], ["page_number", "group", "_pos"]).select(by, "page_number", "chunk_index", "text")
 
 
-def pack_lines(header: str, lines: list[str], size: int, fallback: Callable[[], list[str]]) -> list[str]:
-    """Table lines under a repeated header up to the size; one line that is too long stands alone; a header that fills the size asks for the fallback."""
-    if len(header) >= size:
-        return fallback()
-    out, held, total = [], [], len(header)
-    for line in lines:
-        if held and total + len(line) + 1 > size:
-            out.append(header + "\n".join(held))
-            held, total = [], len(header)
-        held.append(line)
-        total += len(line) + 1
-    return [*out, header + "\n".join(held)] if held else out
+#: The headings of tables in words.
+WORDS_HEAD, WORDS_ROW = "## 테이블 데이터", "### 항목 "
 
 
-def table_chunks(rows: DataFrame, headers: list[str], size: int = 1_000, by: str = "sheet", order: str = "row") -> DataFrame:
-    """(by, chunk_index, text): rows (by, order, cells array<string>) as markdown tables of at most `size` characters.
+def _line_ends(t: pa.Table, head: int, size: int) -> tuple[int, np.ndarray]:
+    """How many rows are the block's own, and for each row where the chunk that begins with it ends (exclusive).
 
-    A group is dealt into stretches of 10,000 rows, each packed by itself, so that no task holds a whole large table.
+    t: rows of one block in order, copies of the next block's first rows last. A chunk has one row at least.
     """
-    from .scalars import markdown_row
-
-    stretch = F.expr(f"{order} div 10000")
-    lines = rows.select(by, stretch.alias("_s"), F.struct(F.col(order).alias("o"), markdown_row("cells").alias("md"), F.col("cells").alias("c")).alias("x"))
-    whole = lines.groupBy(by, "_s").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    head = "| " + " | ".join(headers) + " |\n| " + " | ".join("---" for _ in headers) + " |\n"
-    kind = whole.schema[by].dataType.simpleString()
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for name, xs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                title = f"# {name}\n\n"
-
-                def structured(xs=xs, title=title) -> list[str]:
-                    items = ["\n".join(f"- **{h}**: {v}" for h, v in zip(headers, x["c"], strict=False) if v) for x in xs]
-                    packed = pack_lines(title, items, max(size, len(title) + 1), lambda: items)
-                    return [f"{p} (Part {k})" if len(packed) > 1 else p for k, p in enumerate(packed, 1)]
-
-                made.append(pack_lines(title + head, [x["md"] for x in xs], size, structured))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.string()))], [by, "_s", "_parts"])
-
-    out = whole.mapInArrow(go, f"`{by}` {kind}, _s long, _parts array<string>").select(by, "_s", F.posexplode("_parts").alias("_p", "text"))
-    return numbered(out, [by], ["_s", "_p"]).select(by, "chunk_index", "text")
+    wide, n = t["_wide"][0].as_py(), t.num_rows
+    room = size - len(t["_title"][0].as_py()) - (len(WORDS_HEAD) + 4 if wide else head + 2)
+    cost = pc.utf8_length(t["_line"]).to_numpy().astype(np.int64) + (len(WORDS_ROW) + 3 if wide else 1)
+    total = np.r_[0, np.cumsum(cost)]
+    numbers = np.floor(np.log10(np.arange(1, n + 1) + 0.5)).astype(np.int64) + 1 if wide else np.zeros(n, np.int64)
+    digits = np.r_[0, np.cumsum(numbers)]
+    start = np.arange(n)
+    lo, hi = start + 1, np.full(n, n)
+    while (lo < hi).any():
+        mid = (lo + hi + 1) // 2
+        fits = total[mid] - total[start] + digits[mid - start] <= room
+        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+    return int(pc.sum(pc.equal(t["_own"], t["_block"])).as_py()), lo
+
+
+def _block_exits(by: str, head: int, size: int):
+    """For each row at which a block may be entered: the row of the next block at which it is left, and its chunks; as runs."""
+
+    def go(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        own, to = _line_ends(t, head, size)
+        count = np.ones(len(to), np.int64)
+        while len(at := np.flatnonzero(to[:own] < own)):
+            count[at] += count[to[at]]
+            to[at] = to[to[at]]
+        most = min(size + 1, own)
+        left, count = np.r_[to[:most] - own, 0][: size + 1], np.r_[count[:most], 0][: size + 1]
+        lo = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (count[1:] != count[:-1])])
+        same = [t[c].take(pa.array(np.zeros(len(lo), np.int64))) for c in (by, "_block")]
+        return pa.table([*same, pa.array(lo), pa.array(left[lo]), pa.array(count[lo])], [by, "_block", "_lo", "_left", "_n"])
+
+    return go
+
+
+def _entries(by: str):
+    """For each block of a group the row at which it is entered, and the chunks before."""
+
+    def go(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_block", "ascending"), ("_lo", "ascending")])
+        block, lo, left, n = (t[c].to_numpy() for c in ("_block", "_lo", "_left", "_n"))
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        at, before, entry, base = 0, 0, [], []
+        for a, e in zip(first, np.r_[first[1:], len(block)], strict=True):
+            entry.append(at)
+            base.append(before)
+            k = a + int(np.searchsorted(lo[a:e], at, side="right")) - 1
+            at, before = int(left[k]), before + int(n[k])
+        return pa.table([t[by].take(pa.array(first)), pa.array(block[first]), pa.array(entry, pa.int64()), pa.array(base, pa.int64())], [by, "_block", "_entry", "_base"])
+
+    return go
+
+
+def _block_chunks(by: str, header: str, size: int, schema: pa.Schema):
+    def go(t: pa.Table, entries: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return schema.empty_table()
+        t = t.sort_by("_i")
+        own, ends = _line_ends(t, len(header), size)
+        lines, wide, title = t["_line"].to_pylist(), t["_wide"][0].as_py(), t["_title"][0].as_py()
+        at, k, made = entries["_entry"][0].as_py(), entries["_base"][0].as_py(), []
+        while at < own:
+            rows = lines[at : ends[at]]
+            name = f"{title} (Part {k + 1})" if k else title
+            if wide:
+                text = f"{name}\n\n{WORDS_HEAD} ({len(rows)}행)\n\n" + "\n".join(f"{WORDS_ROW}{j}\n{x}" for j, x in enumerate(rows, 1))
+            else:
+                text = f"{name}\n\n{header}" + "\n".join(rows)
+            made.append((k, text, len(rows), "structured_text" if wide else "markdown_table"))
+            at, k = int(ends[at]), k + 1
+        same = t[by].take(pa.array(np.zeros(len(made), np.int64)))
+        return pa.table([same, *(pa.array([m[c] for m in made], schema.field(c + 1).type) for c in range(4))], schema.names)
+
+    return go
+
+
+def table_chunks(rows: DataFrame, headers: list[str], size: int = 1_000, by: str = "sheet", order: str = "row", block: int = 100_000) -> DataFrame:
+    """(by, chunk_index, text, row_count, type): rows (by, order, cells array<string>) as markdown tables of at most `size` characters.
+
+    Every chunk repeats title and header, later ones say which part they are; a row that is too long stands alone, and
+    where the header alone fills the size rows become lists of their cells. Null cells are blank, missing ones too, further
+    ones are left out; a null group has an empty name; rows of equal order go by their text. An empty table has no chunks.
+
+    A group's rows are packed in blocks: each says where it is left for every row at which it may be entered (after a
+    few chunks all entries agree, so these are few runs), the runs of a group are followed in turn, and each block then
+    writes the chunks that begin in it. The result is that of packing each group from its first row to its last.
+    """
+    block = max(block, size)
+    header = "| " + " | ".join(headers) + " |\n| " + " | ".join("---" for _ in headers) + " |\n"
+    title = F.concat(F.lit("# "), F.coalesce(F.col(by).cast("string"), F.lit("")))
+    wide = F.length(title) + 2 + len(header) >= size
+    cells = [F.regexp_replace(F.coalesce(F.get("cells", F.lit(i)), F.lit("")), r"^\s+|\s+$", "") for i in range(len(headers))]
+    one_line = [F.regexp_replace(F.regexp_replace(c, r"\|", r"\\|"), "\n", " ") for c in cells]
+    markdown = F.concat(F.lit("| "), F.array_join(F.array(*one_line), " | "), F.lit(" |"))
+    words = F.concat(*[F.when(c != "", F.concat(F.lit(f"- **{h}**: "), c, F.lit("\n"))).otherwise("") for h, c in zip(headers, cells, strict=True)])
+    lines = rows.select(by, order, title.alias("_title"), wide.alias("_wide"), F.when(wide, words).otherwise(markdown).alias("_line"))
+    dealt = in_blocks(lines, [by], [order, "_line"], block, after=size).select(by, "_block", "_own", "_i", "_title", "_wide", "_line")
+    kind = rows.schema[by].dataType
+    exits = dealt.groupBy(by, "_block").applyInArrow(_block_exits(by, len(header), size), f"`{by}` {kind.simpleString()}, _block long, _lo long, _left long, _n long")
+    entries = exits.groupBy(by).applyInArrow(_entries(by), f"`{by}` {kind.simpleString()}, _block long, _entry long, _base long")
+    schema = pa.schema([(by, to_arrow_type(kind)), ("chunk_index", pa.int64()), ("text", pa.string()), ("row_count", pa.int64()), ("type", pa.string())])
+    out = f"`{by}` {kind.simpleString()}, chunk_index long, text string, row_count long, type string"
+    return dealt.groupBy(by, "_block").cogroup(entries.groupBy(by, "_block")).applyInArrow(_block_chunks(by, header, size, schema), out)
 
 
 def chart_regions(elements: DataFrame, cell: int = 100, least: int = 5, side: int = 50) -> DataFrame:

@@ -217,3 +217,48 @@ def test_categories_of_any_depth(spark):
     tree = spark.createDataFrame([(0, "r", None)] + [(k, f"n{k}", k - 1) for k in range(1, 20)] + [(50, "loop", 51), (51, "loop", 50)], "id long, name string, parent_id long")
     got = {r.id: r.depth for r in J.category_paths(tree).collect()}
     assert got == {k: k for k in range(20)}
+
+
+def _packed(title, headers, rows, size):
+    """Rows packed one after the other."""
+    head = "| " + " | ".join(headers) + " |\n| " + " | ".join("---" for _ in headers) + " |\n"
+    wide = len(f"{title}\n\n{head}") >= size
+    base = len(f"{title}\n\n{chunking.WORDS_HEAD}\n\n") if wide else len(f"{title}\n\n{head}")
+
+    def line(cells, k):
+        cells = [(c or "").strip() for c in [*cells, *[None] * len(headers)][: len(headers)]]
+        if wide:
+            return f"{chunking.WORDS_ROW}{k}\n" + "".join(f"- **{h}**: {c}\n" for h, c in zip(headers, cells) if c)
+        return "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+
+    groups, now, total = [], [], base
+    for cells in rows:
+        cost = len(line(cells, len(now) + 1)) + (2 if wide else 1)
+        if now and total + cost > size:
+            groups.append(now)
+            now, total = [], base
+        now.append(cells)
+        total += cost
+    groups += [now] if now else []
+    out = []
+    for k, g in enumerate(groups, 1):
+        name = f"{title} (Part {k})" if k > 1 else title
+        body = "\n".join(line(c, j) for j, c in enumerate(g, 1))
+        out.append((f"{name}\n\n{chunking.WORDS_HEAD} ({len(g)}행)\n\n{body}" if wide else f"{name}\n\n{head}{body}", len(g)))
+    return out
+
+
+@pytest.mark.parametrize("size", [30, 60, 400, 900])
+def test_table_chunks_do_not_depend_on_blocks(spark, size):
+    import random
+
+    rng = random.Random(size)
+    rows = [(s, i, [("ab|c\n" * rng.randint(0, 4)) or None, " " + "x" * rng.randint(0, 30)][: rng.randint(0, 3)] + ["y"] * rng.randint(0, 2)) for s in ("a", "bb", None) for i in range(700)]
+    rows += [("same", i, ["11", "22"]) for i in range(1500)] + [("long", i, ["z" * 1000, None]) for i in range(3)]
+    df = spark.createDataFrame(rows, "sheet string, row long, cells array<string>").withColumn("text", F.lit(1))
+    got = {}
+    for r in chunking.table_chunks(df, ["k", "v"], size, block=64).orderBy("chunk_index").collect():
+        got.setdefault(r.sheet, []).append((r.text, r.row_count))
+    want = {s: _packed(f"# {s or ''}", ["k", "v"], [c for t, _, c in rows if t == s], size) for s in ("a", "bb", None, "same", "long")}
+    assert got == want
+    assert chunking.table_chunks(df.limit(0), ["k", "v"], size).count() == 0
