@@ -186,7 +186,8 @@ def _block_chunks(by: str, header: str, size: int, schema: pa.Schema):
 
 
 def table_chunks(rows: DataFrame, headers: list[str], size: int = 1_000, by: str = "sheet", order: str = "row", block: int = 100_000) -> DataFrame:
-    """(by, chunk_index, text, row_count, type): rows (by, order, cells array<string>) as markdown tables of at most `size` characters.
+    """(by, chunk_index, text, row_count, type): rows (by, order, cells array<string>) as markdown tables of at most `size` characters
+    (the part's number aside).
 
     Every chunk repeats title and header, later ones say which part they are; a row that is too long stands alone, and
     where the header alone fills the size rows become lists of their cells. Null cells are blank, missing ones too, further
