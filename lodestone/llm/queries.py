@@ -79,9 +79,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(names)], "rate")
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of two rows that say control strings, numbered -1."""
+    from . import reply_trees as rt
+
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return rt.digests(rt.format_paths(rt.best_paths(rt.from_turns(rows))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 MIX_TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_suffix_tree, op3_pii, op4_token_counts, op5_kneser_ney, op6_url_templates, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_suffix_tree, op3_pii, op4_token_counts, op5_kneser_ney, op6_url_templates, op7_ngram_join, op8_toxicity, op9_decontamination, op10_mixing, op11_reply_trees, op12_whitening, op13_alignment)}
 _OP1 = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
  r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a)
