@@ -53,23 +53,48 @@ def _keyed(messages: DataFrame) -> DataFrame:
 
 
 def _climb(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, total, depth) of the path from each message to its root; and for each k the (key, up) that is 2**k messages above."""
+    """(key, total, depth) of the path from each message to its root; and for each k the (key, up) that is 2**k messages above.
+
+    Once under half of the rows still have something above them, the rows of finished conversations are set aside.
+    """
     state = cut(links.select("key", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")))
-    n, jumps = state.count(), []
+    n, jumps, aside, first = state.count(), [], [], True
+    most = n
     while True:
         open_ = state.where("up is not null")
-        deepest = open_.agg(F.max("depth")).first()[0]
-        if deepest is None:
-            return state.select("key", "total", "depth"), jumps
-        if deepest > n:
+        left, deepest = open_.agg(F.count("*"), F.max("depth")).first()
+        if not left:
+            whole = state
+            for part in aside:
+                whole = whole.union(part)
+            return whole.select("key", "total", "depth"), jumps
+        if deepest > most:
             raise ValueError("reply trees: some messages answer each other in a circle")
         jumps.append(open_.select("key", "up"))
+        if left < n / 2 and not first:
+            conv = open_.select(F.struct("key.conv").alias("_c")).distinct()
+            aside.append(cut(state.withColumn("_c", F.struct("key.conv")).join(conv, "_c", "left_anti").drop("_c")))
+            state = cut(state.withColumn("_c", F.struct("key.conv")).join(conv, "_c", "left_semi").drop("_c"))
+            n = state.count()
         above = state.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
         state = cut(
             state.join(above, "up", "left").select(
                 "key", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")
             )
         )
+        first = False
+
+
+def _enumerated(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(leaf, rank, score, depth, key, above): the messages of each leaf's path, `above` of them over the leaf.
+
+    After the k-th step every message less than 2**k above its leaf is there; a step adds those 2**k above what is there.
+    """
+    found = chosen.select(F.col("key").alias("leaf"), "rank", "score", "depth", "key", F.lit(0).cast("long").alias("above"))
+    for k, jump in enumerate(jumps):
+        more = found.join(jump, "key").select("leaf", "rank", "score", "depth", F.col("up").alias("key"), (F.col("above") + 2**k).alias("above"))
+        found = found.union(cut(more))
+    return found
 
 
 def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -87,11 +112,7 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     leaves = leaves.select("key", F.col("key.conv").alias("conv"), (F.col("total") / F.col("depth")).alias("score"), "depth")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "key.id", "key.rep"))
     chosen = cut(leaves.withColumn("rank", rank).where(F.col("rank") <= best))
-    at = chosen.select(F.col("key").alias("leaf"), "rank", "score", "depth", "key", F.lit(0).cast("long").alias("above"))
-    for k, jump in enumerate(jumps):
-        both = F.when(F.col("up").isNotNull(), F.array(F.struct("key", "above"), F.struct(F.col("up").alias("key"), (F.col("above") + 2**k).alias("above"))))
-        step = at.join(jump, "key", "left").select("leaf", "rank", "score", "depth", F.explode(F.coalesce(both, F.array(F.struct("key", "above")))).alias("one"))
-        at = step.select("leaf", "rank", "score", "depth", "one.key", "one.above")
+    at = _enumerated(chosen, jumps)
     text = m.select("key", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return at.join(text, "key").select(F.col("leaf.conv").alias("conv"), "leaf", "rank", "score", (F.col("depth") - F.col("above") - 1).alias("place"), "role", "text")
 
