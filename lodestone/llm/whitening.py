@@ -57,8 +57,11 @@ def _packed(rows: int):
 class Fit:
     """The fit list as packed blocks of rows, and passes over it whose results are small arrays summed over all tasks."""
 
-    def __init__(self, distinct: DataFrame, dim: int, rows: int = 2048):
-        self.blocks = cut(distinct.select("x").mapInArrow(_packed(rows), "n long, data binary"))
+    def __init__(self, distinct: DataFrame, dim: int, most: int, rows: int = 2048, task_bytes: int = 32 << 20):
+        """most: a number of rows that distinct does not exceed. A pass has a task for each task_bytes of the list, or for each core if that is more."""
+        cores = distinct.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, math.ceil(most * dim * 8 / task_bytes), min(cores, math.ceil(most / rows)))
+        self.blocks = cut(distinct.select("x").coalesce(tasks).mapInArrow(_packed(rows), "n long, data binary"))
         self.dim = dim
         self.tasks = self.blocks.rdd.getNumPartitions()
         self.n, self.total = 0, [0] * dim
@@ -185,7 +188,7 @@ def whiten(
     if len(sizes) > 1:
         raise ValueError(f"whitening: vectors of several lengths, {sizes[0]} and {sizes[1]} among them")
     dim = sizes[0]
-    fit = Fit(distinct, dim)
+    fit = Fit(distinct, dim, vectors.count())
     n, total, trace = fit.n, np.array(fit.total, np.int64), fit.trace
     k = min(components, dim)
     value, q = leading_pairs(fit.times, dim, k, max(block, 2 * k), degree, tolerance, most_rounds, seed)
