@@ -147,6 +147,15 @@ def edit_chunks(spark, d):
     return jobs.edit_chunks(ck, edits).select("chunk_id", "parsed_text", "token")
 
 
+@query(f"""WITH {_CH}, e AS (SELECT hash_sha256, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN 'Edited chunk ' || substring(parsed_text, 1, 200) ELSE parsed_text END AS t FROM ck),
+ w AS (SELECT hash_sha256, chunk_index, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+')) AS term FROM e) SELECT hash_sha256 || '_' || chunk_index AS doc_key, term, count(*) AS tf FROM w GROUP BY 1, 2""")
+def edit_chunk_postings(spark, d):
+    """Keyword rows after chunk edits: those of the changed chunks are made again, the others stay."""
+    ck = _chunks(spark, d).select(F.concat("hash_sha256", F.col("chunk_index").cast("string")).alias("chunk_id"), "hash_sha256", "chunk_index", "parsed_text", F.lit(7).cast("bigint").alias("token"), F.lit(0.0).alias("cost"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
+    edits = ck.where("chunk_index % 3 = 0").select("chunk_id", F.concat(F.lit("Edited chunk "), F.substring("parsed_text", 1, 200)).alias("parsed_text"))
+    return jobs.edit_chunks_indexed(ck, jobs.index_postings(ck), edits)[1].select("doc_key", "term", "tf")
+
+
 @query(_m("SELECT id, CASE WHEN id % 4 = 0 THEN 'new' WHEN id % 4 = 1 THEN title ELSE title END AS summary, id % 4 = 0 AS embedded FROM meta"))
 def edit_meta(spark, d):
     m = meta(spark, d).select("id", F.col("title").alias("summary"), F.lit(None).cast("array<float>").alias("embedding"))

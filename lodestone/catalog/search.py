@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, hybrid, keyword, vectors
 from ..operators import windows as W
 from ..operators.aggregates import file_statistics
 from ..plans import search as plans
-from ..sources.tables import load
+from ..sources.postings import Index
+from ..sources.tables import load, shared_folder
 from ..sources.views import NOW, meta, query_texts, query_vectors
 from .base import query
 
@@ -24,7 +28,7 @@ _BM25 = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\
   FROM a JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), n GROUP BY 1, 2),
  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_key) AS rank FROM sc) WHERE rank <= 10)"""
 
-_NORM = """z AS (SELECT *, ln(1 + score) AS s, count(*) OVER p AS n, max(ln(1 + score)) OVER p AS mx, quantile_cont(ln(1 + score), 0.2) OVER p AS q FROM top WINDOW p AS (PARTITION BY query_id)),
+_NORM = """z AS (SELECT *, round(ln(1 + score), 9) AS s, count(*) OVER p AS n, max(round(ln(1 + score), 9)) OVER p AS mx, round(quantile_cont(round(ln(1 + score), 9), 0.2) OVER p, 9) AS q FROM top WINDOW p AS (PARTITION BY query_id)),
  y AS (SELECT *, CASE WHEN s > q THEN s END AS k FROM z),
  nm AS (SELECT query_id, doc_key, rank, CASE WHEN n = 1 THEN 1.0 WHEN n = 2 THEN s / mx WHEN k IS NULL THEN 0.0 WHEN min(k) OVER p = max(k) OVER p THEN 0.5
   ELSE (k - min(k) OVER p) / (max(k) OVER p - min(k) OVER p) END AS norm FROM y WINDOW p AS (PARTITION BY query_id))"""
@@ -74,11 +78,23 @@ def dense_top_k_restricted(spark, d):
     return vectors.dense_top_k(query_vectors(spark, d), e, 10, within=pairs).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def _clustered(spark, d, probes: int | None):
+    e, path = load(spark, d, "embeddings"), f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
+    centroids = vectors.fit_clusters(e, 128)
+    vectors.write_clusters(e, path, centroids)
+    return vectors.stored_top_k(query_vectors(spark, d), path, 10, probes or vectors.probes_for(e, centroids))
+
+
 @query()
 def clustered_top_k(spark, d):
-    e = load(spark, d, "embeddings")
-    centroids = vectors.fit_clusters(e, 128)
-    return vectors.clustered_top_k(query_vectors(spark, d), e, 10, centroids, vectors.probes_for(e, centroids))
+    """A stored cluster index, made and searched in as many clusters as its recall needs."""
+    return _clustered(spark, d, None).select("query_id", "id", F.round("score", 12).alias("score"), "rank")
+
+
+@query(f"WITH {_HITS} SELECT query_id, id, rank, round(score, 6) AS score FROM h")
+def clustered_top_k_all(spark, d):
+    """The same index with every cluster probed, which finds what the exact search finds."""
+    return _clustered(spark, d, 128).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'null' WHEN vec_id % 5 = 1 THEN 'empty' ELSE 'dimension' END AS reason FROM embeddings WHERE vec_id % 5 < 3")
@@ -121,6 +137,34 @@ def bm25_top_k(spark, d):
     return _bm25(spark, d).select("query_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _stored_index(spark, d) -> Index:
+    index = Index(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    index.change(load(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text"))
+    return index
+
+
+def _stored_top(index: Index, asked) -> DataFrame:
+    return keyword.bm25_top_k(index.bm25(asked), 10).select("query_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_key, rank, round(score, 6) AS score FROM top")
+def bm25_stored(spark, d):
+    """The keyword index written in term buckets, and the search in the buckets that the queries ask for."""
+    return _stored_top(_stored_index(spark, d), keyword.query_terms(query_texts(spark, d)))
+
+
+_EDITED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Edited ' || substring(text, 1, 300) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 1)"
+
+
+@query(f"WITH {_BM25.replace('FROM documents', 'FROM ' + _EDITED)} SELECT query_id, doc_key, rank, round(score, 6) AS score FROM top")
+def bm25_after_edits(spark, d):
+    """The stored index after a delta that edits some documents and removes others."""
+    index, docs = _stored_index(spark, d), load(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")
+    edited = docs.where("doc_key % 7 = 0").select("doc_key", F.concat(F.lit("Edited "), F.substring("text", 1, 300)).alias("text"))
+    index.change(edited, docs.where("doc_key % 7 = 1"))
+    return _stored_top(index, keyword.query_terms(query_texts(spark, d)))
+
+
 @query(f"WITH {_BM25}, {_NORM} SELECT query_id, doc_key, round(norm, 6) AS norm FROM nm")
 def keyword_normalised(spark, d):
     return W.normalised_keyword(_bm25(spark, d)).select("query_id", "doc_key", F.round("norm", 6).alias("norm"))

@@ -194,12 +194,30 @@ def header_names(headers: Column | str, word: str = "컬럼") -> Column:
 
 
 def repair_bold(text: Column | str) -> Column:
-    """Bold runs side by side become one, empty ones a blank; blanks are single; marks touch their text; odd runs of stars become two."""
-    out = F.regexp_replace(_c(text), r"\*{4}", "")
-    steps = ((r"\*\*\s*\*\*", " "), (r"\s+", " "), (r"(\*\*[^*]+)\s+\*\*", "$1**"), (r"^\*\*\s+", ""), (r"\s+\*\*$", ""), (r"\*{3,}", "**"))
-    for pattern, new in steps:
-        out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
+    """Markdown whose bold runs are in order.
+
+    The text is taken apart at its marks (two stars; the odd one of a run of stars belongs to its last mark), so that every
+    second piece is bold. Bold pieces with nothing or only blanks between them become one; empty ones leave a blank; marks
+    touch their text; a mark without a partner goes if only blanks follow. Blanks are single, none at the ends.
+    """
+    pieces = F.split(_c(text), r"\*\*(?:\*(?!\*))?")
+    last = F.size(pieces) - 1
+    bare = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    numbered = F.transform(pieces, lambda x, i: F.struct(x.alias("raw"), bare(x).alias("bare"), ((i % 2 == 1) & (i < last)).alias("bold"), ((i % 2 == 1) & (i == last)).alias("open")))
+
+    def add(done: Column, piece: Column) -> Column:
+        """done: the text so far, and whether the bold piece at its end had a blank at its own end, which shows if another joins it."""
+        out, before = done["out"], F.rtrim(done["out"])
+        gap = F.when((before != out) | done["spare"] | F.rlike(piece["raw"], F.lit(r"^\s")), " ").otherwise("")
+        joined = F.concat(F.left(before, F.length(before) - 2), gap, piece["bare"], F.lit("**"))
+        bold = F.when(piece["bare"] == "", F.concat(out, F.lit(" "))).when(F.endswith(before, F.lit("**")), joined).otherwise(F.concat(out, F.lit("**"), piece["bare"], F.lit("**")))
+        alone = F.when(piece["bare"] == "", out).otherwise(F.concat(out, F.lit("**"), piece["raw"]))
+        text = F.when(piece["bold"], bold).when(piece["open"], alone).otherwise(F.concat(out, F.regexp_replace(piece["raw"], r"\s+", " ")))
+        spare = (piece["bold"] & F.rlike(piece["raw"], F.lit(r"\s$"))) | (~piece["bold"] & (piece["raw"] == "") & done["spare"])
+        return F.struct(text.alias("out"), spare.alias("spare"))
+
+    whole = F.aggregate(numbered, F.struct(F.lit("").alias("out"), F.lit(False).alias("spare")), add, lambda d: d["out"])
+    return F.trim(F.regexp_replace(whole, r"\s+", " "))
 
 
 def entity_text(kind: Column | str, description: Column | str, synonyms: Column | str) -> Column:

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 METRICS = ("COSINE", "IP", "L2")
 
 
@@ -59,8 +62,57 @@ def zero_vector(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return np.array(rows, dtype=np.float64)
+#: Blocks of vectors hold about this many bytes, and a block of queries at most this many rows.
+BLOCK_BYTES, QUERY_ROWS = 1 << 20, 1_024
+
+
+def _sample(vectors: DataFrame, vec_col: str, most: int, dim: int | None = None) -> np.ndarray:
+    """Unit vectors of at most `most` rows, by the hash of the vector; those that have no length or another than the first are left out."""
+    rows = vectors.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col), vec_col).limit(most).toPandas()[vec_col]
+    lists = [np.asarray(v, np.float64) for v in rows]
+    dim = dim or next((len(v) for v in lists if len(v)), 0)
+    x = np.array([v for v in lists if len(v) == dim]).reshape(-1, dim)
+    x = x[np.isfinite(x).all(axis=1)]
+    n = np.linalg.norm(x, axis=1)
+    return x[n > 0] / n[n > 0, None]
+
+
+def _whole(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of each length of vectors, without those that are null, empty or hold a null."""
+    size = np.nan_to_num(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    flat = col.flatten()
+    begin = np.cumsum(size) - size
+    gaps = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+    ok = (size > 0) & (gaps[begin + size] == gaps[begin])
+    values = flat.to_numpy(zero_copy_only=False)
+    for dim in np.unique(size[ok]):
+        at = np.flatnonzero(ok & (size == dim))
+        yield at, values[begin[at, None] + np.arange(dim)]
+
+
+def pack(rows: DataFrame, id_col: str, vec_col: str, by: str | None = None, most: int = 1 << 20) -> DataFrame:
+    """(part, dim, ids, data): vectors of one length and one value of `by` (an int; without it 0) as blocks of bytes.
+
+    A block has at most `most` rows and BLOCK_BYTES bytes, so that what meets another block in a join is of bounded size.
+    Vectors that are null, empty or hold nulls are left out.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, part = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            for at, x in _whole(b.column(1)):
+                n = max(1, min(most, BLOCK_BYTES // (4 * x.shape[1])))
+                x = x.astype(np.float32)
+                order = np.argsort(part[at], kind="stable")
+                edges = np.r_[0, np.flatnonzero(np.diff(part[at][order])) + 1, len(at)]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    for k in range(lo, hi, n):
+                        own = order[k : min(k + n, hi)]
+                        cells = [[int(part[at[own[0]]])], [x.shape[1]], [ids[at[own]].astype(np.int64).tobytes()], [x[own].tobytes()]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "dim", "ids", "data"])
+
+    src = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"), (F.col(by) if by else F.lit(0)).cast("int").alias("part"))
+    return src.where("id is not null").mapInArrow(go, "part int, dim int, ids binary, data binary")
 
 
 def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
@@ -74,36 +126,57 @@ def _scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
     return -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
 
 
-def _best_of_batches(ids: list, q: np.ndarray, k: np.ndarray, kind: str, dim: int):
-    """The k best rows of each batch for each query; what a batch cannot hold among its k best is not among the best of all."""
+def _best_of_blocks(k: int, kind: str):
+    """The k best rows of each block for each query of the block that it met; what a block cannot hold among its k best is not among the best of all."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = int(k.max(initial=0))
         for b in batches:
-            vecs = b.column(1).to_pylist()
-            ok = [i for i, v in enumerate(vecs) if v is not None and len(v) == dim and None not in v]
-            if not ok or not most:
-                continue
-            own = b.column(0).to_numpy(zero_copy_only=False)[ok]
-            s = _scores(q, _matrix([vecs[i] for i in ok]), kind)
-            order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 12)), axis=1)[:, :most]
-            row = np.repeat(np.arange(len(ids)), order.shape[1])
-            rank = np.tile(np.arange(order.shape[1]), len(ids))
-            keep = rank < k[row]
-            row, col = row[keep], order.ravel()[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[row]), pa.array(own[col]), pa.array(s[row, col])], ["query_id", "id", "score"])
+            for i in range(b.num_rows):
+                dim = b.column(0)[i].as_py()
+                asked, own = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (1, 3))
+                q, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 4))
+                s = _scores(q, x, kind)
+                shown = np.round(s, 12)
+                n = min(k, len(own))
+                least = -np.partition(-shown, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero(shown >= least[:, None])
+                order = np.lexsort((own[col], -shown[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(own[col]), pa.array(s[row, col])], ["query_id", "id", "score"])
 
     return go
 
 
-def dense_top_k(
-    queries: DataFrame, vectors: DataFrame, k: int, kind: str = "COSINE", id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 4_096, within: DataFrame | None = None,
-) -> DataFrame:
+def _held_against(asked: DataFrame, blocks: DataFrame, k: int, kind: str, at_a_time: int = 64) -> DataFrame:
+    """(query_id, id, score): blocks of queries meet the blocks of rows with their part and length, at_a_time of them in a broadcast.
+
+    A broadcast so holds at_a_time * BLOCK_BYTES at most; the rows are read once for each.
+    """
+    asked = cut(asked)
+    n = asked.count()
+    numbered = asked.withColumn("turn", F.pmod(F.xxhash64("part", "dim", "ids"), F.lit(max(1, -(-n // at_a_time)))))
+    out = None
+    for turn in range(max(1, -(-n // at_a_time))):
+        own = numbered.where(F.col("turn") == turn).select("part", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        pairs = blocks.join(F.broadcast(own), ["part", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
+        one = pairs.mapInArrow(_best_of_blocks(k, kind), "query_id long, id long, score double")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, kind: str = "COSINE", id_col: str = "vec_id", vec_col: str = "embedding", within: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best vectors of each query (query_id, embedding), ties by id.
 
-    Queries are a stated set that is held against all rows, query_block of them at a time (a block of bounded size
-    travels to the tasks); each task gives its k best a batch, which are then ranked. within (query_id, id) restricts
-    the search to pairs, by a join. Vectors that are null, hold nulls or are of another length than the query's are no hits.
+    Queries are a stated set that is held against all rows: both sides are packed in blocks, blocks of queries meet blocks
+    of rows, and each meeting gives its k best, which are then ranked. within (query_id, id) restricts the search to
+    pairs, by a join. Vectors that are null, hold nulls or are of another length than the query's are no hits.
     """
     if kind not in METRICS:
         raise ValueError(f"unknown metric {kind!r}")
@@ -112,31 +185,8 @@ def dense_top_k(
         scored = pair.where(F.size(vec_col) == F.size("_q")).withColumn("score", metric(kind, F.col(vec_col), F.col("_q")) * (-1 if kind == "L2" else 1))
         scored = scored.select("query_id", "id", "score")
     else:
-        scored = None
-        rows = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id").toLocalIterator()
-        src = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vector"))
-        block: list = []
-
-        def run(block: list) -> DataFrame:
-            out = None
-            for dim in sorted({len(r.embedding) for r in block}):
-                own = [r for r in block if len(r.embedding) == dim]
-                fn = _best_of_batches([r.query_id for r in own], _matrix([list(r.embedding) for r in own]), np.full(len(own), k), kind, dim)
-                one = src.mapInArrow(fn, "query_id long, id long, score double")
-                out = one if out is None else out.union(one)
-            return out
-
-        for r in rows:
-            block.append(r)
-            if len(block) == query_block:
-                scored = run(block) if scored is None else scored.union(run(block))
-                block = []
-        if block:
-            scored = run(block) if scored is None else scored.union(run(block))
-        if scored is None:
-            scored = vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        scored = _held_against(pack(queries, "query_id", "embedding", most=QUERY_ROWS), pack(vectors, id_col, vec_col), k, kind)
+    ranked = _ranked(scored, k)
     return ranked.withColumn("score", -F.col("score")) if kind == "L2" else ranked
 
 
@@ -152,18 +202,17 @@ def against_all(queries: DataFrame, rows: DataFrame, summary: Callable[[DataFram
     return out
 
 
-def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 100_000, rounds: int = 12, vec_col: str = "embedding", seed: int = 1) -> np.ndarray:
+def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 32_768, rounds: int = 12, vec_col: str = "embedding", seed: int = 1) -> np.ndarray:
     """Centroids of unit vectors (spherical k-means) on at most `sample` rows, by the hash of the vector."""
-    rows = vectors.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col), vec_col).limit(sample).toPandas()[vec_col]
-    x = _matrix([list(v) for v in rows])
-    x = x[np.linalg.norm(x, axis=1) > 0]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _sample(vectors, vec_col, sample)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(n_clusters, len(x)), replace=False)]
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        at, first = np.unique(own[order], return_index=True)
         total = np.zeros_like(c)
-        np.add.at(total, own, x)
+        total[at] = np.add.reduceat(x[order], first) if len(at) else 0.0
         n = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(n > 0, total / np.maximum(n, 1e-12), c)
     return c
@@ -171,10 +220,7 @@ def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 100_00
 
 def probes_for(vectors: DataFrame, centroids: np.ndarray, k: int = 10, recall: float = 0.97, least: int = 16, sample: int = 20_000, asked: int = 200, vec_col: str = "embedding") -> int:
     """The fewest clusters to probe with which a bounded sample's own neighbours, found by brute force, reach the recall."""
-    rows = vectors.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(vec_col), vec_col).limit(sample).toPandas()[vec_col]
-    x = _matrix([list(v) for v in rows if len(v) == centroids.shape[1]])
-    x = x[np.linalg.norm(x, axis=1) > 0]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _sample(vectors, vec_col, sample, centroids.shape[1])
     q = x[:asked]
     best = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
     place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
@@ -184,28 +230,44 @@ def probes_for(vectors: DataFrame, centroids: np.ndarray, k: int = 10, recall: f
 
 
 def assign_clusters(vectors: DataFrame, centroids: np.ndarray, n: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, vector, cluster): the n nearest clusters of every vector."""
+    """(id, vector, cluster): the n nearest clusters of every vector of the centroids' length."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = b.column(1).to_pylist()
-            ok = [i for i, v in enumerate(vecs) if v is not None and len(v) == centroids.shape[1] and None not in v]
-            if ok:
-                own = np.argsort(-(_matrix([vecs[i] for i in ok]) @ centroids.T), axis=1, kind="stable")[:, :n]
-                idx = pa.array(np.repeat(ok, own.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(own.ravel().astype(np.int32))], ["id", "vector", "cluster"])
+            for at, x in _whole(b.column(1)):
+                if x.shape[1] == centroids.shape[1]:
+                    own = np.argsort(-(x.astype(np.float64) @ centroids.T), axis=1, kind="stable")[:, :n]
+                    idx = pa.array(np.repeat(at, own.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(own.ravel().astype(np.int32))], ["id", "vector", "cluster"])
 
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"))
     return src.mapInArrow(go, "id long, vector array<float>, cluster int")
 
 
-def clustered_top_k(queries: DataFrame, vectors: DataFrame, k: int, centroids: np.ndarray, probes: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """dense_top_k by cosine over the `probes` nearest clusters of each query only: a join on the cluster."""
-    index = assign_clusters(vectors, centroids, 1, id_col, vec_col)
-    asked = assign_clusters(queries, centroids, probes, "query_id", "embedding").select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), "cluster")
-    score = F.round(cosine(F.col("vector"), F.col("_q")), 12)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return index.join(asked, "cluster").select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def write_clusters(vectors: DataFrame, path: str, centroids: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Stores the index: the centroids, and the vectors as packed blocks in a folder for each cluster.
+
+    A cluster of any size is many blocks, written by as many tasks as Spark finds even. Vectors of another length than the
+    centroids', null ones and those that hold nulls are not in the index.
+    """
+    spark = vectors.sparkSession
+    spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    dealt = assign_clusters(vectors, centroids, 1, id_col, vec_col).hint("rebalance", "cluster").sortWithinPartitions("cluster")
+    pack(dealt, "id", "vector", "cluster").write.partitionBy("part").parquet(f"{path}/blocks")
+
+
+def stored_top_k(queries: DataFrame, path: str, k: int, probes: int = 16) -> DataFrame:
+    """dense_top_k by cosine over the `probes` nearest clusters of each query, of the index that write_clusters stored.
+
+    Only the folders of probed clusters are read; blocks of the queries that probe a cluster meet the cluster's blocks.
+    """
+    spark = queries.sparkSession
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()  # a row for each cluster
+    centroids = np.array([r.centroid for r in rows])
+    asked = cut(pack(assign_clusters(queries, centroids, probes, "query_id", "embedding"), "id", "vector", "cluster", QUERY_ROWS))
+    probed = [r[0] for r in asked.select("part").distinct().collect()]
+    blocks = spark.read.schema("dim int, ids binary, data binary, part int").parquet(f"{path}/blocks").where(F.col("part").isin(probed))
+    return _ranked(_held_against(asked, blocks, k, "COSINE", at_a_time=4_096), k)
 
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> np.ndarray:

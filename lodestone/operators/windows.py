@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import cut
 
 
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "chunk_index") -> DataFrame:
@@ -38,9 +38,10 @@ def normalised_keyword(df: DataFrame, by: str = "query_id", score: str = "score"
 
     One row: 1. Two: log1p over the greatest. From three on, rows whose log1p is at or below its 20th percentile get 0 and the
     others are spread between the least and the greatest of them (0.5 if those are equal, so the least one kept has 0).
+    Logarithms and percentile count to nine places, so that equal texts, whose sums differ in the last bit, stay equal.
     """
     w = Window.partitionBy(by)
-    s = df.withColumn("_s", F.log1p(score)).withColumn("_n", F.count("*").over(w)).withColumn("_top", F.max("_s").over(w)).withColumn("_q", F.percentile("_s", F.lit(0.2)).over(w))
+    s = df.withColumn("_s", F.round(F.log1p(score), 9)).withColumn("_n", F.count("*").over(w)).withColumn("_top", F.max("_s").over(w)).withColumn("_q", F.round(F.percentile("_s", F.lit(0.2)).over(w), 9))
     s = s.withColumn("_keep", F.when(F.col("_s") > F.col("_q"), F.col("_s")))
     lo, hi = F.min("_keep").over(w), F.max("_keep").over(w)
     many = F.when(F.col("_keep").isNull(), 0.0).when(lo == hi, 0.5).otherwise((F.col("_keep") - lo) / (hi - lo))
@@ -63,8 +64,7 @@ def dense_index(df: DataFrame, by: list[str], order: list[str], name: str, rows_
     parts = max(1, -(-df.count() // rows_per_task))
     ranges = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
     at = ranges.withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    shared_folder(df.sparkSession)
-    at = at.checkpoint()
+    at = cut(at)
     runs = at.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_from"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
     base = runs.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), (before - F.col("_from")).alias("_base"))

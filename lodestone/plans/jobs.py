@@ -128,6 +128,13 @@ def edit_chunks(chunks: DataFrame, edits: DataFrame, function: Callable = hashed
     return upsert(chunks, new.select(*chunks.columns), ["chunk_id"])
 
 
+def edit_chunks_indexed(chunks: DataFrame, postings: DataFrame, edits: DataFrame, function: Callable = hashed_embedding) -> tuple[DataFrame, DataFrame]:
+    """(chunks, postings) after edits (chunk_id, parsed_text): what index_postings gives for the new chunks, of which only the changed ones are split again."""
+    moved = chunks.join(edits.select("chunk_id", F.col("parsed_text").alias("_new")), "chunk_id").select("hash_sha256", "chunk_index", F.col("_new").alias("parsed_text"))
+    kept = delete_keys(postings, moved.select("hash_sha256", "chunk_index"))
+    return edit_chunks(chunks, edits, function), kept.unionByName(index_postings(moved))
+
+
 def edit_meta(meta: DataFrame, edits: DataFrame, text_cols: tuple[str, ...] = ("summary",), key: str = "id", function: Callable = hashed_embedding) -> DataFrame:
     """meta with changed columns; the vector is made again only where one of text_cols changes."""
     cols = [c for c in edits.columns if c != key]

@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, so that what is built on it computes it once."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def row_key(*cols: str) -> Column:
     """A deterministic 64-bit key of the columns, for tables whose store would number rows itself."""
     return F.xxhash64(*cols)

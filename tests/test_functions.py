@@ -134,14 +134,15 @@ def test_vector_edges(spark):
     assert vectors.dense_top_k(many, v, 2, query_block=4).count() == 18
 
 
-def test_clustered_recall(spark, sf_dir):
+def test_clustered_recall(spark, sf_dir, tmp_path):
     from lodestone.sources.tables import load
     from lodestone.sources.views import query_vectors
 
     e, q = load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
     exact = {(r.query_id, r.id) for r in vectors.dense_top_k(q, e, 10).collect()}
     centroids = vectors.fit_clusters(e, 64)
-    near = {(r.query_id, r.id) for r in vectors.clustered_top_k(q, e, 10, centroids, vectors.probes_for(e, centroids)).collect()}
+    vectors.write_clusters(e, str(tmp_path / "index"), centroids)
+    near = {(r.query_id, r.id) for r in vectors.stored_top_k(q, str(tmp_path / "index"), 10, vectors.probes_for(e, centroids)).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
@@ -262,3 +263,13 @@ def test_table_chunks_do_not_depend_on_blocks(spark, size):
     want = {s: _packed(f"# {s or ''}", ["k", "v"], [c for t, _, c in rows if t == s], size) for s in ("a", "bb", None, "same", "long")}
     assert got == want
     assert chunking.table_chunks(df.limit(0), ["k", "v"], size).count() == 0
+
+
+def test_bold_runs(spark):
+    cases = {
+        "**a****b****c**": "**abc**", "**a ****b**": "**a b**", "**a** **b** c": "**a b** c", "x ** ** y": "x y", "**a  ** c": "**a** c", "***a***": "**a**", "** a**": "**a**", "a **": "a",
+        "a **b": "a **b", "": "", " \n ": "", "plain  text": "plain text", "****": "", "**a** b **c**": "**a** b **c**",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", S.repair_bold("t").alias("x")).collect()} == cases
+    assert spark.createDataFrame([(None,)], "t string").select(S.repair_bold("t").alias("x")).first().x is None
