@@ -7,9 +7,12 @@ map explains is counted in a vector as long as A's vocabulary; only the other gr
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +31,63 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: Fixed value: how a byte-level tokenizer cuts a text into words. Texts within these characters may take the quick encoder.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BEYOND = re.compile("[\u0530-\U0010ffff]")
+
+
+def same_by_ranks(path: str) -> bool:
+    """Whether merging by the rank of the merged bytes, as the quick encoder does, gives what the file's own merges give.
+
+    It does if identifiers follow the merges and every entry, encoded alone by the merges, is one token: then no two tokens
+    ever stand side by side whose bytes are an entry that is not made of these two. Word borders are tried on every
+    character that the quick encoder is used for.
+    """
+    from tokenizers import Tokenizer, models
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, cut_by = told["model"], told.get("pre_tokenizer") or {}
+    vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    plain = model["type"] == "BPE" and not told.get("normalizer") and cut_by.get("type") == "ByteLevel" and cut_by.get("use_regex", True) and not cut_by.get("add_prefix_space")
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    ids = [vocab.get(l + r, -1) for l, r in merges]
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    if ids != sorted(set(ids)) or (ids and ids[0] < 256) or any(c not in vocab for c in byte_alphabet()):
+        return False
+    bare = Tokenizer(models.BPE(vocab, merges))
+    entries = [e for e in vocab if e not in special]
+    if any(len(x.ids) != 1 for x in bare.encode_batch(entries)):
+        return False
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    tried = [f" a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2.{chr(c)}. {chr(c)}" for c in range(0x530)]
+    quick = _quick(path)
+    return [x.ids for x in own.encode_batch(tried, add_special_tokens=False)] == [quick.encode_ordinary(t) for t in tried]
+
+
+def _quick(path: str):
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    alphabet, special = byte_alphabet(), {t["content"] for t in told.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in entry): i for entry, i in told["model"]["vocab"].items() if entry not in special}
+    return tiktoken.Encoding("aligned", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
-    """Both tokenizers, the bytes of their entries, and the map between ids of the same bytes (-1: none)."""
+    """Both tokenizers, the bytes of their entries, and the map between ids of the same bytes (-1: none). quick: same_by_ranks."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, quick: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores out
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.quick = _quick(a_path) if quick else None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet, vocab = byte_alphabet(), self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
@@ -51,9 +101,14 @@ class Aligner:
         most = max(len(self.a_bytes), len(self.b_bytes))
         self.width, self.shown = most, [f"{i}{s}" for s in (",", "|", ";", "") for i in range(most)]
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.quick is None:
+            return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        return [self.quick.encode_ordinary(t) if t.isascii() or not BEYOND.search(t) else self.a.encode(t, add_special_tokens=False).ids for t in texts]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none on either side for empty texts and those that a side does not give back byte for byte."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        a = self._encode_a([" " + t for t in texts])
         b = self.b.encode(texts, out_type=int, num_threads=1)
         for k, t in enumerate(texts):
             whole = b" " + t.encode()
@@ -66,13 +121,13 @@ class Aligner:
         a, b = self.encode(texts)
         n = len(texts)
         na, nb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        fa, fb = (np.fromiter((i for x in side for i in x), np.int64, int(m.sum())) for side, m in ((a, na), (b, nb)))
+        fa, fb = (np.fromiter(chain.from_iterable(side), np.int64, int(m.sum())) for side, m in ((a, na), (b, nb)))
         ea, eb = np.cumsum(self.a_size[fa]), np.cumsum(self.b_size[fb])  # of both sides the same bytes, text after text
-        common = ea[np.isin(ea, eb, assume_unique=True)]
-        at_a, at_b = np.searchsorted(ea, common), np.searchsorted(eb, common)
+        ends_a, ends_b = (np.zeros(int(ea[-1]) + 1 if len(ea) else 0, bool) for _ in range(2))
+        ends_a[ea], ends_b[eb] = True, True
+        at_a, at_b = np.flatnonzero(ends_b[ea]), np.flatnonzero(ends_a[eb])  # where both sides end
         ga, gb = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
-        doc_a, doc_b = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
-        doc = doc_a[at_a]
+        doc = np.repeat(np.arange(n), na)[at_a]
         groups = np.bincount(doc, minlength=n).astype(np.int64)
         la, lb = fa[at_a], fb[at_b]  # the tokens of a group that end together are its last ones
         plain = (ga == 1) & (gb == 1) & (self.same[la] == lb)
@@ -81,35 +136,34 @@ class Aligner:
         code = np.empty(len(fa) + len(fb), np.int64)
         after_a, after_b = np.zeros(len(fa), np.int64), np.zeros(len(fb), np.int64)
         after_a[at_a], after_b[at_b] = 1, 2
-        last = np.flatnonzero(np.diff(doc_b, append=n))
-        after_b[last] = 3
+        after_b[np.cumsum(nb)[nb > 0] - 1] = 3
         code[np.arange(len(fa)) + np.repeat(np.cumsum(gb) - gb, ga)] = after_a * self.width + fa
         code[np.arange(len(fb)) + np.repeat(np.cumsum(ga), gb)] = after_b * self.width + fb
-        ends = np.r_[0, np.cumsum(na + nb)]
-        shas = []
-        for k in range(n):
-            said = "".join(map(self.shown.__getitem__, code[ends[k] : ends[k + 1]].tolist()))
-            shas.append(hashlib.sha256(said.encode()).hexdigest() if said else "")
-        return [pa.array(na), pa.array(nb), pa.array(groups), pa.array(shas, pa.string()), *_counted(doc[plain], la[plain], n), *_counted(doc[~plain], la[~plain] * SIDE + lb[~plain], n)]
+        ends = np.r_[0, np.cumsum(na + nb)].tolist()
+        numbers, shown = code.tolist(), self.shown.__getitem__
+        shas = [hashlib.sha256("".join(map(shown, numbers[lo:hi])).encode()).hexdigest() if lo < hi else "" for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+        size = len(self.b_bytes)
+        off, key, times = _counted(doc[~plain], la[~plain] * size + lb[~plain], n, len(self.a_bytes) * size)
+        pairs = pa.ListArray.from_arrays(off, pa.array(key // size * SIDE + key % size))
+        off_s, key_s, times_s = _counted(doc[plain], la[plain], n, len(self.a_bytes))
+        same = pa.ListArray.from_arrays(off_s, pa.array(key_s))
+        return [pa.array(na), pa.array(nb), pa.array(groups), pa.array(shas, pa.string()), same, pa.ListArray.from_arrays(off_s, pa.array(times_s)), pairs, pa.ListArray.from_arrays(off, pa.array(times))]
 
 
-def _counted(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """Of each of n texts the distinct keys, and how often each occurs."""
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(doc)])
-    off = pa.array(np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32))
-    return pa.ListArray.from_arrays(off, pa.array(key[first])), pa.ListArray.from_arrays(off, pa.array(np.diff(np.r_[first, len(doc)]).astype(np.int64)))
+def _counted(doc: np.ndarray, key: np.ndarray, n: int, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of each of n texts the distinct keys (under `most`) and how often each occurs; and where each text's begin."""
+    both, times = np.unique(doc * most + key, return_counts=True)
+    return pa.array(np.searchsorted(both, np.arange(n + 1) * most).astype(np.int32)), both % most, times.astype(np.int64)
 
 
 FIELDS = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "same_n", "pair", "pair_n"]
 
 
-def align_texts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_texts(docs: DataFrame, a_path: str, b_path: str, quick: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each text: sizes, the digest of its groups, and its linked ids with their numbers."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Aligner(a_path, b_path)
+        both = Aligner(a_path, b_path, quick)
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([b.column(0), *both.align(strings(b.column(1)))], FIELDS)
@@ -184,7 +238,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     paths = (a_path, b_path) if a_path and b_path else default_vocabularies()
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/aligned-{uuid.uuid4().hex}"
-    align_texts(docs, *paths, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
+    align_texts(docs, *paths, same_by_ranks(paths[0]), id_col, text_col).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     texts = spark.read.parquet(folder)
     both = Aligner(*paths)
     same = both.same

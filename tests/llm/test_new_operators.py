@@ -214,6 +214,16 @@ def test_vocabulary_bytes():
     assert {x for x in both.a_bytes if len(x) == 1} == {bytes([b]) for b in range(256)}
 
 
+def test_quick_encoder_is_the_file_s_own(spark, sf_dir):
+    paths = alignment.default_vocabularies()
+    assert alignment.same_by_ranks(paths[0])
+    own, quick = alignment.Aligner(*paths), alignment.Aligner(*paths, quick=True)
+    texts = [" " + (r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = np.random.default_rng(2)
+    texts += ["".join(map(chr, rng.integers(1, 0x530, 60))) for _ in range(300)] + [bytes(rng.integers(32, 127, 80).tolist()).decode() for _ in range(300)] + ["日本 ก x"]
+    assert own._encode_a(texts) == quick._encode_a(texts)
+
+
 def test_alignment_empty(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = alignment.align(spark.createDataFrame([(1, None), (2, "a▁b")], "doc_id long, text string")).collect()
