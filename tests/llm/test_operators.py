@@ -63,6 +63,45 @@ def test_near_vectors_match_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def _cone(rng, n, d, mean):
+    """n unit vectors whose mean cosine is `mean`."""
+    axis = rng.standard_normal(d)
+    axis /= np.linalg.norm(axis)
+    x = rng.standard_normal((n, d))
+    x -= np.outer(x @ axis, axis)
+    x = np.sqrt(mean) * axis + np.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _planted(rng, x, n, cosine=0.905):
+    """n more vectors, each at the cosine to one of x."""
+    a = x[:n]
+    u = rng.standard_normal(a.shape)
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    return np.r_[x, cosine * a + math.sqrt(1 - cosine**2) * u / np.linalg.norm(u, axis=1, keepdims=True)]
+
+
+@pytest.mark.parametrize("case", ["even", "0.6", "0.8", "0.9", "third"])
+def test_near_vectors_in_cones(spark, case):
+    """Recall of links, counted as the vectors' link numbers, where directions are dense; windows an eighth of the rows at most."""
+    rng = np.random.default_rng(17)
+    if case == "even":
+        x = _planted(rng, rng.standard_normal((3_000, 64)) / 8, 300)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif case == "third":
+        x = np.r_[_planted(rng, _cone(rng, 1_200, 64, 0.8), 200), rng.standard_normal((2_400, 64))]
+    else:
+        x = _planted(rng, _cone(rng, 3_000, 64, float(case)), 300 if case != "0.9" else 0)
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = near_vectors.near_vectors(df, window=400, block=800).toPandas().sort_values("vec_id").n_links.to_numpy()
+    assert (got <= linked.sum(axis=1)).all() and linked.sum() > 100
+    assert got.sum() >= 0.99 * linked.sum()
+
+
 def test_near_vectors_repeated_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1)}
