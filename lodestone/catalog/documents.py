@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -312,6 +315,37 @@ def upsert_rows(spark, d):
     return T.upsert(m, new.union(m.where("id % 100 = 0").select(-1 - F.col("id"), F.lit("added"))), ["id"])
 
 
+def _stored(spark, d) -> tuple[str, DataFrame]:
+    """The document table written in a folder for each category, and its rows."""
+    path = f"{T.shared_folder(spark)}/{uuid.uuid4().hex}"
+    m = meta(spark, d).select("id", "title", "category")
+    m.write.partitionBy("category").parquet(path)
+    return path, m
+
+
+_SOME = "(SELECT min(category) FROM meta)"
+
+
+@query(_m(f"SELECT id, CASE WHEN id % 5 = 0 AND category = {_SOME} THEN 'new_' || id ELSE title END AS title, category FROM meta UNION ALL SELECT -1 - id, 'added', 'fresh' FROM meta WHERE id % 100 = 0"))
+def upsert_in_place(spark, d):
+    """Only the folders of the changed rows' categories are rewritten; one category is new."""
+    path, m = _stored(spark, d)
+    some = m.agg(F.min("category").alias("category"))
+    changed = m.where("id % 5 = 0").join(F.broadcast(some), "category", "left_semi").select("id", F.concat(F.lit("new_"), F.col("id").cast("string")).alias("title"), "category")
+    T.upsert_into(spark, path, "category", changed.union(m.where("id % 100 = 0").select(-1 - F.col("id"), F.lit("added"), F.lit("fresh"))), ["id"])
+    return T.scan(spark, path)
+
+
+@query(_m(f"SELECT id, title, category FROM meta WHERE category <> {_SOME} AND NOT (category = (SELECT max(category) FROM meta) AND id % 3 = 0)"))
+def delete_in_place(spark, d):
+    """A category loses some rows, another one all of them and with them its folder."""
+    path, m = _stored(spark, d)
+    ends = F.broadcast(m.agg(F.min("category").alias("_a"), F.max("category").alias("_b")))  # one row
+    gone = m.join(ends, F.lit(True)).where("category = _a or (category = _b and id % 3 = 0)").select("category", "id")
+    T.delete_from(spark, path, "category", gone)
+    return T.scan(spark, path)
+
+
 @query(_m("SELECT id, CASE WHEN id % 5 = 0 THEN 'skipped' ELSE status END AS status, CASE WHEN id % 10 = 0 THEN 0 ELSE file_size END AS file_size FROM meta"))
 def patch_rows(spark, d):
     m = meta(spark, d).select("id", "status", "file_size")

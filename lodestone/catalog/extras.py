@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import chunking
 from ..functions import predicates as P
 from ..functions import scalars as S
+from ..functions.schedules import next_due
 from ..operators import joins as J
 from ..operators import vectors
+from ..operators import windows as W
 from ..plans import jobs
+from ..sources import tables as T
 from ..sources.tables import load
 from ..sources.views import NOW, meta, progress, query_vectors
 from ..streaming import progress as R
@@ -144,3 +149,60 @@ def split_chunks_sql(spark, d):
     chunking.register_splitter(spark)
     docs = load(spark, d, "documents").select("doc_id", "text")
     return spark.sql("SELECT doc_id, c.chunk_index, c.chunk FROM {docs}, LATERAL split_chunks(text, 500, 50) AS c", docs=docs)
+
+
+#: Expressions of schedules, and for each in SQL which minutes (t, a timestamp) it names.
+_CRONS = {
+    "*/17 3-5,22 * * *": "extract(minute FROM t) % 17 = 0 AND extract(hour FROM t) IN (3, 4, 5, 22)",
+    "5,50 9-17/4 * * mon-fri": "extract(minute FROM t) IN (5, 50) AND extract(hour FROM t) IN (9, 13, 17) AND extract(dow FROM t) BETWEEN 1 AND 5",
+    "0 0 13 * 5": "extract(minute FROM t) = 0 AND extract(hour FROM t) = 0 AND (extract(day FROM t) = 13 OR extract(dow FROM t) = 5)",
+    "30 6 31 */2 *": "extract(minute FROM t) = 30 AND extract(hour FROM t) = 6 AND extract(day FROM t) = 31 AND extract(month FROM t) % 2 = 1",
+    "15 12 1-7 feb,nov *": "extract(minute FROM t) = 15 AND extract(hour FROM t) = 12 AND extract(day FROM t) <= 7 AND extract(month FROM t) IN (2, 11)",
+    "0 24 * * *": "false",
+}
+
+
+@query(f"""WITH m AS (SELECT TIMESTAMP '1970-01-01' + to_minutes(g) AS t FROM (SELECT unnest(range({NOW} // 60 + 1, {NOW} // 60 + 527040)) AS g)),
+ x AS ({" UNION ALL ".join(f"SELECT {k} AS k, min(t) AS t FROM m WHERE {w}" for k, w in enumerate(_CRONS.values()))})
+ SELECT c_custkey AS id, CAST(epoch(t) AS BIGINT) AS next_at FROM customer JOIN x ON k = c_custkey % {len(_CRONS)}""")
+def schedule_times(spark, d):
+    """The next time of lists, ranges, steps, days of month beside weekdays, months; null where no time is named."""
+    k = F.col("c_custkey")
+    cron = F.element_at(F.array(*map(F.lit, _CRONS)), (k % len(_CRONS) + 1).cast("int"))
+    return load(spark, d, "customer").select(k.alias("id"), next_due(cron, NOW).alias("next_at"))
+
+
+@query(_m("SELECT id, file_size, page, (SELECT count(*) FROM meta) AS total FROM (SELECT id, file_size, (row_number() OVER (ORDER BY file_size DESC, id) - 1) // 40 AS page FROM meta) WHERE page < 4"))
+def seek_pages(spark, d):
+    """Four pages, each going on from the last row of the one before; the number of all rows is counted as a page is read."""
+    m, after, out = meta(spark, d).select("id", "file_size"), None, None
+    for page in range(4):
+        rows, seen = W.page_after(m, [("file_size", True), ("id", False)], 40, after)
+        got = rows.collect()  # a page
+        one = spark.createDataFrame([(r.id, r.file_size, page, seen.get["total"]) for r in got], "id long, file_size long, page long, total long")
+        out = one if out is None else out.union(one)
+        if len(got) < 40:
+            break
+        after = got[-1].asDict()
+    return out
+
+
+@query("SELECT c_nationkey, count(*) AS files, max(octet_length(encode(t))) AS file_size, sha256(max(t)) AS hash_sha256 FROM (SELECT c_nationkey, string_agg(c_name || ',' || c_mktsegment, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM customer GROUP BY 1) GROUP BY 1")
+def raw_files(spark, d):
+    """Files written by nation, then listed with their size and digest as raw uploads are."""
+    path = f"{T.shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = load(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws(",", "c_name", "c_mktsegment").alias("value"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    found = T.raw_files(spark, f"{path}/*/*.txt").withColumn("c_nationkey", F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int"))
+    return found.groupBy("c_nationkey").agg(F.count("*").alias("files"), F.max("file_size").alias("file_size"), F.max("hash_sha256").alias("hash_sha256"))
+
+
+@query(f"WITH {PROGRESS} SELECT task_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM progress GROUP BY 1")
+def latest_written(spark, d):
+    """The events as a stream, whose latest states are written batch by batch, and read back."""
+    path, rows = f"{T.shared_folder(spark)}/{uuid.uuid4().hex}", progress(spark, d)
+    rows.write.parquet(f"{path}/events")
+    events = spark.readStream.schema(rows.schema).parquet(f"{path}/events")
+    q = R.write_latest(events, f"{path}/latest", f"{path}/checkpoint", ["task_id"])
+    q.awaitTermination()
+    return R.latest(spark.read.parquet(f"{path}/latest").drop("batch_id"), ["task_id"]).select("task_id", "status", "ts")

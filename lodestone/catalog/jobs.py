@@ -94,6 +94,20 @@ def generate_embeddings(spark, d):
     return jobs.make_chunks(ready, pages, "run-1", 500, 50).select("chunk_id", "hash_sha256", "chunk_index", "parsed_text", "token")
 
 
+@query(_m("""SELECT id, CASE WHEN hash_sha256 IN (SELECT hash_sha256 FROM meta WHERE status = 'registered') THEN 'uploaded' ELSE status END AS status, true AS counted,
+ hash_sha256 IN (SELECT hash_sha256 FROM meta WHERE status = 'registered') AS indexed FROM meta"""))
+def embedding_run(spark, d):
+    """One run into both stores: each document's final status, whether its counter is the number of its stored chunks, and whether it has keyword rows."""
+    m = meta(spark, d).withColumns({c: F.lit(0).cast("bigint") for c in ("chunk_count", "original_chunk_count", "filtered_chunk_count")})
+    pages = load(spark, d, "documents").select(F.sha2("text", 256).alias("hash_sha256"), F.lit(1).alias("page_number"), "text").dropDuplicates(["hash_sha256"])
+    path = _folder(spark)
+    out = jobs.embedding_run(m, pages, path, "run-1", NOW)
+    stored = scan(spark, f"{path}/chunks").groupBy("hash_sha256").agg(F.count("*").alias("n"))
+    words = scan(spark, f"{path}/postings").select("hash_sha256").distinct().withColumn("words", F.lit(True))
+    both = out.join(stored, "hash_sha256", "left").join(words, "hash_sha256", "left")
+    return both.select("id", "status", (F.col("chunk_count") == F.coalesce("n", F.lit(0))).alias("counted"), F.coalesce("words", F.lit(False)).alias("indexed"))
+
+
 @query(f"""WITH {_CH}, w AS (SELECT hash_sha256, chunk_index, unnest(regexp_extract_all(lower(parsed_text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM ck)
  SELECT hash_sha256 || '_' || chunk_index AS doc_key, count(DISTINCT term) AS terms, count(*) AS words FROM w GROUP BY 1""")
 def chunk_postings(spark, d):

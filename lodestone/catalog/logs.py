@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..plans import jobs
-from ..sources.tables import export_logs
+from ..sources.tables import export_logs, shared_folder, write_csv
 from ..sources.views import action_logs, progress
 from ..streaming import ingest
 from ..streaming import progress as R
@@ -41,6 +42,15 @@ def log_export(spark, d):
     return export_logs(action_logs(spark, d), ["id", "user_id", "action_type", "endpoint", "http_method", "status_code", "success", "session_id"])
 
 
+@query(_l("SELECT id, action_type, endpoint, 'a \"' || session_id || '\", b' AS note FROM logs ORDER BY created_at DESC, id DESC LIMIT 10000"))
+def log_export_csv(spark, d):
+    """The export as one CSV file with a header, read back; a column has commas, quotes and line ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    rows = action_logs(spark, d).withColumn("note", F.concat(F.lit('a "'), "session_id", F.lit('", b')))
+    write_csv(export_logs(rows, ["id", "action_type", "endpoint", "note"]), path)
+    return spark.read.options(header=True, escape='"', multiLine=True).schema("id long, action_type string, endpoint string, note string").csv(path)
+
+
 _PATHS = ("", "/Upload", "/a/DOWNLOAD", "/x/WebSocket", "/Search/upload", "/v1/notifications/7")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
@@ -140,6 +140,28 @@ def page_of(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], size: int, after: dict | None = None) -> tuple[DataFrame, Observation]:
+    """(page, seen): the `size` rows that follow the row whose order columns are `after` (None: the first page).
+
+    order: columns, and whether they fall; together they name a row. A page is a filter and a limited sort, whose tasks
+    keep `size` rows each, however far on it is. seen.get["total"] counts all rows of df in the same reading, once the
+    page has been read. Nulls come first where a column rises and last where it falls.
+    """
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("total"))
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, falls in order:
+            c, v = F.col(name), after[name]
+            if v is None:
+                next_ = F.lit(False) if falls else c.isNotNull()
+            else:
+                next_ = (c < F.lit(v)) | c.isNull() if falls else c > F.lit(v)
+            beyond, equal = beyond | (equal & F.coalesce(next_, F.lit(False))), equal & c.eqNullSafe(F.lit(v))
+        rows = rows.where(beyond)
+    return rows.orderBy(*[F.desc(c) if falls else F.asc(c) for c, falls in order]).limit(size), seen
+
+
 def page_info(total: Column, page: int, size: int) -> list[Column]:
     pages = F.ceil(total / size).cast("bigint")
     return [total.alias("total"), pages.alias("pages"), (F.lit(page) < pages).alias("has_next"), F.lit(page > 1).alias("has_prev")]

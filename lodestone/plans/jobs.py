@@ -12,7 +12,7 @@ from ..functions.predicates import has_role, stale
 from ..functions.scalars import chunk_settings, embedding_cost, entity_text, n_words, next_time, suffix
 from ..operators import joins, keyword
 from ..operators.vectors import embed, hashed_embedding, zero_vector
-from ..sources.tables import delete_keys, patch, row_key, upsert
+from ..sources.tables import cut, delete_keys, exists, patch, remove, row_key, upsert, write_counted
 
 DIM = 1_536
 #: What a document's row is set back to; a vector becomes a zero vector.
@@ -74,6 +74,54 @@ def index_postings(chunks: DataFrame) -> DataFrame:
     return words.groupBy("doc_key", "hash_sha256", "chunk_index", "term").agg(F.count("*").alias("tf"))
 
 
+def write_run(chunks: DataFrame, path: str, run_id: str) -> tuple[int, int]:
+    """(chunks, postings) of a run, written to both stores of a folder or to neither.
+
+    The chunks are made once, in the shared folder; each store's write is counted and held against what was made. A write
+    that fails, or that counts otherwise, takes back what the run has written. A run that is there already is left as it
+    is, so that a run may be given twice.
+    """
+    spark = chunks.sparkSession
+    done = f"{path}/runs/run_id={run_id}"
+    if exists(spark, done):
+        row = spark.read.parquet(done).first()
+        return row.chunks, row.postings
+    made = cut(chunks.drop("run_id"))
+    posted = cut(index_postings(made))
+    sizes = made.count(), posted.count()
+    try:
+        for name, rows, n in (("chunks", made, sizes[0]), ("postings", posted, sizes[1])):
+            write_counted(rows, f"{path}/{name}/run_id={run_id}", n, mode="overwrite")
+        spark.createDataFrame([sizes], "chunks long, postings long").coalesce(1).write.mode("overwrite").parquet(done)
+    except Exception:
+        for name in ("chunks", "postings", "runs"):
+            remove(spark, f"{path}/{name}/run_id={run_id}")
+        raise
+    return sizes
+
+
+def embedding_run(meta: DataFrame, pages: DataFrame, path: str, run_id: str, now: int, size: int = 500, overlap: int = 50, function: Callable = hashed_embedding, verdicts: DataFrame | None = None) -> DataFrame:
+    """meta after one run over its registered documents: running, then their chunks and keyword rows in both stores, then the final counters.
+
+    pages (hash_sha256, page_number, text). Documents of the run are uploaded with the numbers of their chunks, tokens and costs;
+    those without a chunk are skipped. If a store cannot be written the run's documents are failed, and neither store has rows of it.
+    """
+    mine = cut(meta.where("status = 'registered'").select("hash_sha256").distinct())
+    running = final_status(meta, mine.withColumn("status", F.lit("running")), now)
+    fields = ("group_id", "role_ids", "category", "title", "filename", "status")
+    ready = meta.where("status = 'registered'").groupBy("hash_sha256").agg(F.min_by(F.struct(*fields), "id").alias("r")).select("hash_sha256", "r.*")
+    chunks = make_chunks(ready, pages, run_id, size, overlap, function, verdicts)
+    try:
+        write_run(chunks, path, run_id)
+    except Exception:
+        return final_status(running, mine.withColumn("status", F.lit("failed")), now)
+    written = meta.sparkSession.read.parquet(f"{path}/chunks/run_id={run_id}")
+    totals = written.groupBy("hash_sha256").agg(F.count("*").alias("chunk_count"), F.sum("token").alias("token"), F.sum("cost").alias("cost"))
+    out = mine.join(totals, "hash_sha256", "left").withColumn("status", F.when(F.col("chunk_count").isNull(), "skipped").otherwise("uploaded"))
+    out = out.withColumns({"original_chunk_count": F.col("chunk_count"), "filtered_chunk_count": F.col("chunk_count"), "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap), "embedding_start_date": F.lit(now), "embedding_end_date": F.lit(now)})
+    return final_status(running, out, now)
+
+
 def final_status(meta: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """meta after a run: outcomes (hash_sha256, status and what the run counted and used) sets the status.
 
@@ -244,7 +292,7 @@ def due_work(schedules: DataFrame, meta: DataFrame, now: int) -> tuple[DataFrame
 def advance(schedules: DataFrame, now: int) -> DataFrame:
     """schedules after a tick: those due without a cron_expression are switched off, the others have their next time.
 
-    A cron_expression that next_time does not know leaves its schedule as it is.
+    A cron_expression that is not of five fields, or that names no day, leaves its schedule as it is.
     """
     from ..functions.predicates import due
 

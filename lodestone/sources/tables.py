@@ -7,7 +7,8 @@ no transactions. Keys are compared with equality; rows with a null key match not
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,71 @@ def write_counted(df: DataFrame, path: str, expected: int | None = None, partiti
     return n
 
 
+def _store(spark: SparkSession, path: str):
+    """Hadoop's file system of a path and a function that makes its paths; for renames and deletes by the driver."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, to = _store(spark, path)
+    store.delete(to(path), True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, to = _store(spark, path)
+    return store.exists(to(path))
+
+
+def change_partitions(spark: SparkSession, path: str, by: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list:
+    """Rewrites the folders of a table partitioned by `by` that keys (by, ...) name, and no others; the values of `by`.
+
+    change gets the rows of these folders and gives those that take their place. They are written to the shared folder
+    first, as a table cannot be read while it is overwritten; folders without rows are deleted.
+    """
+    values = [r[0] for r in keys.select(by).distinct().collect()]  # a row for each folder
+    there = exists(spark, path)
+    old = spark.read.parquet(path) if there else None
+    kind = keys.schema[by].dataType
+    own = old.withColumn(by, F.col(by).cast(kind)).where(F.col(by).isin(values)) if there else None
+    new = cut(change(own))
+    left = {r[0] for r in new.select(by).distinct().collect()}
+    if not left <= set(values):
+        raise ValueError(f"rows of other folders than those that are rewritten: {sorted(left - set(values))[:5]}")
+    if left:
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    for v in set(values) - left:
+        remove(spark, f"{path}/{by}={v}")
+    return values
+
+
+def upsert_into(spark: SparkSession, path: str, by: str, new: DataFrame, keys: list[str]) -> list:
+    """upsert in place: rows of new replace those of the same keys in the same folder; other folders stay as they are."""
+    return change_partitions(spark, path, by, new, lambda old: upsert(old, new, [by, *keys]))
+
+
+def delete_from(spark: SparkSession, path: str, by: str, keys: DataFrame) -> list:
+    """Deletes the rows that keys (by, ...) name; other folders stay as they are."""
+    return change_partitions(spark, path, by, keys, lambda old: delete_keys(old, keys))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """df, a bounded and ordered result, as one CSV file with a header, which is seen whole or not at all.
+
+    Fields with commas, quotes or line ends are quoted, quotes doubled; nulls are empty. Spark writes the file in a folder
+    of its own, whose one file is then renamed.
+    """
+    spark = df.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.options(header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    store, to = _store(spark, folder)
+    part = next(f.getPath() for f in store.listStatus(to(folder)) if f.getPath().getName().startswith("part-"))
+    store.delete(to(path), False)
+    if not store.rename(part, to(path)):
+        raise OSError(f"{path} could not be written")
+    store.delete(to(folder), True)
+
+
 def write_evaluation(header: DataFrame, details: DataFrame, path: str, expected: int | None = None) -> int:
     """Details first, then the header, so that a header is only seen with its details; returns the number of details."""
     n = write_counted(details, f"{path}/evaluation_details", expected, mode="append")

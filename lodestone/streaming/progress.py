@@ -127,6 +127,165 @@ def running_stream(events: DataFrame, by: list[str], ttl_s: int = STATE_TTL_S) -
     return some.groupBy(*by).transformWithStateInPandas(Running(), schema, "Update", "ProcessingTime")
 
 
+def listener_stream(events: DataFrame, snapshot: DataFrame, by: str = "user_id") -> DataFrame:
+    """What the listener of each group is sent: (by, kind, task_id, stage, status), kind being snapshot, delta or end.
+
+    snapshot (by, task_id, stage, status, ts, event_id): the latest state of every task when the listeners connect. Its
+    running tasks come first; then each newer state of a task, the last of a micro-batch; `end` when none of the group's
+    tasks runs any more, after which nothing more is sent. A group that has no running task at first ends at once.
+    Needs the RocksDB state store provider, in processing time.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kind = events.schema[by].dataType.simpleString()
+
+    class Listener(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.tasks = handle.getMapState("tasks", "task_id string", "stage string, status string, ts long, event_id long")
+            self.sent = handle.getValueState("sent", "said string")  # what was last said besides deltas: nothing, snapshot or end
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for r in initialState.itertuples():
+                self.tasks.updateValue((r.task_id,), (r.stage, r.status, int(r.ts), int(r.event_id)))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1)  # a group without events is told its snapshot, too
+
+        def _rows(self, key, rows):
+            import pandas as pd
+
+            return pd.DataFrame([(key[0], *r) for r in rows], columns=[by, "kind", "task_id", "stage", "status"])
+
+        def _said(self) -> str:
+            return self.sent.get()[0] if self.sent.exists() else ""
+
+        def _snapshot(self) -> list:
+            self.sent.update(("snapshot",))
+            return [("snapshot", t[0], v[0], v[1]) for t, v in sorted(self.tasks.iterator()) if v[1] not in TERMINAL]
+
+        def _end(self) -> list:
+            if any(v[1] not in TERMINAL for _, v in self.tasks.iterator()):
+                return []
+            self.sent.update(("end",))
+            return [("end", None, None, None)]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self._said():
+                yield self._rows(key, self._snapshot() + self._end())
+
+        def handleInputRows(self, key, rows, timerValues):
+            out = [] if self._said() else self._snapshot()
+            newest = {}
+            for pdf in rows:
+                for r in pdf.itertuples():
+                    got = (r.stage, r.status, int(r.ts), int(r.event_id))
+                    old = newest.get(r.task_id) or (tuple(self.tasks.getValue((r.task_id,))) if self.tasks.containsKey((r.task_id,)) else None)
+                    if old is None or got[2:] > old[2:]:
+                        newest[r.task_id] = got
+            for task, value in sorted(newest.items()):
+                self.tasks.updateValue((task,), value)
+                if self._said() != "end":
+                    out.append(("delta", task, value[0], value[1]))
+            if self._said() != "end":
+                out += self._end()
+            if out:
+                yield self._rows(key, out)
+
+        def close(self) -> None:
+            pass
+
+    some = events.select(by, "task_id", "stage", "status", "ts", "event_id")
+    first = snapshot.select(by, "task_id", "stage", "status", "ts", "event_id").groupBy(by)
+    schema = f"{by} {kind}, kind string, task_id string, stage string, status string"
+    return some.groupBy(by).transformWithStateInPandas(Listener(), schema, "Append", "ProcessingTime", initialState=first)
+
+
+def liveness_stream(events: DataFrame, ttl_s: int = HEARTBEAT_TTL_S) -> DataFrame:
+    """(task_id, active) whenever it changes: a task is active while its last state is not terminal or it was heard of within
+    ttl_s seconds of processing time; a timer says so when that time is over, without any event. Needs the RocksDB state store provider."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Alive(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("last", "status string, ts long, event_id long, active boolean, until long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            old = tuple(self.state.get()) if self.state.exists() else None
+            best = old[:3] if old else None
+            for pdf in rows:
+                for r in pdf.itertuples():
+                    got = (r.status, int(r.ts), int(r.event_id))
+                    best = got if best is None or got[1:] > best[1:] else best
+            until = timerValues.getCurrentProcessingTimeInMs() + ttl_s * 1000
+            if old and old[4]:
+                self.handle.deleteTimer(old[4])
+            self.handle.registerTimer(until)
+            self.state.update((*best, True, until))
+            if not old or not old[3]:
+                yield pd.DataFrame({"task_id": [key[0]], "active": [True]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            status, ts, event, active, _ = self.state.get()
+            if status in TERMINAL and active:
+                self.state.update((status, ts, event, False, 0))
+                yield pd.DataFrame({"task_id": [key[0]], "active": [False]})
+
+        def close(self) -> None:
+            pass
+
+    return events.select("task_id", "status", "ts", "event_id").groupBy("task_id").transformWithStateInPandas(Alive(), "task_id string, active boolean", "Update", "ProcessingTime")
+
+
+def reaper_stream(jobs: DataFrame, pending_s: int, running_s: int) -> DataFrame:
+    """(id, status, error_message, completed_at): jobs that a timer fails, as the batch definition `reap` would.
+
+    jobs: a stream of the states of jobs (id, status, event_id). One that is pending for pending_s seconds of processing time
+    after its first pending state, or running for running_s after its first running one, without coming further, is failed.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kind = jobs.schema["id"].dataType.simpleString()
+    limits = {"pending": (pending_s, "not started in time"), "running": (running_s, "not completed in time")}
+
+    class Reaper(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("job", "status string, event_id long, until long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = tuple(self.state.get()) if self.state.exists() else None
+            best = old[:2] if old else None
+            for pdf in rows:
+                for r in pdf.itertuples():
+                    best = (r.status, int(r.event_id)) if best is None or int(r.event_id) > best[1] else best
+            if old is None or best[0] != old[0]:
+                if old and old[2]:
+                    self.handle.deleteTimer(old[2])
+                until = timerValues.getCurrentProcessingTimeInMs() + limits[best[0]][0] * 1000 if best[0] in limits else 0
+                if until:
+                    self.handle.registerTimer(until)
+                self.state.update((*best, until))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            status, event, _ = self.state.get()
+            if status in limits:
+                self.state.update(("failed", event, 0))
+                yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "error_message": [limits[status][1]], "completed_at": [timerValues.getCurrentProcessingTimeInMs() // 1000]})
+
+        def close(self) -> None:
+            pass
+
+    schema = f"id {kind}, status string, error_message string, completed_at long"
+    return jobs.select("id", "status", "event_id").groupBy("id").transformWithStateInPandas(Reaper(), schema, "Update", "ProcessingTime")
+
+
 def write_latest(events: DataFrame, path: str, checkpoint: str, by: list[str]):
     """Starts a stream that appends the latest state of each key of a micro-batch under its batch id, written at most once."""
 

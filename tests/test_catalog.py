@@ -48,4 +48,4 @@ def test_query(spark, duck, sf_dir, name):
 def test_every_query_reads_a_table(spark, sf_dir):
     for name, f in QUERIES.items():
         plan = f(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-        assert "parquet" in plan or "LogicalRDD" in plan, name
+        assert "Relation [" in plan or "LogicalRDD" in plan, name

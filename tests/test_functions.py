@@ -1,5 +1,6 @@
 """Hand-worked cases of functions that SQL does not check."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,10 +187,142 @@ def test_split_keeps_separators_at_the_beginning():
 
 def test_next_times(spark):
     now = 1_718_000_000  # Monday, 06:13:20 UTC
-    crons = ["0 * * * *", "14 * * * *", "30 3 * * *", "0 7 * * *", "0 0 * * 0", "13 6 * * 1", "*/5 * * * *", None, "bad"]
+    crons = ["0 * * * *", "14 * * * *", "30 3 * * *", "0 7 * * *", "0 0 * * 0", "13 6 * * 1", "*/5 * * * *", None, "bad", "60 * * * *", "* * * *", "5-1 * * * *", "*/0 * * * *", "0 0 31 2 *", "1,,2 * * * *"]
     got = [r.t for r in spark.createDataFrame([(c,) for c in crons], "c string").select(S.next_time("c", now).alias("t")).collect()]
     day = now - now % 86_400
-    assert got == [day + 7 * 3600, day + 6 * 3600 + 14 * 60, day + 27 * 3600 + 1800, day + 7 * 3600, day + 6 * 86_400, day + 7 * 86_400 + 6 * 3600 + 13 * 60, None, None, None]
+    assert got == [day + 7 * 3600, day + 6 * 3600 + 14 * 60, day + 27 * 3600 + 1800, day + 7 * 3600, day + 6 * 86_400, day + 7 * 86_400 + 6 * 3600 + 13 * 60, day + 6 * 3600 + 15 * 60] + [None] * 8
+
+
+def _values(field, lo, hi):
+    out = set()
+    for part in field.split(","):
+        head, _, step = part.partition("/")
+        a, _, b = head.partition("-")
+        low, high = (lo, hi) if a == "*" else (int(a), int(b or (hi if step else a)))
+        out |= set(range(low, high + 1, int(step or 1)))
+    return np.array(sorted(out))
+
+
+def test_next_times_minute_by_minute(spark):
+    """Against every minute of five years, which have two February 29."""
+    import datetime as dt
+
+    begin = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp()) // 60
+    t = np.arange(begin, begin + 5 * 366 * 1440)
+    days = (np.datetime64("1970-01-01") + np.unique(t // 1440).astype("timedelta64[D]")).astype(object)
+    by_day = {d: np.repeat([getattr(x, d) for x in days], 1440)[: len(t)] for d in ("day", "month")}
+    week = np.repeat([(x.weekday() + 1) % 7 for x in days], 1440)[: len(t)]
+    crons = ["* * * * *", "0 12 29 2 *", "15,45 */6 * * *", "0 0 13 * 5", "0 0 */10 * 5", "59 23 31 12 *", "7 3-9/2 1,15 1-12/3 *", "30 1 * * 7", "0 0 29 2 1", "*/25 20 * 2,8 2-4", "5/20 4 30 */5 *", "0 6 1-7 * 0,3"]
+    for now in (1_709_164_799, 1_709_251_200, 1_735_689_540, 1_718_000_000, 1_727_740_799):
+        rows = spark.createDataFrame([(c,) for c in crons], "c string").select("c", S.next_time("c", now).alias("t")).collect()
+        after = t > now // 60
+        for r in rows:
+            f = r.c.split()
+            m, h, d, mo, w = (_values(x, *b) for x, b in zip(f, ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7)), strict=True))
+            of_month, of_week = np.isin(by_day["day"], d), np.isin(week, w % 7)
+            day = of_month | of_week if f[2][0] != "*" and f[4][0] != "*" else of_month & of_week
+            hit = t[after & np.isin(t % 60, m) & np.isin(t // 60 % 24, h) & np.isin(by_day["month"], mo) & day]
+            assert r.t == hit[0] * 60, (r.c, now)
+
+
+def test_pages_by_seeking(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5, f"t{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k int, t string")
+    for order in ([("k", True), ("id", False)], [("k", False), ("t", True), ("id", True)]):
+        want = [r.id for r in df.orderBy(*[F.desc(c) if x else F.asc(c) for c, x in order]).collect()]
+        got, after = [], None
+        while True:
+            page, seen = W.page_after(df, order, 7, after)
+            page = page.collect()
+            assert seen.get["total"] == 60
+            got += [r.id for r in page]
+            if len(page) < 7:
+                break
+            after = page[-1].asDict()
+        assert got == want
+
+
+def test_only_touched_folders_are_rewritten(spark, tmp_path):
+    from lodestone.sources import tables as T
+
+    path = str(tmp_path / "t")
+    df = spark.range(40).select("id", (F.col("id") % 4).alias("g"), F.lit("old").alias("v"))
+    df.write.partitionBy("g").parquet(path)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    assert T.upsert_into(spark, path, "g", spark.createDataFrame([(1, 1, "new"), (101, 1, "new"), (9, 7, "new")], "id long, g long, v string"), ["id"])
+    after = files()
+    assert {p: t for p, t in before.items() if "g=1" not in str(p)}.items() <= after.items()
+    assert not {p for p in before if "g=1" in str(p)} & set(after)
+    T.delete_from(spark, path, "g", spark.createDataFrame([(7, 9), (2, 2)], "g long, id long"))
+    assert {str(p.parent.name) for p in files()} == {"g=0", "g=1", "g=2", "g=3"}
+    want = {(i, i % 4, "new" if i == 1 else "old") for i in range(40) if i != 2} | {(101, 1, "new")}
+    assert {(r.id, r.g, r.v) for r in spark.read.parquet(path).collect()} == want
+
+
+def test_csv_with_quotes(spark, tmp_path):
+    import duckdb
+
+    from lodestone.sources import tables as T
+
+    rows = [(1, 'a "b", c'), (2, "two\nlines"), (3, ""), (4, None), (5, " blank ")]
+    path = str(tmp_path / "out.csv")
+    for _ in range(2):  # an older file is replaced
+        T.write_csv(spark.createDataFrame(rows, "id long, t string").orderBy("id"), path)
+    got = duckdb.sql(f"SELECT * FROM read_csv('{path}', header = true, quote = '\"', escape = '\"', columns = {{'id': 'BIGINT', 't': 'VARCHAR'}}) ORDER BY id").fetchall()
+    assert [(i, t or "") for i, t in got] == [(i, t or "") for i, t in rows]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.csv"]
+
+
+def test_stored_postings_equal_a_rebuild(spark, tmp_path):
+    from lodestone.sources.postings import Index
+
+    docs = {i: f"w{i % 5} w{i % 3} common" if i % 9 else "" for i in range(40)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_key long, text string")
+    index = Index(spark, str(tmp_path / "a"))
+    index.change(frame(docs))
+    index.change(frame({3: "new words w1", 50: "w1 fresh"}), spark.createDataFrame([(4,), (99,)], "doc_key long"))
+    index.change(frame({3: "again w1"}))
+    (tmp_path / "a" / "postings" / "gen=3" / "bucket=0").mkdir(parents=True)  # a change that failed before its end
+    now = docs | {3: "again w1", 50: "w1 fresh"}
+    del now[4]
+    fresh = Index(spark, str(tmp_path / "b"))
+    fresh.change(frame(now))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    merged = index.compacted(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(1, "w1"), (1, "common"), (2, "again"), (3, "nowhere")], "query_id long, term string")
+    for other in (index, merged):
+        assert rows(other.postings()) == rows(fresh.postings()) and rows(other.documents()) == rows(fresh.documents())
+        assert [(q, k, round(s, 9)) for q, k, s in rows(other.bm25(asked))] == [(q, k, round(s, 9)) for q, k, s in rows(fresh.bm25(asked))]
+    plan = fresh.postings([1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket#" in plan.split("PartitionFilters")[1][:300]
+
+
+def test_run_into_both_stores_or_none(spark, tmp_path, monkeypatch):
+    from lodestone.plans import jobs
+
+    fields = "id long, hash_sha256 string, group_id long, role_ids array<long>, category string, title string, filename string, status string, chunk_count long, token long, end_date long"
+    meta = spark.createDataFrame([(i, f"h{i}", 1, [1], "c", "t", "f", "uploaded" if i == 3 else "registered", 0, 0, 0) for i in range(5)], fields)
+    pages = spark.createDataFrame([(f"h{i}", 1, f"some words of document {i} " * 30) for i in range(4)], "hash_sha256 string, page_number int, text string")
+    path, real, calls = str(tmp_path / "s"), jobs.write_counted, []
+
+    def broken(df, to, *a, **b):
+        calls.append(to)
+        if "/postings/" in to:
+            real(df.limit(1), to, None, mode="overwrite")
+            raise OSError("no space")
+        return real(df, to, *a, **b)
+
+    monkeypatch.setattr(jobs, "write_counted", broken)
+    out = {r.id: r.status for r in jobs.embedding_run(meta, pages, path, "r1", 9).collect()}
+    assert out == {0: "failed", 1: "failed", 2: "failed", 3: "uploaded", 4: "failed"} and len(calls) == 2
+    assert not list((tmp_path / "s").rglob("*.parquet"))
+    monkeypatch.setattr(jobs, "write_counted", real)
+    out = {r.id: (r.status, r.chunk_count > 0, r.end_date) for r in jobs.embedding_run(meta, pages, path, "r1", 9).collect()}
+    assert out == {0: ("uploaded", True, 9), 1: ("uploaded", True, 9), 2: ("uploaded", True, 9), 3: ("uploaded", False, 0), 4: ("skipped", False, 9)}
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    jobs.embedding_run(meta, pages, path, "r1", 9)
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
 
 
 def test_strategy_by_risk_and_kinds(spark):
