@@ -1,10 +1,14 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
 Symbols are the training words, an end-of-text symbol, and one symbol that stands for every word not seen in training.
-Contexts of one word are those frequent enough; longer ones extend frequent ones (all counts are over the whole training
-text). A context stays if some next symbol is significantly likelier after it than after its longest shorter suffix; it
-keeps those symbols and leaves the rest of its mass to the suffix. A text is scored by the longest retained suffix at
-each place. Counts of all words are a table of any size, joined to blocks of documents; the tree's size is bounded.
+Every string of words that is seen `least` times is a candidate for a context; it stays if some next symbol is
+significantly likelier after it than after its longest shorter suffix; it keeps those symbols and leaves the rest of its
+mass to the suffix. A text is scored by the longest retained suffix at each place.
+
+Counts, divergence tests and the tree itself are tables of any size: a level's strings are counted, joined to those of the
+level before, and tested; blocks of documents are joined to the parts of the tree that they hold. Strings are named by
+64-bit hashes. Bit maps of a bounded size keep strings out of a shuffle that cannot be in its result; where a map is full
+they keep out less, and results stay the same.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from .common import crc_mod, cut, slices
 from .tokens import mix, sums, words
 
 END = np.uint64(0x51ED270B0A1B2C3D)
-_ODD = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x27D4EB2F165667C5)
+#: What a row of the model holds for its key: a word's count, the mass that a context leaves to its suffix, the mass of a symbol after a context.
+WORD, CONTEXT, PAIR = (np.uint64(x) for x in (0x632BE59BD9B4E019, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+MAP_BITS = 1 << 28
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,23 +46,19 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def contexts(sym: np.ndarray, first: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For lengths 1..depth: a hash of the words before each place, and whether the text has that many before it."""
-    place = np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first))
-    out, h = [], np.zeros(len(sym), np.uint64)
-    for k in range(1, depth + 1):
-        before = np.zeros(len(sym), np.uint64)
-        before[k:] = sym[:-k] if k < len(sym) + 1 else before[k:]
-        h = mix(h ^ (before * _ODD[k]))
-        out.append((h, place >= k))
-    return out
+def follow(prefix: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """The names of strings that go on by a symbol."""
+    return mix(prefix * _STEP ^ sym * _NEXT)
 
 
-def context_hash(seq: tuple[int, ...]) -> int:
-    h = np.zeros(1, np.uint64)
-    for k, w in enumerate(reversed(seq), 1):
-        h = mix(h ^ (np.array([w], np.uint64) * _ODD[k]))
-    return int(h[0])
+def strings_at(sym: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For lengths 1..longest: the name of the string that ends at each place (0 where the text has not so many symbols before it)."""
+    place = np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first))
+    out = [follow(np.zeros(len(sym), np.uint64), sym)]
+    for k in range(1, longest):
+        before = np.r_[np.zeros(1, np.uint64), out[-1][:-1]] if len(sym) else out[-1]
+        out.append(np.where(place >= k, follow(before, sym), np.uint64(0)))
+    return out
 
 
 def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -66,149 +69,191 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _tally(batches: Iterator[pa.RecordBatch], keys_of, name: str = "key", most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of the keys (n x width) and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.lexsort(k.T[::-1])
+    k, c = k[order], c[order]
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.zeros(0, int)
+    return k[new], np.add.reduceat(c, new) if len(new) else c
+
+
+def _tally(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str, ...], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Counts of the keys of all texts, added up within the task as far as they fit."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[np.ndarray] = []
+    width = len(names)
+    keys, counts, held = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)], 0
 
-    def fold(keys, counts, held):
-        k = np.concatenate([keys, *held])
-        c = np.concatenate([counts, np.ones(len(k) - len(keys), np.int64)])
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-        return k[new], np.add.reduceat(c, new) if len(new) else c
+    def rows(k, c):
+        return pa.RecordBatch.from_arrays([*(pa.array(k[:, i]) for i in range(width)), pa.array(c)], [*names, "n"])
 
     for batch in batches:
         for b in slices(batch, "text"):
-            held.append(keys_of(b.column(0)).view(np.int64))
-            if sum(map(len, held)) > most:
-                keys, counts = fold(keys, counts, held)
-                held = []
-                if len(keys) > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], [name, "n"])
-                    keys, counts = keys[:0], counts[:0]
-    keys, counts = fold(keys, counts, held)
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], [name, "n"])
+            got = np.stack([x.view(np.int64) for x in keys_of(b.column(0))], axis=1)
+            keys.append(got)
+            counts.append(np.ones(len(got), np.int64))
+            held += len(got)
+            if held > most:
+                k, c = _folded(keys, counts)
+                if len(k) > most // 2:
+                    yield rows(k, c)
+                    k, c = k[:0], c[:0]
+                keys, counts, held = [k], [c], len(k)
+    yield rows(*_folded(keys, counts))
+
+
+def counted(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
+    """(names..., n): how often each key occurs in all texts; keys_of gives a text column's keys, an array for each name."""
+    schema = ", ".join(f"{c} long" for c in (*names, "n"))
+    return texts.mapInArrow(lambda it: _tally(it, keys_of, names), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+class BitMap:
+    """Which names a table has, as bits at their hashes: a name that is there is found, one that is not there seldom."""
+
+    def __init__(self, names: DataFrame, col: str):
+        n = names.count()
+        self.bits = int(min(MAP_BITS, max(1 << 16, 1 << (16 * n).bit_length())))
+        at = F.pmod(F.col(col), F.lit(self.bits))  # names are hashes
+        cells = names.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({col}, 64) as int))")).alias("mask"))
+        got = cells.toArrow()  # MAP_BITS / 64 rows at most
+        self.cells = np.zeros(self.bits // 64, np.int64)
+        self.cells[got.column("cell").to_numpy()] = got.column("mask").to_numpy()
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        at = names.view(np.int64) % self.bits
+        return self.cells[at >> 6] >> (at & 63) & 1 == 1
 
 
 @dataclass
 class Tree:
-    """total, types, unseen: symbols and kinds in training, and the mass of the unknown symbol.
-
-    For each length: sorted context hashes with the mass left to the suffix; sorted hashes of (context, next) with the mass added.
-    """
+    """total, types, unseen: symbols and kinds in training, and the mass of the unknown symbol. model (key, value): the counts
+    of words and what is kept of contexts, by key; contexts and pairs: maps of the names that it has."""
 
     total: int
     types: int
     unseen: float
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-    def log10(self, sym: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol; counts: of each in training (0: unknown)."""
+    depth: int
+    model: DataFrame
+    contexts: BitMap | None
+    pairs: BitMap | None
+
+    def keys(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The keys of the model that texts may ask for, each once."""
+        at = strings_at(sym, first, self.depth + 1)
+        out = [mix(np.unique(sym) ^ WORD)]
+        for k in range(1, self.depth + 1) if self.contexts else ():
+            context = np.r_[np.zeros(1, np.uint64), at[k - 1][:-1]]
+            on = (at[k] != 0) & self.contexts.has(context)
+            out.append(mix(np.unique(context[on]) ^ CONTEXT))
+            pair = np.unique(at[k][on])
+            out.append(mix(pair[self.pairs.has(pair)] ^ PAIR))
+        return np.unique(np.concatenate(out))
+
+    def log10(self, sym: np.ndarray, first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each symbol and its count in training (0: unknown), given the sorted part of the model that the texts ask for."""
+
+        def value(names: np.ndarray, kind: np.uint64) -> np.ndarray:
+            at = find(keys, mix(names ^ kind))
+            return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0.0, np.nan)
+
+        counts = np.nan_to_num(value(sym, WORD))
         p = np.where(counts > 0, counts / max(self.total, 1) * (1 - self.unseen), self.unseen)
-        for (h, ok), (ctx, left, pair, add) in zip(contexts(sym, first, len(self.levels)), self.levels, strict=True):
-            at = np.full(len(sym), -1)
-            at[ok] = find(ctx, h[ok])
-            on = np.flatnonzero(at >= 0)
-            if not len(on):
-                continue
-            got = find(pair, mix(h[on] ^ (sym[on] * _ODD[4])))
-            p[on] = left[at[on]] * p[on] + np.where(got >= 0, add[np.maximum(got, 0)] if len(add) else 0.0, 0.0)
-        return np.log10(p)
+        at = strings_at(sym, first, self.depth + 1)
+        for k in range(1, self.depth + 1) if self.contexts else ():
+            context = np.r_[np.zeros(1, np.uint64), at[k - 1][:-1]]
+            on = np.flatnonzero((at[k] != 0) & self.contexts.has(context))
+            left = value(context[on], CONTEXT)
+            on, left = on[~np.isnan(left)], left[~np.isnan(left)]
+            p[on] = left * p[on] + np.nan_to_num(value(at[k][on], PAIR))
+        return np.log10(p), counts.astype(np.int64)
 
 
-def _pair_hash(context: int, symbol: int) -> int:
-    return int(mix(np.array([context ^ ((symbol * int(_ODD[4])) % 2**64)], np.uint64))[0])
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the names of the strings that go on by the symbol: of the context, and of the context's suffix."""
+    for b in batches:
+        context, sym, suffix = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("context", "sym", "suffix"))
+        names = [pa.array(follow(x, sym).view(np.int64)) for x in (context, suffix)]
+        yield pa.RecordBatch.from_arrays([b.column("context"), b.column("n"), b.column("size"), *names], ["context", "n", "size", "name", "shorter"])
 
 
-def grow(train: DataFrame, counts: DataFrame, depth: int, least_share: float, least: int) -> Tree:
-    """The tree of the training texts; counts: (key, n) of their symbols.
+def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
+    """The tree of the training texts (text); counts: (sym, n) of their symbols.
 
-    Strings that are followed often enough can be contexts: `least` times, and a share least_share of all symbols or an
-    eighth of the square root of their number, whichever is less. So the contexts and pairs of each length, at most
-    8 * sqrt(symbols) beyond 1 / least_share, grow with the input while they fit in the driver.
+    Level by level: strings one symbol longer whose beginning and end were seen `least` times are counted; joined to the
+    level before they know how often their context was seen and how likely its suffix makes the last symbol.
     """
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
     total, types = int(row.n or 0), int(row.v)
+    key = lambda kind: lambda it: (pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ kind).view(np.int64)), b.column(1)], ["key", "value"]) for b in it)
+    model = counts.select("sym", F.col("n").cast("double")).mapInArrow(key(WORD), "key long, value double")
     if not total:
-        return Tree(0, 0, 1.0, [])
+        return Tree(0, 0, 1.0, depth, model, None, None)
     unseen = max(int(row.one), 1) / (total + 1)
-    need = max(least, math.ceil(min(least_share * total, total**0.5 / 8)))
-    common = {r.key % 2**64: r.n for r in counts.where(F.col("n") >= need).collect()}
-    word = np.array(sorted(common), np.uint64)
-    uni = {w: n / total * (1 - unseen) for w, n in common.items()}
-    open_ctx: dict[tuple[int, ...], int] = {(w,): n for w, n in common.items() if w != int(END)}
-    model: dict[tuple[int, ...], tuple[float, dict[int, float]]] = {}
-
-    def prob(seq: tuple[int, ...], w: int) -> float:
-        if not seq:
-            return uni[w]
-        rest = prob(seq[1:], w)
-        if seq not in model:
-            return rest
-        left, add = model[seq]
-        return left * rest + add.get(w, 0.0)
-
-    levels = []
+
+    def level_zero(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sym, n = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            name, zero = follow(np.zeros(len(sym), np.uint64), sym), np.zeros(len(sym), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(zero), pa.array(n), pa.array(n / total * (1 - unseen))], ["name", "shorter", "n", "p"])
+
+    # of each string seen often enough: the string without its first symbol, its count, how likely the tree makes its last symbol
+    level = cut(counts.where(F.col("n") >= least).mapInArrow(level_zero, "name long, shorter long, n long, p double"))
+    kept_contexts, kept_pairs = None, None
     for k in range(1, depth + 1):
-        seqs = sorted(open_ctx, key=context_hash)
-        table = np.array([context_hash(s) for s in seqs], np.uint64)
+        often = BitMap(level, "name")
 
-        def keys_of(column: pa.Array, k=k, table=table) -> np.ndarray:
+        def keys_of(column: pa.Array, k=k, often=often) -> list[np.ndarray]:
             sym, first = symbols(column)
-            h, ok = contexts(sym, first, k)[-1]
-            ok = np.flatnonzero(ok)
-            at = find(table, h[ok])
-            ok, at = ok[at >= 0], at[at >= 0]
-            to = find(word, sym[ok])
-            return (at[to >= 0] << 32) | to[to >= 0]
-
-        pairs = train.mapInArrow(lambda it, f=keys_of: _tally(it, f), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-        by: dict[tuple[int, ...], dict[int, int]] = {}
-        for r in pairs.collect() if seqs else []:
-            by.setdefault(seqs[r.key >> 32], {})[int(word[r.key & 0xFFFFFFFF])] = r.n
-        fresh = {}
-        for seq, nexts in by.items():
-            size = open_ctx[seq]
-            kept = {}
-            for w, n in nexts.items():
-                expected = size * prob(seq[1:], w)
-                # the divergence that this symbol adds, as a Poisson log-likelihood ratio against the suffix
-                if n > 1.2 * expected and n * math.log(n / expected) - (n - expected) >= 0.5 * math.log(size) + 3:
-                    kept[w] = (n - 0.5) / size
-            if kept:
-                fresh[seq] = (1 - sum(kept.values()), kept)
-        model |= fresh
-        ctx = sorted((context_hash(s), left, add) for s, (left, add) in fresh.items()) if fresh else []
-        pair = sorted((_pair_hash(h, w), p) for h, _, add in ctx for w, p in add.items())
-        levels.append((np.array([c[0] for c in ctx], np.uint64), np.array([c[1] for c in ctx]), np.array([x[0] for x in pair], np.uint64), np.array([x[1] for x in pair])))
-        open_ctx = {(*s, w): n for s, nexts in by.items() for w, n in nexts.items() if w != int(END)}
-    return Tree(total, types, unseen, levels)
-
-
-def _block_words(t: pa.Table) -> pa.Table:
-    keys = [np.unique(symbols(b.column("text"))[0]) for b0 in t.select(["text"]).to_batches() for b in slices(b0, "text")]
-    keys = np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
-    return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py() if t.num_rows else 0, np.int64)), "key": pa.array(keys)})
+            at = strings_at(sym, first, k)
+            place = np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first))
+            on = np.flatnonzero((place >= k) & often.has(at[k - 1]))
+            on = on[often.has(at[k - 1][on - 1])]
+            return [at[k - 1][on - 1], sym[on]]
+
+        grams = counted(train, keys_of, ("context", "sym")).where(F.col("n") >= least)
+        own = level.select(F.col("name").alias("context"), F.col("shorter").alias("suffix"), F.col("n").alias("size"))
+        named = grams.join(own, "context").mapInArrow(_named, "context long, n long, size long, name long, shorter long")
+        tested = named.join(level.select(F.col("name").alias("shorter"), F.col("p").alias("before")), "shorter")
+        # the divergence that a symbol adds, as a Poisson log-likelihood ratio against the suffix
+        expected = F.col("size") * F.col("before")
+        gain = F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
+        keeps = (F.col("n") > 1.2 * expected) & (gain >= 0.5 * F.log("size") + 3)
+        tested = cut(tested.withColumn("add", F.when(keeps, (F.col("n") - 0.5) / F.col("size"))))
+        contexts = cut(tested.where("add is not null").groupBy("context").agg((1 - F.sum("add")).alias("left")))
+        pairs = tested.where("add is not null").select("name", "add")
+        model = model.union(contexts.mapInArrow(key(CONTEXT), "key long, value double")).union(pairs.mapInArrow(key(PAIR), "key long, value double"))
+        kept_contexts = contexts.select("context") if kept_contexts is None else kept_contexts.union(contexts.select("context"))
+        kept_pairs = pairs.select("name") if kept_pairs is None else kept_pairs.union(pairs.select("name"))
+        if k < depth:
+            p = F.when(F.col("left").isNull(), F.col("before")).otherwise(F.col("left") * F.col("before") + F.coalesce("add", F.lit(0.0)))
+            level = cut(tested.join(contexts, "context", "left").select("name", "shorter", "n", p.alias("p")))
+    return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
+
+
+def _block_keys(tree_keys):
+    def go(t: pa.Table) -> pa.Table:
+        keys = [tree_keys(*symbols(b.column("text"))) for b0 in t.select(["text"]).to_batches() for b in slices(b0, "text")]
+        keys = np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
+        return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py() if t.num_rows else 0, np.int64)), "key": pa.array(keys)})
+
+    return go
 
 
 def _score(tree: Tree, id_type: pa.DataType):
-    def go(docs: pa.Table, vocab: pa.Table) -> pa.Table:
-        keys = vocab.column("key").to_numpy().view(np.uint64)
+    def go(docs: pa.Table, part: pa.Table) -> pa.Table:
+        keys = part.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, n = keys[order], vocab.column("n").to_numpy()[order]
+        keys, values = keys[order], part.column("value").to_numpy()[order]
         floor = tree.total + 1 * (tree.types + 1)
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for b0 in docs.select(["text"]).to_batches():
             for b in slices(b0, "text"):
                 sym, first = symbols(b.column(0))
-                at = find(keys, sym)
-                c = np.where(at >= 0, n[np.maximum(at, 0)] if len(n) else 0, 0)
+                log, c = tree.log10(sym, first, keys, values)
                 cols[0].append(np.diff(first))
                 cols[1].append(sums((c > 0).astype(np.int64), first))
                 cols[2].append(sums(np.log10((c + 1) / floor), first))
-                cols[3].append(sums(tree.log10(sym, first, c), first))
+                cols[3].append(sums(log, first))
         v = [np.concatenate(c) if c else np.zeros(0) for c in cols]
         return pa.table({
             "doc_id": docs.column("doc_id").cast(id_type), "held_out": docs.column("held_out"), "n_tokens": pa.array(v[0].astype(np.int64)), "n_known": pa.array(v[1].astype(np.int64)),
@@ -218,26 +263,27 @@ def _score(tree: Tree, id_type: pa.DataType):
     return go
 
 
-def suffix_tree_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_share: float = 2e-5, least: int = 4, block_chars: int = 6_000_000,
-) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 4, block_chars: int = 6_000_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id (as text) modulo 7 is not 2. Null texts are empty: one end symbol. base_score
     is the add-one unigram score; score sums log10 of the tree's probabilities over the same symbols, the unknown one
     among them. Repeated rows count and are scored each time. Other columns are ignored. An empty table gives an empty result.
-    Documents are dealt into blocks of about block_chars characters, a task each: raise it for corpora of many terabytes.
+    Documents are dealt into blocks of about block_chars characters, a task each, whatever their number.
     """
+    from dataclasses import replace
+
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, 7) == 2).alias("held_out"))
     train = src.where("not held_out").select("text")
-    counts = cut(train.mapInArrow(lambda it: _tally(it, lambda c: symbols(c)[0]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    tree = grow(train, counts, depth, least_share, least)
+    counts = cut(counted(train, lambda c: [symbols(c)[0]], ("sym",)))
+    grown = grow(train, counts, depth, least)
+    tree = replace(grown, model=None)  # what travels to the tasks
     chars = src.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(chars / block_chars))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
-    vocab = dealt.groupBy("block").applyInArrow(_block_words, "block long, key long").join(counts, "key").select("block", "key", "n")
+    part = dealt.groupBy("block").applyInArrow(_block_keys(tree.keys), "block long, key long").join(grown.model, "key").select("block", "key", "value")
     kind = src.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInArrow(_score(tree, to_arrow_type(src.schema["doc_id"].dataType)), schema)
+    return dealt.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(_score(tree, to_arrow_type(src.schema["doc_id"].dataType)), schema)

@@ -125,22 +125,67 @@ def test_suffix_tree_base_and_gain(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_suffix_tree_probabilities_sum_to_one(spark):
-    texts = [("a b c a b d a b c " * 40).strip(), ("a b c " * 30 + "e f").strip()] * 12
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = train.mapInArrow(lambda it: suffix_tree._tally(it, lambda c: suffix_tree.symbols(c)[0]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    tree = suffix_tree.grow(train, counts, 2, 1e-3, 4)
-    assert any(len(level[0]) for level in tree.levels)
-    known = {r.key: r.n for r in counts.collect()}
-    keys = np.array(list(known), np.int64).view(np.uint64)
-    import pyarrow as pa
-
-    ctx = suffix_tree.symbols(pa.array(["a b"]))[0][:2]
-    total = 0.0
-    for k, n in [*zip(keys, known.values(), strict=True), (np.uint64(12345), 0)]:
-        sym = np.array([*ctx, k], np.uint64)
-        total += 10 ** tree.log10(sym, np.array([0, 3]), np.array([1, 1, n]))[2]
-    assert total == pytest.approx(1.0, abs=1e-6)
+def _plain_tree(texts, depth, least):
+    """The tree as dictionaries: (left, {symbol: mass}) of each retained context, and the probability of a symbol after a string."""
+    counts = [Counter() for _ in range(depth + 2)]
+    for ws in texts:
+        for k in range(1, depth + 2):
+            counts[k].update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    total = sum(counts[1].values())
+    unseen = max(sum(n == 1 for n in counts[1].values()), 1) / (total + 1)
+    model = {}
+
+    def prob(context, w):
+        if not context:
+            n = counts[1][(w,)]
+            return n / total * (1 - unseen) if n else unseen
+        rest = prob(context[1:], w)
+        left, add = model.get(context, (1.0, {}))
+        return left * rest + add.get(w, 0.0)
+
+    for k in range(1, depth + 1):
+        fresh = defaultdict(dict)
+        for gram, n in counts[k + 1].items():
+            size = counts[k][gram[:-1]]
+            if n >= least:
+                expected = size * prob(gram[1:-1], gram[-1])
+                if n > 1.2 * expected and n * math.log(n / expected) - (n - expected) >= 0.5 * math.log(size) + 3:
+                    fresh[gram[:-1]][gram[-1]] = (n - 0.5) / size
+        model |= {c: (1 - sum(add.values()), add) for c, add in fresh.items()}
+    return model, prob
+
+
+def test_suffix_tree_matches_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_000 + k, ("a b c a b d a b c " * (k + 1)).strip()) for k in range(12)] + [(20_000, "never seen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = {i: [*split(t), None] for i, t in rows}
+    model, prob = _plain_tree([ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, 4)
+    assert {len(c) for c in model} == {1, 2, 3}
+    train = df.where("crc32(cast(doc_id as string)) % 7 != 2").select("text")
+    tree = suffix_tree.grow(train, suffix_tree.counted(train, lambda c: [suffix_tree.symbols(c)[0]], ("sym",)), 3, 4)
+    kinds = sum(len(add) for _, add in model.values()) + len(model) + tree.types
+    assert tree.model.count() == kinds  # words, retained contexts, kept symbols, and no others
+    for r in suffix_tree.suffix_tree_scores(df, block_chars=100_000).collect():
+        ws = texts[r.doc_id]
+        want = sum(math.log10(prob(tuple(ws[max(0, i - 3) : i]), w)) for i, w in enumerate(ws))
+        assert r.score == pytest.approx(want, rel=1e-9), r.doc_id
+
+
+def test_full_maps_change_nothing(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    scores = lambda: {r.doc_id: round(r.score, 6) for r in suffix_tree.suffix_tree_scores(docs).collect()}
+    want = scores()
+    monkeypatch.setattr(suffix_tree, "MAP_BITS", 64)
+    assert scores() == want
+
+
+def test_suffix_tree_probabilities_sum_to_one():
+    texts = [[*("a b c a b d a b c " * 40).split(), None], [*("a b c " * 30 + "e f").split(), None]] * 12
+    model, prob = _plain_tree(texts, 2, 4)
+    assert model
+    for context in [(), ("a",), ("a", "b"), ("never",), ("e", "f")]:
+        assert sum(prob(context, w) for w in {w for t in texts for w in t} | {"unknown"}) == pytest.approx(1.0, abs=1e-9)
 
 
 def test_suffix_tree_awkward(spark):
