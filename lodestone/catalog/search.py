@@ -114,11 +114,10 @@ def zero_vectors(spark, d):
  c AS (SELECT query_id, vec_id, list_dot_product(v, qv) AS common, list_sum(v) + list_sum(qv) - list_dot_product(v, qv) AS one FROM b, q)
  SELECT query_id, count(*) AS n, max(one - common) AS hamming, round(sum(CASE WHEN one = 0 THEN 0 ELSE 1 - common / one END), 6) AS jaccard FROM c GROUP BY 1""")
 def binary_metrics(spark, d):
-    """Bits of every 20th vector against those of all: the stated query set travels to the rows in blocks."""
-    bits = F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0))
-    b = load(spark, d, "embeddings").select("vec_id", bits.alias("v"))
-    return vectors.against_all(b.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), b, lambda x: x.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.max(vectors.metric("HAMMING", F.col("v"), F.col("q"))).alias("hamming"), F.round(F.sum(vectors.metric("JACCARD", F.col("v"), F.col("q"))), 6).alias("jaccard")))
+    """Bits of every 20th vector against those of all, in blocks of both."""
+    b = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("bits"))
+    out = vectors.bit_statistics(b.where("id % 20 = 0").withColumnRenamed("id", "query_id"), b)
+    return out.withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)

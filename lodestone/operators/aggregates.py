@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calendar, finite, seoul_date
+from ..functions.scalars import calendar, finite, seoul_bounds, seoul_date
 from ..schemas import STATUSES
 
 HIGH, MEDIUM = 0.825, 0.80
@@ -14,10 +14,9 @@ METRICS = ("context_precision", "context_recall", "faithfulness", "answer_releva
 
 def daily_cost(meta: DataFrame, start: str, end: str, user_id: int | None = None) -> DataFrame:
     """(date, cost, file_size, documents) for each day of the range, by the Seoul date of end_date; days without rows are 0."""
-    rows = meta.where(F.col("end_date").isNotNull())
+    rows = meta.where(F.col("end_date").between(seoul_bounds(F.lit(start))[0], seoul_bounds(F.lit(end))[1]))  # on the column itself, for the scan
     rows = rows.where(F.col("user_id") == user_id) if user_id is not None else rows
-    day = rows.withColumn("date", seoul_date("end_date")).where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    got = day.groupBy("date").agg(
+    got = rows.withColumn("date", seoul_date("end_date")).groupBy("date").agg(
         F.sum(F.coalesce("cost", F.lit(0.0)) + F.coalesce("summary_cost", F.lit(0.0))).alias("cost"), F.sum(F.coalesce("file_size", F.lit(0))).alias("file_size"), F.count("*").alias("documents")
     )
     return calendar(meta.sparkSession, start, end).join(got, "date", "left").select("date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cost", "file_size", "documents")])

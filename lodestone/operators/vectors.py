@@ -149,23 +149,116 @@ def _best_of_blocks(k: int, kind: str):
     return go
 
 
-def _held_against(asked: DataFrame, blocks: DataFrame, k: int, kind: str, at_a_time: int = 64) -> DataFrame:
-    """(query_id, id, score): blocks of queries meet the blocks of rows with their part and length, at_a_time of them in a broadcast.
+def _held_against(asked: DataFrame, blocks: DataFrame, kernel: Callable, schema: str, at_a_time: int = 64) -> DataFrame:
+    """What the kernel gives for each meeting of a block of queries with a block of rows of its part and length.
 
-    A broadcast so holds at_a_time * BLOCK_BYTES at most; the rows are read once for each.
+    at_a_time blocks of queries are in a broadcast, which so holds at_a_time * BLOCK_BYTES at most; the rows are read once for each.
     """
     asked = cut(asked)
-    n = asked.count()
-    numbered = asked.withColumn("turn", F.pmod(F.xxhash64("part", "dim", "ids"), F.lit(max(1, -(-n // at_a_time)))))
+    turns = max(1, -(-asked.count() // at_a_time))
+    numbered = asked.withColumn("turn", F.pmod(F.xxhash64("part", "dim", "ids"), F.lit(turns)))
     out = None
-    for turn in range(max(1, -(-n // at_a_time))):
+    for turn in range(turns):
         own = numbered.where(F.col("turn") == turn).select("part", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
         pairs = blocks.join(F.broadcast(own), ["part", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
-        one = pairs.mapInArrow(_best_of_blocks(k, kind), "query_id long, id long, score double")
+        one = pairs.mapInArrow(kernel, schema)
         out = one if out is None else out.union(one)
     return out
 
 
+HITS = "query_id long, id long, score double"
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, blk, dim, pos): where each query stands in its block."""
+    for b in batches:
+        for i in range(b.num_rows):
+            ids = np.frombuffer(b.column(2)[i].as_buffer(), np.int64)
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, b.column(0)[i].as_py())), pa.array(np.full(n, b.column(1)[i].as_py(), np.int32)), pa.array(np.arange(n))], ["query_id", "blk", "dim", "pos"])
+
+
+def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blk, dim, ids, data, rows, pos): rows of one block of queries and one length, with the pairs (row, query) that are asked for."""
+    for b in batches:
+        blk, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+        lists = b.column(3)
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        pos, begin = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+        for at, x in _whole(b.column(1)):
+            most = max(1, BLOCK_BYTES // (4 * x.shape[1]))
+            order = np.argsort(blk[at], kind="stable")
+            edges = np.r_[0, np.flatnonzero(np.diff(blk[at][order])) + 1, len(at)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                for k in range(lo, hi, most):
+                    own = order[k : min(k + most, hi)]
+                    n = size[at[own]]
+                    which = np.repeat(begin[at[own]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    cells = [int(blk[at[own[0]]]), x.shape[1], ids[at[own]].tobytes(), x[own].astype(np.float32).tobytes(), np.repeat(np.arange(len(own)), n).tobytes(), pos[which].astype(np.int64).tobytes()]
+                    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["blk", "dim", "ids", "data", "rows", "pos"])
+
+
+def _best_of_pairs(k: int, kind: str):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim = b.column(0)[i].as_py()
+                asked, own, rows, pos = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (1, 3, 5, 6))
+                q, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 4))
+                s = np.empty(len(rows))
+                for lo in range(0, len(rows), 65_536):
+                    s[lo : lo + 65_536] = _pair_scores(q[pos[lo : lo + 65_536]], x[rows[lo : lo + 65_536]], kind)
+                order = np.lexsort((own[rows], -np.round(s, 12), pos))
+                order = order[np.arange(len(order)) - np.searchsorted(pos[order], pos[order]) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[pos[order]]), pa.array(own[rows[order]]), pa.array(s[order])], ["query_id", "id", "score"])
+
+    return go
+
+
+def _pair_scores(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """_scores of row i with row i."""
+    if kind == "L2":
+        return -np.sqrt(((q - x) ** 2).sum(axis=1))
+    s = (q * x).sum(axis=1)
+    if kind == "COSINE":
+        n = np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1)
+        s = np.divide(s, n, out=np.zeros(len(s)), where=n > 0)
+    return s
+
+
+def _within(queries: DataFrame, vectors: DataFrame, within: DataFrame, k: int, kind: str, id_col: str, vec_col: str) -> DataFrame:
+    """(query_id, id, score) of the best of the pairs (query_id, id): a row's vector travels once for each block of queries that
+    may see it, with the places of these queries, and blocks of such rows meet the block of queries."""
+    asked = cut(pack(queries, "query_id", "embedding", most=QUERY_ROWS).withColumn("blk", F.xxhash64("dim", "ids")))
+    place = asked.select("blk", "dim", "ids").mapInArrow(_place, "query_id long, blk long, dim int, pos long")
+    seen = within.select("query_id", "id").join(place, "query_id").groupBy("id", "blk", "dim").agg(F.collect_list("pos").alias("pos"))  # a block of queries at most
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vector"))
+    rows = seen.join(src, "id").where(F.size("vector") == F.col("dim")).select("blk", "vector", "id", "pos").sortWithinPartitions("blk")
+    packed = rows.mapInArrow(_packed_pairs, "blk long, dim int, ids binary, data binary, rows binary, pos binary")
+    met = packed.join(asked.select("blk", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "blk")
+    return met.select("dim", "q_ids", "q_data", "ids", "data", "rows", "pos").mapInArrow(_best_of_pairs(k, kind), HITS)
+
+
+def bit_statistics(queries: DataFrame, rows: DataFrame, query_col: str = "bits", row_col: str = "bits") -> DataFrame:
+    """(query_id, n, hamming, jaccard): over all rows (id, bits) the number, the greatest Hamming and the sum of the Jaccard
+    distances to each query (query_id, bits); bits are arrays of 0 and 1. Two vectors without ones have distance 0."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim = b.column(0)[i].as_py()
+                q, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim) for c in (2, 4))
+                both = (q @ x.T).astype(np.float64)
+                one = q.sum(axis=1)[:, None] + x.sum(axis=1)[None, :] - both
+                share = np.divide(both, one, out=np.ones(both.shape, np.float64), where=one > 0)
+                asked = np.frombuffer(b.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.full(len(asked), len(x))), pa.array((one - both).max(axis=1).astype(np.float64)), pa.array((1 - share).sum(axis=1))], ["query_id", "n", "hamming", "jaccard"])
+
+    found = _held_against(pack(queries, "query_id", query_col, most=QUERY_ROWS), pack(rows, "id", row_col), go, "query_id long, n long, hamming double, jaccard double")
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.max("hamming").alias("hamming"), F.sum("jaccard").alias("jaccard"))
+
+
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -181,27 +274,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, kind: str = "COS
     if kind not in METRICS:
         raise ValueError(f"unknown metric {kind!r}")
     if within is not None:
-        pair = within.join(vectors.select(F.col(id_col).alias("id"), vec_col), "id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-        scored = pair.where(F.size(vec_col) == F.size("_q")).withColumn("score", metric(kind, F.col(vec_col), F.col("_q")) * (-1 if kind == "L2" else 1))
-        scored = scored.select("query_id", "id", "score")
+        scored = _within(queries, vectors, within, k, kind, id_col, vec_col)
     else:
-        scored = _held_against(pack(queries, "query_id", "embedding", most=QUERY_ROWS), pack(vectors, id_col, vec_col), k, kind)
+        scored = _held_against(pack(queries, "query_id", "embedding", most=QUERY_ROWS), pack(vectors, id_col, vec_col), _best_of_blocks(k, kind), HITS)
     ranked = _ranked(scored, k)
     return ranked.withColumn("score", -F.col("score")) if kind == "L2" else ranked
 
 
-def against_all(queries: DataFrame, rows: DataFrame, summary: Callable[[DataFrame], DataFrame], block: int = 1_000) -> DataFrame:
-    """The summaries, by query_id, of a stated query set (query_id, ...) held against all rows: `block` queries at a time
-    travel to the rows (their number is counted), and a summary is an aggregation, combined before the shuffle."""
-    parts = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    out = None
-    for p in range(parts):
-        one = summary(rows.join(F.broadcast(dealt.where(F.col("_b") == p).drop("_b")), F.lit(True)))  # about `block` queries
-        out = one if out is None else out.union(one)
-    return out
-
-
 def fit_clusters(vectors: DataFrame, n_clusters: int = 128, sample: int = 32_768, rounds: int = 12, vec_col: str = "embedding", seed: int = 1) -> np.ndarray:
     """Centroids of unit vectors (spherical k-means) on at most `sample` rows, by the hash of the vector."""
     x = _sample(vectors, vec_col, sample)
@@ -267,7 +346,7 @@ def stored_top_k(queries: DataFrame, path: str, k: int, probes: int = 16) -> Dat
     asked = cut(pack(assign_clusters(queries, centroids, probes, "query_id", "embedding"), "id", "vector", "cluster", QUERY_ROWS))
     probed = [r[0] for r in asked.select("part").distinct().collect()]
     blocks = spark.read.schema("dim int, ids binary, data binary, part int").parquet(f"{path}/blocks").where(F.col("part").isin(probed))
-    return _ranked(_held_against(asked, blocks, k, "COSINE", at_a_time=4_096), k)
+    return _ranked(_held_against(asked, blocks, _best_of_blocks(k, "COSINE"), HITS), k)
 
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> np.ndarray:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +100,40 @@ def blank_repeats(rows: DataFrame, by: list[str], order: str, cols: list[str], b
 
 
 def neighbour_similarity(sentences: DataFrame, by: list[str], order: str, vector: str = "embedding") -> DataFrame:
-    """sentences with sim, the cosine of each with the next one (null for the last)."""
-    from .vectors import cosine
+    """sentences with sim, the cosine of each with the next one of its group (null for the last; 0 beside a vector without length).
 
-    return sentences.withColumn("_next", F.lead(vector).over(Window.partitionBy(*by).orderBy(order))).withColumn("sim", F.when(F.col("_next").isNotNull(), cosine(F.col(vector), F.col("_next")))).drop("_next")
+    Rows are sorted once and read in batches; a batch's last row waits for the next batch, so that no group is held whole.
+    Vectors are of one length.
+    """
+    names = sentences.columns
+
+    def scored(t: pa.Table) -> pa.RecordBatch:
+        x = t.column(vector).combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        n = np.linalg.norm(x, axis=1)
+        both = n[1:] * n[:-1]
+        sim = np.divide((x[1:] * x[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)
+        same = np.ones(len(sim), bool)
+        for c in by:
+            left, right = t.column(c).slice(1), t.column(c).slice(0, len(sim))
+            none = pc.and_(pc.is_null(left), pc.is_null(right))
+            same &= pc.or_(pc.fill_null(pc.equal(left, right), False), none).to_numpy(zero_copy_only=False)
+        out = t.append_column("sim", pa.array(np.r_[sim, 0.0], mask=np.r_[~same, True]))
+        return out.combine_chunks().to_batches()[0]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                out = scored(pa.Table.from_batches([*waiting, b]))
+                if out.num_rows > 1:
+                    yield out.slice(0, out.num_rows - 1)
+                waiting = [b.slice(b.num_rows - 1)]
+        if waiting:
+            yield scored(pa.Table.from_batches(waiting))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.schema)
+    return sentences.repartition(*by).sortWithinPartitions(*by, order).select(*names).mapInArrow(go, f"{schema}, sim double")
 
 
 def breakpoint_groups(sims: DataFrame, by: list[str], order: str, threshold: float = 0.5) -> DataFrame:

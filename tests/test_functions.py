@@ -132,7 +132,48 @@ def test_vector_edges(spark):
     assert vectors.dense_top_k(q.where("false"), v, 3).count() == 0
     assert vectors.dense_top_k(q, v.where("false"), 3).count() == 0
     many = spark.range(9).select(F.col("id").alias("query_id"), F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
-    assert vectors.dense_top_k(many, v, 2, query_block=4).count() == 18
+    assert vectors.dense_top_k(many, v, 2).count() == 18
+
+
+@pytest.mark.parametrize("kind", ["COSINE", "IP", "L2"])
+def test_blocks_of_any_size(spark, monkeypatch, kind):
+    """Restricted and plain searches over many small blocks, with ties, equal those by brute force."""
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 256)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (90, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = [(q, i) for q in range(0, 90, 9) for i in range(90) if (q + i) % 4 == 0]
+
+    def best(allowed):
+        out = set()
+        for q in range(0, 90, 9):
+            s = vectors._scores(x[[q]], x, kind)[0]
+            order = sorted((i for i in range(90) if (q, i) in allowed), key=lambda i: (-round(s[i], 12), i))[:5]
+            out |= {(q, i, k + 1, round(abs(s[i]) if kind == "L2" else s[i], 9) + 0.0) for k, i in enumerate(order)}
+        return out
+
+    for within, allowed in ((None, {(q, i) for q in range(0, 90, 9) for i in range(90)}), (spark.createDataFrame(pairs, "query_id long, id long"), set(pairs))):
+        got = vectors.dense_top_k(asked, rows, 5, kind, within=within).collect()
+        assert {(r.query_id, r.id, r["rank"], round(r.score, 9) + 0.0) for r in got} == best(allowed)
+
+
+def test_neighbours_across_batches(spark):
+    from lodestone.operators.windows import neighbour_similarity
+
+    rng = np.random.default_rng(6)
+    x = {(g, i): rng.standard_normal(3) for g in (1, 2, None) for i in range(25)}
+    df = spark.createDataFrame([(g, i, [float(c) for c in v]) for (g, i), v in x.items()], "g long, pos int, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {(r.g, r.pos): r.sim for r in neighbour_similarity(df, ["g"], "pos").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(x)
+    for (g, i), v in x.items():
+        w = x.get((g, i + 1))
+        assert got[g, i] is None if w is None else abs(got[g, i] - v @ w / np.linalg.norm(v) / np.linalg.norm(w)) < 1e-6
 
 
 def test_clustered_recall(spark, sf_dir, tmp_path):
