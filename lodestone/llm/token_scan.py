@@ -143,7 +143,10 @@ def _write(folder: str, vocabulary: str, eod: int, width: int):
                 for b in slices(batch, "text"):
                     parts = []
                     for text in strings(b.column(1)):
-                        parts += [enc.ids(text).astype(dtype), np.array([eod], dtype)]
+                        ids = enc.ids(text)
+                        if max(eod, int(ids.max(initial=0))) > np.iinfo(dtype).max:
+                            raise OverflowError(f"an identifier does not fit {width} bytes")
+                        parts += [ids.astype(dtype), np.array([eod], dtype)]
                     data = np.concatenate(parts).tobytes()
                     out.write(data)
                     length += len(data)
