@@ -83,7 +83,7 @@ def _level(t: DataFrame, k: int, strength: float) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 4, strength: float = 4.0, prior: float = 0.25, reject_at: float = 0.6,
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 16, strength: float = 4.0, prior: float = 0.25, reject_at: float = 0.6,
 ) -> DataFrame:
     """(page_id, host, path, rule, template, purity, verdict): one row per row of pages.
 
@@ -91,8 +91,8 @@ def judge_urls(
     labelled ones, drawn as if by `strength` urls toward what the same paths show on all domains (expected). A template
     whose paths no domain has labelled is drawn toward their parents' shares, at last the prior.
     Numbers and long hexadecimal runs are variable segments; of siblings that are alike the name is a wildcard * and the
-    quarters in which they are. Ties: a share on the border of two quarters belongs to the upper one. Segments beyond
-    depth are one segment. Null urls and those without :// have an empty host and path and form one template. Repeated
+    quarters in which they are. Ties: a share on the border of two quarters belongs to the upper one. A path's segments
+    beyond depth, if it has so many, are one segment. Null urls and those without :// have an empty host and path and form one template. Repeated
     rows count and are judged each; other columns are ignored. An empty table gives an empty result.
     """
     host, path = host_path(F.col(url_col))
@@ -102,7 +102,8 @@ def judge_urls(
     t = base.groupBy("host", "key").agg(F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
     t = cut(t.withColumn("segs", F.filter(F.split("key", "/"), lambda s: s != "")))
     t = cut(expected(t, strength, prior).withColumn("prefix", F.lit("")))
-    for k in range(1, depth + 2):
+    deepest = t.agg(F.max(F.size("segs"))).first()[0] or 0  # a job for each level that the table has, depth + 1 at most
+    for k in range(1, deepest + 1):
         t = cut(_level(t, k, strength))
     own = F.sum(F.col("n") * F.element_at("g", -1)) / F.sum("n")
     judged = t.groupBy("host", "prefix").agg(((F.sum("blocked") + strength * own) / (F.sum("labelled") + strength)).alias("purity"))

@@ -324,6 +324,12 @@ def test_tokens_of_long_texts(spark):
     assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
 
 
+def test_identifiers_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        token_scan.token_counts(docs, eod=255, width=1)
+
+
 def test_flat_files_are_what_is_scanned(spark, tmp_path):
     docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(50)], "doc_id long, text string").repartition(3)
     listed = token_scan.write_flat(docs, f"file://{tmp_path}/flat", token_scan.default_vocabulary(), 50256)
@@ -446,7 +452,7 @@ def test_templates_generalise_and_reject(spark):
     assert {got[i].verdict for i in range(150, 210)} == {"allow"}
 
 
-def brute_tree(urls, depth=4, strength=4.0, prior=0.25):
+def brute_tree(urls, depth=16, strength=4.0, prior=0.25):
     """url: (template, purity), host by host and branch by branch."""
     def segments(path):
         segs = [re.sub("[0-9]+", "{n}", re.sub(r"(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}", "{h}", x)) for x in path.split("/") if x]
@@ -500,6 +506,7 @@ def test_tree_matches_brute_force(spark, sf_dir):
     urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     urls += [f"http://h{k % 3}.org/{'abc'[k % 3]}/x{k % 5}/{k}/y/z/w{k % 2}/v" for k in range(40)] + [f"http://big.net/{w}/{k}" for k, w in enumerate(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(8))]
     urls += [f"http://big.net/es/{k}" for k in range(9)] + [None, "x", "a://b"]
+    urls += [f"http://deep{k % 2}.org/" + "/".join(f"{'ab'[(k >> j) % 2]}{j}" for j in range(9)) + f"/{k}" for k in range(24)] + ["http://deep.org/" + "/".join("abcdefghijklmnopqrst"), "http://deep.org/" + "/".join("abcdefghijklmnopqrsu")]
     urls += [f"http://d{k}.net/es/ads/{k}" for k in range(9)] + ["http://other.org/es/ads/7", "http://other.org/de/ads/7"]
     got = {r.page_id: r for r in url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     for i, (template, purity) in enumerate(brute_tree(urls)):
