@@ -127,6 +127,25 @@ def recursive_chunks(spark, d):
     return chunking.fixed_chunks(_pages(spark, d), 200, 20)
 
 
+_LETTERS = r"SELECT doc_id AS doc, length(regexp_replace(text, '\s', '', 'g')) AS letters FROM documents WHERE regexp_matches(text, '\S')"
+
+
+def _letters(chunks):
+    return chunks.groupBy(F.col("hash_sha256").alias("doc")).agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("letters"))
+
+
+@query(_LETTERS)
+def chunk_letters(spark, d):
+    """Chunks without overlap hold every character of their pages but white space, once."""
+    return _letters(chunking.fixed_chunks(_pages(spark, d), 200, 0))
+
+
+@query(_LETTERS)
+def semantic_letters(spark, d):
+    """The same of chunks that end where the meaning changes."""
+    return _letters(chunking.semantic_chunks(_pages(spark, d), 0.5, 500))
+
+
 @query()
 def semantic_chunks(spark, d):
     return chunking.semantic_chunks(_pages(spark, d), 0.5, 500)
