@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, slices
+from .common import crc_mod, cut, runs, slices, tidy
 from .tokens import mix, sums, words
 
 END = np.uint64(0x51ED270B0A1B2C3D)
@@ -69,42 +69,86 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of the keys (n x width) and the sums of their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.lexsort(k.T[::-1])
+def _folded(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names in order, and the sums of their counts."""
+    k, c = np.concatenate(names), np.concatenate(counts)
+    order = np.argsort(k)
     k, c = k[order], c[order]
-    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)]) if len(k) else np.zeros(0, int)
+    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
     return k[new], np.add.reduceat(c, new) if len(new) else c
 
 
-def _tally(batches: Iterator[pa.RecordBatch], keys_of, names: tuple[str, ...], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys of all texts, added up within the task as far as they fit."""
-    width = len(names)
-    keys, counts, held = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)], 0
+def _packed(names_of, bits: int, most: int):
+    """(bucket, names, counts): what a task counts, in order of the names, as bytes for each bucket of their first bits."""
+
+    def rows(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        ends = np.r_[np.searchsorted(k, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(k)] if bits else np.array([len(k)])
+        lo = np.r_[0, ends[:-1]]
+        some = np.flatnonzero(ends > lo)
+        cells = [[k[lo[i] : ends[i]].tobytes() for i in some], [c[lo[i] : ends[i]].tobytes() for i in some]]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *(pa.array(x, pa.binary()) for x in cells)], ["bucket", "names", "counts"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            for b in slices(batch, "text"):
+                got = names_of(b.column(0))
+                names.append(got)
+                counts.append(np.ones(len(got), np.int64))
+                held += len(got)
+                if held > most:
+                    k, c = _folded(names, counts)
+                    if len(k) > most // 2:
+                        yield rows(k, c)
+                        k, c = k[:0], c[:0]
+                    names, counts, held = [k], [c], len(k)
+        yield rows(*_folded(names, counts))
 
-    def rows(k, c):
-        return pa.RecordBatch.from_arrays([*(pa.array(k[:, i]) for i in range(width)), pa.array(c)], [*names, "n"])
+    return go
+
+
+def counted(texts: DataFrame, names_of, expected: int, least: int = 1, bucket: int = 1_000_000, most: int = 1_500_000) -> DataFrame:
+    """(name, n): names that occur `least` times or more in all texts; names_of gives those of a text column.
+
+    Tasks send what they have counted as bytes, a row for each bucket of names, of which there is one for every `bucket`
+    expected names; a task adds up one bucket at a time.
+    """
+    bits = max(0, math.ceil(math.log2(max(expected, 1) / bucket)))
+    dealt = texts.mapInArrow(_packed(names_of, bits, most), "bucket long, names binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
 
-    for batch in batches:
-        for b in slices(batch, "text"):
-            got = np.stack([x.view(np.int64) for x in keys_of(b.column(0))], axis=1)
-            keys.append(got)
-            counts.append(np.ones(len(got), np.int64))
-            held += len(got)
-            if held > most:
-                k, c = _folded(keys, counts)
-                if len(k) > most // 2:
-                    yield rows(k, c)
-                    k, c = k[:0], c[:0]
-                keys, counts, held = [k], [c], len(k)
-    yield rows(*_folded(keys, counts))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in runs(batches, ["bucket"]):
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                cells = [[np.frombuffer(x.as_buffer(), kind) for x in t.column(c).slice(lo, hi - lo)] for c, kind in (("names", np.uint64), ("counts", np.int64))]
+                k, c = _folded(*cells)
+                on = np.flatnonzero(c >= least)
+                for i in range(0, len(on), 65_536):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[on[i : i + 65_536]].view(np.int64)) for x in (k, c)], ["name", "n"])
 
+    return dealt.mapInArrow(add, "name long, n long")
 
-def counted(texts: DataFrame, keys_of, names: tuple[str, ...]) -> DataFrame:
-    """(names..., n): how often each key occurs in all texts; keys_of gives a text column's keys, an array for each name."""
-    schema = ", ".join(f"{c} long" for c in (*names, "n"))
-    return texts.mapInArrow(lambda it: _tally(it, keys_of, names), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+
+def _once(rows_of, width: int = 3, most: int = 400_000):
+    """Rows of names (rows_of a text column, arrays of one length), each once as far as a task sees."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64)] * width
+
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows[0]), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65_536].view(np.int64)) for x in rows], ["name", "context", "shorter"])
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                both = [np.concatenate(x) for x in zip(held, rows_of(b.column(0)), strict=True)]
+                first = np.unique(both[0], return_index=True)[1]
+                held = [x[first] for x in both]
+                if len(first) > most:
+                    yield from out(held)
+                    held = [x[:0] for x in held]
+        yield from out(held)
+
+    return go
 
 
 class BitMap:
@@ -112,7 +156,7 @@ class BitMap:
 
     def __init__(self, names: DataFrame, col: str):
         n = names.count()
-        self.bits = int(min(MAP_BITS, max(1 << 16, 1 << (16 * n).bit_length())))
+        self.bits = int(min(MAP_BITS, max(1 << 16, 1 << (32 * n).bit_length())))
         at = F.pmod(F.col(col), F.lit(self.bits))  # names are hashes
         cells = names.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({col}, 64) as int))")).alias("mask"))
         got = cells.toArrow()  # MAP_BITS / 64 rows at most
@@ -168,16 +212,8 @@ class Tree:
         return np.log10(p), counts.astype(np.int64)
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the names of the strings that go on by the symbol: of the context, and of the context's suffix."""
-    for b in batches:
-        context, sym, suffix = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("context", "sym", "suffix"))
-        names = [pa.array(follow(x, sym).view(np.int64)) for x in (context, suffix)]
-        yield pa.RecordBatch.from_arrays([b.column("context"), b.column("n"), b.column("size"), *names], ["context", "n", "size", "name", "shorter"])
-
-
 def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
-    """The tree of the training texts (text); counts: (sym, n) of their symbols.
+    """The tree of the training texts (text); counts: (name, n) of their symbols.
 
     Level by level: strings one symbol longer whose beginning and end were seen `least` times are counted; joined to the
     level before they know how often their context was seen and how likely its suffix makes the last symbol.
@@ -185,7 +221,7 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
     row = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
     total, types = int(row.n or 0), int(row.v)
     key = lambda kind: lambda it: (pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ kind).view(np.int64)), b.column(1)], ["key", "value"]) for b in it)
-    model = counts.select("sym", F.col("n").cast("double")).mapInArrow(key(WORD), "key long, value double")
+    model = counts.select("name", F.col("n").cast("double")).mapInArrow(key(WORD), "key long, value double")
     if not total:
         return Tree(0, 0, 1.0, depth, model, None, None)
     unseen = max(int(row.one), 1) / (total + 1)
@@ -193,26 +229,34 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
     def level_zero(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sym, n = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
-            name, zero = follow(np.zeros(len(sym), np.uint64), sym), np.zeros(len(sym), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(zero), pa.array(n), pa.array(n / total * (1 - unseen))], ["name", "shorter", "n", "p"])
+            name = follow(np.zeros(len(sym), np.uint64), sym)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n), pa.array(n / total * (1 - unseen))], ["name", "n", "p"])
 
-    # of each string seen often enough: the string without its first symbol, its count, how likely the tree makes its last symbol
-    level = cut(counts.where(F.col("n") >= least).mapInArrow(level_zero, "name long, shorter long, n long, p double"))
+    # of each string seen often enough: its count, and how likely the tree makes its last symbol
+    level = cut(counts.where(F.col("n") >= least).mapInArrow(level_zero, "name long, n long, p double"))
     kept_contexts, kept_pairs = None, None
     for k in range(1, depth + 1):
         often = BitMap(level, "name")
 
-        def keys_of(column: pa.Array, k=k, often=often) -> list[np.ndarray]:
-            sym, first = symbols(column)
-            at = strings_at(sym, first, k)
-            place = np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first))
-            on = np.flatnonzero((place >= k) & often.has(at[k - 1]))
-            on = on[often.has(at[k - 1][on - 1])]
-            return [at[k - 1][on - 1], sym[on]]
-
-        grams = counted(train, keys_of, ("context", "sym")).where(F.col("n") >= least)
-        own = level.select(F.col("name").alias("context"), F.col("shorter").alias("suffix"), F.col("n").alias("size"))
-        named = grams.join(own, "context").mapInArrow(_named, "context long, n long, size long, name long, shorter long")
+        def places(column: pa.Array, k=k, often=often) -> tuple[list[np.ndarray], np.ndarray]:
+            at = strings_at(*symbols(column), k + 1)
+            on = np.flatnonzero((at[k] != 0) & often.has(at[k - 1]))
+            return at, on[often.has(at[k - 1][on - 1])]
+
+        def names_of(column: pa.Array, k=k, places=places) -> np.ndarray:
+            at, on = places(column)
+            return at[k][on]
+
+        grams = cut(counted(train, names_of, total, least))
+        seen = BitMap(grams, "name")
+
+        def rows_of(column: pa.Array, k=k, places=places, seen=seen) -> list[np.ndarray]:
+            at, on = places(column)
+            on = on[seen.has(at[k][on])]
+            return [at[k][on], at[k - 1][on - 1], at[k - 1][on]]
+
+        parts = train.mapInArrow(_once(rows_of), "name long, context long, shorter long").groupBy("name").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"))
+        named = grams.join(parts, "name").join(level.select(F.col("name").alias("context"), F.col("n").alias("size")), "context")
         tested = named.join(level.select(F.col("name").alias("shorter"), F.col("p").alias("before")), "shorter")
         # the divergence that a symbol adds, as a Poisson log-likelihood ratio against the suffix
         expected = F.col("size") * F.col("before")
@@ -226,7 +270,8 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
         kept_pairs = pairs.select("name") if kept_pairs is None else kept_pairs.union(pairs.select("name"))
         if k < depth:
             p = F.when(F.col("left").isNull(), F.col("before")).otherwise(F.col("left") * F.col("before") + F.coalesce("add", F.lit(0.0)))
-            level = cut(tested.join(contexts, "context", "left").select("name", "shorter", "n", p.alias("p")))
+            level = cut(tested.join(contexts, "context", "left").select("name", "n", p.alias("p")))
+        tidy(train.sparkSession)
     return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
 
 
@@ -275,10 +320,11 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (crc_mod(id_col, 7) == 2).alias("held_out"))
     train = src.where("not held_out").select("text")
-    counts = cut(counted(train, lambda c: [symbols(c)[0]], ("sym",)))
+    chars = src.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    counts = cut(counted(train, lambda c: symbols(c)[0], chars // 4))
+    tidy(docs.sparkSession)
     grown = grow(train, counts, depth, least)
     tree = replace(grown, model=None)  # what travels to the tasks
-    chars = src.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(chars / block_chars))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
     part = dealt.groupBy("block").applyInArrow(_block_keys(tree.keys), "block long, key long").join(grown.model, "key").select("block", "key", "value")

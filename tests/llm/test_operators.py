@@ -163,7 +163,7 @@ def test_suffix_tree_matches_brute_force(spark, sf_dir):
     model, prob = _plain_tree([ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, 4)
     assert {len(c) for c in model} == {1, 2, 3}
     train = df.where("crc32(cast(doc_id as string)) % 7 != 2").select("text")
-    tree = suffix_tree.grow(train, suffix_tree.counted(train, lambda c: [suffix_tree.symbols(c)[0]], ("sym",)), 3, 4)
+    tree = suffix_tree.grow(train, suffix_tree.counted(train, lambda c: suffix_tree.symbols(c)[0], 1_000_000, bucket=50_000, most=3_000), 3, 4)
     kinds = sum(len(add) for _, add in model.values()) + len(model) + tree.types
     assert tree.model.count() == kinds  # words, retained contexts, kept symbols, and no others
     for r in suffix_tree.suffix_tree_scores(df, block_chars=100_000).collect():
@@ -614,6 +614,43 @@ def test_clauses_say_their_contexts():
     assert not any(r.evidence("never kill you")[0])
 
 
+def _plain_evidence(text, patterns):
+    """Clause by clause and word by word, each word held against every pattern; contexts by counting words back."""
+    total, clauses = [0.0] * 5, 0
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        ws = re.findall(r"\w+(?:'\w+)*", clause)
+        weights = [max([w for p, w in patterns.items() if (re.match(re.escape(p.strip()) + (r"(?!\w)" if p.endswith(" ") else ""), x))], default=0.0) for x in ws]
+        got, threats = [0.0] * 5, 0
+        for i, x in enumerate(ws):
+            negated, reported = any(y in toxicity.NEGATION for y in ws[max(0, i - 3) : i]), any(y in toxicity.REPORTED for y in ws[max(0, i - 7) : i])
+            got[1 if negated else 2 if reported else 0] += weights[i]
+            threats += x in toxicity.THREAT and not negated and not reported
+        aimed = any(x in toxicity.TARGET for x in ws)
+        got[3] = sum(got[:3]) if aimed else 0.0
+        got[4] = float(threats) if aimed and any(x in toxicity.THREAT for x in ws) else 0.0
+        clauses += any(got)
+        total = [a + b for a, b in zip(total, got, strict=True)]
+    return total, clauses
+
+
+def test_toxicity_scores_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    extra = ["You said he is not an idiot, never. IDIOTS! you", "kill, kill you; he wrote: kill you", "isn't you an idiot's idiotic_idiot", "", None, "never a b c d idiot you said a b c d e f idiot", "x" * 5_000 + " idiot. " * 300]
+    docs = docs.union(spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    learned = toxicity.learn(docs, toxicity.train_rows(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    g = toxicity.Grammar(learned.patterns | {"idiot": 2.5, "idiots ": 3.5, "you ": 0.5}, learned.curve if learned.patterns else (-2.0, 1.0, -0.5, -0.25, 0.3, 1.0, -0.1, 0.2))
+    c = g.curve
+    got = {r.doc_id: r for r in toxicity.score(docs, g).collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        e, clauses = _plain_evidence(text, g.patterns)
+        kilo = len(text) / 1000
+        z = c[0] + sum(w * math.log1p(x) for w, x in zip(c[1:6], e, strict=True)) + c[6] * math.log1p(kilo) + c[7] * math.log1p(sum(e[:3]) / (1 + kilo))
+        z = z if any(e) else min(z, c[0])
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), rel=1e-9), r.doc_id
+        assert (got[r.doc_id].predicted, got[r.doc_id].clauses) == (int(got[r.doc_id].score >= 0.7), clauses)
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(4)
     words = [f"word{c}{d}" for c in "abcdef" for d in "ghijkl"]
