@@ -15,7 +15,8 @@ TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7; the grammar is learned from labelled rows of the table.
 
-    Every row is judged by its own text, whatever its id; null and empty texts stay.
+    Every row is judged by its own text, whatever its id; null and empty texts stay. Repeated rows are judged alike. Other
+    columns than those of documents, whatever their names, are left out.
     """
     labels = toxicity.train_rows(table(spark, sf_dir, "labels"))
     grammar = toxicity.learn(docs.select("doc_id", "text"), labels)
@@ -40,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced by its kind in angle brackets; n_chars is that of the new text.
 
-    Null texts stay null, with null n_chars; repeated rows and null ids are rows as any other.
+    Null texts stay null, with null n_chars; repeated rows and null ids are rows as any other. Other columns than those of
+    documents are left out.
     """
     found = pii.mask_rows(docs.select(*COLUMNS))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -49,7 +51,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the rate at which to draw each document. Domains are languages.
 
-    The labelled table gives the domain of the documents whose id it has; all others are classified by their text.
+    The labelled table gives the domain of the documents whose id it has; all others, null ids among them, are classified
+    by their text. Repeated rows have a rate each; null and empty texts have no tokens. Other columns are left out.
     """
     known = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
     mixed, _ = mixing.mix_to_targets(docs, known, TARGETS)
