@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that are dropped, and parts of class or id that mark an element as advertising.
+#: Elements that are dropped, parts of class or id that mark an element as advertising, and those that mark it as main content.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript", "form", "input", "button")
 ADVERTS = ("ad", "ads", "advertisement", "banner", "popup", "modal")
 CONTENT = ("content", "post", "entry", "article", "main", "body", "text", "story")

@@ -93,7 +93,8 @@ _ELSE = GENERAL | {"phone": "휴대전화", "postal_code": "우편번호", "cred
 
 
 def _age_class(value: str, year: int) -> str:
-    """The decade of the age, from 10 to 70, of the holder of a resident number; its seventh digit tells the century."""
+    """The decade of the age, from 10 to 70, of the holder of a resident number; its seventh digit tells the century,
+    also of a number with a blank in its middle (by intent: there the seventh character would be no digit of the century)."""
     digits = [c for c in value if "0" <= c <= "9"]
     century = 20 if len(digits) > 6 and digits[6] in "3478" else 19
     decade = (year - century * 100 - int("".join(digits[:2]))) // 10 * 10

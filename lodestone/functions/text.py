@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that cleansing lets pass.
-ALLOWED = r"[^가-힣a-zA-Z0-9\s!@#\$%\^&\*\(\)_\-\+=\[\]\{\}\|\\:;\"'<>,\.\?/`~ㅇ·]"
+ALLOWED = r"[^가-힣a-zA-Z0-9\s!@#\$%\^&\*\(\)_\-\+=\[\]\{\}\|\\:;\"'<>,\.\?/`~\n\rㅇ·]"
 
 
 def _c(x: Column | str) -> Column:
