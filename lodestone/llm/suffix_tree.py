@@ -194,11 +194,11 @@ class Tree:
         return np.unique(np.concatenate(out))
 
     def log10(self, sym: np.ndarray, first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each symbol and its count in training (0: unknown), given the sorted part of the model that the texts ask for."""
+        """log10 probability of each symbol and its count in training (0: unknown), given the sorted keys that the texts ask for and what the model has for them (NaN: nothing)."""
 
         def value(names: np.ndarray, kind: np.uint64) -> np.ndarray:
             at = find(keys, mix(names ^ kind))
-            return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0.0, np.nan)
+            return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else np.nan, np.nan)
 
         counts = np.nan_to_num(value(sym, WORD))
         p = np.where(counts > 0, counts / max(self.total, 1) * (1 - self.unseen), self.unseen)
@@ -275,20 +275,64 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
     return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
 
 
-def _block_keys(tree_keys):
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values byte place by byte place, so that places that differ little take little room in a shuffle."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: pa.Buffer, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def _all_keys(tree: Tree, texts: pa.Table) -> np.ndarray:
+    keys = [tree.keys(*symbols(b.column(0))) for b0 in texts.select(["text"]).to_batches() for b in slices(b0, "text")]
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
+def _asked(tree: Tree, bits: int):
+    """(bucket, block, data): the keys of a block of documents, in order, by buckets of their first bits."""
+
     def go(t: pa.Table) -> pa.Table:
-        keys = [tree_keys(*symbols(b.column("text"))) for b0 in t.select(["text"]).to_batches() for b in slices(b0, "text")]
-        keys = np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
-        return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py() if t.num_rows else 0, np.int64)), "key": pa.array(keys)})
+        keys = _all_keys(tree, t)
+        ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
+        parts = np.split(keys, ends)
+        some = [i for i, x in enumerate(parts) if len(x)]
+        data = [planes(np.diff(parts[i], prepend=np.uint64(0))) for i in some]
+        return pa.table({"bucket": pa.array(some, pa.int64()), "block": pa.array([t.column("block")[0].as_py() if t.num_rows else 0] * len(some), pa.int64()), "data": pa.array(data, pa.binary())})
 
     return go
 
 
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket, the model's (key, value) first: for each block's keys of the bucket the values, NaN for those that the model lacks."""
+    bucket, held, model = None, [], None
+    for b in batches:
+        own, is_model = b.column("bucket").to_numpy(zero_copy_only=False), b.column("block").is_null().to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero((own[1:] != own[:-1]) | (is_model[1:] != is_model[:-1])) + 1, len(own)] if len(own) else np.zeros(1, int)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if own[lo] != bucket:
+                bucket, held, model = own[lo], [], None
+            if is_model[lo]:
+                held.append([b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("key", "value")])
+                continue
+            if model is None:
+                keys, values = (np.concatenate([x[i] for x in held]) if held else np.zeros(0) for i in range(2))
+                keys = keys.astype(np.int64, copy=False).view(np.uint64)
+                order = np.argsort(keys)
+                model, held = (keys[order], values[order]), []
+            for i in range(lo, hi):
+                asked = np.cumsum(from_planes(b.column("data")[i].as_buffer(), np.uint64), dtype=np.uint64)
+                at = find(model[0], asked)
+                got = np.where(at >= 0, model[1][np.maximum(at, 0)], np.nan) if len(model[0]) else np.full(len(asked), np.nan)
+                yield pa.RecordBatch.from_arrays([b.column("block").slice(i, 1), b.column("bucket").slice(i, 1), pa.array([planes(got)], pa.binary())], ["block", "bucket", "data"])
+
+
 def _score(tree: Tree, id_type: pa.DataType):
     def go(docs: pa.Table, part: pa.Table) -> pa.Table:
-        keys = part.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, values = keys[order], part.column("value").to_numpy()[order]
+        keys = _all_keys(tree, docs)
+        order = np.argsort(part.column("bucket").to_numpy())
+        answers = part.column("data").to_pylist()
+        values = np.concatenate([from_planes(pa.py_buffer(answers[i]), np.float64) for i in order]) if len(order) else np.zeros(0)
         floor = tree.total + 1 * (tree.types + 1)
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for b0 in docs.select(["text"]).to_batches():
@@ -308,13 +352,14 @@ def _score(tree: Tree, id_type: pa.DataType):
     return go
 
 
-def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 4, block_chars: int = 6_000_000) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 4, block_chars: int = 8_000_000, bucket: int = 100_000) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id (as text) modulo 7 is not 2. Null texts are empty: one end symbol. base_score
     is the add-one unigram score; score sums log10 of the tree's probabilities over the same symbols, the unknown one
     among them. Repeated rows count and are scored each time. Other columns are ignored. An empty table gives an empty result.
-    Documents are dealt into blocks of about block_chars characters, a task each, whatever their number.
+    Documents are dealt into blocks of about block_chars characters, a task each, whatever their number; a block asks the
+    model, which lies in buckets of about `bucket` rows, for the keys that it holds.
     """
     from dataclasses import replace
 
@@ -327,7 +372,12 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tree = replace(grown, model=None)  # what travels to the tasks
     blocks = max(1, math.ceil(chars / block_chars))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
-    part = dealt.groupBy("block").applyInArrow(_block_keys(tree.keys), "block long, key long").join(grown.model, "key").select("block", "key", "value")
+    bits = max(0, math.ceil(math.log2(max(grown.types, 1) / bucket)))
+    asked = dealt.groupBy("block").applyInArrow(_asked(tree, bits), "bucket long, block long, data binary")
+    first_bits = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    model = grown.model.select(first_bits.alias("bucket"), F.lit(None).cast("long").alias("block"), "key", "value", F.lit(None).cast("binary").alias("data"))
+    both = model.union(asked.select("bucket", "block", F.lit(None).cast("long"), F.lit(None).cast("double"), "data"))
+    part = both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answered, "block long, bucket long, data binary")
     kind = src.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 

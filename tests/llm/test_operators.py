@@ -166,7 +166,7 @@ def test_suffix_tree_matches_brute_force(spark, sf_dir):
     tree = suffix_tree.grow(train, suffix_tree.counted(train, lambda c: suffix_tree.symbols(c)[0], 1_000_000, bucket=50_000, most=3_000), 3, 4)
     kinds = sum(len(add) for _, add in model.values()) + len(model) + tree.types
     assert tree.model.count() == kinds  # words, retained contexts, kept symbols, and no others
-    for r in suffix_tree.suffix_tree_scores(df, block_chars=100_000).collect():
+    for r in suffix_tree.suffix_tree_scores(df, block_chars=100_000, bucket=500).collect():
         ws = texts[r.doc_id]
         want = sum(math.log10(prob(tuple(ws[max(0, i - 3) : i]), w)) for i, w in enumerate(ws))
         assert r.score == pytest.approx(want, rel=1e-9), r.doc_id
