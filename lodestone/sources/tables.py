@@ -139,6 +139,11 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(to(path), True)
 
 
+def _escaped(spark: SparkSession, value) -> str:
+    """The value as Spark writes it in a folder's name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, to = _store(spark, path)
     return store.exists(to(path))
@@ -148,9 +153,11 @@ def change_partitions(spark: SparkSession, path: str, by: str, keys: DataFrame,
     """Rewrites the folders of a table partitioned by `by` that keys (by, ...) name, and no others; the values of `by`.
 
     change gets the rows of these folders and gives those that take their place. They are written to the shared folder
-    first, as a table cannot be read while it is overwritten; folders without rows are deleted.
+    first, as a table cannot be read while it is overwritten; folders without rows are deleted. A null in `by` is an error.
     """
     values = [r[0] for r in keys.select(by).distinct().collect()]  # a row for each folder
+    if None in values:
+        raise ValueError(f"{by} is null in some keys")
     there = exists(spark, path)
     old = spark.read.parquet(path) if there else None
     kind = keys.schema[by].dataType
@@ -162,7 +169,7 @@ def change_partitions(spark: SparkSession, path: str, by: str, keys: DataFrame,
     if left:
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     for v in set(values) - left:
-        remove(spark, f"{path}/{by}={v}")
+        remove(spark, f"{path}/{by}={_escaped(spark, v)}")
     return values
 
 

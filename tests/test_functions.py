@@ -301,6 +301,18 @@ def test_only_touched_folders_are_rewritten(spark, tmp_path):
     assert {(r.id, r.g, r.v) for r in spark.read.parquet(path).collect()} == want
 
 
+def test_folders_with_odd_names(spark, tmp_path):
+    from lodestone.sources import tables as T
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a/b:c"), (2, "plain"), (3, "x=y z")], "id long, g string").write.partitionBy("g").parquet(path)
+    T.delete_from(spark, path, "g", spark.createDataFrame([("a/b:c", 1), ("x=y z", 3)], "g string, id long"))
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(2, "plain")]
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.is_dir()] == ["g=plain"]
+    with pytest.raises(ValueError, match="null"):
+        T.delete_from(spark, path, "g", spark.createDataFrame([(None, 1)], "g string, id long"))
+
+
 def test_csv_with_quotes(spark, tmp_path):
     import duckdb
 
