@@ -248,6 +248,7 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
             return at[k][on]
 
         grams = cut(counted(train, names_of, total, least))
+        tidy(train.sparkSession)
         seen = BitMap(grams, "name")
 
         def rows_of(column: pa.Array, k=k, places=places, seen=seen) -> list[np.ndarray]:
@@ -264,13 +265,14 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
         keeps = (F.col("n") > 1.2 * expected) & (gain >= 0.5 * F.log("size") + 3)
         tested = cut(tested.withColumn("add", F.when(keeps, (F.col("n") - 0.5) / F.col("size"))))
         contexts = cut(tested.where("add is not null").groupBy("context").agg((1 - F.sum("add")).alias("left")))
-        pairs = tested.where("add is not null").select("name", "add")
+        pairs = cut(tested.where("add is not null").select("name", "add"))
         model = model.union(contexts.mapInArrow(key(CONTEXT), "key long, value double")).union(pairs.mapInArrow(key(PAIR), "key long, value double"))
         kept_contexts = contexts.select("context") if kept_contexts is None else kept_contexts.union(contexts.select("context"))
         kept_pairs = pairs.select("name") if kept_pairs is None else kept_pairs.union(pairs.select("name"))
         if k < depth:
             p = F.when(F.col("left").isNull(), F.col("before")).otherwise(F.col("left") * F.col("before") + F.coalesce("add", F.lit(0.0)))
             level = cut(tested.join(contexts, "context", "left").select("name", "n", p.alias("p")))
+        tested = grams = None
         tidy(train.sparkSession)
     return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
 
