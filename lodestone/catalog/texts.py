@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..sources.tables import load
+from . import personal
 from .base import query
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^가-힣a-zA-Z0-9\s!@#\$%\^&\*\(\)_\-\+=\[\]\{\}\|\\:;"''<>,\.\?/`~ㅇ·]', '', 'g'),
@@ -47,17 +48,17 @@ def pii_pattern_counts(spark, d):
     return load(spark, d, "documents").select("doc_id", *[pii.count_kind(k).alias(k) for k in _KINDS])
 
 
-@query()
+@query(personal.MASKED)
 def pii_masked(spark, d):
     return pii.anonymized(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", "clean_text", F.size("matches").alias("n"))
 
 
-@query()
+@query(personal.PSEUDONYMS)
 def pii_pseudonyms(spark, d):
     return pii.anonymized(load(spark, d, "documents").select("doc_id", "text"), strategy="pseudonymize").select("doc_id", "clean_text")
 
 
-@query()
+@query(personal.by_strategy({"en": ("generalize", pii.ENABLED), "fr": ("none", ()), "de": ("risk", ("email", "phone"))}, ("mask", pii.ENABLED)))
 def pii_generalised(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("file_type"))
     rows = [("en", "generalize", None), ("fr", "none", None), ("de", "risk", ["email", "phone"])]
@@ -75,22 +76,22 @@ def resident_id_check(spark, d):
     return load(spark, d, "customer").select("c_custkey", S.resident_id_date_valid(number).alias("valid"))
 
 
-@query()
+@query(personal.LOG)
 def pii_log(spark, d):
     return pii.match_rows(pii.anonymized(load(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
-@query()
+@query(personal.NUMBERS)
 def pii_numbered(spark, d):
     return W.pseudonym_numbers(pii_log(spark, d), doc="doc_id").select("doc_id", "type", "start", "number")
 
 
-@query()
+@query(personal.COUNTS)
 def pii_type_counts(spark, d):
     return A.pii_counts(pii_log(spark, d))
 
 
-@query()
+@query(personal.RISKS)
 def pii_risk_summary(spark, d):
     return A.pii_summary(pii_log(spark, d))
 
