@@ -18,6 +18,7 @@ from ..sources import tables as T
 from ..sources.tables import load
 from ..sources.views import NOW, meta, progress, query_vectors
 from ..streaming import progress as R
+from . import splitting
 from .base import META, PROGRESS, query
 
 
@@ -143,7 +144,8 @@ def running_snapshot(spark, d):
     return last.where(~F.col("status").isin(*R.TERMINAL)).select("user_id", "task_id", "stage")
 
 
-@query()
+@query(f"""WITH RECURSIVE {splitting.pieces("SELECT doc_id AS key, text FROM documents", 500, 50)}
+ SELECT key AS doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY path, k) - 1 AS INT) AS chunk_index, text AS chunk FROM pieces""")
 def split_chunks_sql(spark, d):
     """The recursive splitter as a table function in SQL."""
     chunking.register_splitter(spark)

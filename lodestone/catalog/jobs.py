@@ -10,6 +10,7 @@ from ..operators import joins as J
 from ..plans import jobs
 from ..sources.tables import append, load, scan, shared_folder, write_counted, write_evaluation
 from ..sources.views import NOW, meta
+from . import splitting
 from .base import META, query
 
 
@@ -87,11 +88,24 @@ def evaluation_sink(spark, d):
     return scan(spark, f"{path}/evaluations").join(found, "id").select("id", F.col("item_count").cast("bigint").alias("item_count"), "n", "score")
 
 
-@query()
-def generate_embeddings(spark, d):
+def _generated(spark, d):
     pages = load(spark, d, "documents").select(F.sha2("text", 256).alias("hash_sha256"), F.lit(1).alias("page_number"), "text").dropDuplicates(["hash_sha256"])
     ready = meta(spark, d).where("status = 'registered'").groupBy("hash_sha256").agg(F.min_by(F.struct("group_id", "role_ids", "category", "title", "filename", "status"), "id").alias("r")).select("hash_sha256", "r.*")
-    return jobs.make_chunks(ready, pages, "run-1", 500, 50).select("chunk_id", "hash_sha256", "chunk_index", "parsed_text", "token")
+    return jobs.make_chunks(ready, pages, "run-1", 500, 50)
+
+
+@query()
+def generate_embeddings(spark, d):
+    return _generated(spark, d).select("chunk_id", "hash_sha256", "chunk_index", "parsed_text", "token")
+
+
+@query(f"""WITH RECURSIVE {META}, ready AS (SELECT hash_sha256, arg_min(struct_pack(group_id := group_id, category := category, title := title), id) AS r FROM meta WHERE status = 'registered' GROUP BY hash_sha256),
+ {splitting.pieces("SELECT DISTINCT sha256(text) AS key, text FROM documents WHERE sha256(text) IN (SELECT hash_sha256 FROM ready)", 500, 50)}
+ SELECT hash_sha256, r.group_id AS group_id, r.category AS category, r.title AS title, row_number() OVER (PARTITION BY hash_sha256 ORDER BY path, k) - 1 AS chunk_index, text AS parsed_text,
+ len(regexp_extract_all(text, '\\S+')) // 2 AS token, 64 AS dimension FROM pieces JOIN ready ON hash_sha256 = key""")
+def generated_chunks(spark, d):
+    """The chunks of a run with what they take over from their documents, and the length of their vectors."""
+    return _generated(spark, d).select("hash_sha256", "group_id", "category", "title", "chunk_index", "parsed_text", "token", F.size("embedding").alias("dimension"))
 
 
 @query(_m("""SELECT id, CASE WHEN hash_sha256 IN (SELECT hash_sha256 FROM meta WHERE status = 'registered') THEN 'uploaded' ELSE status END AS status, true AS counted,

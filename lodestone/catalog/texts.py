@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..sources.tables import load
-from . import personal
+from . import personal, splitting
 from .base import query
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^가-힣a-zA-Z0-9\s!@#\$%\^&\*\(\)_\-\+=\[\]\{\}\|\\:;"''<>,\.\?/`~ㅇ·]', '', 'g'),
@@ -123,7 +123,11 @@ def _pages(spark, d):
     return load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("hash_sha256"), lines.alias("page_number", "text")).withColumn("n_images", (F.col("doc") % 4).cast("bigint"))
 
 
-@query()
+_PAGES = "SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS page_number FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {splitting.pieces(f"SELECT {{'doc': doc_id, 'page': page_number}} AS key, text FROM ({_PAGES})", 200, 20)}
+ SELECT key.doc AS hash_sha256, CAST(key.page AS INT) AS page_number, row_number() OVER (PARTITION BY key.doc ORDER BY key.page, path, k) - 1 AS chunk_index, text FROM pieces""")
 def recursive_chunks(spark, d):
     return chunking.fixed_chunks(_pages(spark, d), 200, 20)
 
@@ -147,7 +151,8 @@ def semantic_letters(spark, d):
     return _letters(chunking.semantic_chunks(_pages(spark, d), 0.5, 500))
 
 
-@query()
+@query(f"""WITH RECURSIVE {splitting.semantic(f"SELECT {{'doc': doc_id, 'page': page_number}} AS key, text FROM ({_PAGES})", 0.5, 500)}
+ SELECT key.key.doc AS hash_sha256, CAST(key.key.page AS INT) AS page_number, row_number() OVER (PARTITION BY key.key.doc ORDER BY key.key.page, key.grp, k) - 1 AS chunk_index, text FROM packs""")
 def semantic_chunks(spark, d):
     return chunking.semantic_chunks(_pages(spark, d), 0.5, 500)
 
