@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..sources.tables import load
+from . import pages as page_sql
 from . import personal, splitting
 from .base import query
 
@@ -107,7 +108,7 @@ def luhn_check(spark, d):
     return rows.withColumn("valid", S.luhn_valid("value"))
 
 
-@query()
+@query(page_sql.MARKDOWN)
 def page_markdown(spark, d):
     return html.page_texts(load(spark, d, "pages"))
 
