@@ -399,24 +399,27 @@ def _find(field: Field):
                 texts = strings(b.column(1))
                 base = [base_spans(t) for t in texts]
                 more = field_spans(decoder, texts)
-                counts = {k: [] for k in ALL_KINDS}
+                counts, fixed = {k: [] for k in ALL_KINDS}, {k: [] for k in KINDS}
                 digest, spans = [], []
                 for own, added in zip(base, more, strict=True):
                     free = [s for s in added if not any(s[1] < e and a < s[2] for _, a, e in own)]
                     full = sorted([*own, *free], key=lambda s: (ALL_KINDS.index(s[0]), s[1]))
                     for k in ALL_KINDS:
                         counts[k].append(sum(s[0] == k for s in full))
+                    for k in KINDS:
+                        fixed[k].append(sum(s[0] == k for s in own))
                     digest.append(hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in own).encode()).hexdigest())
                     spans.append(full)
                 kinds = pa.array([[{"kind": k, "start": a, "end": e} for k, a, e in s] for s in spans], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[k], pa.int64()) for k in ALL_KINDS), pa.array(digest), kinds], ["doc_id", "text", *(f"n_{k}" for k in ALL_KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(counts[k], pa.int64()) for k in ALL_KINDS), pa.array(digest), kinds, *(pa.array(fixed[k], pa.int64()) for k in KINDS)], ["doc_id", "text", *(f"n_{k}" for k in ALL_KINDS), "base_sha256", "spans", *(f"base_{k}" for k in KINDS)])
 
     return go
 
 
 def find_pii(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 2_000) -> DataFrame:
-    """(doc_id, text, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans array<struct<kind, start, end>>).
+    """(doc_id, text, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans array<struct<kind, start, end>>, base_email, base_ip, base_card, base_phone).
 
+    The counts n_ are those of all spans, base_ those of the fixed patterns alone.
     One row per row of docs; repeated rows and null ids are rows of their own. Spans of the fixed patterns always stay;
     those of the field, which reads every word of a text, are added where they touch none. Null and empty texts hold nothing. The field is trained on at most most_rows rows of the labelled table, by the hash
     of their words. Other columns of docs are ignored.
@@ -428,8 +431,8 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
     field = train(rows)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    counts = ", ".join(f"n_{k} bigint" for k in ALL_KINDS)
-    return src.mapInArrow(_find(field), f"doc_id {kind}, text string, {counts}, base_sha256 string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    counts, fixed = ", ".join(f"n_{k} bigint" for k in ALL_KINDS), ", ".join(f"base_{k} bigint" for k in KINDS)
+    return src.mapInArrow(_find(field), f"doc_id {kind}, text string, {counts}, base_sha256 string, spans array<struct<kind: string, start: bigint, end: bigint>>, {fixed}")
 
 
 def mask_text(text: str, spans: list[tuple[str, int, int]]) -> str:

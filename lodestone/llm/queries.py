@@ -62,11 +62,12 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import find_pii, labelled_table
+    """The counts are those of the fixed patterns, as base_sha256 is; spans and n_secret hold what the field adds."""
+    from .pii import KINDS, find_pii, labelled_table
 
     found = find_pii(table(spark, sf_dir, "documents"), labelled_table(spark))
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), "n_secret")
+    return found.select("doc_id", *[F.col(f"base_{k}").alias(f"n_{k}") for k in KINDS], "base_sha256", joined.alias("spans"), "n_secret")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,20 @@ def test_pii_rows(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_pii_query_counts_fixed_patterns(spark, tmp_path):
+    """What the field adds is in the spans, not in the counts that belong to base_sha256."""
+    from lodestone.llm.queries import op3_pii
+
+    texts = ["write to john at example dot com or (415) 555-1234 now", "mail bo.42@mail8.example.com, call +1 415 555 1234", None, "", "at 4111 1111 1111 1111 or 70.123.182.155, jane at mail3 dot org"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in op3_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_pii(t or "")
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in base).encode()).hexdigest()
+    assert rows[0].spans.startswith("email:") and not brute_pii(texts[0])
+
+
 @pytest.fixture(scope="module")
 def pii_field():
     return pii.train(pii.labelled_rows(780, 3))
