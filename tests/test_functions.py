@@ -459,3 +459,29 @@ def test_bold_runs(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.x for r in df.select("t", S.repair_bold("t").alias("x")).collect()} == cases
     assert spark.createDataFrame([(None,)], "t string").select(S.repair_bold("t").alias("x")).first().x is None
+
+
+def test_next_times_of_many_expressions(spark):
+    """Parsed once a row, and a day that no month has is not looked for; the expressions agree with a walk over the days."""
+    import time
+    from datetime import UTC, datetime, timedelta
+
+    from lodestone.functions.schedules import next_due
+
+    now = 1_718_000_000
+    crons = [f"{k % 60} {k % 24} {1 + k % 31} {1 + k % 12} *" for k in range(372)] + ["0 0 31 4,6 *", "0 0 30 2 1", "0 0 29 2 *", "0 0 31 4 1", "0 0 */31 2 1"]
+    rows = spark.range(8_000, numPartitions=8).select("id", F.element_at(F.array(*map(F.lit, crons)), (F.col("id") % len(crons) + 1).cast("int")).alias("cron"))
+    begin = time.monotonic()
+    got = {r.cron: r.at for r in rows.select("cron", next_due(F.col("cron"), now).alias("at")).collect()}
+    assert time.monotonic() - begin < 40
+
+    def walked(cron):
+        m, h, d, mon, w = cron.split()
+        t = datetime.fromtimestamp(now, UTC).replace(hour=int(h), minute=int(m), second=0)
+        for _ in range(14_700):
+            on_day, on_week = d == "*" or t.day == (1 if d[0] == "*" else int(d)), w == "*" or t.isoweekday() == int(w)
+            if t.timestamp() > now and t.month in map(int, mon.split(",")) and (on_day | on_week if w != "*" and d[0] != "*" else on_day & on_week):
+                return int(t.timestamp())
+            t += timedelta(days=1)
+
+    assert got == {c: walked(c) for c in crons}
