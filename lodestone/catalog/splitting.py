@@ -61,7 +61,7 @@ _CRC = f"xor(list_reduce(flatten([[CAST(x AS BIGINT), -1, -1, -1, -1, -1, -1, -1
 
 def semantic(source: str, threshold: float, most: int, dim: int = 64) -> str:
     """CTEs, to follow WITH RECURSIVE, up to `packs`, whose key holds (key, grp): the sentences of source (key, text), cut
-    where neighbours' hashed vectors have a cosine under the threshold, and packed."""
+    where neighbours' hashed vectors have a cosine, to six places, under the threshold, and packed."""
     return f"""cells AS (SELECT key, string_split_regex(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(10), 'g'), '\\n+') AS s FROM ({source})),
  sentences AS MATERIALIZED (SELECT key, pos, trim(sentence) AS sentence FROM (SELECT key, unnest(list_filter(s, lambda x: trim(x) <> '')) AS sentence, generate_subscripts(list_filter(s, lambda x: trim(x) <> ''), 1) AS pos FROM cells)),
  words AS MATERIALIZED (SELECT key, pos, unnest(regexp_extract_all(lower(sentence), '\\S+')) AS word FROM sentences),
@@ -71,5 +71,5 @@ def semantic(source: str, threshold: float, most: int, dim: int = 64) -> str:
  norms AS MATERIALIZED (SELECT key, pos, sqrt(sum(v * v)) AS n FROM unit GROUP BY key, pos),
  dots AS (SELECT a.key, a.pos, sum(a.v * b.v) AS dot FROM unit a JOIN unit b ON b.key = a.key AND b.pos = a.pos + 1 AND b.d = a.d GROUP BY a.key, a.pos),
  sims AS (SELECT s.key, s.pos, coalesce(dot / (x.n * y.n), 0) AS sim FROM sentences s LEFT JOIN dots USING (key, pos) LEFT JOIN norms x USING (key, pos) LEFT JOIN norms y ON y.key = s.key AND y.pos = s.pos + 1),
- grouped AS (SELECT key, pos, coalesce(sum(CASE WHEN sim < {threshold} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM sims),
+ grouped AS (SELECT key, pos, coalesce(sum(CASE WHEN round(sim, 6) < {threshold} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM sims),
  {packed("SELECT {'key': key, 'grp': grp} AS key, pos AS i, sentence AS part FROM sentences JOIN grouped USING (key, pos)", most)}"""

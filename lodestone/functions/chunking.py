@@ -90,7 +90,7 @@ def pack(parts: list[str], most: int) -> list[str]:
 
 
 def semantic_chunks(pages: DataFrame, threshold: float = 0.5, most: int = 1_500, by: str = "hash_sha256", text_col: str = "text", function=None) -> DataFrame:
-    """(by, page_number, chunk_index, text): sentences cut where neighbours differ, groups packed up to the size."""
+    """(by, page_number, chunk_index, text): sentences cut where neighbours differ (by a cosine, to six places, under the threshold), groups packed up to the size."""
     rows = pages.select(by, "page_number", F.posexplode(sentences(text_col)).alias("pos", "sentence"))
     vec = embed(rows, "sentence", **({"function": function} if function else {}))
     keys = [by, "page_number"]

@@ -485,3 +485,10 @@ def test_next_times_of_many_expressions(spark):
             t += timedelta(days=1)
 
     assert got == {c: walked(c) for c in crons}
+
+
+def test_breaks_do_not_hang_on_the_last_bit(spark):
+    """A cosine of one half is no break at one half, whichever way its sums were rounded."""
+    sims = [0.49999999999999994, 0.5, 0.5000000000000001, 0.49999998, 0.4999, None]
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(sims)], "doc long, pos long, sim double")
+    assert [r.group for r in W.breakpoint_groups(rows, ["doc"], "pos", 0.5).orderBy("pos").collect()] == [0, 0, 0, 0, 0, 1]
