@@ -338,15 +338,23 @@ def write_clusters(vectors: DataFrame, path: str, centroids: np.ndarray, id_col:
 def stored_top_k(queries: DataFrame, path: str, k: int, probes: int = 16) -> DataFrame:
     """dense_top_k by cosine over the `probes` nearest clusters of each query, of the index that write_clusters stored.
 
-    Only the folders of probed clusters are read; blocks of the queries that probe a cluster meet the cluster's blocks.
+    Only the folders of probed clusters are read; blocks of the queries that probe a cluster are shuffled to the cluster's
+    blocks, as they are as many copies of the queries as clusters are probed. Queries that probe every cluster are not
+    dealt by clusters: each block of them meets each block of rows.
     """
     spark = queries.sparkSession
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()  # a row for each cluster
     centroids = np.array([r.centroid for r in rows])
-    asked = cut(pack(assign_clusters(queries, centroids, probes, "query_id", "embedding"), "id", "vector", "cluster", QUERY_ROWS))
-    probed = [r[0] for r in asked.select("part").distinct().collect()]
-    blocks = spark.read.schema("dim int, ids binary, data binary, part int").parquet(f"{path}/blocks").where(F.col("part").isin(probed))
-    return _ranked(_held_against(asked, blocks, _best_of_blocks(k, "COSINE"), HITS), k)
+    stored = spark.read.schema("dim int, ids binary, data binary, part int").parquet(f"{path}/blocks")
+    if probes >= len(centroids):
+        asked = pack(queries.where(F.size("embedding") == centroids.shape[1]), "query_id", "embedding", most=QUERY_ROWS)
+        return _ranked(_held_against(asked, stored.withColumn("part", F.lit(0)), _best_of_blocks(k, "COSINE"), HITS), k)
+    dealt = assign_clusters(queries, centroids, probes, "query_id", "embedding").hint("rebalance", "cluster").sortWithinPartitions("cluster")
+    asked = cut(pack(dealt, "id", "vector", "cluster", QUERY_ROWS))
+    probed = [r[0] for r in asked.select("part").distinct().collect()]  # a row for each cluster
+    own = asked.select("part", "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs = stored.where(F.col("part").isin(probed)).join(own.hint("shuffle_merge"), ["part", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
+    return _ranked(pairs.mapInArrow(_best_of_blocks(k, "COSINE"), HITS), k)
 
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> np.ndarray:

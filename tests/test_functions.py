@@ -492,3 +492,25 @@ def test_breaks_do_not_hang_on_the_last_bit(spark):
     sims = [0.49999999999999994, 0.5, 0.5000000000000001, 0.49999998, 0.4999, None]
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(sims)], "doc long, pos long, sim double")
     assert [r.group for r in W.breakpoint_groups(rows, ["doc"], "pos", 0.5).orderBy("pos").collect()] == [0, 0, 0, 0, 0, 1]
+
+
+def test_probing_queries_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    """Copies of queries for the clusters they probe are shuffled; with fewer or all clusters the best are those of brute force, in tiles too."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 40, axis=0)].astype(np.float32)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    centroids = vectors.fit_clusters(e, 12)
+    vectors.write_clusters(e, str(tmp_path / "index"), centroids)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    own, near = (x.astype(float) @ centroids.T).argmax(axis=1), np.argsort(-(x.astype(float) @ centroids.T), axis=1, kind="stable")
+    monkeypatch.setattr(vectors, "TILE", 700, raising=False)
+    for probes in (3, 12):
+        found = vectors.stored_top_k(q, str(tmp_path / "index"), 5, probes)
+        want = set()
+        for i in range(0, len(x), 20):
+            at = np.flatnonzero(np.isin(own, near[i, :probes]))
+            want |= {(i, int(j)) for j in at[np.lexsort((at, -np.round(unit[at] @ unit[i], 12)))[:5]]}
+        assert {(r.query_id, r.id) for r in found.collect()} == want
+        if probes == 3:
+            assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
