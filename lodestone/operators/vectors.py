@@ -64,6 +64,8 @@ def zero_vector(dim: int) -> Column:
 
 #: Blocks of vectors hold about this many bytes, and a block of queries at most this many rows.
 BLOCK_BYTES, QUERY_ROWS = 1 << 20, 1_024
+#: Scores that a task holds at a time, whatever the blocks; more tied rows than that are never held either.
+TILE = 1 << 19
 
 
 def _sample(vectors: DataFrame, vec_col: str, most: int, dim: int | None = None) -> np.ndarray:
@@ -134,17 +136,18 @@ def _best_of_blocks(k: int, kind: str):
             for i in range(b.num_rows):
                 dim = b.column(0)[i].as_py()
                 asked, own = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (1, 3))
-                q, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 4))
-                s = _scores(q, x, kind)
-                shown = np.round(s, 12)
-                n = min(k, len(own))
-                least = -np.partition(-shown, n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero(shown >= least[:, None])
-                order = np.lexsort((own[col], -shown[row, col], row))
-                row, col = row[order], col[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
-                row, col = row[keep], col[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(own[col]), pa.array(s[row, col])], ["query_id", "id", "score"])
+                whole, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 4))
+                n, step = min(k, len(own)), max(1, TILE // len(own))
+                for at in range(0, len(whole), step):
+                    s = _scores(whole[at : at + step], x, kind)
+                    shown = np.round(s, 12)
+                    least = np.partition(shown, len(own) - n, axis=1)[:, len(own) - n]
+                    row, col = np.nonzero(shown >= least[:, None])
+                    order = np.lexsort((own[col], -shown[row, col], row))
+                    row, col = row[order], col[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[at + row]), pa.array(own[col]), pa.array(s[row, col])], ["query_id", "id", "score"])
 
     return go
 

@@ -514,3 +514,17 @@ def test_probing_queries_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch
         assert {(r.query_id, r.id) for r in found.collect()} == want
         if probes == 3:
             assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_meetings_of_blocks_are_scored_in_tiles(monkeypatch):
+    """A full block of copies against a full block of queries: no more scores at a time than a tile, and ties by id as before."""
+    import pyarrow as pa
+
+    x, q = np.ones((4_096, 8), np.float32), np.random.default_rng(1).normal(size=(1_024, 8)).astype(np.float32)
+    cells = [8, np.arange(1_024).tobytes(), q.tobytes(), np.arange(4_096)[::-1].tobytes(), x.tobytes()]
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    block = pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["dim", "q_ids", "q_data", "ids", "data"])
+    sizes, scores = [], vectors._scores
+    monkeypatch.setattr(vectors, "_scores", lambda a, b, kind: sizes.append(len(a) * len(b)) or scores(a, b, kind))
+    got = [(int(a), int(b)) for o in vectors._best_of_blocks(3, "COSINE")(iter([block])) for a, b in zip(o.column(0).to_numpy(), o.column(1).to_numpy(), strict=True)]
+    assert got == [(i, j) for i in range(1_024) for j in range(3)] and max(sizes) <= 1 << 19
