@@ -41,9 +41,9 @@ def keyword_search(queries: DataFrame, docs: DataFrame, limit: int, now: int) ->
 
     A query sees documents that share a role with it and have not expired; term statistics are those of all documents.
     """
-    scores = keyword.bm25_scores(keyword.query_terms(queries), docs, "doc_key", "text")
-    own = scores.join(queries.select("query_id", F.col("role_ids").alias("_q")), "query_id").join(docs.select("doc_key", "role_ids", "expiration_date"), "doc_key")
-    return keyword.bm25_top_k(own.where(F.arrays_overlap("_q", "role_ids") & (F.col("expiration_date") > now)).select("query_id", "doc_key", "score"), limit)
+    roles = queries.select("query_id", F.explode("role_ids").alias("mark"))
+    shown = docs.withColumn("_roles", F.when(F.col("expiration_date") > now, F.col("role_ids")))
+    return keyword.bm25_top_k(keyword.bm25_scores(keyword.query_terms(queries), shown, "doc_key", "text", k=limit, marks=("_roles", roles)), limit)
 
 
 def hybrid_search(
@@ -59,7 +59,7 @@ def hybrid_search(
     if documents is not None:
         pairs = hybrid.restrict(chunks.select(F.col("chunk_id").alias("id"), "hash_sha256"), documents).select("query_id", "id")
     dense = vectors.dense_top_k(queries, chunks, limit, id_col="chunk_id", within=pairs).select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("dense_score"))
-    scores = keyword.bm25_scores(keyword.query_terms(queries), chunks, "chunk_id", "parsed_text", pairs.withColumnRenamed("id", "doc_key") if pairs is not None else None)
+    scores = keyword.bm25_scores(keyword.query_terms(queries), chunks, "chunk_id", "parsed_text", pairs.withColumnRenamed("id", "doc_key") if pairs is not None else None, k=keyword_limit or limit)
     top = keyword.bm25_top_k(scores, keyword_limit or limit)
     sparse = normalised_keyword(top).select("query_id", F.col("doc_key").alias("chunk_id"), F.col("norm").alias("keyword_score"))
     text = chunks.select("chunk_id", "parsed_text")

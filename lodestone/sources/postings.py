@@ -3,6 +3,7 @@
 Every change is a generation: its new postings and documents, and the keys that it takes out. A generation counts once its
 row in `done` is written, which comes last, so that a run that fails leaves nothing that is read and its number is used
 again. A posting is live while no later generation takes its document out. `compacted` merges all into one generation.
+The last bucket holds a row of the empty term for each document, so that a change splits each text once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from ..operators import keyword
 from ..operators.joins import small
 
 BUCKETS = 64
-_POSTINGS, _DOCS, _GONE, _DONE = "doc_key {0}, dl int, term string, tf long, gen long, bucket int", "doc_key {0}, dl int, gen long", "doc_key {0}, gen long", "documents long, postings long, gen long"
+_POSTINGS, _GONE, _DONE = "doc_key {0}, dl int, term string, tf long, gen long, bucket int", "doc_key {0}, gen long", "documents long, postings long, gen long"
 
 
 def _bucket(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    """The folder of a term; that of the empty one comes after all others."""
+    own = F.col(term) if isinstance(term, str) else term
+    return F.when(own == "", BUCKETS).otherwise(F.pmod(F.xxhash64(own), F.lit(BUCKETS))).cast("int")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,42 +54,44 @@ class Index:
 
     def postings(self, buckets: list[int] | None = None) -> DataFrame:
         """(doc_key, dl, term, tf): what is live, of some buckets or of all; only their folders are read."""
-        rows = self._table("postings", _POSTINGS)
+        rows = self._table("postings", _POSTINGS).where(F.col("bucket") < BUCKETS)
         rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
         return self._live(rows).select("doc_key", "dl", "term", "tf")
 
     def documents(self) -> DataFrame:
         """(doc_key, dl) of all documents, those without terms too."""
-        return self._live(self._table("docs", _DOCS)).select("doc_key", "dl")
+        return self._live(self._table("postings", _POSTINGS).where(F.col("bucket") == BUCKETS)).select("doc_key", "dl")
+
+    def _write(self, rows: DataFrame, gen: int) -> None:
+        """A generation's rows (doc_key, dl, term, tf) in their folders, then its line in `done`."""
+        dealt = rows.withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_key")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
+        own = self._table("postings", _POSTINGS).where(F.col("gen") == gen)
+        sizes = own.agg(F.count_if(F.col("bucket") == BUCKETS).alias("documents"), F.count_if(F.col("bucket") < BUCKETS).alias("postings"))
+        self.spark.createDataFrame(sizes.collect(), "documents long, postings long").write.mode("overwrite").parquet(f"{self.path}/done/gen={gen}")
 
     def change(self, texts: DataFrame, removed: DataFrame | None = None) -> int:
         """texts (doc_key, text) are added or take the place of what their keys had; removed (doc_key) go. The new generation."""
         gen = max(self.generations(), default=-1) + 1
         split = texts.select("doc_key", keyword.terms("text").alias("_t")).withColumn("dl", F.size("_t"))
-        words = split.select("doc_key", "dl", F.explode("_t").alias("term")).groupBy("doc_key", "dl", "term").agg(F.count("*").alias("tf"))
+        words = keyword.as_postings(keyword.counted(split.withColumn("_t", F.array_append("_t", F.lit(""))), "_t"))
         keys = texts.select("doc_key") if removed is None else texts.select("doc_key").union(removed.select("doc_key"))
         if gen:
             keys.distinct().write.mode("overwrite").parquet(f"{self.path}/gone/gen={gen}")
-        split.select("doc_key", "dl").write.mode("overwrite").parquet(f"{self.path}/docs/gen={gen}")
-        dealt = words.withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_key")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
-        sizes = [self._table(t, s).where(F.col("gen") == gen).count() for t, s in (("docs", _DOCS), ("postings", _POSTINGS))]
-        self.spark.createDataFrame([tuple(sizes)], "documents long, postings long").write.mode("overwrite").parquet(f"{self.path}/done/gen={gen}")
+        self._write(words, gen)
         return gen
 
     def compacted(self, path: str) -> Index:
         """The live rows as the one generation of an index in another folder."""
         new = Index(self.spark, path, self.kind)
-        self.documents().write.parquet(f"{path}/docs/gen=0")
-        dealt = self.postings().withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_key")
-        dealt.write.partitionBy("bucket").parquet(f"{path}/postings/gen=0")
-        sizes = [new._table(t, s).count() for t, s in (("docs", _DOCS), ("postings", _POSTINGS))]
-        self.spark.createDataFrame([tuple(sizes)], "documents long, postings long").write.parquet(f"{path}/done/gen=0")
+        new._write(self._live(self._table("postings", _POSTINGS)).select("doc_key", "dl", "term", "tf"), 0)
         return new
 
-    def bm25(self, asked: DataFrame) -> DataFrame:
-        """(query_id, doc_key, score) for asked (query_id, term): only the buckets of asked terms are read."""
+    def bm25(self, asked: DataFrame, k: int | None = None) -> DataFrame:
+        """(query_id, doc_key, score) for asked (query_id, term), with k at least the k best of each query: only the buckets of asked terms are read."""
         buckets = [r[0] for r in asked.select(_bucket("term")).distinct().collect()]  # BUCKETS at most
         n, avgdl = self.documents().agg(F.count("*"), F.avg("dl")).first()
         hits = self.postings(buckets).join(small(asked.select("term").distinct()), "term", "left_semi")
-        return keyword.scores_of(asked, hits, n, avgdl or 1.0)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        whole = hits.repartition("doc_key").groupBy("doc_key", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("_p"))  # the asked terms at most
+        return keyword.scores_of(asked, whole.select("doc_key", "dl", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs")), df, n, avgdl or 1.0, k)
