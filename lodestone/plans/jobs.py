@@ -70,8 +70,8 @@ def make_chunks(meta: DataFrame, pages: DataFrame, run_id: str, size: int = 500,
 
 def index_postings(chunks: DataFrame) -> DataFrame:
     """(doc_key, hash_sha256, chunk_index, term, tf): the keyword rows of chunks."""
-    words = chunks.select(keyword.chunk_key().alias("doc_key"), "hash_sha256", "chunk_index", F.explode(keyword.terms("parsed_text")).alias("term"))
-    return words.groupBy("doc_key", "hash_sha256", "chunk_index", "term").agg(F.count("*").alias("tf"))
+    split = chunks.select(keyword.chunk_key().alias("doc_key"), "hash_sha256", "chunk_index", keyword.terms("parsed_text").alias("_t"))
+    return keyword.as_postings(keyword.counted(split, "_t"))
 
 
 def write_run(chunks: DataFrame, path: str, run_id: str) -> tuple[int, int]:
