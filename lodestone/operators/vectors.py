@@ -182,7 +182,8 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(blk, dim, ids, data, rows, pos): rows of one block of queries and one length, with the pairs (row, query) that are asked for."""
+    """(blk, dim, ids, data, rows, pos): rows of one block of queries and one length, with the pairs (row, query) that are
+    asked for: TILE of them at most, or one row's."""
     for b in batches:
         blk, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
         lists = b.column(3)
@@ -192,12 +193,15 @@ def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             most = max(1, BLOCK_BYTES // (4 * x.shape[1]))
             order = np.argsort(blk[at], kind="stable")
             edges = np.r_[0, np.flatnonzero(np.diff(blk[at][order])) + 1, len(at)]
+            pairs = np.r_[0, np.cumsum(size[at][order])]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                for k in range(lo, hi, most):
-                    own = order[k : min(k + most, hi)]
+                k = lo
+                while k < hi:
+                    top = max(k + 1, min(k + most, hi, int(np.searchsorted(pairs, pairs[k] + TILE, "right")) - 1))
+                    own, k = order[k:top], top
                     n = size[at[own]]
                     which = np.repeat(begin[at[own]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    cells = [int(blk[at[own[0]]]), x.shape[1], ids[at[own]].tobytes(), x[own].astype(np.float32).tobytes(), np.repeat(np.arange(len(own)), n).tobytes(), pos[which].astype(np.int64).tobytes()]
+                    cells = [int(blk[at[own[0]]]), x.shape[1], ids[at[own]].tobytes(), x[own].astype(np.float32).tobytes(), np.repeat(np.arange(len(own), dtype=np.int32), n).tobytes(), pos[which].astype(np.int32).tobytes()]
                     kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], ["blk", "dim", "ids", "data", "rows", "pos"])
 
@@ -207,7 +211,8 @@ def _best_of_pairs(k: int, kind: str):
         for b in batches:
             for i in range(b.num_rows):
                 dim = b.column(0)[i].as_py()
-                asked, own, rows, pos = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (1, 3, 5, 6))
+                asked, own = (np.frombuffer(b.column(c)[i].as_buffer(), np.int64) for c in (1, 3))
+                rows, pos = (np.frombuffer(b.column(c)[i].as_buffer(), np.int32) for c in (5, 6))
                 q, x = (np.frombuffer(b.column(c)[i].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 4))
                 s = np.empty(len(rows))
                 for lo in range(0, len(rows), 65_536):
