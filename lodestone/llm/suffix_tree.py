@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, runs, slices, tidy
+from .common import crc_mod, cut, find, from_planes, planes, runs, slices, tidy
 from .tokens import mix, sums, words
 
 END = np.uint64(0x51ED270B0A1B2C3D)
@@ -61,14 +61,6 @@ def strings_at(sym: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndar
     return out
 
 
-def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of each value in a sorted table, -1 where it is not in it."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
 def _folded(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct names in order, and the sums of their counts."""
     k, c = np.concatenate(names), np.concatenate(counts)
@@ -277,15 +269,6 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
     return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit values byte place by byte place, so that places that differ little take little room in a shuffle."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(data: pa.Buffer, kind: type) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
-
-
 def _all_keys(tree: Tree, texts: pa.Table) -> np.ndarray:
     keys = [tree.keys(*symbols(b.column(0))) for b0 in texts.select(["text"]).to_batches() for b in slices(b0, "text")]
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)

@@ -403,6 +403,27 @@ def test_model_matches_brute_force(spark):
             assert got[i].logp == pytest.approx(sum(math.log10(p(g)) for g in zip(w, w[1:], w[2:])), rel=1e-5)
 
 
+def test_model_in_passes_and_blocks(spark):
+    rng = np.random.default_rng(5)
+    trusted = [" ".join(f"w{i}" for i in rng.zipf(1.5, 60) % 40) for _ in range(50)]
+    p, _ = brute_kneser_ney(trusted)
+    model, unknown = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"), "text", shard_rows=200, passes=3, most=100)
+    texts = [*trusted[:5], *(" ".join(f"w{i}" for i in rng.zipf(1.5, 30) % 60) for _ in range(25)), "", None]
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in kneser_ney.document_scores(docs, model, unknown, "doc_id", "text", "lang", 100, block_chars=500, parts=3).collect()}
+    for i, t in enumerate(texts):
+        w = ["<", "<", *split(t), ">"]
+        assert got[i].logp == pytest.approx(sum(math.log10(p(g)) for g in zip(w, w[1:], w[2:])), rel=1e-9)
+
+
+def test_quality_learns_from_all_trusted(spark):
+    docs = spark.range(3_000).selectExpr("id as doc_id", "'en' as lang", "concat('word', id, ' follows word', id + 1) as text")
+    got = kneser_ney.quality(docs, docs.select("doc_id"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
+    seen, worst = got.where(~held).agg(F.max("perplexity")).first()[0], got.where(held).agg(F.min("perplexity")).first()[0]
+    assert seen < worst  # a text that the model was trained on is likelier than one of unseen pairs
+
+
 def test_quality_separates_and_shards_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
