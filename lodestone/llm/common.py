@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to a folder of its own in the shared folder and read back, and the folder, which is to be removed when nothing reads it any more."""
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are written: it does so once the driver's memory of them is collected,
     which in a driver that needs little memory may be long after."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, find, from_planes, planes, runs, slices, tidy
+from .common import crc_mod, cut, find, from_planes, planes, remove, runs, slices, stored, tidy
 from .tokens import mix, sums, words
 
 END = np.uint64(0x51ED270B0A1B2C3D)
@@ -225,7 +225,7 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n), pa.array(n / total * (1 - unseen))], ["name", "n", "p"])
 
     # of each string seen often enough: its count, and how likely the tree makes its last symbol
-    level = cut(counts.where(F.col("n") >= least).mapInArrow(level_zero, "name long, n long, p double"))
+    level, level_at = stored(counts.where(F.col("n") >= least).mapInArrow(level_zero, "name long, n long, p double"))
     kept_contexts, kept_pairs = None, None
     for k in range(1, depth + 1):
         often = BitMap(level, "name")
@@ -239,7 +239,7 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
             at, on = places(column)
             return at[k][on]
 
-        grams = cut(counted(train, names_of, total, least))
+        grams, grams_at = stored(counted(train, names_of, total, least))
         tidy(train.sparkSession)
         seen = BitMap(grams, "name")
 
@@ -255,7 +255,9 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
         expected = F.col("size") * F.col("before")
         gain = F.col("n") * F.log(F.col("n") / expected) - (F.col("n") - expected)
         keeps = (F.col("n") > 1.2 * expected) & (gain >= 0.5 * F.log("size") + 3)
-        tested = cut(tested.withColumn("add", F.when(keeps, (F.col("n") - 0.5) / F.col("size"))))
+        tested, tested_at = stored(tested.select("name", "context", "n", "before", F.when(keeps, (F.col("n") - 0.5) / F.col("size")).alias("add")))
+        remove(grams_at)
+        remove(level_at)
         contexts = cut(tested.where("add is not null").groupBy("context").agg((1 - F.sum("add")).alias("left")))
         pairs = cut(tested.where("add is not null").select("name", "add"))
         model = model.union(contexts.mapInArrow(key(CONTEXT), "key long, value double")).union(pairs.mapInArrow(key(PAIR), "key long, value double"))
@@ -263,8 +265,9 @@ def grow(train: DataFrame, counts: DataFrame, depth: int, least: int) -> Tree:
         kept_pairs = pairs.select("name") if kept_pairs is None else kept_pairs.union(pairs.select("name"))
         if k < depth:
             p = F.when(F.col("left").isNull(), F.col("before")).otherwise(F.col("left") * F.col("before") + F.coalesce("add", F.lit(0.0)))
-            level = cut(tested.join(contexts, "context", "left").select("name", "n", p.alias("p")))
-        tested = grams = None
+            level, level_at = stored(tested.join(contexts, "context", "left").select("name", "n", p.alias("p")))
+        remove(tested_at)
+        tested = grams = parts = named = None
         tidy(train.sparkSession)
     return Tree(total, types, unseen, depth, model, BitMap(kept_contexts, "context"), BitMap(kept_pairs, "name"))
 
