@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, find, from_planes, planes, remove, runs, shared_dir, slices, tidy
+from .common import cut, distinct, filesystem, find, from_planes, planes, remove, runs, shared_dir, slices, tidy
 from .tokens import mix, words
 
 EDGE = np.uint64(0x2545F4914F6CDD1D)
@@ -337,11 +337,6 @@ def _symbols_of(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(cells), np.concatenate(at), np.concatenate(size)
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
-    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-
-
 def keys_of(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of a block's triples, and of its pairs and words."""
     sym, at, _ = _symbols_of(texts)

@@ -172,6 +172,41 @@ def test_suffix_tree_matches_brute_force(spark, sf_dir):
         assert r.score == pytest.approx(want, rel=1e-9), r.doc_id
 
 
+def test_suffix_tree_scores_part_by_part(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 150")
+    whole = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(docs).collect()}
+    held, cut = [], suffix_tree.cut
+
+    def seen(df):
+        out = cut(df)
+        held.append(out.count() if "score" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(suffix_tree, "cut", seen)
+    got = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(docs, block_chars=20_000, parts=3).collect()}
+    assert got == pytest.approx(whole, rel=1e-9)
+    sizes = [n for n in held if n]
+    assert len(sizes) == 3 and sum(sizes) == len(whole)  # what lies in a shuffle at a time are the texts and keys of a part
+
+
+def test_grams_know_their_contexts(spark):
+    texts = ["a b a b a c", "a b", None, "", "a", "b a"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+
+    def grams_of(column):
+        sym, first = suffix_tree.symbols(column)
+        at = suffix_tree.strings_at(sym, first, 1)[0]
+        on = np.setdiff1d(np.arange(len(sym)), first[:-1])
+        return at[on - 1], sym[on]
+
+    want = Counter(p for t in texts for p in zip([*split(t), None], [*split(t), None][1:]))
+    for most in (4, 1_000):
+        got = suffix_tree.followed(df, grams_of, 100, 4, bucket=10, most=most).collect()
+        assert sorted(r.n for r in got) == sorted(n for n in want.values() if n >= 4)
+        name = suffix_tree.follow(*(np.array([r[c] for r in got], np.int64).view(np.uint64) for c in ("context", "symbol")))
+        assert name.view(np.int64).tolist() == [r.name for r in got]
+
+
 def test_full_maps_change_nothing(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
     scores = lambda: {r.doc_id: round(r.score, 6) for r in suffix_tree.suffix_tree_scores(docs).collect()}
