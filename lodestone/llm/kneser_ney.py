@@ -30,6 +30,8 @@ _SALT = {name: np.uint64(x) for name, x in (("word", 0x9E3779B97F4A7C15), ("pair
 #: Tables of the model: counts of triples; of pairs and words; what continues pairs and words. Parts of the last two and of words, still to be added up, have no place yet.
 TRIPLE, OWN, NEXT, WORDS = range(4)
 NOWHERE = -1
+#: Bytes of text whose arrays are made at a time.
+SLICE = 1 << 19
 _STORED = "bucket long, data binary, kind int, at long"
 
 
@@ -123,7 +125,7 @@ def _places(own: int, passes: int, bits: int, most: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(3, 1, triple_key, lambda k, c: _by_bucket(k, c, bits, TRIPLE, False, True), most)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 sym, at, _ = symbols(b.column(0))
                 if passes > 1:
                     at = at[mix(sym[at - 1]) % np.uint64(passes) == own]
@@ -197,6 +199,18 @@ def _count_pairs(bits: int, most: int):
     return go
 
 
+def _add_words(bits: int):
+    """Parts of words, added up: parts again, one for each bucket."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cells in _buckets(batches):
+            keys, *rest = _keyed(cells[WORDS], 6)
+            keys, _, rest = folded(keys, [], rest)
+            yield _by_bucket(keys, rest, bits, WORDS, True, False)
+
+    return go
+
+
 def _count_words(bits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cells in _buckets(batches):
@@ -244,7 +258,7 @@ class Model:
                 with system.open_input_file(path) as file:
                     cells += [x.as_buffer() for x in pq.ParquetFile(file).read(columns=["data"]).column(0)]
         cols = _keyed(cells, 5 if kind == NEXT else 2)
-        order = np.argsort(cols[0])
+        order = np.argsort(cols[0], kind="stable")  # runs in order, one of each pass
         return [c[order] for c in cols]
 
     def cut(self, level: int, n: np.ndarray) -> np.ndarray:
@@ -286,30 +300,40 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def train(trusted: DataFrame, text_col: str = "text", shard_rows: int = 1_000_000, passes: int | None = None, most: int = 1_000_000) -> tuple[Model, float]:
-    """The model of all texts, and the log10 probability of a word that was not seen. Small tables take one pass, large ones four.
+    """The model of all texts, and the log10 probability of a word that was not seen. Small tables take one pass, large ones eight.
 
     Triples are counted in buckets of about shard_rows of their keys; what they add to pairs and contexts goes on to buckets of those, and
-    what pairs add to words to buckets of words. A task sends what it has added up, so a frequent pair or word is a row for each task."""
+    what pairs add to words to buckets of words. A task sends what it has added up, so a frequent pair or word is a row for each task;
+    those of words are added up after every second pass."""
     spark = trusted.sparkSession
     src = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = src.agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars")).first()
     places = size.texts + (size.chars or 0) // 6
     bits = max(0, math.ceil(math.log2(max(places, 1) / shard_rows)))
-    passes = passes or max(1, min(4, places // 2_000_000))
+    passes = passes or max(1, min(8, places // 1_500_000))
     folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    system, root = filesystem(folder)
+    held: list[str] = []  # folders with parts of words
+
+    def words_to(name: str, go: Callable) -> None:
+        _write(_dealt(_union([_read(spark, f"{folder}/{part}").where(F.col("kind") == WORDS) for part in held])).mapInArrow(go, _STORED), f"{folder}/{name}")
+        tidy(spark)
+        for part in held:
+            system.delete_dir_contents(f"{root}/{part}/kind={WORDS}", missing_dir_ok=True)
+        held[:] = [name]
+
     for own in range(passes):
         triples, pairs = f"{folder}/triples-{own}", f"{folder}/pairs-{own}"
         _write(_dealt(src.mapInArrow(_places(own, passes, bits, most), _STORED)).mapInArrow(_count_triples(bits, most), _STORED), triples)
         tidy(spark)
         _write(_dealt(_read(spark, triples).where(F.col("at") == NOWHERE)).mapInArrow(_count_pairs(bits, most), _STORED), pairs)
         tidy(spark)
-        system, root = filesystem(triples)
         for kind in (OWN, NEXT):  # added up in pairs
-            system.delete_dir_contents(f"{root}/kind={kind}", missing_dir_ok=True)
-    parts = _union([_read(spark, f"{folder}/pairs-{own}").where(F.col("kind") == WORDS) for own in range(passes)])
-    _write(_dealt(parts).mapInArrow(_count_words(bits), _STORED), f"{folder}/words")
-    for own in range(passes):
-        system.delete_dir_contents(f"{filesystem(folder)[1]}/pairs-{own}/kind={WORDS}", missing_dir_ok=True)
+            system.delete_dir_contents(f"{root}/triples-{own}/kind={kind}", missing_dir_ok=True)
+        held.append(f"pairs-{own}")
+        if own % 2 and own < passes - 1:
+            words_to(f"parts-{own}", _add_words(bits))
+    words_to("words", _count_words(bits))
     levels = [[_read(spark, f"{folder}/words").where(F.col("kind") == OWN)]]
     levels += [[_read(spark, f"{folder}/{part}-{own}").where(F.col("kind") == kind) for own in range(passes)] for part, kind in (("pairs", OWN), ("triples", TRIPLE))]
     names = ("kinds", "total", "n1", "n2", "n3", "n4")
@@ -328,7 +352,7 @@ def _symbols_of(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts of a block, the places of scored ones, and the numbers of scored ones in each text."""
     cells, at, size, n = [np.zeros(0, np.uint64)], [np.zeros(0, int)], [np.zeros(0, int)], 0
     for batch in texts.select(["text"]).to_batches():
-        for b in slices(batch, "text"):
+        for b in slices(batch, "text", SLICE):
             sym, own, first = symbols(b.column(0))
             cells.append(sym)
             at.append(own + n)
@@ -423,7 +447,7 @@ def _score(model: Model, id_type: pa.DataType):
 
 
 def document_scores(
-    docs: DataFrame, model: Model, unknown: float, id_col: str, text_col: str, lang_col: str, shard_rows: int = 1_000_000, block_chars: int = 8_000_000, parts: int = 8
+    docs: DataFrame, model: Model, unknown: float, id_col: str, text_col: str, lang_col: str, shard_rows: int = 1_000_000, block_chars: int = 5_000_000, parts: int = 10
 ) -> DataFrame:
     """(doc_id, lang, n, logp), a row for each row of docs, written. Documents are dealt into blocks of about block_chars characters, which ask
     for their n-grams in buckets of at most about shard_rows of the model's; one of at most `parts` parts of the blocks comes after the other."""
@@ -434,7 +458,7 @@ def document_scores(
     blocks = max(1, math.ceil((src.agg(F.sum(F.length("text")).alias("n")).first().n or 0) / block_chars))
     parts = min(parts, math.ceil(blocks / 4))
     bits = max(model.bits, math.ceil(math.log2(max(model.rows, 1) / shard_rows)))
-    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
+    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
 
     def score(own: int) -> DataFrame:
         dealt = src.where(F.col("block") % parts == own).repartition(math.ceil(blocks / parts), "block")

@@ -451,6 +451,27 @@ def test_model_in_passes_and_blocks(spark):
         assert got[i].logp == pytest.approx(sum(math.log10(p(g)) for g in zip(w, w[1:], w[2:])), rel=1e-9)
 
 
+def test_parts_of_words_do_not_pile_up(spark, monkeypatch):
+    write, most = kneser_ney._write, []
+
+    def seen(rows, folder):
+        write(rows, folder)
+        system, root = kneser_ney.filesystem(folder.rsplit("/", 1)[0])
+        names = [f.path for f in system.get_file_info(kneser_ney_files(root)) if f"kind={kneser_ney.WORDS}/" in f.path and f.path.endswith(".parquet")]
+        most.append(len({x.split(root)[1].split("/")[1] for x in names}))
+
+    def kneser_ney_files(root):
+        from pyarrow import fs
+
+        return fs.FileSelector(root, recursive=True)
+
+    monkeypatch.setattr(kneser_ney, "_write", seen)
+    trusted = spark.range(40).selectExpr("concat('a', id % 7, ' b', id % 5, ' c', id % 3, ' d', id) as text")
+    model, _ = kneser_ney.train(trusted, passes=6, shard_rows=50)
+    assert max(most) <= 4  # of six passes: what was added up, the parts of two, and their sum
+    kneser_ney.remove(model.folder)
+
+
 def test_quality_learns_from_all_trusted(spark):
     docs = spark.range(3_000).selectExpr("id as doc_id", "'en' as lang", "concat('word', id, ' follows word', id + 1) as text")
     got = kneser_ney.quality(docs, docs.select("doc_id"))
