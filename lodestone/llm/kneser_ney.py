@@ -373,22 +373,19 @@ class Grams:
 
     def __init__(self, texts: pa.Table):
         sym, at, self.size = _symbols_of(texts)
-        w, word = np.unique(sym, return_inverse=True)
-        many = max(len(w), 1)
-        p, pair = np.unique(word[:-1] * many + word[1:], return_inverse=True)  # at 0 the pair that ends at 1
-        t, triple = np.unique(pair[at - 2] * many + word[at], return_inverse=True)
-        a, b = w[p // many] if len(w) else w[:0], w[p % many] if len(w) else w[:0]
-        first = p[t // many] if len(p) else p[:0]
-        keys = triple_key(w[first // many], w[first % many], w[t % many]) if len(t) else np.zeros(0, np.uint64)
-        triple = self._placed(np.argsort(keys))[triple]
-        place = self._placed(np.argsort(np.concatenate([pair_key(a, b), word_key(w)])))
-        words_at = place[len(p) :]
-        self.at = (triple, place[pair[at - 1]], place[pair[at - 2]], words_at[word[at]], words_at[word[at - 1]])
+        triple = self._placed(triple_key(sym[at - 2], sym[at - 1], sym[at]))
+        n = max(len(sym) - 1, 0)
+        place = self._placed(np.concatenate([pair_key(sym[:-1], sym[1:]), word_key(sym)]))
+        self.at = (triple, place[at - 1], place[at - 2], place[n + at], place[n + at - 1])  # at 0 the pair that ends at 1
 
     @staticmethod
-    def _placed(order: np.ndarray) -> np.ndarray:
+    def _placed(keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the distinct ones in their order."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        number = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1 if len(keys) else np.zeros(0, int)
         out = np.empty(len(order), int)
-        out[order] = np.arange(len(order))
+        out[order] = number
         return out
 
 
